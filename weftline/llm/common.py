@@ -150,7 +150,7 @@ class Segments:
     than ``bound`` segments are held, the memo starts anew with the next call.
     """
 
-    def __init__(self, compute: Callable[[list], tuple[np.ndarray, np.ndarray]], bound: int = 800_000, dtype=np.int32):
+    def __init__(self, compute: Callable[[list], tuple[np.ndarray, np.ndarray]], bound: int = 400_000, dtype=np.int32):
         self.compute, self.bound, self.dtype = compute, bound, dtype
         self.clear()
 
