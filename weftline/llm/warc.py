@@ -88,7 +88,7 @@ def write_captures(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     fields = F.concat_ws(CRLF, F.concat(F.lit("page-id: "), F.col("id").cast("string")), F.concat(F.lit("refers-to-page: "), F.when(F.col("again"), F.col("first.id").cast("string"))), F.lit(""))
     metadata = _record("metadata", _urn(F.lit("metadata"), F.col("own")), [*beside, ("Content-Type", "application/warc-fields")], fields)
     records = rows.select(F.explode(F.array(response, request, metadata)).alias("value"))
-    records.write.mode("overwrite").option("lineSep", END).option("maxRecordsPerFile", 3 * captures_per_file).text(folder)
+    records.write.mode("overwrite").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 3 * captures_per_file).text(folder)
 
 
 def _members(data: bytes) -> bytes:
