@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import main_text, piece_codec, token_counts, warc
+from weftline.llm import main_text, piece_codec, quality_rules, token_counts, warc
 from weftline.llm.common import read_table
 
 PIECES = "piece_bpe_32k.model"
@@ -28,6 +28,12 @@ def op1_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    judged = quality_rules.assess(docs, public_tokenizers.path(PIECES))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "byte_share", "entropy")
+
+
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return main_text.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -68,6 +74,7 @@ OP9_SQL = """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_codec": op1_piece_codec,
+    "op2_quality_rules": op2_quality_rules,
     "op7_main_text": op7_main_text,
     "op8_token_counts": op8_token_counts,
     "op9_warc": op9_warc,
