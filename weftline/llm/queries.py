@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import main_text, piece_codec, quality_rules, token_counts, warc
+from weftline.llm import main_text, piece_codec, quality_rules, suffix_dedup, token_counts, warc, window_dedup
 from weftline.llm.common import read_table
 
 PIECES = "piece_bpe_32k.model"
@@ -34,6 +34,24 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "byte_share", "entropy")
 
 
+def op4_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return window_dedup.dedup_windows(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    win AS (SELECT doc_id, p, array_to_string(w[p:p + 49], ' ') AS k FROM d, unnest(range(1, len(w) - 48)) AS t(p)),
+    f AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+    s AS (SELECT doc_id, p FROM win JOIN f USING (k) WHERE m < doc_id),
+    gone AS (SELECT DISTINCT doc_id, p + o AS i FROM s, unnest(range(0, 50)) AS u(o)),
+    words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+    kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+    FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return main_text.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -72,12 +90,19 @@ OP9_SQL = """
     FROM f
 """
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.repeated_passages(docs).select("doc_id", "n_words", "n_repeated", F.transform("spans", lambda s: s["start"]).alias("starts"), F.transform("spans", lambda s: s["end"]).alias("ends"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_codec": op1_piece_codec,
     "op2_quality_rules": op2_quality_rules,
+    "op4_window_dedup": op4_window_dedup,
     "op7_main_text": op7_main_text,
     "op8_token_counts": op8_token_counts,
     "op9_warc": op9_warc,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLES: dict[str, str] = {"op9_warc": OP9_SQL}
+ORACLES: dict[str, str] = {"op4_window_dedup": OP4_SQL, "op9_warc": OP9_SQL}
