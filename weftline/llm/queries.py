@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import main_text, ngram_join, piece_codec, quality_rules, suffix_dedup, token_counts, warc, window_dedup
+from weftline.llm import decontaminate, main_text, ngram_join, piece_codec, pseudonyms, quality_rules, suffix_dedup, token_counts, warc, window_dedup
 from weftline.llm.common import read_table
 
 PIECES = "piece_bpe_32k.model"
+KEY = "weftline demonstration key"
 BYTES = "byte_bpe_50k.json"
 
 
@@ -71,6 +72,15 @@ OP4_SQL = r"""
 """
 
 
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.leaks(docs, read_table(spark, sf_dir, "benchmark"))
+
+
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return main_text.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -119,6 +129,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_ngram_join": op3_ngram_join,
     "op4_window_dedup": op4_window_dedup,
+    "op5_pseudonyms": op5_pseudonyms,
+    "op6_decontaminate": op6_decontaminate,
     "op7_main_text": op7_main_text,
     "op8_token_counts": op8_token_counts,
     "op9_warc": op9_warc,
