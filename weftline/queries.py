@@ -6,26 +6,449 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from weftline.functions import statistics
+from weftline.operators import clustering, community, connectivity, control, metrics, preprocessing
+from weftline.plans import study
+from weftline.sources import tables
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["switch_count"](spark, sf_dir)
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def _round(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in cols})
+
+
+# -- SQL of the adapters ----------------------------------------------------
+
+HOURS = """
+    hours AS (SELECT event_id, user_id, event_type, value, ts, CAST(date_diff('hour', TIMESTAMP '2024-01-01', ts) AS INTEGER) AS t,
+        CAST((date_diff('hour', TIMESTAMP '2024-01-01', ts) // 24) % 6 AS INTEGER) AS session FROM events)"""
+SERIES = f"""{HOURS},
+    mean AS (SELECT event_type, t, avg(value) AS value FROM hours GROUP BY ALL),
+    types AS (SELECT event_type, CAST(row_number() OVER (ORDER BY event_type) - 1 AS INTEGER) AS roi FROM (SELECT DISTINCT event_type FROM mean)),
+    grid AS (SELECT event_type, roi, CAST(u.t AS INTEGER) AS t FROM types, unnest(range(0, (SELECT max(t) + 1 FROM mean))) AS u(t)),
+    series AS (SELECT roi, grid.t, coalesce(value, 0.0) AS value FROM grid LEFT JOIN mean USING (event_type, t))"""
+BOLD = f"""{HOURS},
+    bold AS (SELECT session, user_id AS vertex, t, avg(value) AS value FROM hours GROUP BY ALL),
+    atlas AS (SELECT DISTINCT user_id AS vertex, CAST(user_id % 12 AS INTEGER) AS roi FROM hours),
+    roi AS (SELECT session, roi, t, avg(value) AS value FROM bold JOIN atlas USING (vertex) WHERE roi <> 0 GROUP BY ALL)"""
+
+
+def coupling_sql(frame: str, window: int = 14) -> str:
+    return f"""{SERIES},
+    d AS (SELECT *, value - lag(value) OVER (PARTITION BY roi ORDER BY t) AS d FROM series),
+    z AS (SELECT roi, t, d / nullif(stddev_samp(d) OVER (PARTITION BY roi), 0) AS z FROM d),
+    p AS (SELECT a.roi AS i, b.roi AS j, a.t, a.z * b.z AS p FROM z a JOIN z b USING (t) WHERE a.roi <= b.roi),
+    m AS (SELECT i, j, t, count(p) OVER w = {window} AS whole, avg(p) OVER w AS value FROM p WINDOW w AS (PARTITION BY i, j ORDER BY t ROWS BETWEEN {frame}))"""
+
+
+FORWARD, CENTERED = "CURRENT ROW AND 13 FOLLOWING", "7 PRECEDING AND 6 FOLLOWING"
+WEIGHTS = f"""{coupling_sql(FORWARD)},
+    up AS (SELECT i, j, t, round(value, 9) AS wt FROM m WHERE whole AND i < j AND t <= 100),
+    weights AS (SELECT i, j, t, wt FROM up UNION ALL SELECT j, i, t, wt FROM up),
+    modules AS (SELECT t, CAST(node AS INTEGER) AS node, CAST(node % 2 + 1 AS INTEGER) AS c FROM (SELECT DISTINCT t FROM up), unnest(range(0, 5)) AS u(node))"""
+
+
+def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both triangles of the first hundred coupling slices."""
+    up = connectivity.derivative_coupling(tables.event_series(spark, sf_dir), window=14, direction="forward").where("i < j and t <= 100")
+    return connectivity.mirror(up.withColumn("wt", F.round("value", 9)).drop("value"))
+
+
+def _modules(weights: DataFrame) -> DataFrame:
+    return weights.select("t").distinct().select("t", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("node")).withColumn("c", (F.col("node") % 2 + 1).cast("int"))
+
+
+# -- sources and preprocessing ----------------------------------------------
+
+
+@query(f"WITH {BOLD} SELECT axis, size FROM (SELECT count(DISTINCT session) AS session, count(DISTINCT vertex) AS vertex, count(DISTINCT t) AS t FROM bold) UNPIVOT (size FOR axis IN (session, vertex, t))")
+def read_scan_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return control.extents(tables.event_bold(spark, sf_dir), ["session", "vertex", "t"])
+
+
+def _roi(spark: SparkSession, sf_dir: str, level: str = "roi") -> DataFrame:
+    return preprocessing.extract_roi(tables.event_bold(spark, sf_dir), tables.event_atlas(spark, sf_dir), ["session"], level)
+
+
+@query(f"WITH {BOLD} SELECT session, roi, t, round(value, 6) AS value FROM roi")
+def roi_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(_roi(spark, sf_dir), "value")
+
+
+@query(f"WITH {BOLD} SELECT session, roi, vertex, t, round(value, 6) AS value FROM bold JOIN atlas USING (vertex) WHERE roi <> 0")
+def roi_vertex_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(_roi(spark, sf_dir, "vertex"), "value")
+
+
+@query(f"""WITH {BOLD}, own AS (SELECT s.session, vertex, CAST((vertex + s.session) % 12 AS INTEGER) AS roi FROM (SELECT DISTINCT session FROM bold) s, atlas)
+    SELECT session, roi, t, round(avg(value), 6) AS value FROM bold JOIN own USING (session, vertex) WHERE roi <> 0 GROUP BY session, roi, t""")
+def roi_individual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An atlas of its own for each session."""
+    bold = tables.event_bold(spark, sf_dir)
+    atlas = bold.select("session").distinct().crossJoin(tables.event_atlas(spark, sf_dir)).withColumn("roi", ((F.col("vertex") + F.col("session")) % 12).cast("int"))
+    return _round(preprocessing.extract_roi(bold, atlas, ["session"]), "value")
+
+
+REGIONS = "regions AS (SELECT CAST(r AS INTEGER) AS roi, CASE WHEN r % 3 = 0 THEN 'DefaultA' WHEN r % 3 = 1 THEN 'ContB' ELSE 'VisCent' END AS network FROM unnest(range(1, 12)) AS u(r))"
+
+
+@query(f"""WITH {BOLD}, {REGIONS}, chosen AS (SELECT roi, CAST(row_number() OVER (ORDER BY CASE WHEN network LIKE 'Default%' THEN 0 ELSE 1 END, roi) - 1 AS INTEGER) AS new FROM regions WHERE network NOT LIKE 'Vis%')
+    SELECT session, new AS roi, t, round(value, 6) AS value FROM roi JOIN chosen USING (roi)""")
+def network_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regions = spark.range(1, 12).select(F.col("id").cast("int").alias("roi"), F.when(F.col("id") % 3 == 0, "DefaultA").when(F.col("id") % 3 == 1, "ContB").otherwise("VisCent").alias("network"))
+    return _round(preprocessing.select_networks(_roi(spark, sf_dir), regions).select("session", "roi", "t", "value"), "value")
+
+
+@query(f"WITH {BOLD} SELECT session, CAST(100 - roi AS INTEGER) AS roi, t, round(value, 6) AS value FROM roi")
+def atlas_relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapping = spark.range(1, 12).select(F.col("id").cast("int").alias("roi"), (100 - F.col("id")).cast("int").alias("target"))
+    return _round(preprocessing.relabel(_roi(spark, sf_dir), mapping).select("session", "roi", "t", "value"), "value")
+
+
+@query(f"WITH {SERIES} SELECT roi, CAST(t - 5 AS INTEGER) AS t, round(value, 6) AS value FROM series WHERE t >= 5")
+def drop_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(preprocessing.drop_frames(tables.event_series(spark, sf_dir)).select("roi", "t", "value"), "value")
+
+
+TSNR = """each AS (SELECT session, roi, avg(value) / nullif(stddev_samp(value), 0) AS tsnr FROM roi GROUP BY ALL),
+    kept AS (SELECT *, coalesce(abs(tsnr - avg(tsnr) OVER w) <= 1.5 * stddev_samp(tsnr) OVER w, false) AS keep FROM each WINDOW w AS (PARTITION BY session))"""
+
+
+@query(f"WITH {BOLD}, {TSNR} SELECT session, roi, round(tsnr, 6) AS tsnr, keep FROM kept")
+def tsnr_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(preprocessing.tsnr(_roi(spark, sf_dir), ["session"], 1.5), "tsnr")
+
+
+@query(f"WITH {BOLD}, {TSNR} SELECT session, roi, t, round(value, 6) AS value FROM roi SEMI JOIN (SELECT * FROM kept WHERE keep) USING (session, roi)")
+def tsnr_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(preprocessing.tsnr_filter(_roi(spark, sf_dir), ["session"], 1.5).select("session", "roi", "t", "value"), "value")
+
+
+MOTION = "motion AS (SELECT DISTINCT user_id AS subject, session FROM hours WHERE event_type = 'error' AND value > 90)"
+
+
+def _motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.hours(spark, sf_dir).where("event_type = 'error' and value > 90").select(F.col("user_id").alias("subject"), "session").distinct()
+
+
+COUNTS = """moved AS (SELECT user_id AS subject, session, state <> lag(state) OVER (PARTITION BY user_id, session ORDER BY ts, event_id) AS m FROM (SELECT *, CASE WHEN value > 50 THEN 2 ELSE 1 END AS state FROM hours)),
+    counts AS (SELECT subject, session, count(*) FILTER (WHERE m) AS switch_count FROM moved GROUP BY ALL)"""
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = tables.event_states(spark, sf_dir).withColumnRenamed("user_id", "subject")
+    return metrics.switch_count(states, ["subject", "session"], ["ts", "event_id"])
+
+
+@query(f"WITH {HOURS}, {MOTION}, {COUNTS} SELECT subject, session, switch_count FROM counts ANTI JOIN motion USING (subject, session)")
+def motion_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preprocessing.exclude(_counts(spark, sf_dir), _motion(spark, sf_dir))
+
+
+# -- coupling -----------------------------------------------------------------
+
+
+def _coupled(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return _round(connectivity.derivative_coupling(tables.event_series(spark, sf_dir), window=14, **options), "value")
+
+
+@query(f"WITH {coupling_sql(CENTERED)} SELECT i, j, t, round(value, 6) AS value FROM m WHERE whole")
+def mtd_centered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _coupled(spark, sf_dir)
+
+
+@query(f"WITH {coupling_sql(FORWARD)} SELECT i, j, t, round(value, 6) AS value FROM m WHERE whole")
+def mtd_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _coupled(spark, sf_dir, direction="forward")
+
+
+@query(f"WITH {coupling_sql(CENTERED)} SELECT i, j, t, CASE WHEN whole THEN round(value, 6) ELSE 0.0 END AS value FROM m")
+def mtd_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _coupled(spark, sf_dir, trim=False)
+
+
+@query(f"WITH {coupling_sql(CENTERED)} SELECT i, j, t, round(value, 6) AS value FROM m WHERE whole AND t < (SELECT max(t) FROM m WHERE whole)")
+def mtd_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _coupled(spark, sf_dir, declared_length=True)
+
+
+# -- communities and metrics ----------------------------------------------------
+
+CI = """parts AS (SELECT p_partkey AS node, 0 AS p, p_brand AS c FROM part WHERE p_partkey < 100 UNION ALL SELECT p_partkey, 1, p_type FROM part WHERE p_partkey < 100
+    UNION ALL SELECT p_partkey, 2, CAST(p_size % 4 AS VARCHAR) FROM part WHERE p_partkey < 100)"""
+
+
+def _partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey < 100")
+    return part.select(F.col("p_partkey").alias("node"), F.posexplode(F.array("p_brand", "p_type", (F.col("p_size") % 4).cast("string"))).alias("p", "c"))
+
+
+def _agreement_sql(weights: str) -> str:
+    return f"""WITH {CI}, wts AS (SELECT * FROM (VALUES {weights}) AS v(p, wt))
+    SELECT a.node AS i, b.node AS j, round(sum(wt / (SELECT sum(wt) FROM wts)), 6) AS value
+    FROM parts a JOIN parts b USING (p, c) JOIN wts USING (p) WHERE a.node <= b.node GROUP BY ALL"""
+
+
+@query(_agreement_sql("(0, 1.0::DOUBLE), (1, 1.0), (2, 1.0)"))
+def agreement_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(community.agreement(_partitions(spark, sf_dir)), "value")
+
+
+@query(_agreement_sql("(0, 0.5::DOUBLE), (1, 0.2), (2, 0.9)"))
+def agreement_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = spark.createDataFrame([(0, 0.5), (1, 0.2), (2, 0.9)], "p int, wt double")
+    return _round(community.agreement(_partitions(spark, sf_dir), weights), "value")
 
 
+@query(f"""WITH {WEIGHTS}, k AS (SELECT t, i, c, sum(greatest(wt, 0)) AS pos, sum(greatest(-wt, 0)) AS neg FROM weights JOIN modules ON weights.t = modules.t AND j = node GROUP BY ALL)
+    SELECT t, i AS node, round(coalesce(1 - sum(pos * pos) / nullif(sum(pos) * sum(pos), 0), 0), 6) AS p_pos, round(coalesce(1 - sum(neg * neg) / nullif(sum(neg) * sum(neg), 0), 0), 6) AS p_neg FROM k GROUP BY ALL""".replace("SELECT t, i, c, sum", "SELECT weights.t, i, c, sum"))
+def participation_pos_neg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = _weights(spark, sf_dir)
+    return _round(metrics.participation(w, _modules(w), ["t"]), "p_pos", "p_neg")
+
+
+#: A directed matrix, so that the flags differ: users of one day and type, weighted by their difference.
+DIRECTED = f"""{HOURS}, u AS (SELECT session, event_type, user_id, sum(value) AS v FROM hours WHERE user_id < 40 GROUP BY ALL),
+    weights AS (SELECT a.session, a.user_id AS i, b.user_id AS j, sum(a.v - 0.5 * b.v) AS wt FROM u a JOIN u b USING (session, event_type) WHERE a.user_id <> b.user_id GROUP BY ALL),
+    modules AS (SELECT DISTINCT session, user_id AS node, CAST(user_id % 5 AS INTEGER) AS c FROM u)"""
+
+
+def _z_sql(links: str) -> str:
+    return f"""WITH {DIRECTED}, links AS ({links}),
+    own AS (SELECT l.session, l.i, sum(wt) AS k FROM links l JOIN modules a ON a.session = l.session AND a.node = l.i JOIN modules b ON b.session = l.session AND b.node = l.j WHERE a.c = b.c GROUP BY ALL),
+    d AS (SELECT m.session, node, c, coalesce(k, 0) AS k FROM modules m LEFT JOIN own ON own.session = m.session AND own.i = node)
+    SELECT session, node, round(coalesce((k - avg(k) OVER w) / nullif(stddev_samp(k) OVER w, 0), 0), 6) AS z FROM d WINDOW w AS (PARTITION BY session, c)"""
+
+
+def _module_z(flag: int) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        u = tables.hours(spark, sf_dir).where("user_id < 40").groupBy("session", "event_type", "user_id").agg(F.sum("value").alias("v"))
+        a, b = u.select("session", "event_type", F.col("user_id").alias("i"), F.col("v").alias("a")), u.select("session", "event_type", F.col("user_id").alias("j"), F.col("v").alias("b"))
+        w = a.join(b, ["session", "event_type"]).where("i <> j").groupBy("session", "i", "j").agg(F.sum(F.col("a") - 0.5 * F.col("b")).alias("wt"))
+        modules = u.select("session", F.col("user_id").alias("node")).distinct().withColumn("c", (F.col("node") % 5).cast("int"))
+        return _round(metrics.module_z(w, modules, ["session"], flag), "z")
+
+    return run
+
+
+for _flag, _name, _links in (
+    (0, "und", "SELECT session, i, j, wt FROM weights"),
+    (1, "out", "SELECT session, i, j, wt FROM weights"),
+    (2, "in", "SELECT session, j AS i, i AS j, wt FROM weights"),
+    (3, "both", "SELECT session, i, j, wt FROM weights UNION ALL SELECT session, j, i, wt FROM weights"),
+):
+    query(_z_sql(_links), f"module_z_{_name}")(_module_z(_flag))
+
+
+def _q_sql(d0: str, d1: str) -> str:
+    return f"""WITH {WEIGHTS}, l AS (SELECT w.t, a.c AS ci, b.c AS cj, sum(greatest(wt, 0)) AS p, sum(greatest(-wt, 0)) AS n FROM weights w JOIN modules a ON a.t = w.t AND a.node = i JOIN modules b ON b.t = w.t AND b.node = j GROUP BY ALL),
+    s AS (SELECT t, ci, sum(p) AS kp, sum(n) AS kn, sum(CASE WHEN ci = cj THEN p ELSE 0 END) AS wp, sum(CASE WHEN ci = cj THEN n ELSE 0 END) AS wn FROM l GROUP BY ALL),
+    g AS (SELECT t, sum(kp) AS s0, sum(kn) AS s1, sum(wp) AS wp, sum(wn) AS wn, sum(kp * kp) AS kkp, sum(kn * kn) AS kkn FROM s GROUP BY ALL)
+    SELECT t, round(coalesce({d0}, 0) * (wp - coalesce(kkp / nullif(s0, 0), 0)) - coalesce({d1}, 0) * (wn - coalesce(kkn / nullif(s1, 0), 0)), 6) + 0.0 AS q FROM g"""
+
+
+def _modularity(qtype: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        w = _weights(spark, sf_dir)
+        return _round(metrics.modularity(w, _modules(w), ["t"], qtype), "q")
+
+    return run
+
+
+_S0, _S1, _ALL = "1 / nullif(s0, 0)", "1 / nullif(s1, 0)", "1 / nullif(s0 + s1, 0)"
+for _q, _d0, _d1 in (("sta", _S0, _ALL), ("pos", _S0, "0"), ("smp", _S0, _S1), ("gja", _ALL, _ALL), ("neg", "0", _S1)):
+    query(_q_sql(_d0, _d1), f"modularity_q_{_q}")(_modularity(_q))
+
+
+#: Participation-like and z-like values of users per hour.
+NODES = f"{HOURS}, nodes AS (SELECT t, user_id AS node, (avg(value) % 100) / 100 AS bt, (avg(value) % 13) - 6 AS wt FROM hours GROUP BY ALL)"
+BINS = "least(greatest(CAST(round((5 - wt) * 10) AS INTEGER), 0), 100) AS yb, least(greatest(CAST(round(bt * 100) AS INTEGER), 0), 100) AS xb"
+
+
+def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = tables.hours(spark, sf_dir).groupBy("t", F.col("user_id").alias("node")).agg((F.avg("value") % 100 / 100).alias("bt"), (F.avg("value") % 13 - 6).alias("wt"))
+    return metrics.cartography(nodes)
+
+
+@query(f"WITH {NODES} SELECT t, {BINS}, count(*) AS n FROM nodes GROUP BY ALL")
+def cartography_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _profile(spark, sf_dir)
+
+
+@query(f"""WITH {NODES}, p AS (SELECT t, {BINS}, count(*) AS n FROM nodes WHERE t < 4 GROUP BY ALL),
+    grid AS (SELECT t, CAST(y AS INTEGER) AS yb, CAST(x AS INTEGER) AS xb FROM (SELECT DISTINCT t FROM p), unnest(range(0, 101)) AS a(y), unnest(range(0, 101)) AS b(x))
+    SELECT t, yb, xb, coalesce(n, 0) AS n FROM grid LEFT JOIN p USING (t, yb, xb)""")
+def cartography_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole 101 x 101 profiles of the first hours, the operator's own size of output."""
+    return metrics.densify(_profile(spark, sf_dir).where("t < 4"))
+
+
+# -- switching and statistics ----------------------------------------------------
+
+
+@query(f"WITH {HOURS}, m AS (SELECT user_id, state <> lag(state) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS m FROM (SELECT *, CASE WHEN value > 50 THEN 2 ELSE 1 END AS state FROM hours)) SELECT user_id, count(*) FILTER (WHERE m) AS switch_count FROM m GROUP BY ALL")
 def switch_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", F.when(F.col("value") > 50, 2).otherwise(1).alias("state"))
-    order = W.partitionBy("user_id").orderBy("ts", "event_id")
-    flags = events.withColumn("flag", F.col("state") + F.lag("state").over(order))
-    return flags.groupBy("user_id").agg(F.count(F.when(F.col("flag") == 3, 1)).alias("switch_count"))
+    return metrics.switch_count(tables.event_states(spark, sf_dir), ["user_id"], ["ts", "event_id"])
+
+
+@query(f"WITH {HOURS}, f AS (SELECT user_id, event_id, state + lag(state) OVER w AS flag, state <> lag(state) OVER w AS switched FROM (SELECT *, CASE WHEN value > 50 THEN 2 ELSE 1 END AS state FROM hours) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT * FROM f WHERE flag IS NOT NULL")
+def switch_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.switches(tables.event_states(spark, sf_dir), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "flag", "switched")
+
+
+KEPT = """each AS (SELECT user_id AS subject, session, avg(value) / nullif(stddev_samp(value), 0) AS tsnr FROM hours GROUP BY ALL),
+    kept AS (SELECT subject, session, coalesce(abs(tsnr - avg(tsnr) OVER w) <= 1.0 * stddev_samp(tsnr) OVER w, false) AS keep FROM each WINDOW w AS (PARTITION BY session))"""
+GRID = f"""{HOURS}, {MOTION}, {COUNTS}, {KEPT}, grid AS (
+    SELECT false AS motion, false AS tsnr, * FROM counts
+    UNION ALL SELECT false, true, * FROM counts SEMI JOIN (SELECT * FROM kept WHERE keep) USING (subject, session)
+    UNION ALL SELECT true, false, * FROM counts ANTI JOIN motion USING (subject, session)
+    UNION ALL SELECT true, true, * FROM (SELECT * FROM counts ANTI JOIN motion USING (subject, session)) SEMI JOIN (SELECT * FROM kept WHERE keep) USING (subject, session))"""
+
+
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    features = preprocessing.tsnr(tables.hours(spark, sf_dir).withColumnRenamed("user_id", "subject"), ["session"], 1.0, "subject")
+    return study.variants(_counts(spark, sf_dir), _motion(spark, sf_dir), features)
+
+
+@query(f"WITH {GRID} SELECT motion, tsnr, subject, session, switch_count FROM grid")
+def variant_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grid(spark, sf_dir)
+
+
+@query(f"WITH {HOURS}, {COUNTS} SELECT subject, round(avg(switch_count), 6) AS mean_count FROM counts GROUP BY ALL")
+def subject_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(_counts(spark, sf_dir).groupBy("subject").agg(F.avg("switch_count").alias("mean_count")), "mean_count")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"switch_count": switch_count}
+@query(f"WITH {GRID} SELECT motion, tsnr, count(*) AS n, round(avg(switch_count), 6) AS mean, round(stddev_samp(switch_count), 6) AS sd FROM grid GROUP BY motion, tsnr")
+def group_mean_sd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(statistics.describe(_grid(spark, sf_dir), "switch_count", ["motion", "tsnr"]), "mean", "sd")
 
-ORACLES: dict[str, str] = {
-    "switch_count": """
-        WITH s AS (SELECT user_id, ts, event_id, CASE WHEN value > 50 THEN 2 ELSE 1 END AS state FROM events),
-        f AS (SELECT user_id, state + lag(state) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS flag FROM s)
-        SELECT user_id, CAST(count(*) FILTER (WHERE flag = 3) AS BIGINT) AS switch_count FROM f GROUP BY user_id
-    """
-}
+
+ICC = """f AS (SELECT *, count(*) OVER (PARTITION BY motion, tsnr, subject) AS have FROM grid),
+    c AS (SELECT motion, tsnr, subject, session, CAST(switch_count AS DOUBLE) AS x FROM f JOIN (SELECT motion, tsnr, count(DISTINCT session) AS k FROM grid GROUP BY ALL) USING (motion, tsnr) WHERE have = k),
+    d AS (SELECT *, avg(x) OVER (PARTITION BY motion, tsnr, subject) AS s, avg(x) OVER (PARTITION BY motion, tsnr, session) AS m, avg(x) OVER (PARTITION BY motion, tsnr) AS g FROM c),
+    e AS (SELECT motion, tsnr, count(DISTINCT subject) AS n, count(DISTINCT session) AS k, sum((s - g) ** 2) AS r, sum((m - g) ** 2) AS q, sum((x - s - m + g) ** 2) AS e FROM d GROUP BY ALL),
+    h AS (SELECT motion, tsnr, n, k, r / nullif(n - 1, 0) AS msr, q / nullif(k - 1, 0) AS msc, e / nullif((n - 1) * (k - 1), 0) AS mse FROM e),
+    icc AS (SELECT motion, tsnr, n, k, (msr - mse) / nullif(msr + (k - 1) * mse + k * (msc - mse) / n, 0) AS icc FROM h)"""
+
+
+def _icc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.icc21(_grid(spark, sf_dir).withColumn("value", F.col("switch_count").cast("double")), ["motion", "tsnr"])
+
+
+@query(f"WITH {GRID}, {ICC} SELECT motion, tsnr, n, k, round(icc, 6) AS icc FROM icc")
+def icc21(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(_icc(spark, sf_dir), "icc")
+
+
+@query(f"WITH {GRID}, {ICC} SELECT motion, tsnr, CASE WHEN icc < 0.4 THEN 'poor' WHEN icc < 0.6 THEN 'fair' WHEN icc < 0.75 THEN 'good' WHEN icc IS NOT NULL THEN 'excellent' END AS grade FROM icc")
+def icc_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _icc(spark, sf_dir).select("motion", "tsnr", statistics.icc_grade(F.col("icc")).alias("grade"))
+
+
+PAIRS = "pairs AS (SELECT motion, tsnr, avg(switch_count) AS x, any_value(c_acctbal) AS y FROM grid JOIN customer ON c_custkey = subject GROUP BY motion, tsnr, subject)"
+
+
+def _pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    means = _grid(spark, sf_dir).groupBy("motion", "tsnr", "subject").agg(F.avg("switch_count").alias("x"))
+    scores = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("subject"), F.col("c_acctbal").alias("y"))
+    return statistics.pearson(means.join(scores, "subject"), "x", "y", ["motion", "tsnr"])
+
+
+@query(f"WITH {GRID}, {PAIRS} SELECT motion, tsnr, count(*) AS n, round(corr(x, y), 6) AS r FROM pairs GROUP BY ALL")
+def pearson_behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(_pearson(spark, sf_dir).drop("p"), "r")
+
+
+@query()
+def pearson_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(_pearson(spark, sf_dir), "r", "p")
+
+
+@query(f"WITH {GRID}, {PAIRS} SELECT motion, tsnr, round(atanh(corr(x, y)), 6) AS z FROM pairs GROUP BY ALL")
+def fisher_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(_pearson(spark, sf_dir).select("motion", "tsnr", statistics.fisher_z(F.col("r")).alias("z")), "z")
+
+
+# -- control --------------------------------------------------------------------
+
+
+@query(f"WITH {BOLD} SELECT session, roi, t, round(value, 6) AS value FROM roi")
+def for_stack_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table, keys = control.for_each(_roi(spark, sf_dir), ["session", "roi", "t"])
+    return _round(control.stack(table, keys), "value")
+
+
+@query(f"WITH {BOLD} SELECT roi, t, round(value, 6) AS value, session FROM roi")
+def stack_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table, keys = control.for_each(_roi(spark, sf_dir), ["session", "roi", "t"])
+    return _round(control.stack(table, keys, "append"), "value")
+
+
+@query(f"WITH {BOLD} SELECT session, roi, count(*) AS length, round(arg_min(value, t), 6) AS first_value, round(arg_max(value, t), 6) AS last_value FROM roi GROUP BY ALL")
+def dense_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = control.dense_rows(_roi(spark, sf_dir), ["session", "roi"], "t")
+    return rows.select("session", "roi", F.size("values").cast("long").alias("length"), F.round(F.element_at("values", 1), 6).alias("first_value"), F.round(F.element_at("values", -1), 6).alias("last_value"))
+
+
+# -- kernels: the query is a check that has SQL -----------------------------------
+
+
+@query(f"WITH {WEIGHTS} SELECT DISTINCT t, true AS q_agrees, true AS labels_from_one FROM up")
+def louvain_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kernel's Q equals the relational one for its labels, and isn't under that of one module."""
+    w = _weights(spark, sf_dir)
+    found = community.louvain(w, ["t"], seed=7)
+    q = metrics.modularity(w, found.select("t", "node", "c"), ["t"])
+    one = metrics.modularity(w, found.select("t", "node", F.lit(1).alias("c")), ["t"]).withColumnRenamed("q", "q1")
+    own = found.groupBy("t").agg(F.max("q").alias("kernel"), F.min("c").alias("low"), F.max("c").alias("high"), F.count_distinct("c").alias("n"))
+    return own.join(q, "t").join(one, "t").select("t", ((F.abs(F.col("q") - F.col("kernel")) < 1e-6) & (F.col("kernel") >= F.col("q1") - 1e-9)).alias("q_agrees"), ((F.col("low") == 1) & (F.col("high") == F.col("n"))).alias("labels_from_one"))
+
+
+@query(f"WITH {CI} SELECT CAST(count(DISTINCT node) AS BIGINT) AS nodes, 1::BIGINT AS first_label FROM parts")
+def consensus_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = community.consensus(community.agreement(_partitions(spark, sf_dir)).withColumn("k", F.lit(0)), ["k"], reps=20, seed=7)
+    return found.where("p = 0").agg(F.count_distinct("node").alias("nodes"), F.min("c").cast("long").alias("first_label"))
+
+
+@query("SELECT count(*) AS vectors, 10::BIGINT AS labels, true AS inertia_agrees FROM embeddings")
+def kmeans_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector has a label, all labels are used, and the inertia is the sum of squared distances to the centers."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("sample"), F.col("embedding").cast("array<double>").alias("features"))
+    labels, centers, inertia = clustering.kmeans(e, n_clusters=10, n_init=3)
+    off = F.aggregate(F.zip_with("features", "center", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
+    both = labels.join(e, "sample").join(F.broadcast(centers), "label")
+    return both.agg(F.count("*").alias("vectors"), F.count_distinct("label").alias("labels"), (F.abs(F.sum(off) - F.lit(inertia)) <= 1e-6 * F.lit(inertia)).alias("inertia_agrees"))
+
+
+@query()
+def study_switching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole study on hourly series per session, with few repetitions."""
+    hourly = tables.hours(spark, sf_dir).groupBy("session", "event_type", (F.col("t") % 24 + 24 * F.floor(F.col("t") / 144)).cast("int").alias("t")).agg(F.avg("value").alias("value"))
+    series = hourly.select("session", F.pmod(F.xxhash64("event_type"), F.lit(1 << 20)).cast("int").alias("roi"), "t", "value")
+    return study.switching(series, ["session"], study.Settings(runs=3, reps=3, n_init=3))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coupling slices, their node metrics under fixed communities, and the profile of each."""
+    w = _weights(spark, sf_dir)
+    modules = _modules(w)
+    nodes = metrics.participation(w, modules, ["t"]).join(metrics.module_z(w, modules, ["t"]), ["t", "node"])
+    return metrics.cartography(nodes.select("t", "node", F.col("p_pos").alias("bt"), F.col("z").alias("wt")))
