@@ -46,6 +46,14 @@ def lower_ascii(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(_ASCII_LOWER)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores until no column has it (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class WordHashes(dict):
     """Word to 64-bit hash, computed once per distinct word and worker; it starts anew when it holds ``bound`` words."""
 
@@ -113,11 +121,11 @@ def with_columns(df: DataFrame, column: str, fields: Sequence[T.StructField], ma
     Arrow array (or list) per field.
     """
     names = [f.name for f in fields]
-    kept = [f for f in df.schema.fields if f.name not in names]
+    kept = [f for f in df.schema.fields if f.name.lower() not in {n.lower() for n in names}]
     kinds = [to_arrow_type(f.dataType) for f in fields]
     cols = [f.name for f in kept] + names
-    source = df.select("*") if column in [f.name for f in kept] else df.withColumn("_source", df[column])
-    read = column if source is not None and column in [f.name for f in kept] else "_source"
+    read = column if column in [f.name for f in kept] else fresh_name(df, "_source")
+    source = df if read == column else df.withColumn(read, df[column])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = None

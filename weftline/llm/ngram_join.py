@@ -11,10 +11,13 @@ verified on their whole sets.
 Tokens that many documents hold come last in every order (as far as they are
 known: those frequent within some task's documents), so shared passages seldom
 reach a prefix, and buckets stay small. Documents made up mostly of such tokens
-are members of large families. Among those no pairs are enumerated: a few
-buckets are chained, the chains verified and joined into components, and then
-only pairs of different components are compared in each bucket. So a family of
-m near copies costs about m comparisons, and no link between components is lost.
+are members of large families. Among those no pairs are enumerated at first:
+in each bucket all are compared with the member that has the fewest tokens of
+its own, as the text that the others were copied from has. What is linked
+becomes components, and then only pairs of different components are compared,
+where the places of the shared token in both prefixes leave room for the overlap
+they need. So a family of m near copies costs about m comparisons, and no link
+between components is lost.
 """
 
 from __future__ import annotations
@@ -25,9 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import WordHashes, cut_lineage, lower_ascii, mix, slices, window_hashes
+from weftline.llm.common import WordHashes, cut_lineage, fresh_name, lower_ascii, mix, slices, window_hashes
 from weftline.llm.components import components
-from weftline.llm.passages import NO_ID, FlatWords, by_shard, ids_of, packed, packed_schema, shard_count
+from weftline.llm.passages import FlatWords, by_shard, ident, ids_of, packed, packed_schema, real_id, shard_count
 
 GRAM, THRESHOLD, ORDERS = 5, 75, 2
 #: Bound of the broadcast list of frequent tokens (8 bytes each).
@@ -114,13 +117,17 @@ def _profiles(docs: DataFrame, gram: int) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, hot, gram: int, threshold: int, orders: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (k1, k2, n0, n1, ...) of class keys with the prefix tokens they share per order, and the prefix tokens (token, k) of family members."""
-    shards, seeds = shard_count(docs), range(orders)
+    """Pairs (k1, k2, n0, n1, ...) of class keys with the prefix tokens they share per order, and the prefix tokens (token, k, place, rare) of family members."""
+    shards, seeds = 40 + shard_count(docs) // 4, range(orders)
 
     def partition(batches):
-        hashes, known, held, n, seen = WordHashes(), hot.value, [[] for _ in seeds], 0, set()
+        hashes, known, held, n, seen, members = WordHashes(), hot.value, [[] for _ in seeds], 0, set(), []
 
         def flush():
+            if members:
+                tokens, keys, facts = (np.concatenate(x) for x in zip(*members))
+                members.clear()
+                yield from packed((tokens % np.uint64(shards)).astype(np.int64), shards, [_bytes5(tokens >> np.uint64(24)), _bytes5(keys), facts], kind=-1)
             for o in seeds:
                 if held[o]:
                     tokens, keys, sizes = (np.concatenate(x) for x in zip(*held[o]))
@@ -136,12 +143,16 @@ def _candidates(docs: DataFrame, hot, gram: int, threshold: int, orders: int) ->
                 p = prefix_length(size, threshold)
                 at = np.minimum(np.searchsorted(known, s), max(len(known) - 1, 0))
                 often = known[at] == s if len(known) else np.zeros(size, bool)
-                family = size - int(often.sum()) < p
+                rare = size - int(often.sum())
+                family = rare < p
                 key = (np.uint64(own[0] & (2**64 - 1)) & KEY) | (FAMILY if family else np.uint64(0))
                 for o in seeds:
                     place = mix(s, 50 + o)
                     first = np.lexsort((place, often))[:p] if often.any() else np.argpartition(place, p - 1)[:p]
                     held[o].append((place[first], np.full(p, key), np.full(p, _length_class(size), np.uint8)))
+                    if family and o == 0:
+                        facts = np.stack([np.arange(p), np.full(p, rare)], axis=1).astype(np.uint32)
+                        members.append((place[first], np.full(p, key & KEY), facts))
                     n += p
             if len(seen) > 200_000:
                 seen.clear()
@@ -154,7 +165,12 @@ def _candidates(docs: DataFrame, hot, gram: int, threshold: int, orders: int) ->
 
     def meet(held):
         """Pairs of each bucket of a token; family members are left to their own round."""
-        for o, blobs in held.items():
+        if -1 in held:
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([-1], pa.int32()), *(pa.array([b"".join(x)], pa.binary()) for x in held[-1])], names=["shard", "kind", "a", "b", "c"])
+        for o in seeds:
+            if o not in held:
+                continue
+            blobs = held[o]
             tokens, keys = _from5(b"".join(blobs[0])), _from5(b"".join(blobs[1]))
             sizes = np.frombuffer(b"".join(blobs[2]), np.uint8).astype(np.int64)
             by = np.lexsort((keys, sizes, tokens))
@@ -163,8 +179,6 @@ def _candidates(docs: DataFrame, hot, gram: int, threshold: int, orders: int) ->
             fresh[1:] = (tokens[1:] != tokens[:-1]) | (keys[1:] != keys[:-1])
             tokens, keys, sizes = tokens[fresh], keys[fresh], sizes[fresh]
             family = keys >= FAMILY
-            if o == 0 and family.any():
-                yield from packed((tokens[family] % np.uint64(shards)).astype(np.int64), shards, [_bytes5(tokens[family]), _bytes5(keys[family] & KEY), np.zeros(int(family.sum()), np.uint8)], kind=-1)
             opens = np.ones(len(tokens), bool)
             opens[1:] = tokens[1:] != tokens[:-1]
             bucket = np.cumsum(opens) - 1
@@ -211,13 +225,14 @@ def _candidates(docs: DataFrame, hot, gram: int, threshold: int, orders: int) ->
 
     def members(batches):
         for batch in batches:
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(_from5(a).astype(np.int64)), pa.array(_from5(b).astype(np.int64))], names=["token", "k"])
+            for a, b, c in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("c").to_pylist()):
+                facts = np.frombuffer(c, np.uint32).reshape(-1, 2).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(_from5(a).astype(np.int64)), pa.array(_from5(b).astype(np.int64)), pa.array(facts[:, 0]), pa.array(facts[:, 1])], names=["token", "k", "place", "rare"])
 
     postings = docs.mapInArrow(partition, packed_schema(3))
     met = cut_lineage(by_shard(postings, meet, packed_schema(3), 3))
     pairs = by_shard(met.where("kind >= 0"), intersect, "k1 long, k2 long, " + ", ".join(f"n{o} long" for o in seeds), 3)
-    return pairs, met.where("kind < 0").select("a", "b").mapInArrow(members, "token long, k long")
+    return pairs, met.where("kind < 0").select("a", "b", "c").mapInArrow(members, "token long, k long, place long, rare long")
 
 
 def _id_filter(ids: DataFrame) -> np.ndarray:
@@ -231,11 +246,6 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
             at = np.unique(np.concatenate([mix(x, 70 + r) >> np.uint64(64 - FILTER_BITS) for r in range(2)])).astype(np.int64)
             yield from packed(at // per, parts, [(at % per).astype(np.uint32)])
 
-    def merge(held):
-        bits = np.zeros(per, np.uint8)
-        bits[np.frombuffer(b"".join(held[0][0]), np.uint32)] = 1
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["bits"])
-
     def numbered(batches):
         shard = None
         for batch in batches:
@@ -311,56 +321,71 @@ def links(docs: DataFrame, profiles: DataFrame, gram: int, threshold: int, order
         enough &= F.col(f"n{o}") + F.greatest(rest("nu"), rest("nv")) >= need
     plain = pairs.join(first, "k1").join(second, "k2").where(enough & (F.col("u") != F.col("v"))).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
-    def chains(batches):
-        """Neighbours, by size, in the buckets of a part of the tokens."""
+    def room(n, place, m, other):
+        """Whether sets of n and m tokens whose first shared token is at these places can overlap enough."""
+        return np.minimum(n - place, m - other) * (100 + threshold) >= threshold * (n + m)
+
+    def hubs(batches):
+        """All members of a bucket with the one that has the fewest tokens of its own."""
         held: list = []
-        for token, rows in _buckets(batches, ("n", "id")):
-            ids = rows[1]
-            if len(ids) > 1:
-                held.append(np.stack([ids[:-1], ids[1:]], axis=1))
-            if len(held) > 500:
-                yield _pair_batch(np.concatenate(held))
+        for _, (place, rare, n, ids) in _buckets(batches, ("place", "rare", "n", "id")):
+            hub = np.lexsort((ids, rare))[0]
+            fits = room(n, place, n[hub], place[hub]) & (ids != ids[hub])
+            if fits.any():
+                held.append(np.stack([np.full(int(fits.sum()), ids[hub]), ids[fits]], axis=1))
+            if len(held) > 2000:
+                yield _distinct(held)
                 held.clear()
         if held:
-            yield _pair_batch(np.concatenate(held))
+            yield _distinct(held)
 
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut_lineage(family.join(classes, "k").select("token", "id", "n"))
-    seeds = placed.where(F.pmod(F.xxhash64("token"), F.lit(8)) == 0).repartition(n_parts, F.col("token")).sortWithinPartitions("token", "n", "id")
-    near = _verified(docs, plain.union(seeds.mapInArrow(chains, "u long, v long")), gram, threshold)
-    near = cut_lineage(near)
+    placed = cut_lineage(family.join(classes, "k").select("token", "place", "rare", "id", "n"))
+    sorted_by_token = lambda df: df.repartition(n_parts, F.col("token")).sortWithinPartitions("token")
+    near = cut_lineage(_verified(docs, plain.union(sorted_by_token(placed).mapInArrow(hubs, "u long, v long")), gram, threshold))
     if placed.limit(1).count() == 0:
         return near
 
     def across(batches):
         """Pairs of different components in each bucket."""
-        for token, (sizes, ids, comps) in _buckets(batches, ("n", "id", "component")):
-            if (comps == comps[0]).all():
-                continue
+        held, size = [], 0
+        for _, (place, n, ids, comps) in _buckets(batches, ("place", "n", "id", "component")):
             order = np.argsort(comps, kind="stable")
-            ids, comps, sizes = ids[order], comps[order], sizes[order]
-            heads = np.append(np.flatnonzero(np.concatenate([[True], comps[1:] != comps[:-1]])), len(ids))
-            for lo, hi in zip(heads[:-1], heads[1:]):
-                for i in range(lo, hi):
-                    other = np.arange(hi, len(ids))
-                    fits = (np.minimum(sizes[i], sizes[other]) * 100 >= np.maximum(sizes[i], sizes[other]) * threshold)
-                    other = other[fits]
-                    if len(other):
-                        yield _pair_batch(np.stack([np.full(len(other), ids[i]), ids[other]], axis=1))
+            place, n, ids, comps = place[order], n[order], ids[order], comps[order]
+            ends = np.searchsorted(comps, comps, "right")
+            for i in np.flatnonzero(ends < len(ids)).tolist():
+                other = np.arange(ends[i], len(ids))
+                other = other[room(n[i], place[i], n[other], place[other])]
+                if len(other):
+                    held.append(np.stack([np.full(len(other), ids[i]), ids[other]], axis=1))
+                    size += len(other)
+                if size > 2_000_000:
+                    yield _distinct(held)
+                    held.clear()
+                    size = 0
+        if held:
+            yield _distinct(held)
 
     grouped = components(near)
-    named = placed.join(grouped.withColumnRenamed("node", "id"), "id", "left").select("token", "n", "id", F.coalesce("component", "id").alias("component"))
+    named = placed.join(grouped.withColumnRenamed("node", "id"), "id", "left").select("token", "place", "n", "id", F.coalesce("component", "id").alias("component"))
     mixed = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    rest_pairs = named.join(mixed, "token").repartition(n_parts, F.col("token")).sortWithinPartitions("token", "n", "id").mapInArrow(across, "u long, v long")
-    return near.union(_verified(docs, rest_pairs.distinct(), gram, threshold))
+    others = cut_lineage(sorted_by_token(named.join(mixed, "token")).mapInArrow(across, "u long, v long").distinct())
+    if others.limit(1).count() == 0:
+        return near
+    return near.union(_verified(docs, others, gram, threshold))
 
 
 def prefix_length_sql(n: str, threshold: int):
     return F.col(n) - F.ceil(threshold * F.col(n) / 100) + 1
 
 
-def _pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
-    pairs = np.sort(pairs, axis=1)
+def _distinct(parts: list[np.ndarray]) -> pa.RecordBatch:
+    """Pairs in order, each once."""
+    pairs = np.sort(np.concatenate(parts), axis=1)
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    fresh = np.ones(len(pairs), bool)
+    fresh[1:] = (pairs[1:] != pairs[:-1]).any(axis=1)
+    pairs = pairs[fresh]
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
 
@@ -385,23 +410,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id, n_shingles and component_id of every document.
 
     The component is the smallest id reachable over links. Texts without words,
-    null ones too, are linked with nothing. Rows that repeat an id have one
-    component; a row without an id is placed after all others and, where it is
-    its own component, has a null one.
+    null ones too, are linked with nothing. An id names one text; rows that
+    repeat both have one component. Documents without an id come after all
+    others, and a component of such documents alone has a null id.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(ident(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
+    out = _grouped(rows, gram, threshold, orders)
+    return out.select(real_id("id").alias(id_col), F.col("n").alias("n_shingles"), real_id("component").alias("component_id"))
+
+
+def _grouped(rows: DataFrame, gram: int = GRAM, threshold: int = THRESHOLD, orders: int = ORDERS) -> DataFrame:
+    """(id, n, component) of rows (id, text)."""
     profiles = cut_lineage(_profiles(rows, gram))
     own = profiles.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n"), "c", "d")
     classes = own.where("n > 0").groupBy("n", "c", "d").agg(F.min("id").alias("first"))
     grouped = components(links(rows, profiles, gram, threshold, orders)).withColumnRenamed("node", "first")
     classes = classes.join(grouped, "first", "left").select("n", "c", "d", F.coalesce("component", "first").alias("component"))
-    out = own.join(classes, ["n", "c", "d"], "left").select("id", "n", F.coalesce("component", "id").alias("component"))
-    missing = lambda c: F.nullif(F.col(c), F.lit(int(NO_ID)))
-    return out.select(missing("id").alias(id_col), F.col("n").alias("n_shingles"), missing("component").alias("component_id"))
+    return own.join(classes, ["n", "c", "d"], "left").select("id", "n", F.coalesce("component", "id").alias("component"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents whose id names their component, so one of each group, with all their columns."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    kept = found.where(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept")), "left_semi")
+    """The documents whose id names their component, so one of each group, with all their columns; rows that repeat an id and a text stay together."""
+    own, kept = fresh_name(docs, "_id"), fresh_name(docs, "_kept")
+    docs = docs.withColumn(own, ident(id_col, text_col))
+    found = _grouped(docs.select(F.col(own).alias("id"), F.col(text_col).alias("text")), **options)
+    found = found.where("id = component").select(F.col("id").alias(kept)).distinct()
+    return docs.join(found, F.col(own) == F.col(kept), "left_semi").drop(own)

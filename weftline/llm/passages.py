@@ -11,13 +11,23 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import WordHashes, split_words, window_hashes
 
-#: A null id sorts after all others.
-NO_ID = np.int64(2**63 - 1)
+#: Documents without an id get one from here on, by their text; so they come after all others (ids are below it).
+NO_ID_FROM = 1 << 62
+
+
+def ident(id_col: str, text_col: str) -> Column:
+    """The id as a long; a null one is replaced by a number that depends on the text."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID_FROM) + F.xxhash64(F.col(text_col)).bitwiseAND(F.lit(NO_ID_FROM - 1)))
+
+
+def real_id(c: str) -> Column:
+    """The id as it was, null where ``ident`` made one up."""
+    return F.when(F.col(c) < NO_ID_FROM, F.col(c))
 
 
 class FlatWords:
@@ -60,7 +70,7 @@ class FlatWords:
 
 
 def ids_of(column: pa.Array) -> np.ndarray:
-    return column.fill_null(int(NO_ID)).to_numpy(zero_copy_only=False).astype(np.int64)
+    return column.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def runs(docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

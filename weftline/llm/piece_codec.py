@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from weftline.llm.common import Segments, spans, with_columns
+from weftline.llm.common import Segments, fresh_name, spans, with_columns
 
 SPACE = "▁"
 ROUNDS = 48
@@ -312,11 +312,11 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "
 
 def decode(docs: DataFrame, model: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """Add the text of each id array; null ids, and none, give an empty text, an id outside the vocabulary an error."""
-    fields = [f for f in docs.schema.fields if f.name != text_col]
+    fields = [f for f in docs.schema.fields if f.name.lower() != text_col.lower()]
     names = [f.name for f in fields]
-    source = ids_col if ids_col in names else "_source"
-    if source == "_source":
-        docs = docs.withColumn("_source", docs[ids_col])
+    source = ids_col if ids_col in names else fresh_name(docs, "_source")
+    if source not in names:
+        docs = docs.withColumn(source, docs[ids_col])
 
     def run(batches):
         table = codec(model)

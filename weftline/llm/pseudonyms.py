@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import fresh_name
+
 ROUNDS = 8
 # Formats of personal data.
 EMAIL = r"[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
@@ -220,11 +222,12 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     text = F.col(text_col)
     look = text.rlike(HINT)
     found = F.when(look, F.regexp_extract_all(text, F.lit(ANY), 0))
-    work = docs.withColumn("_found", F.transform(found, lambda m: F.struct(m.alias("m"), replacement(m, key).alias("new"))))
-    parts = F.zip_with(F.split(text, ANY, -1), F.col("_found"), lambda p, x: F.concat(p, F.coalesce(x["new"], x["m"], F.lit(""))))
-    fresh = F.when(F.size("_found") > 0, F.array_join(parts, "")).otherwise(text)
-    names = [c for c in docs.columns if c != count_col]
+    matches = fresh_name(docs, "_found")
+    work = docs.withColumn(matches, F.transform(found, lambda m: F.struct(m.alias("m"), replacement(m, key).alias("new"))))
+    parts = F.zip_with(F.split(text, ANY, -1), F.col(matches), lambda p, x: F.concat(p, F.coalesce(x["new"], x["m"], F.lit(""))))
+    fresh = F.when(F.size(matches) > 0, F.array_join(parts, "")).otherwise(text)
+    names = [c for c in docs.columns if c.lower() != (count_col or "").lower()]
     out = [fresh.alias(c) if c == text_col else F.col(c) for c in names]
     if count_col:
-        out.append(F.coalesce(F.size(F.filter("_found", lambda x: x["new"].isNotNull())).cast("long"), F.lit(0).cast("long")).alias(count_col))
+        out.append(F.coalesce(F.size(F.filter(matches, lambda x: x["new"].isNotNull())).cast("long"), F.lit(0).cast("long")).alias(count_col))
     return work.select(*out)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import WordHashes, cut_lineage, mix, split_words, window_hashes, with_columns
+from weftline.llm.common import WordHashes, cut_lineage, fresh_name, mix, split_words, window_hashes, with_columns
 from weftline.llm.piece_codec import codec
 
 BLOCK = 64
@@ -27,6 +27,8 @@ BLOCK = 64
 MOST_BLOCKS = 8
 #: Languages with a smaller part of the documents use the bands of all documents; so there are at most this many bands.
 MOST_GROUPS = 4096
+#: So do languages with fewer documents than this, whose medians would be their junk's as soon as not.
+LEAST_GROUP = 50
 SYMBOLS = "#*$%&|<>"
 
 LONG, REAL = T.LongType(), T.DoubleType()
@@ -134,7 +136,7 @@ def bands(measured: DataFrame, lang_col: str | None = "lang") -> DataFrame:
     mid = both.groupBy("group").agg(F.percentile_approx("chars_per_token", 0.5, 1000).alias("mid_chars"), F.percentile_approx("entropy", 0.5, 1000).alias("mid_entropy"), F.count("*").alias("n"))
     # at most MOST_GROUPS + 1 rows by the share each must have
     total = mid.where("group is null").select(F.col("n").alias("total"))
-    mid = mid.join(F.broadcast(total), F.col("group").isNull() | (F.col("n") * MOST_GROUPS >= F.col("total")), "left_semi")
+    mid = mid.join(F.broadcast(total), F.col("group").isNull() | ((F.col("n") * MOST_GROUPS >= F.col("total")) & (F.col("n") >= LEAST_GROUP)), "left_semi")
     known = mid.select(F.col("group").alias("of"), "mid_chars", F.col("mid_entropy").alias("mid"))
     off = F.abs(F.col("entropy") - F.col("mid")) * F.col("spread")
     width = both.join(F.broadcast(known), F.col("group").eqNullSafe(F.col("of"))).groupBy("of").agg(F.first("mid_chars").alias("mid_chars"), F.first("mid").alias("mid_entropy"), (F.percentile_approx(off, 0.5, 1000) * 1.4826).alias("width_entropy"))
@@ -149,11 +151,14 @@ def judge(measured: DataFrame, limits: DataFrame, lang_col: str | None = "lang",
     times the middle of their language, or whose entropy lies more than
     ``deviations`` below it (low entropy is repetition and padding). In an empty corpus there are no bands and nothing to judge.
     """
-    limits = limits.withColumnRenamed("group", "_group")
-    named = limits.where("_group is not null")
-    general = limits.where("_group is null").select(*(F.col(c).alias(f"_{c}") for c in ("mid_chars", "mid_entropy", "width_entropy")))
-    joined = measured.withColumn("_own", _group(lang_col)).join(F.broadcast(named), F.col("_own") == F.col("_group"), "left").join(F.broadcast(general), F.lit(True), "left")
-    of = lambda c: F.coalesce(F.col(c), F.col(f"_{c}"))
+    parts = ("mid_chars", "mid_entropy", "width_entropy")
+    group, here = fresh_name(measured, "_group"), fresh_name(measured, "_own")
+    own = {c: fresh_name(measured, f"_own_{c}") for c in parts}
+    whole = {c: fresh_name(measured, f"_all_{c}") for c in parts}
+    named = limits.where("group is not null").select(F.col("group").alias(group), *(F.col(c).alias(n) for c, n in own.items()))
+    general = limits.where("group is null").select(*(F.col(c).alias(n) for c, n in whole.items()))
+    joined = measured.withColumn(here, _group(lang_col)).join(F.broadcast(named), F.col(here) == F.col(group), "left").join(F.broadcast(general), F.lit(True), "left")
+    of = lambda c: F.coalesce(F.col(own[c]), F.col(whole[c]))
     chars = F.col("chars_per_token") / of("mid_chars")
     floor = of("mid_entropy") - deviations * of("width_entropy") / _spread()
     odd = (F.col("byte_share") > most_bytes) | (chars < chars_range[0]) | (chars > chars_range[1]) | (F.col("entropy") < floor)

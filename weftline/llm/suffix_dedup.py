@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm.common import WordHashes, mix, slices, spans, split_words, window_hashes
-from weftline.llm.passages import NO_ID, RUN_ROWS, FlatWords, by_shard, covered, ids_of, merge_runs, packed, packed_schema, run_rows, runs, shard_count, spans_of
+from weftline.llm.passages import RUN_ROWS, FlatWords, by_shard, covered, ident, ids_of, merge_runs, packed, packed_schema, real_id, run_rows, runs, shard_count, spans_of
 
 WIDTH, GRAM = 50, 16
 #: Bytes of a word's hash that travel: two different words agree once in 10 ** 12.
@@ -132,7 +132,8 @@ def _same_windows(gram, before, n_left, after, n_right, doc, width, gram_words):
 
 def repeated_starts(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, runs): the starts of windows of ``width`` words that a document with a smaller id holds too."""
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias(id_col), text_col)
+    docs = docs.select(ident(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
+    id_col, text_col = "id", "text"
     shards, side = shard_count(docs), width - gram
     marks = repeated_marks(docs, width, gram, id_col, text_col).groupBy("doc").agg(F.collect_list("runs").alias("runs"))
     joined = docs.join(marks, docs[id_col] == marks["doc"]).select("doc", text_col, "runs")
@@ -211,19 +212,19 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_
 
     A word is repeated if a window of ``width`` words that covers it also stands
     in a document with a smaller id; so the first copy of a passage is free.
-    Texts shorter than a window have no spans, a null text has no words. Rows
-    that share an id are one document as to order, and each has its own
-    result; rows without an id come after all others.
+    Texts shorter than a window have no spans, a null text has no words. An id
+    names one text; rows that repeat both get the same result each. Documents
+    without an id come after all others, in an order of their texts.
     """
     found = repeated_starts(docs, width, gram, id_col, text_col).groupBy("doc").agg(F.collect_list("runs").alias("runs"))
 
     def sizes(batches):
-        for batch in slices(batches, text_col):
-            n = pa.array([len(split_words(t)) for t in batch.column(text_col).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), n], names=[id_col, "n_words"])
+        for batch in slices(batches, "text"):
+            n = pa.array([len(split_words(t)) for t in batch.column("text").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), n], names=["id", "n_words"])
 
-    counted = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(sizes, T.StructType([T.StructField(id_col, T.LongType()), T.StructField("n_words", T.LongType())]))
-    joined = counted.join(found, F.coalesce(F.col(id_col), F.lit(int(NO_ID))) == F.col("doc"), "left").select(id_col, "n_words", "runs")
+    counted = docs.select(ident(id_col, text_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(sizes, "id long, n_words long")
+    joined = counted.join(found, F.col("id") == F.col("doc"), "left").select(real_id("id").alias(id_col), "n_words", "runs")
 
     def finish(batches):
         for batch in batches:

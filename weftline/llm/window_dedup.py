@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm.common import WordHashes, mix, slices, split_words, window_hashes
-from weftline.llm.passages import RUN_ROWS, FlatWords, by_shard, covered, ids_of, packed, packed_schema, run_rows, runs, shard_count, spans_of
+from weftline.llm.passages import RUN_ROWS, FlatWords, by_shard, covered, ident, ids_of, packed, packed_schema, real_id, run_rows, runs, shard_count, spans_of
 
 WIDTH, GRAM = 50, 25
 DEPTH, MOST_BITS, SLICES = 2, 29, 256
@@ -113,6 +113,8 @@ def sketch(docs: DataFrame, bits: int, width: int = WIDTH, gram: int = GRAM, tex
 
 def repeated_starts(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> DataFrame:
     """(doc, runs): the starts of windows that also start in a document with a smaller id."""
+    docs = docs.select(ident(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
+    id_col, text_col = "id", "text"
     if bits is None:
         size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
         anchors = size / 6 * 2 / (width - gram + 2)
@@ -174,7 +176,7 @@ def repeated_starts(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_co
             if len(later):
                 yield run_rows(*runs(doc[later], start[later]))
 
-    parts = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(partition, packed_schema(4))
+    parts = docs.mapInArrow(partition, packed_schema(4))
     return by_shard(parts, merge, RUN_ROWS, 4)
 
 
@@ -183,13 +185,14 @@ def dedup_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col:
 
     A word goes if a window of ``width`` words that covers it also starts in a
     document with a smaller id; windows are judged on the input. Texts shorter
-    than a window keep all their words, a null text has none. Rows that share
-    an id are one document as to order, and each gets its own result; rows
-    without an id come after all others and keep their first copies each.
+    than a window keep all their words, a null text has none. An id names one
+    text; rows that repeat both get the same result each. Documents without an
+    id come after all others, in an order of their texts.
     """
     found = repeated_starts(docs, width, gram, id_col, text_col).groupBy("doc").agg(F.collect_list("runs").alias("runs"))
-    rows = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
-    joined = rows.join(found, F.coalesce(F.col(id_col), F.lit(int(2**63 - 1))) == F.col("doc"), "left").select(id_col, text_col, "runs")
+    rows = docs.select(ident(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
+    joined = rows.join(found, F.col("id") == F.col("doc"), "left").select(real_id("id").alias(id_col), F.col("text"), "runs")
+    text_col = "text"
 
     def finish(batches):
         for batch in slices(batches, text_col):
