@@ -397,6 +397,8 @@ def test_captures_come_back(spark, tmp_path):
     none = str(tmp_path / "e")
     warc.write_captures(df.limit(0), none)
     assert warc.assemble(warc.read_records(spark, none)).count() == 0
+    twice = warc.round_trip(df.union(df), str(tmp_path / "t"))
+    assert twice.count() == 2 * len(rows) and twice.where("type = 'response'").count() == 2 * back.where("type = 'response'").count()
 
 
 def test_records_link_either_way_and_damage_is_an_error(spark):

@@ -59,18 +59,19 @@ def write_captures(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     Of pages with equal payloads of at least ``least_bytes``, the one with the
     smallest id holds the payload; the others are revisits that refer to it.
     A null payload is empty, a null id sorts last, a null url has no target
-    header. Repeated rows are captures of their own.
+    header. Rows that repeat id, url and payload are one capture, written and
+    read as often as they stand there.
     """
     clean = lambda c: F.regexp_replace(c, "[\\r\\n]", "%0A")
     rows = pages.select(F.col(id_col).alias("id"), clean(F.col(url_col).cast("string")).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("digest", base32_sha1(F.col("html"))).withColumn("n", F.octet_length("html").cast("long"))
-    ident = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
+    rows = rows.withColumn("digest", base32_sha1(F.col("html"))).withColumn("n", F.octet_length("html").cast("long"))
+    ident = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.coalesce("url", F.lit("")).alias("at"))
     firsts = rows.where(F.col("n") >= least_bytes).groupBy("digest").agg(F.min(ident).alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     rows = rows.join(firsts, "digest", "left")
-    again = F.col("first").isNotNull() & (F.col("n") >= least_bytes) & (F.col("first.row") != F.col("row"))
+    again = F.col("first").isNotNull() & (F.col("n") >= least_bytes) & (F.col("first") != ident)
     rows = rows.withColumn("again", F.coalesce(again, F.lit(False)))
-    own = _urn(F.lit("response"), F.col("id").cast("string"), F.col("row").cast("string"))
-    first = _urn(F.lit("response"), F.col("first.id").cast("string"), F.col("first.row").cast("string"))
+    named = lambda i, at: _urn(F.lit("response"), F.coalesce(i.cast("string"), F.lit("none")), at, F.col("digest"))
+    own, first = named(F.col("id"), F.coalesce("url", F.lit(""))), named(F.col("first.id"), F.col("first.at"))
     rows = rows.withColumn("own", own).withColumn("refers", F.when(F.col("again"), first))
 
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n").cast("string"), F.lit(END))
