@@ -338,7 +338,7 @@ def test_leaks_in_blocks_and_in_long_items(spark, monkeypatch):
 # -- 7 ---------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
-<header><h1>Site</h1></header><nav><ul><li><a href="/x">Menu entry one</a></li></ul></nav><!-- ad --><div class="ad">Buy this now, please.</div>
+<header><h1>Site</h1></header><div id="page-header">Top line, here.</div><nav><ul><li><a href="/x">Menu entry one</a></li></ul></nav><!-- ad --><div class="ad">Buy this now, please.</div>
 <div class="cookie-notice">We use cookies.</div><article><h1>Title</h1><p>First   para &amp; more,
 with a line.<p><b>Bold start</b> and rest.<br>Next.<form><p>Mail?</p></form><p>It.</p><blockquote>Said &lt;so&gt; &#233;.</blockquote></article>
 <aside class="sidebar">Side matter.</aside><div id="comments"><p>A reader's long comment, with much text, and more.</p></div><footer>&copy; Site</footer></body></html>"""

@@ -47,8 +47,10 @@ def _unwanted(name: str, attrs: str, in_article: bool) -> bool:
         return False
     for key, a, b, c in _ATTR.findall(attrs):
         key, value = key.lower(), (a or b or c).lower()
-        if key in ("class", "id") and not WORDS.isdisjoint(_TOKEN.findall(value)):
-            return True
+        if key in ("class", "id"):
+            tokens = _TOKEN.findall(value)
+            if not WORDS.isdisjoint(tokens) or ("header" in tokens and not in_article):
+                return True
         if (key == "role" and value in ROLES) or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")) or (key == "hidden" and value in ("", "hidden")):
             return True
     return False
@@ -109,7 +111,7 @@ def text_nodes(html: str) -> list[tuple[tuple[str, ...], int, str]]:
         attrs = m["attrs"]
         if attrs.endswith("/") and name not in ("html", "body", "article", "main", "section", "div", "p"):
             continue
-        wrong = _unwanted(name, attrs, name == "header" and any(s[0] in ("article", "main") for s in stack))
+        wrong = (name in NEVER or name == "header" or attrs != "") and _unwanted(name, attrs, any(s[0] in ("article", "main") for s in stack))
         kind = next((a or b or c for key, a, b, c in _ATTR.findall(attrs) if key.lower() == "class"), "") if attrs else ""
         stack.append((name, f"{name}.{kind}" if kind else name, wrong))
         bad += wrong
