@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.control import extents
 
+# The layouts of the study's files and the names of its spaces.
 BOLD = "subject int, session int, vertex int, t int, value double"
 MAPPING = "Kong_Index int, Kong_ROI_Name string, Schaefer2018_Best_Match string, Dice double"
 BEHAVIOUR = "subject string, N int, E int, O int, A int, C int, caq int, cbq int, raven int"
