@@ -59,12 +59,15 @@ def op4_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_dedup.dedup_windows(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
-OP4_SQL = r"""
-    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+#: The words, and which of them a window covers that also starts in a smaller document.
+GONE_SQL = r"""d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
     win AS (SELECT doc_id, p, array_to_string(w[p:p + 49], ' ') AS k FROM d, unnest(range(1, len(w) - 48)) AS t(p)),
     f AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
     s AS (SELECT doc_id, p FROM win JOIN f USING (k) WHERE m < doc_id),
-    gone AS (SELECT DISTINCT doc_id, p + o AS i FROM s, unnest(range(0, 50)) AS u(o)),
+    gone AS (SELECT DISTINCT doc_id, p + o AS i FROM s, unnest(range(0, 50)) AS u(o))"""
+
+OP4_SQL = f"""
+    WITH {GONE_SQL},
     words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
     kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
     SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
@@ -121,8 +124,17 @@ OP9_SQL = """
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffix_dedup.repeated_passages(docs).select("doc_id", "n_words", "n_repeated", F.transform("spans", lambda s: s["start"]).alias("starts"), F.transform("spans", lambda s: s["end"]).alias("ends"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return suffix_dedup.repeated_passages(docs).select("doc_id", "n_words", "n_repeated", spans.alias("spans"))
+
 
+OP10_SQL = f"""
+    WITH {GONE_SQL},
+    islands AS (SELECT doc_id, min(i) - 1 AS s, max(i) AS e FROM (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM gone) GROUP BY doc_id, g),
+    found AS (SELECT doc_id, sum(e - s) AS n, string_agg(s || '-' || e, ',' ORDER BY s) AS spans FROM islands GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_repeated, coalesce(spans, '') AS spans
+    FROM d LEFT JOIN found USING (doc_id)
+"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_codec": op1_piece_codec,
@@ -137,4 +149,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLES: dict[str, str] = {"op3_ngram_join": OP3_SQL, "op4_window_dedup": OP4_SQL, "op9_warc": OP9_SQL}
+ORACLES: dict[str, str] = {"op3_ngram_join": OP3_SQL, "op4_window_dedup": OP4_SQL, "op9_warc": OP9_SQL, "op10_suffix_dedup": OP10_SQL}
