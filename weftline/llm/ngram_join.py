@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import WordHashes, cut_lineage, fresh_name, lower_ascii, mix, slices, window_hashes
 from weftline.llm.components import components
-from weftline.llm.passages import FlatWords, by_shard, ident, ids_of, packed, packed_schema, real_id, shard_count
+from weftline.llm.passages import FlatWords, by_shard, ident, ids_of, packed, packed_schema, real_id, slots
 
 GRAM, THRESHOLD, ORDERS = 5, 75, 2
 #: Bound of the broadcast list of frequent tokens (8 bytes each).
@@ -118,7 +118,8 @@ def _profiles(docs: DataFrame, gram: int) -> DataFrame:
 
 def _candidates(docs: DataFrame, hot, gram: int, threshold: int, orders: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (k1, k2, n0, n1, ...) of class keys with the prefix tokens they share per order, and the prefix tokens (token, k, place, rare) of family members."""
-    shards, seeds = 40 + shard_count(docs) // 4, range(orders)
+    names, seeds = slots(docs), range(orders)
+    shards = len(names)
 
     def partition(batches):
         hashes, known, held, n, seen, members = WordHashes(), hot.value, [[] for _ in seeds], 0, set(), []
@@ -127,12 +128,12 @@ def _candidates(docs: DataFrame, hot, gram: int, threshold: int, orders: int) ->
             if members:
                 tokens, keys, facts = (np.concatenate(x) for x in zip(*members))
                 members.clear()
-                yield from packed((tokens % np.uint64(shards)).astype(np.int64), shards, [_bytes5(tokens >> np.uint64(24)), _bytes5(keys), facts], kind=-1)
+                yield from packed((tokens % np.uint64(shards)).astype(np.int64), shards, [_bytes5(tokens >> np.uint64(24)), _bytes5(keys), facts], kind=-1, named=names)
             for o in seeds:
                 if held[o]:
                     tokens, keys, sizes = (np.concatenate(x) for x in zip(*held[o]))
                     held[o].clear()
-                    yield from packed((tokens % np.uint64(shards)).astype(np.int64), shards, [_bytes5(tokens >> np.uint64(24)), _bytes5(keys), sizes], kind=o)
+                    yield from packed((tokens % np.uint64(shards)).astype(np.int64), shards, [_bytes5(tokens >> np.uint64(24)), _bytes5(keys), sizes], kind=o, named=names)
 
         for batch in slices(batches, "text"):
             for s in shingle_sets(batch.column("text").to_pylist(), hashes, gram):
@@ -203,7 +204,7 @@ def _candidates(docs: DataFrame, hot, gram: int, threshold: int, orders: int) ->
             heads = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
             count = np.minimum(np.diff(np.append(heads, len(a))), 65535).astype(np.uint16)
             a, b = a[heads], b[heads]
-            yield from packed((mix(a * np.uint64(3) + b) % np.uint64(shards)).astype(np.int64), shards, [_bytes5(a), _bytes5(b), count], kind=o)
+            yield from packed((mix(a * np.uint64(3) + b) % np.uint64(shards)).astype(np.int64), shards, [_bytes5(a), _bytes5(b), count], kind=o, named=names)
 
     def intersect(held):
         """Add up the shared prefix tokens per order, and keep the pairs that every order has."""

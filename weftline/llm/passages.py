@@ -134,8 +134,18 @@ def shard_count(df: DataFrame) -> int:
     return 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def packed(shard: np.ndarray, shards: int, arrays: list[np.ndarray], kind: int = 0) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, kind, a, b, c, ...) with the arrays' bytes, one row per shard that has any."""
+def slots(df: DataFrame) -> np.ndarray:
+    """For each shuffle partition a number that repartition() deals to it, so one shard per partition is even."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    reach = 64 * n + 1024
+    dealt = spark.range(reach).select(F.col("id").cast("int").alias("id"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("part"))
+    first = {r["part"]: r["id"] for r in dealt.groupBy("part").agg(F.min("id").alias("id")).collect()}
+    return np.array([first.get(k, reach + k) for k in range(n)], np.int32)
+
+
+def packed(shard: np.ndarray, shards: int, arrays: list[np.ndarray], kind: int = 0, named: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, kind, a, b, c, ...) with the arrays' bytes, one row per shard that has any; shards can have other names."""
     by = np.argsort(shard, kind="stable")
     bounds = np.searchsorted(shard[by], np.arange(shards + 1))
     arrays = [a[by] for a in arrays]
@@ -143,7 +153,7 @@ def packed(shard: np.ndarray, shards: int, arrays: list[np.ndarray], kind: int =
     for lo in range(0, len(have), 256):
         part = have[lo : lo + 256]
         columns = [pa.array([a[bounds[s] : bounds[s + 1]].tobytes() for s in part.tolist()], pa.binary()) for a in arrays]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(np.full(len(part), kind), pa.int32()), *columns], names=["shard", "kind", *"abcde"[: len(arrays)]])
+        yield pa.RecordBatch.from_arrays([pa.array(part if named is None else named[part], pa.int32()), pa.array(np.full(len(part), kind), pa.int32()), *columns], names=["shard", "kind", *"abcde"[: len(arrays)]])
 
 
 def packed_schema(arrays: int) -> str:
