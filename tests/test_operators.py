@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import statistics
 from weftline.operators import clustering, community, connectivity, control, metrics, preprocessing
-from weftline.plans import study
+from weftline.plans import catalog, study
 from weftline.sources import tables
 
 
@@ -198,3 +198,21 @@ def test_stream_counts_equal_the_batch(spark, tmp_path):
     last = {r["key"]: r["n"] for r in spark.sql("SELECT key, max(switch_count) AS n FROM counts GROUP BY key").collect()}
     batch = metrics.switch_count(spark.createDataFrame(data, "key long, t long, state int"), ["key"])
     assert last == {r["key"]: r["switch_count"] for r in batch.collect()}
+
+
+def test_catalog_checks_parameters(spark):
+    assert catalog.catalog(spark).select("id").distinct().count() == 15
+    assert rows(catalog.search(spark, "LOUVAIN"), "id") == [("modularity_louvain_und_sign_optimized",)]
+    assert catalog.settle("coupling_optimized", window="20") == {"window": 20, "direction": 0, "trim": 0, "parallel": True}
+    assert catalog.settle("kmeans_optimized", random_state="")["random_state"] is None
+    assert catalog.settle("extract_dmn_ecn", dmn_indices="1,2") == {"dmn_indices": [1, 2], "ecn_indices": "auto"}
+    for operator, wrong in (("coupling_optimized", {"window": 2}), ("stack", {"stack_order": "middle"}), ("stack", {"size": 1}), ("agreement_weighted_optimized", {"parallel": "maybe"})):
+        with pytest.raises(ValueError):
+            catalog.settle(operator, **wrong)
+    with pytest.raises(KeyError):
+        catalog.settle("none")
+    import importlib
+
+    for _, function, _ in catalog.OPERATORS.values():
+        module, _, name = function.rpartition(".")
+        assert callable(getattr(importlib.import_module(f"weftline.{module}"), name))

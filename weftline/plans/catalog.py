@@ -1,0 +1,84 @@
+"""The study's operators as a table: what there is, with which parameters, in which ranges."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+@dataclass(frozen=True)
+class Parameter:
+    name: str
+    kind: str
+    default: Any
+    low: float | None = None
+    high: float | None = None
+    choices: tuple = ()
+
+    def coerce(self, value: Any) -> Any:
+        """The value as the parameter's kind; a ValueError where it is out of range or not among the choices."""
+        if value is None or value == "":
+            return None if self.default is None else self.default
+        if self.kind == "array":
+            return value if value == "auto" else [int(x) for x in (value.split(",") if isinstance(value, str) else value)]
+        if self.kind == "boolean":
+            if str(value).lower() not in ("true", "false"):
+                raise ValueError(f"{self.name} must be true or false, not {value!r}")
+            return str(value).lower() == "true"
+        out = {"int": int, "float": float, "string": str, "select": lambda x: x}[self.kind](value)
+        if self.choices and out not in self.choices:
+            raise ValueError(f"{self.name} must be one of {self.choices}, not {out!r}")
+        if (self.low is not None and out < self.low) or (self.high is not None and out > self.high):
+            raise ValueError(f"{self.name} must be from {self.low} to {self.high}, not {out}")
+        return out
+
+
+_P = Parameter
+_SEED = (0, 2**31 - 1)
+# Identifiers, defaults and ranges of the study's operators.
+OPERATORS: dict[str, tuple[str, str, tuple[Parameter, ...]]] = {
+    "read_fmri": ("input", "sources.tables.read_bold", (_P("data_path", "string", ""), _P("space", "select", "fsaverage6", choices=("fsaverage6", "fsaverage5", "MNI152NLin2009cAsym")), _P("scan_on_save", "boolean", False), _P("n_participants", "int", 0, 0), _P("n_sessions", "int", 0, 0), _P("n_vertices", "int", 81924, 0), _P("n_timepoints", "int", 0, 0))),
+    "extract_roi_timeseries": ("preprocessing", "operators.preprocessing.extract_roi", (_P("space", "select", "fsaverage6", choices=("fsaverage6", "MNI152")), _P("atlas_name", "select", "Schaefer300", choices=("Schaefer300", "Schaefer400", "Kong300")), _P("output_level", "select", "roi", choices=("roi", "vertex")))),
+    "extract_dmn_ecn": ("preprocessing", "operators.preprocessing.select_networks", (_P("dmn_indices", "array", "auto"), _P("ecn_indices", "array", "auto"))),
+    "tsnr_optimized": ("preprocessing", "operators.preprocessing.tsnr_filter", (_P("threshold_sd", "float", 2.0, 0.5, 5.0),)),
+    "coupling_optimized": ("connectivity", "operators.connectivity.derivative_coupling", (_P("window", "int", 14, 3, 50), _P("direction", "select", 0, choices=(0, 1)), _P("trim", "select", 0, choices=(0, 1)), _P("parallel", "boolean", True))),
+    "modularity_louvain_und_sign_optimized": ("community", "operators.community.louvain", (_P("qtype", "select", "sta", choices=("sta", "pos", "smp", "gja", "neg")), _P("seed", "int", None, *_SEED))),
+    "agreement_weighted_optimized": ("community", "operators.community.agreement", (_P("parallel", "boolean", False),)),
+    "consensus_und_optimized": ("community", "operators.community.consensus", (_P("tau", "float", 0.1, 0, 1), _P("reps", "int", 500, 10, 2000), _P("seed", "int", None, *_SEED), _P("verbose", "boolean", False))),
+    "participation_coef_sign_optimized": ("metrics", "operators.metrics.participation", (_P("parallel", "boolean", False),)),
+    "module_degree_zscore_optimized": ("metrics", "operators.metrics.module_z", (_P("flag", "select", 0, choices=(0, 1, 2, 3)),)),
+    "cartographic_profile_optimized": ("analysis", "operators.metrics.cartography", (_P("parallel", "boolean", True),)),
+    "kmeans_optimized": ("clustering", "operators.clustering.kmeans", (_P("n_clusters", "int", 2, 2, 10), _P("n_init", "int", 100, 1, 500), _P("max_iter", "int", 300, 50, 1000), _P("random_state", "int", None, *_SEED))),
+    "switch_frequency_optimized": ("output", "operators.metrics.switches", ()),
+    "for_loop": ("control", "operators.control.for_each", (_P("n_iterate_dims", "int", 1, 1, 4),)),
+    "stack": ("control", "operators.control.stack", (_P("stack_order", "select", "prepend", choices=("prepend", "append")),)),
+}
+
+
+def catalog(spark: SparkSession) -> DataFrame:
+    """(id, category, function, parameter, kind, fallback, low, high, choices), a row per parameter; operators without any have one with nulls."""
+    rows = []
+    for name, (category, function, parameters) in OPERATORS.items():
+        for p in parameters or (None,):
+            own = (p.name, p.kind, None if p.default is None else str(p.default), p.low, p.high, [str(c) for c in p.choices]) if p else (None,) * 6
+            rows.append((name, category, function, *own[:3], *(None if x is None else float(x) for x in own[3:5]), own[5]))
+    return spark.createDataFrame(rows, "id string, category string, function string, parameter string, kind string, fallback string, low double, high double, choices array<string>")
+
+
+def search(spark: SparkSession, text: str) -> DataFrame:
+    """The operators whose id, category or function holds the text, case aside."""
+    found = F.lower(F.concat_ws(" ", "id", "category", "function")).contains(text.lower())
+    return catalog(spark).where(found).select("id", "category", "function").distinct()
+
+
+def settle(operator: str, **given: Any) -> dict[str, Any]:
+    """All parameters of an operator, given ones checked, others by default."""
+    if operator not in OPERATORS:
+        raise KeyError(f"no operator {operator!r}")
+    known = {p.name: p for p in OPERATORS[operator][2]}
+    if unknown := set(given) - set(known):
+        raise ValueError(f"{operator} has no parameter {sorted(unknown)}")
+    return {name: p.coerce(given.get(name)) for name, p in known.items()}

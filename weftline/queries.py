@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import statistics
 from weftline.operators import clustering, community, connectivity, control, metrics, preprocessing
-from weftline.plans import study
+from weftline.plans import catalog, study
 from weftline.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -438,6 +438,13 @@ def kmeans_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.agg(F.count("*").alias("vectors"), F.count_distinct("label").alias("labels"), (F.abs(F.sum(off) - F.lit(inertia)) <= 1e-6 * F.lit(inertia)).alias("inertia_agrees"))
 
 
+@query(
+    "SELECT * FROM (VALUES ('analysis', 1::BIGINT), ('clustering', 1), ('community', 3), ('connectivity', 1), ('control', 2), ('input', 1), ('metrics', 2), ('output', 1), ('preprocessing', 3)) AS v(category, operators)"
+)
+def operator_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.catalog(spark).groupBy("category").agg(F.count_distinct("id").alias("operators"))
+
+
 @query()
 def study_switching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole study on hourly series per session, with few repetitions."""
