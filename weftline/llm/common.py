@@ -57,7 +57,7 @@ def fresh_name(df: DataFrame, name: str) -> str:
 class WordHashes(dict):
     """Word to 64-bit hash, computed once per distinct word and worker; it starts anew when it holds ``bound`` words."""
 
-    def __init__(self, bound: int = 500_000, seed: int = 0):
+    def __init__(self, bound: int = 300_000, seed: int = 0):
         super().__init__()
         self.bound, self.seed = bound, seed
 
