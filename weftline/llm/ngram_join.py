@@ -202,7 +202,7 @@ def _candidates(docs: DataFrame, hot, gram: int, threshold: int, orders: int) ->
             by = np.lexsort((b, a))
             a, b = a[by], b[by]
             heads = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-            count = np.minimum(np.diff(np.append(heads, len(a))), 65535).astype(np.uint16)
+            count = np.diff(np.append(heads, len(a))).astype(np.uint32)
             a, b = a[heads], b[heads]
             yield from packed((mix(a * np.uint64(3) + b) % np.uint64(shards)).astype(np.int64), shards, [_bytes5(a), _bytes5(b), count], kind=o, named=names)
 
@@ -213,7 +213,7 @@ def _candidates(docs: DataFrame, hot, gram: int, threshold: int, orders: int) ->
             if o not in held:
                 return
             a, b = _from5(b"".join(held[o][0])), _from5(b"".join(held[o][1]))
-            count = np.frombuffer(b"".join(held[o][2]), np.uint16).astype(np.int64)
+            count = np.frombuffer(b"".join(held[o][2]), np.uint32).astype(np.int64)
             by = np.lexsort((b, a))
             a, b, count = a[by], b[by], count[by]
             heads = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
