@@ -42,7 +42,7 @@ def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text, and whether they give the text back."""
     model = public_tokenizers.path(PIECES)
-    coded = piece_codec.decode(piece_codec.encode(docs, model), model)
+    coded = piece_codec.round_trip(docs, model)
     return coded.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 

@@ -70,7 +70,8 @@ def test_encode_and_decode_equal_the_library(docs, rows, empty):
     for i, t in rows:
         ids = lib.encode(t or "")
         assert found[i] == (ids, lib.decode(ids))
-    assert piece_codec.encode(empty, PIECES).count() == 0
+    assert by_id(piece_codec.round_trip(docs, PIECES), "ids", "decoded") == found
+    assert piece_codec.encode(empty, PIECES).count() == 0 and piece_codec.round_trip(empty, PIECES).columns == [*(c for c in empty.columns if c != "ids"), "ids", "decoded"]
 
 
 def test_codec_on_strange_texts():

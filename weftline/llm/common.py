@@ -12,6 +12,7 @@ Conventions that hold for every operator here:
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import chain
 
@@ -102,9 +103,11 @@ def window_hashes(words: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that ``column`` holds about ``most`` bytes in each."""
+    """Batches cut so that ``column`` holds about ``most`` bytes in each, or list elements if it holds lists."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        values = batch.column(column)
+        length = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
+        sizes = pc.fill_null(length(values), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes, dtype=np.int64)
         start = 0
         while start < batch.num_rows:
@@ -158,7 +161,7 @@ class Segments:
     than ``bound`` segments are held, the memo starts anew with the next call.
     """
 
-    def __init__(self, compute: Callable[[list], tuple[np.ndarray, np.ndarray]], bound: int = 400_000, dtype=np.int32):
+    def __init__(self, compute: Callable[[list], tuple[np.ndarray, np.ndarray]], bound: int = 250_000, dtype=np.int32):
         self.compute, self.bound, self.dtype = compute, bound, dtype
         self.clear()
 
@@ -221,6 +224,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The frame as a Parquet table in the shared folder, for rows too wide for several passes; steps read only the columns they need."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     named = spark.conf.get("spark.checkpoint.dir", None)

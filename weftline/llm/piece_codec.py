@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from weftline.llm.common import Segments, fresh_name, spans, with_columns
+from weftline.llm.common import Segments, fresh_name, slices, spans, with_columns
 
 SPACE = "▁"
 ROUNDS = 48
+#: Bytes of text, and ids, that a step holds at once, besides a single longer text.
+TEXT_SLICE, ID_SLICE = 1 << 20, 1 << 18
 _NONE = np.int32(2**31 - 1)
 
 
@@ -298,16 +300,31 @@ def codec(model: str) -> PieceCodec:
 def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Add the piece ids of each whole text as an array of int; a null or empty text has none."""
 
+    def make():
+        table = codec(model)
+        return lambda texts: [_lists(*table.encode(texts))]
+
+    return with_columns(docs, text_col, [T.StructField(ids_col, T.ArrayType(T.IntegerType()))], make, TEXT_SLICE)
+
+
+def _lists(ids: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int32()))
+
+
+def round_trip(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """Add the ids of each whole text and the text that they decode to, as ``decode(encode(docs))`` does, by one worker a task."""
+
     def make():
         table = codec(model)
 
         def step(texts: list) -> list:
             ids, counts = table.encode(texts)
-            return [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int32()))]
+            return [_lists(ids, counts), pa.array(table.decode(ids, counts), pa.string())]
 
         return step
 
-    return with_columns(docs, text_col, [T.StructField(ids_col, T.ArrayType(T.IntegerType()))], make)
+    fields = [T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(decoded_col, T.StringType())]
+    return with_columns(docs, text_col, fields, make, TEXT_SLICE)
 
 
 def decode(docs: DataFrame, model: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -320,13 +337,11 @@ def decode(docs: DataFrame, model: str, ids_col: str = "ids", text_col: str = "d
 
     def run(batches):
         table = codec(model)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                lists = part.column(source)
-                counts = np.array([len(x) if x is not None else 0 for x in lists], np.int64) if lists.null_count else np.diff(lists.offsets.to_numpy())
-                ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                made = pa.array(table.decode(ids, counts), pa.string())
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), made], names=[*names, text_col])
+        for part in slices(batches, source, ID_SLICE):
+            lists = part.column(source)
+            counts = np.array([len(x) if x is not None else 0 for x in lists], np.int64) if lists.null_count else np.diff(lists.offsets.to_numpy())
+            ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            made = pa.array(table.decode(ids, counts), pa.string())
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), made], names=[*names, text_col])
 
     return docs.mapInArrow(run, T.StructType([*fields, T.StructField(text_col, T.StringType())]))

@@ -19,8 +19,7 @@ BYTES = "byte_bpe_50k.json"
 def op1_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path(PIECES)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = piece_codec.encode(docs, model).select("doc_id", "ids")
-    coded = piece_codec.decode(coded, model)
+    coded = piece_codec.round_trip(docs, model)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
