@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import WordHashes, cut_lineage, fresh_name, mix, split_words, window_hashes, with_columns
-from weftline.llm.piece_codec import codec
+from weftline.llm.common import WordHashes, cut_lineage, fresh_name, mix, split_words, window_hashes, with_columns, written
+from weftline.llm.piece_codec import TEXT_SLICE, codec
 
 BLOCK = 64
 #: Blocks beyond which a longer text no longer narrows its band.
@@ -61,7 +61,7 @@ def repeat_words(words: list[str]) -> int:
 
 
 def _measure(model: str):
-    table, hashes = codec(model), WordHashes(300_000)
+    table, hashes = codec(model), WordHashes(150_000)
     line_feed = table.byte_id[10]
 
     def step(texts: list) -> list:
@@ -109,7 +109,7 @@ def _measure(model: str):
 
 def measure(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
     """Add the figures of ``FIELDS`` to each document; a null text has no words and no tokens."""
-    return with_columns(docs, text_col, FIELDS, lambda: _measure(model))
+    return with_columns(docs, text_col, FIELDS, lambda: _measure(model), TEXT_SLICE)
 
 
 def base_failed() -> Column:
@@ -176,11 +176,11 @@ def assess(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 def keep_good(docs: DataFrame, model: str, text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """The documents that pass, with their own columns alone.
 
-    Texts are measured twice, for the bands and for the verdict; so no text is shuffled.
+    Texts are measured once and written with their figures, so none is shuffled; the bands read the figures alone.
     """
     names = {f.name: f"_doc_{i}" for i, f in enumerate(docs.schema.fields)}
     safe = docs.select(*(F.col(c).alias(n) for c, n in names.items()))
-    measured = measure(safe, model, names[text_col])
+    measured = written(measure(safe, model, names[text_col]))
     lang = names[lang_col] if lang_col else None
-    limits = cut_lineage(bands(measure(safe.select(*filter(None, (names[text_col], lang))), model, names[text_col]).drop(names[text_col]), lang))
+    limits = cut_lineage(bands(measured, lang))
     return judge(measured, limits, lang).where("kept").select(*(F.col(n).alias(c) for c, n in names.items()))
