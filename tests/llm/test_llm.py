@@ -260,6 +260,18 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert hidden(spark, texts, "other")[0] != found[0]
 
 
+def test_values_beside_other_characters_go(spark):
+    card, accounts = "4111 1111 1111 1111", ["ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201", "PL61 1090 1014 0000 0712 1981 2874", "BE68 5390 0754 7034", "SE45 5000 0000 0583 9825 7466"]
+    texts = [f"paid {card} 123 today", f"12 {card}", f"no. 12345 {card}", f"{card} {card}", f"{card} 2000-02-29", f"at {card} 10.1.2.3", f"DE12 {card}", "9" * 8000 + f" {card}"]
+    texts += [f"IBAN {a} {end}" for a in accounts for end in ("EUR 50", "50", "SEPA")] + ["AB12 " + accounts[0]]
+    found = hidden(spark, texts)
+    for k, t in enumerate(texts):
+        assert not any(a in found[k][0] for a in [card, *accounts]) and (k == 5 or len(found[k][0]) == len(t)), t
+        assert found[k][1] == (2 if k in (3, 4, 5) else 1)
+    assert all(found[k][0].endswith(t.split(" ")[-1]) for k, t in enumerate(texts[8:-1], 8)) and found[0][0].endswith(" 123 today") and found[1][0].startswith("12 ")
+    assert len(set(re.findall(r"\d{4} \d{4} \d{4} \d{4}(?= 123| |$)", found[0][0] + found[1][0][2:]))) == 1
+
+
 def test_invalid_values_and_clean_texts_stay(spark):
     texts = [None, "", "4929348385146307", "0000000000000000", "999.1.1.1", "2001-02-29", "31.02.2001", "666-45-6789", "DE00370400440532013000", "version 3.1.4, CC BY-NC 4.0.", "x" * 5000, "10 plus 20"]
     assert hidden(spark, texts) == {k: (t, 0) for k, t in enumerate(texts)}

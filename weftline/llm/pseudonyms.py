@@ -25,13 +25,31 @@ ROUNDS = 8
 EMAIL = r"[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
 HEX_SECRET = r"(?i:token|secret|password|passwd|api_?key|access_?key)\s{0,2}[=:]\s{0,2}[\"']?[0-9a-fA-F]{12,128}(?![0-9a-zA-Z])"
 CLOUD_KEY = r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
-IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"
+#: Account numbers' lengths by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_STATED = f"(?:{'|'.join(' '.join(IBAN_LENGTHS.values()).split())})[0-9]{{2}}"
+
+
+def _account(length: int, countries: str) -> str:
+    groups, rest = divmod(length - 4, 4)
+    return f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[0-9A-Z]{{4}}){{{groups}}}" + (f" ?[0-9A-Z]{{{rest}}}" if rest else "")
+
+
+#: Of the country's length; of any where the country isn't listed.
+IBAN = rf"(?<![0-9A-Za-z])(?:{'|'.join(_account(*x) for x in IBAN_LENGTHS.items())}|(?!{_STATED})[A-Z]{{2}}[0-9]{{2}}(?: ?(?!{_STATED})[0-9A-Z]{{4}}){{2,7}}(?: ?[0-9A-Z]{{1,3}})?)(?![0-9A-Za-z])"
 IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 ISO_DATE = r"(?<![0-9])[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}(?![0-9])"
 DAY_DATE = r"(?<![0-9])[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?<![0-9])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9-])"
-CARD = r"(?<![0-9.])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+#: A whole run of groups of digits, up to a value of another kind; cards are looked for inside.
+CARD = rf"(?<![0-9.])[0-9](?:[0-9]|[ -](?!{IP}|{ISO_DATE}|{DAY_DATE}|{SSN}|{PHONE})[0-9]){{12,}}+"
+#: How digits are printed on cards; among stretches that overlap these come first, and common lengths before others.
+CARD_SHAPES = r"^(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}(?: [0-9]{1,3})?|[0-9]{4} [0-9]{6} [0-9]{4,5})$"
+CARD_LENGTHS = (16, 15, 19, 14, 13, 18, 17)
 KINDS = {"email": EMAIL, "secret": HEX_SECRET, "cloud_key": CLOUD_KEY, "iban": IBAN, "ip": IP, "iso_date": ISO_DATE, "day_date": DAY_DATE, "ssn": SSN, "phone": PHONE, "card": CARD}
 ANY = "|".join(KINDS.values())
 #: Texts without any of these hold nothing to look for.
@@ -92,15 +110,51 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _card(m: Column, key: str) -> Column:
-    def renew(d: Column) -> Column:
-        payload = F.substr(d, F.lit(1), F.length(d) - 1)
-        valid = d.rlike("^(.).*(?!\\1).") & (F.pmod(10 - F.pmod(_luhn_sum(payload), F.lit(10)), F.lit(10)) == F.substring(d, -1, 1).cast("int"))
-        first = F.substring(d, 1, 1)
-        fresh = F.concat(first, permute_digits(F.substr(payload, F.lit(2), F.length(payload) - 1), key, "card"))
-        return F.when(valid, _let(fresh, lambda p: F.concat(p, F.pmod(10 - F.pmod(_luhn_sum(p), F.lit(10)), F.lit(10)).cast("string"))))
+def _valid_card(d: Column) -> Column:
+    payload = F.substr(d, F.lit(1), F.length(d) - 1)
+    return d.rlike("^(.).*(?!\\1).") & (F.pmod(10 - F.pmod(_luhn_sum(payload), F.lit(10)), F.lit(10)) == F.substring(d, -1, 1).cast("int"))
 
-    return _let(_digits(m), lambda d: _let(renew(d), lambda x: F.when(x.isNotNull(), _refill(m, x))))
+
+def _fresh_card(d: Column, key: str) -> Column:
+    fresh = F.concat(F.substring(d, 1, 1), permute_digits(F.substr(d, F.lit(2), F.length(d) - 2), key, "card"))
+    return _let(fresh, lambda p: F.concat(p, F.pmod(10 - F.pmod(_luhn_sum(p), F.lit(10)), F.lit(10)).cast("string")))
+
+
+def _cards(m: Column, key: str) -> Column:
+    """(new, n): the text with each valid stretch of 13 to 19 digits between group boundaries replaced, and their number; null where there is none."""
+
+    def stretches(groups: Column, i: Column) -> Column:
+        """(n, d, shaped) of the valid stretches of n groups from the i-th on, best first."""
+        counts = F.sequence(F.lit(1), F.least(F.lit(19), F.size(groups) - i + 1))
+        each = F.transform(counts, lambda n: F.struct(n.alias("n"), F.array_join(F.slice(groups, i, n), "").alias("d"), F.array_join(F.slice(groups, i, n), " ").rlike(CARD_SHAPES).alias("shaped")))
+        valid = F.filter(F.filter(each, lambda x: x["d"].rlike("^[0-9]{13,19}$")), lambda x: _valid_card(x["d"]))
+        rank = F.transform(valid, lambda x: F.struct((~x["shaped"]).alias("other"), F.array_position(F.array(*map(F.lit, CARD_LENGTHS)), F.length(x["d"])).alias("place"), x["n"].alias("n"), x["d"].alias("d")))
+        return F.array_sort(rank)
+
+    def scan(groups: Column, found: Column) -> Column:
+        """Left to right; a stretch of another shape gives way to a shaped one that begins inside it."""
+
+        def turn(at: Column, i: Column) -> Column:
+            free = F.filter(F.element_at(found, i), lambda x: ~x["other"] | ~F.exists(F.slice(found, i + 1, x["n"] - 1), lambda later: F.exists(later, lambda y: ~y["other"])))
+
+            def step(best: Column) -> Column:
+                hit, gone = best.isNotNull(), i < at["next"]
+                return F.struct(
+                    F.when(gone, at["next"]).when(hit, i + best["n"]).otherwise(i + 1).alias("next"),
+                    F.when(gone, at["text"]).when(hit, F.concat(at["text"], _fresh_card(best["d"], key))).otherwise(F.concat(at["text"], _digits(F.element_at(groups, i)))).alias("text"),
+                    F.when(~gone & hit, at["n"] + 1).otherwise(at["n"]).alias("n"),
+                )
+
+            return _let(F.get(free, F.lit(0)), step)
+
+        start = F.struct(F.lit(1).alias("next"), F.lit("").alias("text"), F.lit(0).alias("n"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(groups)), start, turn)
+
+    def renew(groups: Column) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.size(groups)), lambda i: stretches(groups, i))
+        return _let(found, lambda f: _let(scan(groups, f), lambda x: F.when(x["n"] > 0, F.struct(_refill(m, x["text"]).alias("new"), x["n"].alias("n")))))
+
+    return _let(F.split(m, "[ -]"), renew)
 
 
 def _mod97(text: Column) -> Column:
@@ -194,11 +248,11 @@ def _cloud_key(m: Column, key: str) -> Column:
 
 
 def replacement(m: Column, key: str) -> Column:
-    """What stands for one match; null where it isn't valid and stays."""
+    """(new, n): what stands for one match, and how many values it held; null where none is valid and it stays."""
     whole = lambda p: m.rlike(f"^(?:{p})$")
     iso = [("-", "yyyy-MM-dd"), ("/", "yyyy/MM/dd")]
     day = [(r"^..\..", "dd.MM.yyyy"), (r"^[0-9]+\.", "d.M.yyyy"), (r"^../../", "dd/MM/yyyy"), (r"^../../", "MM/dd/yyyy"), (r"^[0-9]+/", "d/M/yyyy"), (r"^[0-9]+/", "M/d/yyyy")]
-    return (
+    single = (
         F.when(m.contains("@"), _email(m, key))
         .when(whole(HEX_SECRET), _secret(m, key))
         .when(whole(CLOUD_KEY), _cloud_key(m, key))
@@ -208,8 +262,10 @@ def replacement(m: Column, key: str) -> Column:
         .when(whole(DAY_DATE), _date(m, day, key))
         .when(whole(SSN), _ssn(m, key))
         .when(whole(PHONE), _phone(m, key))
-        .when(whole(CARD), _card(m, key))
     )
+    # an account number that fails its check may hold a card
+    digits = F.when(~m.contains("@") & (whole(CARD) | whole(IBAN)), _cards(m, key))
+    return _let(single, lambda x: F.when(x.isNotNull(), F.struct(x.alias("new"), F.lit(1).alias("n"))).otherwise(digits))
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = "n_private") -> DataFrame:
@@ -223,11 +279,11 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     look = text.rlike(HINT)
     found = F.when(look, F.regexp_extract_all(text, F.lit(ANY), 0))
     matches = fresh_name(docs, "_found")
-    work = docs.withColumn(matches, F.transform(found, lambda m: F.struct(m.alias("m"), replacement(m, key).alias("new"))))
-    parts = F.zip_with(F.split(text, ANY, -1), F.col(matches), lambda p, x: F.concat(p, F.coalesce(x["new"], x["m"], F.lit(""))))
+    work = docs.withColumn(matches, F.transform(found, lambda m: F.struct(m.alias("m"), replacement(m, key).alias("by"))))
+    parts = F.zip_with(F.split(text, ANY, -1), F.col(matches), lambda p, x: F.concat(p, F.coalesce(x["by"]["new"], x["m"], F.lit(""))))
     fresh = F.when(F.size(matches) > 0, F.array_join(parts, "")).otherwise(text)
     names = [c for c in docs.columns if c.lower() != (count_col or "").lower()]
     out = [fresh.alias(c) if c == text_col else F.col(c) for c in names]
     if count_col:
-        out.append(F.coalesce(F.size(F.filter(matches, lambda x: x["new"].isNotNull())).cast("long"), F.lit(0).cast("long")).alias(count_col))
+        out.append(F.coalesce(F.aggregate(matches, F.lit(0).cast("long"), lambda n, x: n + F.coalesce(x["by"]["n"], F.lit(0))), F.lit(0).cast("long")).alias(count_col))
     return work.select(*out)
