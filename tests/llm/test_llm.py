@@ -348,6 +348,17 @@ def test_leaks_in_blocks_and_in_long_items(spark, monkeypatch):
     assert found == {(k, k) for k, _ in items}
 
 
+def test_parts_and_short_items_leak(spark):
+    rng = random.Random(8)
+    long, middle = prose(rng, 100)[:500], "the committee argued about seven bridges while winter storms closed every harbour and nobody could remember a calmer year"
+    bench = spark.createDataFrame([(1, long), (2, middle), (3, "Who wrote Emma?"), (4, "Jane Austen")], "item_id long, text string")
+    other = "some quite different words stand here before it all, and they fill a line"
+    texts = [f"{other} {long[100:400]} {other}", f"{long[-300:]} {other}", f"{other} {middle.replace('bridges', 'islands').replace('closed', 'opened')}.", f"{other} who wrote emma", "By Jane AUSTEN.", other, "who wrote emmas, jane austens", f"{other} {middle[:40]}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()} == {(0, 1), (1, 1), (2, 2), (3, 3), (4, 4)}
+    assert {r["doc_id"] for r in decontaminate.drop_leaks(docs, bench).collect()} == {5, 6, 7}
+
+
 # -- 7 ---------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>

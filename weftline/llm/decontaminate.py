@@ -8,6 +8,10 @@ item and diagonal band; bands are twice as wide as their step, which is over k,
 and every match lies whole in one of them. Bands that reach the bound are
 verified by alignment within the band.
 
+A part of an item counts too: of an item, or of each overlapping piece of a
+longer one, shared q-grams in one band that cover ``PART`` bytes and half of it.
+Items too short for q-grams are looked for as whole words.
+
 The benchmark is the stated query set. It is broadcast in blocks of bounded
 size, each against all documents.
 """
@@ -25,10 +29,12 @@ from weftline.llm.common import slices
 Q = 12
 #: Edits allowed, as a part of an item's bytes.
 EDITS = 0.05
-#: Items that fold to fewer bytes are like chance and are not looked for.
+#: Items that fold to fewer bytes must stand in the document as they are, as whole words.
 LEAST = 24
 #: Longer items are looked for in overlapping pieces of this many bytes, so a part of them is found too.
 PIECE = 512
+#: So are parts, in smaller pieces; and the bytes of a part that count.
+SMALL, PART = 128, 64
 BLOCK_BYTES = 4 << 20
 FILTER_BITS = 22
 
@@ -59,20 +65,33 @@ class Items:
     """The items of one block, with their q-grams sorted."""
 
     def __init__(self, ids: list[int], texts: list[str | None]):
-        self.ids, self.raw = [], []
+        self.ids, self.raw, part = [], [], []
+        #: Short items by their first word: (whole item, id).
+        self.short: dict[bytes, list[tuple[bytes, int]]] = {}
         for i, t in zip(ids, texts):
             raw = fold(t)
             if len(raw) < LEAST:
+                if len(raw):
+                    word = raw.tobytes()
+                    self.short.setdefault(word.split(b" ")[0], []).append((word, i))
                 continue
-            starts = range(0, max(1, len(raw) - PIECE // 2), PIECE // 2) if len(raw) > PIECE else (0,)
-            for s in starts:
-                piece = raw[s : s + PIECE]
-                if len(piece) >= LEAST:
-                    self.ids.append(i)
-                    self.raw.append(piece)
+            for width in (PIECE, SMALL):
+                if width == SMALL and len(raw) <= SMALL:
+                    continue
+                starts = range(0, max(1, len(raw) - width // 2), width // 2) if len(raw) > width else (0,)
+                for s in starts:
+                    piece = raw[s : s + width]
+                    if len(piece) >= LEAST:
+                        self.ids.append(i)
+                        self.raw.append(piece)
+                        part.append(width == SMALL)
+        self.part = np.array(part, bool)
         size = np.array([len(r) for r in self.raw], np.int64)
         self.k = np.floor(EDITS * size).astype(np.int64)
         self.least = np.maximum(1, size - Q + 1 - Q * self.k)
+        # bytes that a part must cover, and the fewest q-grams that cover them; larger pieces have smaller ones for that
+        self.cover = np.where((size >= PART) & (size <= SMALL), np.maximum(PART, size // 2), 1 << 30)
+        self.few = np.minimum(self.least, -(-self.cover // Q))
         keys = [grams(r) for r in self.raw]
         self.key = np.concatenate(keys) if keys else np.empty(0, np.uint64)
         self.item = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
@@ -83,8 +102,8 @@ class Items:
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[(self.key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
 
-    def regions(self, raw: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, least diagonal, largest diagonal) of the bands that reach the bound."""
+    def regions(self, raw: np.ndarray) -> list[tuple[int, int, int, bool, int, int, int]]:
+        """(item, least diagonal, largest diagonal, reaches the bound, bytes covered, first and last place in the item) of the bands that reach the bound or cover a part."""
         own = grams(raw)
         where = np.flatnonzero(self.filter[(own >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
         if not len(where):
@@ -98,7 +117,7 @@ class Items:
         entry = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         item, at, diagonal = self.item[entry], self.at[entry], np.repeat(where, n) - self.at[entry]
         # enough shared grams of an item at all, before bands are looked at
-        often = np.bincount(item, minlength=len(self.least)) >= self.least
+        often = np.bincount(item, minlength=len(self.least)) >= self.few
         keep = often[item]
         item, at, diagonal = item[keep], at[keep], diagonal[keep]
         if not len(item):
@@ -114,21 +133,49 @@ class Items:
         fresh[1:] |= at[1:] != at[:-1]
         heads = np.flatnonzero(opens)
         count = np.add.reduceat(fresh.astype(np.int64), heads)
-        good = count >= self.least[item[heads]]
-        low, high = np.minimum.reduceat(diagonal, heads)[good], np.maximum.reduceat(diagonal, heads)[good]
-        return list(zip(item[heads][good].tolist(), low.tolist(), high.tolist()))
+        last = np.append(heads[1:], len(at)) - 1
+        gap = np.full(len(at), Q)
+        gap[:-1] = np.minimum(at[1:] - at[:-1], Q)
+        gap[last] = Q
+        covered = np.add.reduceat(gap, heads)
+        whole = count >= self.least[item[heads]]
+        good = whole | (covered >= self.cover[item[heads]])
+        low, high = np.minimum.reduceat(diagonal, heads), np.maximum.reduceat(diagonal, heads)
+        return list(zip(*(x[good].tolist() for x in (item[heads], low, high, whole, covered, at[heads], at[last]))))
+
+    def words(self, raw: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(item id, start, end, 0) of the first place of each short item."""
+        if not self.short:
+            return []
+        text, found, at = raw.tobytes(), {}, 0
+        for word in text.split(b" "):
+            for item, i in self.short.get(word, ()):
+                end = at + len(item)
+                if i not in found and text.startswith(item, at) and text[end : end + 1] in (b"", b" "):
+                    found[i] = (i, at, end, 0)
+            at += len(word) + 1
+        return list(found.values())
 
     def matches(self, raw: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item id, start, end, edits) of the best match of each item, in folded bytes."""
-        best: dict[int, tuple[int, int, int]] = {}
-        for item, low, high in self.regions(raw):
+        """(item id, start, end, edits) of the best match of each item, in folded bytes.
+
+        A match of an item, or of a large piece, goes before one of a part. The edits of a part are the bytes of its piece that no shared q-gram covers.
+        """
+        best: dict[int, tuple[bool, int, int, int]] = {}
+        for item, low, high, whole, covered, first, last in self.regions(raw):
             k, m = int(self.k[item]), int(self.size[item])
             start = max(0, low - k)
             end = min(len(raw), high + m + k)
-            found = align(self.raw[item], raw[start:end], low - start - k, high - start + k, k)
-            if found and (self.ids[item] not in best or found[2] < best[self.ids[item]][2]):
-                best[self.ids[item]] = (start + found[0], start + found[1], found[2])
-        return [(i, *x) for i, x in sorted(best.items())]
+            found = align(self.raw[item], raw[start:end], low - start - k, high - start + k, k) if whole else None
+            if found:
+                match = (bool(self.part[item]), found[2], start + found[0], start + found[1])
+            elif covered >= self.cover[item]:
+                match = (True, m - covered, max(0, low + first), min(len(raw), high + last + Q))
+            else:
+                continue
+            if self.ids[item] not in best or match[:2] < best[self.ids[item]][:2]:
+                best[self.ids[item]] = match
+        return sorted([*((i, x[2], x[3], x[1]) for i, x in best.items()), *self.words(raw)])
 
 
 def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int] | None:
