@@ -120,6 +120,18 @@ def test_quality_figures_and_verdict(spark, docs, rows, empty):
     assert len(ids & set(range(60))) >= 58 and not ids & {100, 101, 102}
 
 
+def test_texts_of_rare_languages_and_scripts_stay(spark):
+    rng = random.Random(3)
+    text = lambda words: " ".join(rng.choice(words) for _ in range(60))
+    greek = "η ο το γλώσσα θάλασσα βιβλίο άνθρωπος σπίτι δρόμος ημέρα νύχτα ουρανός νερό φωτιά χώρα πόλη".split()
+    amharic = "ሰላም ውሃ ቤት መጽሐፍ ሰው ቀን ሌሊት ሰማይ እሳት አገር ከተማ መንገድ ባሕር ቋንቋ ልጅ እናት".split()
+    rows = [(k, prose(rng, 150), "en") for k in range(300)] + [(1000 + k, text(greek), "el") for k in range(5)] + [(2000 + k, text(amharic), "am") for k in range(60)] + [(3000 + k, text(amharic), "ti") for k in range(5)]
+    rows += [(4000 + k, " ".join(f"{w} ###" for w in prose(rng, 150).split()), "xx") for k in range(3)]
+    kept = {r["doc_id"] for r in quality_rules.keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PIECES).collect()}
+    ids = lambda low, high: {r[0] for r in rows if low <= r[0] < high}
+    assert ids(1000, 2000) <= kept and len(ids(2000, 4000) - kept) <= 3 and len(ids(0, 1000) - kept) <= 9 and not ids(4000, 5000) & kept
+
+
 # -- 3 ---------------------------------------------------------------------
 
 

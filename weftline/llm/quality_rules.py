@@ -4,9 +4,10 @@ A public vocabulary measures each text: characters per token, the share of
 byte-fallback tokens, and the entropy of its tokens. The entropy is taken over
 blocks of ``BLOCK`` tokens and divided by its largest possible value, so that
 it does not grow with the length of a text. Texts of one language (of one
-script, where the language is not given) agree closely in these figures, so
-each language gets its own bands, measured over all its documents by medians,
-which junk does not move. A document outside a band is rejected.
+script, where the language is not given or has few documents) agree closely in
+these figures, so each gets its own bands, measured over all its documents by
+medians, which junk does not move. A document outside a band is rejected; where
+neither its language nor its script has enough documents, none is.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ from weftline.llm.piece_codec import TEXT_SLICE, codec
 BLOCK = 64
 #: Blocks beyond which a longer text no longer narrows its band.
 MOST_BLOCKS = 8
-#: Languages with a smaller part of the documents use the bands of all documents; so there are at most this many bands.
+#: The languages with most documents have bands of their own, others those of their script; so there are at most this many bands and one per script.
 MOST_GROUPS = 4096
-#: So do languages with fewer documents than this, whose medians would be their junk's as soon as not.
+#: Languages and scripts with fewer documents than this have none, as their medians would be their junk's as soon as not.
 LEAST_GROUP = 50
 SYMBOLS = "#*$%&|<>"
 
@@ -39,13 +40,17 @@ FIELDS = [
     T.StructField("script", T.StringType()),
 ]
 _SCRIPTS = [(name, regex.compile(rf"\p{{Script={name}}}")) for name in ("Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Devanagari", "Thai", "Hangul", "Hiragana", "Katakana", "Han")]
+_MORE = "Ethiopic Armenian Georgian Bengali Gurmukhi Gujarati Oriya Tamil Telugu Kannada Malayalam Sinhala Lao Tibetan Myanmar Khmer Mongolian Syriac Thaana Cherokee".split()
+_MORE_SCRIPTS = [(name, regex.compile(rf"\p{{Script={name}}}")) for name in _MORE]
+_ANY_MORE = regex.compile("[" + "".join(rf"\p{{Script={name}}}" for name in _MORE) + "]")
 
 
 def script_of(text: str) -> str:
     """The script of most letters; texts of ASCII letters alone are Latin."""
     if text.isascii():
         return "Latin"
-    counts = [(len(p.findall(text)), name) for name, p in _SCRIPTS]
+    scripts = _SCRIPTS + _MORE_SCRIPTS if _ANY_MORE.search(text) else _SCRIPTS
+    counts = [(len(p.findall(text)), name) for name, p in scripts]
     return max(counts, key=lambda x: x[0])[1] if any(n for n, _ in counts) else "Other"
 
 
@@ -117,8 +122,8 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def _group(lang_col: str | None) -> Column:
-    return F.coalesce(F.nullif(F.col(lang_col), F.lit("")), F.col("script")) if lang_col else F.col("script")
+def _language(lang_col: str | None) -> Column:
+    return F.nullif(F.col(lang_col), F.lit("")) if lang_col else F.lit(None).cast("string")
 
 
 def _spread() -> Column:
@@ -126,42 +131,45 @@ def _spread() -> Column:
 
 
 def bands(measured: DataFrame, lang_col: str | None = "lang") -> DataFrame:
-    """(group, mid_chars, mid_entropy, width_entropy) per language or script, and one row with a null group for all others.
+    """(level, group, mid_chars, mid_entropy, mid_bytes, width_entropy, width_bytes) per language (level 0) and per script (level 1) with enough documents.
 
     Medians and median deviations over all documents that pass the base rules.
     The deviation of the entropy is per block, as longer texts stray less.
     """
-    good = measured.where(~base_failed() & (F.col("n_tokens") > 0)).select(_group(lang_col).alias("group"), "chars_per_token", "entropy", _spread().alias("spread"))
-    both = good.select(F.explode(F.array(F.col("group"), F.lit(None).cast("string"))).alias("group"), "chars_per_token", "entropy", "spread")
-    mid = both.groupBy("group").agg(F.percentile_approx("chars_per_token", 0.5, 1000).alias("mid_chars"), F.percentile_approx("entropy", 0.5, 1000).alias("mid_entropy"), F.count("*").alias("n"))
-    # at most MOST_GROUPS + 1 rows by the share each must have
-    total = mid.where("group is null").select(F.col("n").alias("total"))
-    mid = mid.join(F.broadcast(total), F.col("group").isNull() | ((F.col("n") * MOST_GROUPS >= F.col("total")) & (F.col("n") >= LEAST_GROUP)), "left_semi")
-    known = mid.select(F.col("group").alias("of"), "mid_chars", F.col("mid_entropy").alias("mid"))
-    off = F.abs(F.col("entropy") - F.col("mid")) * F.col("spread")
-    width = both.join(F.broadcast(known), F.col("group").eqNullSafe(F.col("of"))).groupBy("of").agg(F.first("mid_chars").alias("mid_chars"), F.first("mid").alias("mid_entropy"), (F.percentile_approx(off, 0.5, 1000) * 1.4826).alias("width_entropy"))
-    return width.withColumnRenamed("of", "group")
+    good = measured.where(~base_failed() & (F.col("n_tokens") > 0))
+    levels = F.array(F.struct(F.lit(0).alias("level"), _language(lang_col).alias("group")), F.struct(F.lit(1).alias("level"), F.col("script").alias("group")))
+    both = good.select(F.explode(levels).alias("of"), "chars_per_token", "entropy", "byte_share", _spread().alias("spread")).select("of.*", "chars_per_token", "entropy", "byte_share", "spread").where("group is not null")
+    middle = lambda c: F.percentile_approx(c, 0.5, 1000)
+    mid = both.groupBy("level", "group").agg(middle("chars_per_token").alias("mid_chars"), middle("entropy").alias("mid_entropy"), middle("byte_share").alias("mid_bytes"), F.count("*").alias("n")).where(F.col("n") >= LEAST_GROUP)
+    # at most MOST_GROUPS rows and the scripts
+    mid = mid.where("level = 1").union(mid.where("level = 0").orderBy(F.desc("n"), "group").limit(MOST_GROUPS)).drop("n")
+    off = F.abs(F.col("entropy") - F.col("mid_entropy")) * F.col("spread")
+    names = ("mid_chars", "mid_entropy", "mid_bytes")
+    width = both.join(F.broadcast(mid), ["level", "group"]).groupBy("level", "group")
+    return width.agg(*(F.first(c).alias(c) for c in names), (middle(off) * 1.4826).alias("width_entropy"), (middle(F.abs(F.col("byte_share") - F.col("mid_bytes"))) * 1.4826).alias("width_bytes"))
 
 
 def judge(measured: DataFrame, limits: DataFrame, lang_col: str | None = "lang", deviations: float = 4.0, most_bytes: float = 0.3, chars_range: tuple[float, float] = (0.5, 2.0)) -> DataFrame:
     """Add base_failed and kept.
 
     Rejected are texts that fail the base rules, whose share of byte tokens is
-    over ``most_bytes``, whose characters per token are outside ``chars_range``
-    times the middle of their language, or whose entropy lies more than
-    ``deviations`` below it (low entropy is repetition and padding). In an empty corpus there are no bands and nothing to judge.
+    more than ``deviations`` (and than ``most_bytes``, as most texts of many
+    languages have none and so no deviation) over the middle of their language
+    or script, whose characters per token are outside ``chars_range`` times the
+    middle, or whose entropy lies more than ``deviations`` below it (low entropy
+    is repetition and padding). Where there are no bands there is nothing to judge.
     """
-    parts = ("mid_chars", "mid_entropy", "width_entropy")
-    group, here = fresh_name(measured, "_group"), fresh_name(measured, "_own")
-    own = {c: fresh_name(measured, f"_own_{c}") for c in parts}
-    whole = {c: fresh_name(measured, f"_all_{c}") for c in parts}
-    named = limits.where("group is not null").select(F.col("group").alias(group), *(F.col(c).alias(n) for c, n in own.items()))
-    general = limits.where("group is null").select(*(F.col(c).alias(n) for c, n in whole.items()))
-    joined = measured.withColumn(here, _group(lang_col)).join(F.broadcast(named), F.col(here) == F.col(group), "left").join(F.broadcast(general), F.lit(True), "left")
-    of = lambda c: F.coalesce(F.col(own[c]), F.col(whole[c]))
+    parts = ("mid_chars", "mid_entropy", "mid_bytes", "width_entropy", "width_bytes")
+    own = {(k, c): fresh_name(measured, f"_{k}_{c}") for k in (0, 1) for c in ("group", *parts)}
+    joined = measured
+    for k, here in ((0, _language(lang_col)), (1, F.col("script"))):
+        named = limits.where(F.col("level") == k).select(*(F.col(c).alias(own[k, c]) for c in ("group", *parts)))
+        joined = joined.join(F.broadcast(named), here == F.col(own[k, "group"]), "left")
+    of = lambda c: F.coalesce(F.col(own[0, c]), F.col(own[1, c]))
     chars = F.col("chars_per_token") / of("mid_chars")
     floor = of("mid_entropy") - deviations * of("width_entropy") / _spread()
-    odd = (F.col("byte_share") > most_bytes) | (chars < chars_range[0]) | (chars > chars_range[1]) | (F.col("entropy") < floor)
+    bytes_over = F.col("byte_share") > of("mid_bytes") + F.greatest(F.lit(most_bytes), deviations * of("width_bytes"))
+    odd = bytes_over | (chars < chars_range[0]) | (chars > chars_range[1]) | (F.col("entropy") < floor)
     failed = base_failed()
     return joined.select(*(measured[c] for c in measured.columns if c not in ("base_failed", "kept")), failed.alias("base_failed"), (~failed & ~F.coalesce(odd, F.lit(False))).alias("kept"))
 
