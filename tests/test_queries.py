@@ -30,6 +30,18 @@ def test_query_equals_sql(spark, name):
     assert plain(got.select(*names).collect()) == plain(want.fetchall())
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
+def test_all_slices_are_used(spark):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{FOLDER}/events.parquet'")
+    for name, cut in (("participation_all", "participation_pos_neg"), ("modularity_all_sta", "modularity_q_sta")):
+        want = db.execute(queries.ORACLES[cut].replace(" AND t <= 100", ""))
+        names, rows = [c[0] for c in want.description], want.fetchall()
+        got = queries.QUERIES[name](spark, FOLDER).select(*names).collect()
+        assert plain(got) == plain(rows) and max(r["t"] for r in got) > 600
+    assert queries.flagship(spark, FOLDER).where("t > 600").count() > 0
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

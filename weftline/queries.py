@@ -64,9 +64,10 @@ WEIGHTS = f"""{coupling_sql(FORWARD)},
     modules AS (SELECT t, CAST(node AS INTEGER) AS node, CAST(node % 2 + 1 AS INTEGER) AS c FROM (SELECT DISTINCT t FROM up), unnest(range(0, 5)) AS u(node))"""
 
 
-def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both triangles of the first hundred coupling slices."""
-    up = connectivity.derivative_coupling(tables.event_series(spark, sf_dir), window=14, direction="forward").where("i < j and t <= 100")
+def _weights(spark: SparkSession, sf_dir: str, last: int | None = 100) -> DataFrame:
+    """Both triangles of the coupling slices up to a time, as the SQL has them, or of all."""
+    up = connectivity.derivative_coupling(tables.event_series(spark, sf_dir), window=14, direction="forward").where("i < j")
+    up = up if last is None else up.where(F.col("t") <= last)
     return connectivity.mirror(up.withColumn("wt", F.round("value", 9)).drop("value"))
 
 
@@ -223,6 +224,13 @@ def participation_pos_neg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(metrics.participation(w, _modules(w), ["t"]), "p_pos", "p_neg")
 
 
+@query()
+def participation_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """participation_pos_neg over all slices."""
+    w = _weights(spark, sf_dir, None)
+    return _round(metrics.participation(w, _modules(w), ["t"]), "p_pos", "p_neg")
+
+
 #: A directed matrix, so that the flags differ: users of one day and type, weighted by their difference.
 DIRECTED = f"""{HOURS}, u AS (SELECT session, event_type, user_id, sum(value) AS v FROM hours WHERE user_id < 40 GROUP BY ALL),
     weights AS (SELECT a.session, a.user_id AS i, b.user_id AS j, sum(a.v - 0.5 * b.v) AS wt FROM u a JOIN u b USING (session, event_type) WHERE a.user_id <> b.user_id GROUP BY ALL),
@@ -263,9 +271,9 @@ def _q_sql(d0: str, d1: str) -> str:
     SELECT t, round(coalesce({d0}, 0) * (wp - coalesce(kkp / nullif(s0, 0), 0)) - coalesce({d1}, 0) * (wn - coalesce(kkn / nullif(s1, 0), 0)), 6) + 0.0 AS q FROM g"""
 
 
-def _modularity(qtype: str) -> Query:
+def _modularity(qtype: str, last: int | None = 100) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        w = _weights(spark, sf_dir)
+        w = _weights(spark, sf_dir, last)
         return _round(metrics.modularity(w, _modules(w), ["t"], qtype), "q")
 
     return run
@@ -274,6 +282,7 @@ def _modularity(qtype: str) -> Query:
 _S0, _S1, _ALL = "1 / nullif(s0, 0)", "1 / nullif(s1, 0)", "1 / nullif(s0 + s1, 0)"
 for _q, _d0, _d1 in (("sta", _S0, _ALL), ("pos", _S0, "0"), ("smp", _S0, _S1), ("gja", _ALL, _ALL), ("neg", "0", _S1)):
     query(_q_sql(_d0, _d1), f"modularity_q_{_q}")(_modularity(_q))
+    query(name=f"modularity_all_{_q}")(_modularity(_q, None))
 
 
 #: Participation-like and z-like values of users per hour.
@@ -414,7 +423,16 @@ def dense_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {WEIGHTS} SELECT DISTINCT t, true AS q_agrees, true AS labels_from_one FROM up")
 def louvain_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kernel's Q equals the relational one for its labels, and isn't under that of one module."""
-    w = _weights(spark, sf_dir)
+    return _louvain_check(_weights(spark, sf_dir))
+
+
+@query()
+def louvain_check_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """louvain_check over all slices."""
+    return _louvain_check(_weights(spark, sf_dir, None))
+
+
+def _louvain_check(w: DataFrame) -> DataFrame:
     found = community.louvain(w, ["t"], seed=7)
     q = metrics.modularity(w, found.select("t", "node", "c"), ["t"])
     one = metrics.modularity(w, found.select("t", "node", F.lit(1).alias("c")), ["t"]).withColumnRenamed("q", "q1")
@@ -454,8 +472,8 @@ def study_switching(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coupling slices, their node metrics under fixed communities, and the profile of each."""
-    w = _weights(spark, sf_dir)
+    """All coupling slices, their node metrics under fixed communities, and the profile of each."""
+    w = _weights(spark, sf_dir, None)
     modules = _modules(w)
     nodes = metrics.participation(w, modules, ["t"]).join(metrics.module_z(w, modules, ["t"]), ["t", "node"])
     return metrics.cartography(nodes.select("t", "node", F.col("p_pos").alias("bt"), F.col("z").alias("wt")))
