@@ -34,19 +34,23 @@ def _local_forest(batches):
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
+#: Links that a task has at least, so few links make few tasks.
+TASK_LINKS = 250_000
+
+
+def _star(links: DataFrame, large: bool, tasks: int) -> DataFrame:
     """One star step: the neighbours of each node are linked to the smallest of them all."""
     if large:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = both.join(least, "u")
+    joined = both.join(least, "u").coalesce(tasks)
     if large:
         out = joined.where(F.col("v") > F.col("u")).select(F.col("m").alias("u"), "v")
     else:
         out = joined.select(F.col("m").alias("u"), "v").union(least.select(F.col("m").alias("u"), F.col("u").alias("v")))
-    return out.where("u <> v").distinct()
+    return out.where("u <> v").distinct().coalesce(tasks)
 
 
 def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -60,10 +64,12 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     edges = cut_lineage(edges.distinct().mapInArrow(_local_forest, "u long, v long"))
     state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     now = state(edges)
+    most = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for _ in range(most_rounds):
         if not now[0]:
             break
-        edges = cut_lineage(_star(_star(edges, True), False))
+        tasks = min(most, 8 + now[0] // TASK_LINKS)
+        edges = cut_lineage(_star(_star(edges, True, tasks), False, tasks))
         was, now = now, state(edges)
         if was == now:
             break

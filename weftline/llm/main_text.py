@@ -161,4 +161,4 @@ def main_text(html: str | None) -> str:
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
     """Add the main text of each whole page; a null or empty page, or one without text, has an empty one."""
-    return with_columns(pages, html_col, [T.StructField(text_col, T.StringType())], lambda: lambda pages: [[main_text(x) for x in pages]])
+    return with_columns(pages, html_col, [T.StructField(text_col, T.StringType())], lambda: lambda pages: [[main_text(x) for x in pages.to_pylist()]])

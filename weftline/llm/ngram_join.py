@@ -1,8 +1,9 @@
 """Near duplicates by a Jaccard join on word shingles, under several global token orders.
 
-A document is the set of its distinct shingles. Equal sets form one class and
-are joined once. Two sets can reach the threshold only if they share a token
-among the first n - ceil(t * n) + 1 of each, under any order of all tokens. The
+A document is the set of its distinct shingles. Texts are cut into shingles
+once; every later step reads the stored sets. Equal sets form one class and are
+joined once. Two sets can reach the threshold only if they share a token among
+the first n - ceil(t * n) + 1 of each, under any order of all tokens. The
 prefixes are indexed under ``orders`` unrelated orders; a pair of classes is a
 candidate only if it shares prefix tokens under each of them, and enough of
 them that the rest can still make up the overlap it needs. Candidates are
@@ -12,12 +13,14 @@ Tokens that many documents hold come last in every order (as far as they are
 known: those frequent within some task's documents), so shared passages seldom
 reach a prefix, and buckets stay small. Documents made up mostly of such tokens
 are members of large families. Among those no pairs are enumerated at first:
-in each bucket all are compared with the member that has the fewest tokens of
-its own, as the text that the others were copied from has. What is linked
-becomes components, and then only pairs of different components are compared,
-where the places of the shared token in both prefixes leave room for the overlap
-they need. So a family of m near copies costs about m comparisons, and no link
-between components is lost.
+in each bucket all are compared with its hub, the member that has the fewest
+tokens of its own, as the text that the others were copied from has. What is
+linked becomes components, and then only pairs of different components are
+compared, where the places of the shared token in both prefixes leave room for
+the overlap they need. Both steps, too, keep only pairs that meet under every
+order. So a family of m near copies costs about m comparisons, and no link
+between components is lost. Buckets of families are joined by Spark, which
+splits those that are large, and hubs are found by partial aggregation.
 """
 
 from __future__ import annotations
@@ -25,10 +28,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import WordHashes, cut_lineage, fresh_name, lower_ascii, mix, slices, window_hashes
+from weftline.llm.common import cut_lineage, fresh_name, mix, slices, window_hashes, written
 from weftline.llm.components import components
 from weftline.llm.passages import FlatWords, by_shard, ident, ids_of, packed, packed_schema, real_id, slots
 
@@ -36,21 +40,32 @@ GRAM, THRESHOLD, ORDERS = 5, 75, 2
 #: Bound of the broadcast list of frequent tokens (8 bytes each).
 MOST_HOT = 1 << 20
 #: Tokens of a task looked at together for frequent ones, and the documents among them that make one frequent.
-LOOK, OFTEN = 4_000_000, 4
-#: Bits of the broadcast filter of documents in candidate pairs (16 MB).
+LOOK, OFTEN = 2_000_000, 3
+#: Bits of the broadcast filter of classes in candidate pairs (16 MB).
 FILTER_BITS = 27
-KEY = np.uint64((1 << 39) - 1)
-FAMILY = np.uint64(1 << 39)
-
-
-def shingle_sets(texts: list, hashes: WordHashes, gram: int = GRAM) -> list[np.ndarray]:
+#: Distinct sets a task remembers, to store each once.
+HELD_SETS = 200_000
+#: Bytes of a class key (part of its fingerprint: two classes have one key in 10 ** 17 pairs), and of a token beside its shard.
+KEY_BYTES, TOKEN_BYTES = 7, 4
+KEY = (1 << 8 * KEY_BYTES) - 1
+#: Step between size classes; sets of one bucket are compared if their classes allow it.
+LENGTHS = 1.1
+#: Prefix tokens a task holds before it sends them on.
+HELD_TOKENS = 1_000_000
+#: A count of shared tokens that stands for as many or more.
+MANY = (1 << 16) - 1
+
+
+def shingle_sets(column: pa.Array, gram: int = GRAM) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; a text of fewer words is one shingle, an empty one has none."""
-    flat = FlatWords(texts, hashes, lower_ascii)
+    flat = FlatWords(column, lower=True)
     grams = window_hashes(flat.words, gram)
     out = []
     for start, n in zip(flat.starts.tolist(), flat.sizes.tolist()):
         if n >= gram:
-            out.append(np.unique(grams[start : start + n - gram + 1]))
+            own = np.sort(grams[start : start + n - gram + 1])
+            fresh = own[1:] != own[:-1]
+            out.append(own if fresh.all() else own[np.concatenate([[True], fresh])])
         else:
             out.append(window_hashes(flat.words[start : start + n], n, 1000 + n) if n else grams[:0])
     return out
@@ -66,125 +81,176 @@ def prefix_length(n, threshold: int):
     return n - -(-threshold * n // 100) + 1
 
 
-def _bytes5(x: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(x.astype(np.uint64)).view(np.uint8).reshape(-1, 8)[:, :5]
+def _narrow(x: np.ndarray, width: int) -> np.ndarray:
+    """The lowest bytes of each number."""
+    return np.ascontiguousarray(x.astype(np.uint64)).view(np.uint8).reshape(-1, 8)[:, :width]
 
 
-def _from5(raw: bytes) -> np.ndarray:
-    data = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+def _widen(raw: bytes, width: int) -> np.ndarray:
+    data = np.frombuffer(raw, np.uint8).reshape(-1, width)
     out = np.zeros((len(data), 8), np.uint8)
-    out[:, :5] = data
+    out[:, :width] = data
     return out.view(np.uint64).ravel()
 
 
 def _length_class(n: int) -> int:
-    return min(255, int(np.log(n) / np.log(1.05)))
+    return min(127, int(np.log(n) / np.log(LENGTHS)))
+
+
+PROFILE = "kind int, a long, n long, c long, d long, row long, tokens binary"
 
 
 def _profiles(docs: DataFrame, gram: int) -> DataFrame:
-    """(kind, a, b, c, d): of kind 0 id, set size and fingerprint of each document; of kind 1 a token and how many of a task's distinct sets hold it."""
+    """Of kind 0 the id (a), set size and fingerprint (c, d) of each document, with the set itself where it is the task's first; of kind 1 a token (a) and how many of a task's distinct sets hold it (n)."""
 
     def run(batches):
-        hashes, held, n, seen = WordHashes(), [], 0, set()
-        names = ["kind", "a", "b", "c", "d"]
+        held, n, seen, row = [], 0, set(), TaskContext.get().partitionId() << 33
+        names = ["kind", "a", "n", "c", "d", "row", "tokens"]
 
         def frequent():
-            tokens, count = np.unique(np.concatenate(held), return_counts=True)
+            tokens = np.concatenate(held)
             held.clear()
-            seen.clear()
-            often = count >= OFTEN
-            zero = np.zeros(int(often.sum()), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int32) + 1), pa.array(tokens[often].view(np.int64)), pa.array(count[often]), pa.array(zero), pa.array(zero)], names=names)
+            tokens.sort()
+            # in sorted order a token that stands OFTEN times equals the one so many places on
+            found = np.unique(tokens[OFTEN - 1 :][tokens[OFTEN - 1 :] == tokens[: len(tokens) - OFTEN + 1]])
+            count = np.searchsorted(tokens, found, "right") - np.searchsorted(tokens, found)
+            none = lambda kind: pa.nulls(len(found), kind)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), np.int32)), pa.array(found.view(np.int64)), pa.array(count), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.binary())], names=names)
 
         for batch in slices(batches, "text"):
-            sets = shingle_sets(batch.column("text").to_pylist(), hashes, gram)
+            sets = shingle_sets(batch.column("text"), gram)
             prints = [fingerprint(s) for s in sets]
+            stored, rows = [], []
+            if len(seen) > HELD_SETS:
+                seen.clear()
             for s, p in zip(sets, prints):
-                if p not in seen:
-                    seen.add(p)
-                    held.append(s)
-                    n += len(s)
+                if p in seen or not len(s):
+                    stored.append(None)
+                    rows.append(None)
+                    continue
+                seen.add(p)
+                held.append(s)
+                n += len(s)
+                stored.append(s.tobytes())
+                rows.append(row)
+                row += 1
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             p = np.array(prints, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), pa.array(ids_of(batch.column("id"))), pa.array(sizes), pa.array(p[:, 0]), pa.array(p[:, 1])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), pa.array(ids_of(batch.column("id"))), pa.array(sizes), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(rows, pa.int64()), pa.array(stored, pa.binary())], names=names)
             if n > LOOK:
                 yield frequent()
                 n = 0
         if held:
             yield frequent()
 
-    return docs.mapInArrow(run, "kind int, a long, b long, c long, d long")
+    return docs.mapInArrow(run, PROFILE)
 
 
-def _candidates(docs: DataFrame, hot, gram: int, threshold: int, orders: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (k1, k2, n0, n1, ...) of class keys with the prefix tokens they share per order, and the prefix tokens (token, k, place, rare) of family members."""
-    names, seeds = slots(docs), range(orders)
+def _candidates(sets: DataFrame, hot, threshold: int, orders: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (k1, k2, n0, n1, ...) of class keys with the prefix tokens they share per order, and the family members (k, n, rare, o, tokens) with their prefix under each order."""
+    names, seeds = slots(sets), range(orders)
     shards = len(names)
 
     def partition(batches):
-        hashes, known, held, n, seen, members = WordHashes(), hot.value, [[] for _ in seeds], 0, set(), []
+        known, held, n = hot.value, [], 0
 
         def flush():
-            if members:
-                tokens, keys, facts = (np.concatenate(x) for x in zip(*members))
-                members.clear()
-                yield from packed((tokens % np.uint64(shards)).astype(np.int64), shards, [_bytes5(tokens >> np.uint64(24)), _bytes5(keys), facts], kind=-1, named=names)
+            """Per shard the tokens, and for each document there (many tokens make several entries) its key, facts and tokens per order."""
+            if not held:
+                return
+            tokens, keys, facts, sizes = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            doc = np.repeat(np.arange(len(keys)), sizes)
+            order = (np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) // (sizes[doc] // orders)
+            shard = (tokens % np.uint64(shards)).astype(np.int64)
+            by = np.argsort(shard, kind="stable")
+            shard, doc, order, short = shard[by], doc[by], order[by], (tokens[by] >> np.uint64(32)).astype(np.uint32)
+            opens, index = np.ones(len(by), bool), np.arange(len(by))
+            opens[1:] = (shard[1:] != shard[:-1]) | (doc[1:] != doc[:-1])
+            opens |= (index - np.maximum.accumulate(np.where(opens, index, 0))) % 255 == 0
+            heads = np.flatnonzero(opens)
+            entry = np.empty((len(heads), 1 + orders), np.uint8)
+            entry[:, 0] = facts[doc[heads]]
             for o in seeds:
-                if held[o]:
-                    tokens, keys, sizes = (np.concatenate(x) for x in zip(*held[o]))
-                    held[o].clear()
-                    yield from packed((tokens % np.uint64(shards)).astype(np.int64), shards, [_bytes5(tokens >> np.uint64(24)), _bytes5(keys), sizes], kind=o, named=names)
-
-        for batch in slices(batches, "text"):
-            for s in shingle_sets(batch.column("text").to_pylist(), hashes, gram):
-                if not len(s) or (own := fingerprint(s)) in seen:
-                    continue
-                seen.add(own)
-                size = len(s)
-                p = prefix_length(size, threshold)
-                at = np.minimum(np.searchsorted(known, s), max(len(known) - 1, 0))
-                often = known[at] == s if len(known) else np.zeros(size, bool)
-                rare = size - int(often.sum())
+                entry[:, 1 + o] = np.add.reduceat((order == o).astype(np.int64), heads)
+            own = _narrow(keys[doc[heads]], KEY_BYTES)
+            at, cut = np.searchsorted(shard, np.arange(shards + 1)), np.searchsorted(shard[heads], np.arange(shards + 1))
+            have = np.flatnonzero(np.diff(at)).tolist()
+            blobs = [[x[c[s] : c[s + 1]].tobytes() for s in have] for x, c in ((short, at), (own, cut), (entry, cut))]
+            for lo in range(0, len(have), 256):
+                part = slice(lo, lo + 256)
+                yield pa.RecordBatch.from_arrays([pa.array(names[have[part]], pa.int32()), pa.array(np.zeros(len(have[part]), np.int32)), *(pa.array(x[part], pa.binary()) for x in blobs)], names=["shard", "kind", "a", "b", "c"])
+
+        for batch in slices(batches, "tokens"):
+            blobs = batch.column("tokens").to_pylist()
+            flat = np.frombuffer(b"".join(blobs), np.uint64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                often = known[at] == flat
+            else:
+                often = np.zeros(len(flat), bool)
+            last = often.astype(np.uint64) << np.uint64(63)
+            place = [mix(flat, 50 + o) for o in seeds]
+            rank = [last | (x >> np.uint64(1)) for x in place]
+            total = np.concatenate([[0], np.cumsum(often)])
+            members, lo = [], 0
+            for key, blob in zip(batch.column("k").to_pylist(), blobs):
+                size = len(blob) // 8
+                hi = lo + size
+                p, rare = prefix_length(size, threshold), size - int(total[hi] - total[lo])
                 family = rare < p
-                key = (np.uint64(own[0] & (2**64 - 1)) & KEY) | (FAMILY if family else np.uint64(0))
+                own = []
                 for o in seeds:
-                    place = mix(s, 50 + o)
-                    first = np.lexsort((place, often))[:p] if often.any() else np.argpartition(place, p - 1)[:p]
-                    held[o].append((place[first], np.full(p, key), np.full(p, _length_class(size), np.uint8)))
-                    if family and o == 0:
-                        facts = np.stack([np.arange(p), np.full(p, rare)], axis=1).astype(np.uint32)
-                        members.append((place[first], np.full(p, key & KEY), facts))
-                    n += p
-            if len(seen) > 200_000:
-                seen.clear()
-            if n > 3_000_000:
+                    first = lo + (np.argsort(rank[o][lo:hi])[:p] if family else np.argpartition(rank[o][lo:hi], p - 1)[:p])
+                    own.append(place[o][first])
+                held.append((np.concatenate(own), np.array([key], np.uint64), np.array([2 * _length_class(size) + family], np.uint8), np.array([orders * p])))
+                n += orders * p
+                if family:
+                    members += [(names[key % shards], -1 - o, np.array([key, size, rare], np.uint64).tobytes(), own[o].tobytes(), b"") for o in seeds]
+                lo = hi
+            if members:
+                kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*members), kinds)], names=["shard", "kind", "a", "b", "c"])
+            if n > HELD_TOKENS:
                 yield from flush()
                 n = 0
         yield from flush()
 
-    steps = int(np.ceil(np.log(100 / threshold) / np.log(1.05))) + 1
+    steps = int(np.ceil(np.log(100 / threshold) / np.log(LENGTHS))) + 1
 
     def meet(held):
-        """Pairs of each bucket of a token; family members are left to their own round."""
-        if -1 in held:
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([-1], pa.int32()), *(pa.array([b"".join(x)], pa.binary()) for x in held[-1])], names=["shard", "kind", "a", "b", "c"])
+        """Pairs of each bucket of a token; family members go on to a round of their own."""
         for o in seeds:
-            if o not in held:
+            for facts, tokens, _ in zip(*held.get(-1 - o, ((), (), ()))):
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([-1 - o], pa.int32()), pa.array([facts], pa.binary()), pa.array([tokens], pa.binary()), pa.array([b""], pa.binary())], names=["shard", "kind", "a", "b", "c"])
+        if 0 not in held:
+            return
+        every, own = np.frombuffer(b"".join(held[0][0]), np.uint32), _widen(b"".join(held[0][1]), KEY_BYTES)
+        entry = np.frombuffer(b"".join(held[0][2]), np.uint8).reshape(-1, 1 + orders).astype(np.int64)
+        ends = np.cumsum(entry[:, 1:], axis=1)
+        doc = np.repeat(np.arange(len(own)), ends[:, -1])
+        inside = np.arange(len(every)) - np.repeat(np.cumsum(ends[:, -1]) - ends[:, -1], ends[:, -1])
+        order = (inside[:, None] >= ends[doc]).sum(axis=1)
+        for o in seeds:
+            here = order == o
+            tokens, keys, facts = every[here], own[doc[here]], entry[doc[here], 0]
+            if not len(tokens):
                 continue
-            blobs = held[o]
-            tokens, keys = _from5(b"".join(blobs[0])), _from5(b"".join(blobs[1]))
-            sizes = np.frombuffer(b"".join(blobs[2]), np.uint8).astype(np.int64)
+            by = np.argsort(tokens)
+            again = tokens[by][1:] == tokens[by][:-1]
+            by = by[np.concatenate([again, [False]]) | np.concatenate([[False], again])]
+            tokens, keys, facts = tokens[by], keys[by], facts[by]
+            sizes, family = facts >> 1, facts & 1 == 1
             by = np.lexsort((keys, sizes, tokens))
-            tokens, keys, sizes = tokens[by], keys[by], sizes[by]
+            tokens, keys, sizes, family = tokens[by], keys[by], sizes[by], family[by]
             fresh = np.ones(len(by), bool)
             fresh[1:] = (tokens[1:] != tokens[:-1]) | (keys[1:] != keys[:-1])
-            tokens, keys, sizes = tokens[fresh], keys[fresh], sizes[fresh]
-            family = keys >= FAMILY
+            tokens, keys, sizes, family = tokens[fresh], keys[fresh], sizes[fresh], family[fresh]
             opens = np.ones(len(tokens), bool)
             opens[1:] = tokens[1:] != tokens[:-1]
             bucket = np.cumsum(opens) - 1
-            ends = np.append(np.flatnonzero(opens)[1:], len(tokens))[bucket]
-            one, two = [], []
+            ends = np.append(np.flatnonzero(opens)[1:], len(tokens))[bucket] if len(tokens) else bucket
+            one, two = [keys[:0]], [keys[:0]]
             step, left = 1, np.arange(len(tokens))
             while len(left):
                 left = left[left + step < ends[left]]
@@ -192,8 +258,8 @@ def _candidates(docs: DataFrame, hot, gram: int, threshold: int, orders: int) ->
                 near = sizes[right] - sizes[left] <= steps
                 left, right = left[near], right[near]  # sizes ascend in a bucket, so those farther off differ more
                 plain = ~(family[left] & family[right])
-                one.append(keys[left[plain]] & KEY)
-                two.append(keys[right[plain]] & KEY)
+                one.append(keys[left[plain]])
+                two.append(keys[right[plain]])
                 step += 1
             a, b = np.concatenate(one), np.concatenate(two)
             if not len(a):
@@ -202,9 +268,9 @@ def _candidates(docs: DataFrame, hot, gram: int, threshold: int, orders: int) ->
             by = np.lexsort((b, a))
             a, b = a[by], b[by]
             heads = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-            count = np.diff(np.append(heads, len(a))).astype(np.uint32)
+            count = np.minimum(np.diff(np.append(heads, len(a))), MANY).astype(np.uint16)
             a, b = a[heads], b[heads]
-            yield from packed((mix(a * np.uint64(3) + b) % np.uint64(shards)).astype(np.int64), shards, [_bytes5(a), _bytes5(b), count], kind=o, named=names)
+            yield from packed((mix(a * np.uint64(3) + b) % np.uint64(shards)).astype(np.int64), shards, [_narrow(a, KEY_BYTES), _narrow(b, KEY_BYTES), count], kind=o, named=names)
 
     def intersect(held):
         """Add up the shared prefix tokens per order, and keep the pairs that every order has."""
@@ -212,38 +278,40 @@ def _candidates(docs: DataFrame, hot, gram: int, threshold: int, orders: int) ->
         for o in seeds:
             if o not in held:
                 return
-            a, b = _from5(b"".join(held[o][0])), _from5(b"".join(held[o][1]))
-            count = np.frombuffer(b"".join(held[o][2]), np.uint32).astype(np.int64)
+            a, b, count = _widen(b"".join(held[o][0]), KEY_BYTES), _widen(b"".join(held[o][1]), KEY_BYTES), np.frombuffer(b"".join(held[o][2]), np.uint16)
             by = np.lexsort((b, a))
-            a, b, count = a[by], b[by], count[by]
+            a, b, count = a[by], b[by], np.where(count[by] < MANY, count[by], 1 << 40)
             heads = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
             here = {(x, y): n for x, y, n in zip(a[heads].tolist(), b[heads].tolist(), np.add.reduceat(count, heads).tolist())}
             found = {p: (n,) for p, n in here.items()} if found is None else {p: (*ns, here[p]) for p, ns in found.items() if p in here}
         if found:
-            keys = np.array(list(found), np.int64)
+            keys = np.array(list(found), np.uint64).view(np.int64)
             counts = np.array(list(found.values()), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), *(pa.array(counts[:, o]) for o in seeds)], names=["k1", "k2", *(f"n{o}" for o in seeds)])
 
     def members(batches):
         for batch in batches:
-            for a, b, c in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("c").to_pylist()):
-                facts = np.frombuffer(c, np.uint32).reshape(-1, 2).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(_from5(a).astype(np.int64)), pa.array(_from5(b).astype(np.int64)), pa.array(facts[:, 0]), pa.array(facts[:, 1])], names=["token", "k", "place", "rare"])
-
-    postings = docs.mapInArrow(partition, packed_schema(3))
+            facts = np.frombuffer(b"".join(batch.column("a").to_pylist()), np.int64).reshape(-1, 3)
+            blobs = batch.column("b").to_pylist()
+            ends = np.cumsum([len(b) // 8 for b in blobs], dtype=np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.frombuffer(b"".join(blobs), np.int64)))
+            order = pa.array(-1 - batch.column("kind").to_numpy(), pa.int32())
+            yield pa.RecordBatch.from_arrays([*(pa.array(facts[:, i]) for i in range(3)), order, lists], names=["k", "n", "rare", "o", "tokens"])
+
+    postings = sets.mapInArrow(partition, packed_schema(3))
     met = cut_lineage(by_shard(postings, meet, packed_schema(3), 3))
     pairs = by_shard(met.where("kind >= 0"), intersect, "k1 long, k2 long, " + ", ".join(f"n{o} long" for o in seeds), 3)
-    return pairs, met.where("kind < 0").select("a", "b", "c").mapInArrow(members, "token long, k long, place long, rare long")
+    return pairs, met.where("kind < 0").select("kind", "a", "b").mapInArrow(members, "k long, n long, rare long, o int, tokens array<long>")
 
 
-def _id_filter(ids: DataFrame) -> np.ndarray:
-    """A bit array of fixed size with two bits per id."""
+def _row_filter(rows: DataFrame) -> np.ndarray:
+    """A bit array of fixed size with two bits per row number."""
     parts = 256
     per = (1 << FILTER_BITS) // parts
 
     def run(batches):
         for batch in batches:
-            x = batch.column("id").to_numpy().astype(np.uint64)
+            x = batch.column("row").to_numpy().astype(np.uint64)
             at = np.unique(np.concatenate([mix(x, 70 + r) >> np.uint64(64 - FILTER_BITS) for r in range(2)])).astype(np.int64)
             yield from packed(at // per, parts, [(at % per).astype(np.uint32)])
 
@@ -259,154 +327,118 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
         if shard is not None:
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["shard", "bits"])
 
-    n = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    made = ids.mapInArrow(run, packed_schema(1)).repartition(n, F.col("shard")).sortWithinPartitions("shard").mapInArrow(numbered, "shard int, bits binary").toArrow()
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = rows.mapInArrow(run, packed_schema(1)).repartition(n, F.col("shard")).sortWithinPartitions("shard").mapInArrow(numbered, "shard int, bits binary").toArrow()
     out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
     for s, bits in zip(made.column("shard").to_pylist(), made.column("bits").to_pylist()):
         out[s * per // 8 : (s + 1) * per // 8] = np.frombuffer(bits, np.uint8)
     return out
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, gram: int, threshold: int) -> DataFrame:
-    """The pairs (u, v) of ids whose whole sets reach the threshold."""
-    pairs = cut_lineage(pairs.select("u", "v").distinct())
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(_id_filter(ids))
+def _verified(sets: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
+    """The links (u, v) between the ids of classes whose whole sets reach the threshold, of pairs (k1, k2) of class keys."""
+    first = classes.select(F.col("k").alias("k1"), F.col("id").alias("u"), F.col("holder").alias("r1"))
+    second = classes.select(F.col("k").alias("k2"), F.col("id").alias("v"), F.col("holder").alias("r2"))
+    pairs = cut_lineage(pairs.distinct().join(first, "k1").join(second, "k2").where("u <> v").select("u", "v", "r1", "r2"))
+    rows = pairs.select(F.explode(F.array("r1", "r2")).alias("row")).distinct()
+    shared = sets.sparkSession.sparkContext.broadcast(_row_filter(rows))
 
-    def sets(batches):
-        hashes, bits = WordHashes(), shared.value
-        for batch in slices(batches, "text"):
-            x = ids_of(batch.column("id")).astype(np.uint64)
-            wanted = np.ones(len(x), bool)
+    def wanted(batches):
+        bits = shared.value
+        for batch in batches:
+            x = batch.column("row").to_numpy().astype(np.uint64)
+            keep = np.ones(len(x), bool)
             for r in range(2):
                 at = (mix(x, 70 + r) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                wanted &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-            part = batch.filter(pa.array(wanted))
-            made = shingle_sets(part.column("text").to_pylist(), hashes, gram)
-            yield pa.RecordBatch.from_arrays([pa.array(x[wanted].astype(np.int64)), pa.array([_bytes5(s).tobytes() for s in made], pa.binary())], names=["id", "tokens"])
+                keep &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            if keep.any():
+                yield batch.filter(pa.array(keep))
 
     def compare(batches):
         for batch in slices(batches, "t1"):
             keep = []
             for a, b in zip(batch.column("t1").to_pylist(), batch.column("t2").to_pylist()):
-                n = len(a) // 5 + len(b) // 5
-                both = len(np.intersect1d(_from5(a), _from5(b)))
-                keep.append(100 * both >= threshold * (n - both))
+                few, many = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+                both = int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
+                keep.append(100 * both >= threshold * (len(few) + len(many) - both))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    # rows that share an id are one document's versions; the first by content stands for it
-    found = docs.mapInArrow(sets, "id long, tokens binary")
-    first = found.select(F.col("id").alias("u"), F.col("tokens").alias("t1"))
-    second = found.select(F.col("id").alias("v"), F.col("tokens").alias("t2"))
-    return pairs.join(second, "v").join(first, "u").mapInArrow(compare, "u long, v long").distinct()
-
-
-def links(docs: DataFrame, profiles: DataFrame, gram: int, threshold: int, orders: int) -> DataFrame:
-    """Verified links (u, v) between the smallest ids of classes, enough to connect all that are linked."""
-    spark = docs.sparkSession
-    tokens = profiles.where("kind = 1").groupBy(F.col("a").alias("token")).agg(F.sum("b").alias("n"))
+    # both joins read one exchange of the sets
+    held = sets.select("row", "tokens").mapInArrow(wanted, "row long, tokens binary")
+    met = pairs.join(held.select(F.col("row").alias("r2"), F.col("tokens").alias("t2")), "r2").join(held.select(F.col("row").alias("r1"), F.col("tokens").alias("t1")), "r1")
+    return met.select("u", "v", "t1", "t2").mapInArrow(compare, "u long, v long").distinct()
+
+
+def _by_every_order(pairs: DataFrame, orders: int) -> DataFrame:
+    """The pairs (k1, k2) among rows (o, k1, k2) that all orders have."""
+    return pairs.groupBy("k1", "k2").agg(F.bit_or(F.expr("shiftleft(1, o)")).alias("seen")).where(F.col("seen") == (1 << orders) - 1).select("k1", "k2")
+
+
+def _hub_pairs(members: DataFrame, orders: int) -> DataFrame:
+    """Pairs (k1, k2) of each member with the hubs of its buckets, if they meet under every order."""
+    # the fewest own tokens come first; the rest of a rank tells the hub by 48 bits of its key
+    ranked = members.withColumn("rank", F.shiftleft(F.least("rare", F.lit((1 << 15) - 1)), 48).bitwiseOR(F.xxhash64("k").bitwiseAND(F.lit((1 << 48) - 1))))
+    rows = ranked.select("k", "o", "rank", F.explode("tokens").alias("token"))
+    hubs = rows.groupBy("o", "token").agg(F.min("rank").alias("hub"), F.count("*").alias("size")).where("size > 1").select("o", "token", "hub")
+    named = ranked.select(F.col("k").alias("k2"), F.col("rank").alias("hub")).distinct()
+    found = rows.join(hubs, ["o", "token"]).where("rank <> hub").select("o", "k", "hub").distinct()
+    return _by_every_order(found.join(named, "hub").select("o", F.col("k").alias("k1"), "k2"), orders)
+
+
+def _across(members: DataFrame, threshold: int, orders: int) -> DataFrame:
+    """Pairs (k1, k2) of members (with their component) of different components that share a token under every order with room for their overlap."""
+    rows = members.select("k", "n", "o", "component", F.posexplode("tokens").alias("place", "token"))
+    per = rows.groupBy("o", "token", "component").agg(F.count("*").alias("size"))
+    several = per.groupBy("o", "token").agg(F.max(F.struct("size", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    several = cut_lineage(several.select("o", "token", F.col("most.component").alias("big")))
+    # no pairs are made within the largest component of a bucket
+    here = rows.join(several, ["o", "token"])
+    one = here.where("component <> big").select("o", "token", F.col("k").alias("k1"), F.col("n").alias("n1"), F.col("place").alias("p1"), F.col("component").alias("c1"))
+    two = here.select("o", "token", F.col("k").alias("k2"), F.col("n").alias("n2"), F.col("place").alias("p2"), F.col("component").alias("c2"), "big")
+    room = F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2")) * (100 + threshold) >= threshold * (F.col("n1") + F.col("n2"))
+    met = one.join(two, ["o", "token"]).where((F.col("c1") != F.col("c2")) & ((F.col("c2") == F.col("big")) | (F.col("k1") < F.col("k2"))) & room)
+    return _by_every_order(met.select("o", F.least("k1", "k2").alias("k1"), F.greatest("k1", "k2").alias("k2")).distinct(), orders)
+
+
+def grouped(profiles: DataFrame, classes: DataFrame, threshold: int, orders: int) -> DataFrame:
+    """(node, component) of the smallest ids of the classes that are linked with others."""
+    spark = profiles.sparkSession
+    tokens = profiles.where("kind = 1").groupBy(F.col("a").alias("token")).agg(F.sum("n").alias("n"))
     total = tokens.agg(F.sum("n")).first()[0] or 0
     often = tokens.where(F.col("n") * MOST_HOT >= total).select("token").toArrow().column("token").to_numpy() if total else np.empty(0, np.int64)
     hot = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
-    classes = profiles.where("kind = 0 and b > 0").groupBy("b", "c", "d").agg(F.min("a").alias("id"))
-    classes = cut_lineage(classes.select((F.col("c").bitwiseAND(F.lit(int(KEY)))).alias("k"), "id", F.col("b").alias("n")))
+    sets = profiles.where("kind = 0 and row is not null").select("row", F.col("c").bitwiseAND(F.lit(KEY)).alias("k"), "tokens")
 
-    pairs, family = _candidates(docs, hot, gram, threshold, orders)
-    family = cut_lineage(family)
+    pairs, members = _candidates(sets, hot, threshold, orders)
     first = classes.select(F.col("k").alias("k1"), F.col("id").alias("u"), F.col("n").alias("nu"))
     second = classes.select(F.col("k").alias("k2"), F.col("id").alias("v"), F.col("n").alias("nv"))
     need = F.ceil(threshold * (F.col("nu") + F.col("nv")) / (100 + threshold))
-    rest = lambda n: F.col(n) - prefix_length_sql(n, threshold)
+    rest = lambda n: F.col(n) - _prefix_length_sql(n, threshold)
     enough = F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * threshold
     for o in range(orders):
         enough &= F.col(f"n{o}") + F.greatest(rest("nu"), rest("nv")) >= need
-    plain = pairs.join(first, "k1").join(second, "k2").where(enough & (F.col("u") != F.col("v"))).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-
-    def room(n, place, m, other):
-        """Whether sets of n and m tokens whose first shared token is at these places can overlap enough."""
-        return np.minimum(n - place, m - other) * (100 + threshold) >= threshold * (n + m)
-
-    def hubs(batches):
-        """All members of a bucket with the one that has the fewest tokens of its own."""
-        held: list = []
-        for _, (place, rare, n, ids) in _buckets(batches, ("place", "rare", "n", "id")):
-            hub = np.lexsort((ids, rare))[0]
-            fits = room(n, place, n[hub], place[hub]) & (ids != ids[hub])
-            if fits.any():
-                held.append(np.stack([np.full(int(fits.sum()), ids[hub]), ids[fits]], axis=1))
-            if len(held) > 2000:
-                yield _distinct(held)
-                held.clear()
-        if held:
-            yield _distinct(held)
-
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut_lineage(family.join(classes, "k").select("token", "place", "rare", "id", "n"))
-    sorted_by_token = lambda df: df.repartition(n_parts, F.col("token")).sortWithinPartitions("token")
-    near = cut_lineage(_verified(docs, plain.union(sorted_by_token(placed).mapInArrow(hubs, "u long, v long")), gram, threshold))
-    if placed.limit(1).count() == 0:
-        return near
-
-    def across(batches):
-        """Pairs of different components in each bucket."""
-        held, size = [], 0
-        for _, (place, n, ids, comps) in _buckets(batches, ("place", "n", "id", "component")):
-            order = np.argsort(comps, kind="stable")
-            place, n, ids, comps = place[order], n[order], ids[order], comps[order]
-            ends = np.searchsorted(comps, comps, "right")
-            for i in np.flatnonzero(ends < len(ids)).tolist():
-                other = np.arange(ends[i], len(ids))
-                other = other[room(n[i], place[i], n[other], place[other])]
-                if len(other):
-                    held.append(np.stack([np.full(len(other), ids[i]), ids[other]], axis=1))
-                    size += len(other)
-                if size > 2_000_000:
-                    yield _distinct(held)
-                    held.clear()
-                    size = 0
-        if held:
-            yield _distinct(held)
-
-    grouped = components(near)
-    named = placed.join(grouped.withColumnRenamed("node", "id"), "id", "left").select("token", "place", "n", "id", F.coalesce("component", "id").alias("component"))
-    mixed = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    others = cut_lineage(sorted_by_token(named.join(mixed, "token")).mapInArrow(across, "u long, v long").distinct())
-    if others.limit(1).count() == 0:
-        return near
-    return near.union(_verified(docs, others, gram, threshold))
-
-
-def prefix_length_sql(n: str, threshold: int):
+    plain = pairs.join(first, "k1").join(second, "k2").where(enough).select("k1", "k2")
+
+    members = cut_lineage(members.dropDuplicates(["k", "o"]))
+    families = not members.isEmpty()
+    near = cut_lineage(_verified(sets, classes, plain.union(_hub_pairs(members, orders)) if families else plain, threshold))
+    found = components(near)
+    if not families:
+        return found
+    found = cut_lineage(found)
+    at = classes.select("k", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("k", F.coalesce("component", "id").alias("component"))
+    others = cut_lineage(_across(members.join(at, "k"), threshold, orders))
+    if others.isEmpty():
+        return found
+    # the components so far are stars, and join the new links as such
+    more = cut_lineage(_verified(sets, classes, others, threshold))
+    return components(more.union(found.select(F.col("component").alias("u"), F.col("node").alias("v"))))
+
+
+def _prefix_length_sql(n: str, threshold: int) -> Column:
     return F.col(n) - F.ceil(threshold * F.col(n) / 100) + 1
 
 
-def _distinct(parts: list[np.ndarray]) -> pa.RecordBatch:
-    """Pairs in order, each once."""
-    pairs = np.sort(np.concatenate(parts), axis=1)
-    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-    fresh = np.ones(len(pairs), bool)
-    fresh[1:] = (pairs[1:] != pairs[:-1]).any(axis=1)
-    pairs = pairs[fresh]
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
-
-
-def _buckets(batches, columns):
-    """(token, arrays) of each run of rows with one token."""
-    token, held = None, []
-    for batch in batches:
-        tokens = batch.column("token").to_numpy()
-        cols = [batch.column(c).to_numpy() for c in columns]
-        cuts = np.concatenate([[0], np.flatnonzero(tokens[1:] != tokens[:-1]) + 1, [len(tokens)]]) if len(tokens) else np.array([0])
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            if token is not None and tokens[lo] != token:
-                yield token, [np.concatenate(x) for x in zip(*held)]
-                held = []
-            token = tokens[lo]
-            held.append([c[lo:hi] for c in cols])
-    if held:
-        yield token, [np.concatenate(x) for x in zip(*held)]
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, threshold: int = THRESHOLD, orders: int = ORDERS) -> DataFrame:
     """id, n_shingles and component_id of every document.
 
@@ -422,16 +454,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _grouped(rows: DataFrame, gram: int = GRAM, threshold: int = THRESHOLD, orders: int = ORDERS) -> DataFrame:
     """(id, n, component) of rows (id, text)."""
-    profiles = cut_lineage(_profiles(rows, gram))
-    own = profiles.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n"), "c", "d")
-    classes = own.where("n > 0").groupBy("n", "c", "d").agg(F.min("id").alias("first"))
-    grouped = components(links(rows, profiles, gram, threshold, orders)).withColumnRenamed("node", "first")
-    classes = classes.join(grouped, "first", "left").select("n", "c", "d", F.coalesce("component", "first").alias("component"))
-    return own.join(classes, ["n", "c", "d"], "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    profiles = written(_profiles(rows, gram))
+    own = profiles.where("kind = 0").select(F.col("a").alias("id"), "n", "c", "d", "row")
+    classes = cut_lineage(own.where("n > 0").groupBy("n", "c", "d").agg(F.min("id").alias("id"), F.min("row").alias("holder")).withColumn("k", F.col("c").bitwiseAND(F.lit(KEY))))
+    parts = grouped(profiles, classes, threshold, orders).withColumnRenamed("node", "id")
+    named = classes.join(parts, "id", "left").select("n", "c", "d", F.coalesce("component", "id").alias("component"))
+    return own.join(named, ["n", "c", "d"], "left").select("id", "n", F.coalesce("component", "id").alias("component"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents whose id names their component, so one of each group, with all their columns; rows that repeat an id and a text stay together."""
+    """The documents whose id names their component, so one of each group, with all their columns; rows that repeat an id and a text stay together.
+
+    Nulls are as in ``near_duplicates``: a document without words, or without an id and alone in its group, stays.
+    """
     own, kept = fresh_name(docs, "_id"), fresh_name(docs, "_kept")
     docs = docs.withColumn(own, ident(id_col, text_col))
     found = _grouped(docs.select(F.col(own).alias("id"), F.col(text_col).alias("text")), **options)

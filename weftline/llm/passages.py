@@ -14,15 +14,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import WordHashes, split_words, window_hashes
+from weftline.llm.common import Utf8, spans, window_hashes
 
 #: Documents without an id get one from here on, by their text; so they come after all others (ids are below it).
 NO_ID_FROM = 1 << 62
 
 
 def ident(id_col: str, text_col: str) -> Column:
-    """The id as a long; a null one is replaced by a number that depends on the text."""
-    return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID_FROM) + F.xxhash64(F.col(text_col)).bitwiseAND(F.lit(NO_ID_FROM - 1)))
+    """The id as a long; a null one is replaced by a number that depends on the text.
+
+    Ids are whole numbers under ``NO_ID_FROM``; a larger one, or one that makes no long, is an error.
+    """
+    own = F.col(id_col).cast("long")
+    own = F.when(own >= NO_ID_FROM, F.raise_error(F.lit("ids must be under 2 ** 62")).cast("long")).otherwise(own)
+    return F.coalesce(own, F.lit(NO_ID_FROM) + F.xxhash64(F.col(text_col)).bitwiseAND(F.lit(NO_ID_FROM - 1)))
 
 
 def real_id(c: str) -> Column:
@@ -33,14 +38,28 @@ def real_id(c: str) -> Column:
 class FlatWords:
     """Word hashes of a slice of documents in one array; row holds the document of each word, at its place there."""
 
-    def __init__(self, texts: list, hashes: WordHashes, lower: Callable[[str], str] | None = None):
-        words = [split_words(lower(t) if lower and t else t) for t in texts]
-        self.sizes = np.fromiter(map(len, words), np.int64, len(words))
-        self.words = hashes.of([w for ws in words for w in ws])
-        self.row = np.repeat(np.arange(len(texts)), self.sizes)
+    def __init__(self, column: pa.Array, lower: bool = False):
+        self.text = Utf8(column, lower)
+        self.begin, self.end = self.text.words()
+        self.words = self.text.hashes(self.begin, self.end)
+        self.sizes = self.text.per_text(self.begin)
+        self.row = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.at = np.arange(len(self.words)) - self.starts[self.row]
 
+    def joined(self, keep: np.ndarray) -> pa.Array:
+        """For each document the words that are kept, joined by one space."""
+        begin, size = self.begin[keep], self.end[keep] - self.begin[keep] + 1
+        out = self.text.raw[spans(begin, size)]
+        after = np.cumsum(size)
+        out[after - 1] = 32
+        per = np.bincount(self.row[keep], minlength=len(self.sizes))
+        ends = np.concatenate([[0], after])[np.cumsum(per)]
+        full = np.ones(len(out), bool)
+        full[ends[per > 0] - 1] = False
+        offsets = np.concatenate([[0], ends - np.cumsum(per > 0)])
+        return pa.Array.from_buffers(pa.large_string(), len(per), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(out[full]))]).cast(pa.string())
+
     def windows(self, width: int) -> np.ndarray:
         """Flat positions at which a window of this width starts and ends in one document."""
         n = len(self.words) - width + 1

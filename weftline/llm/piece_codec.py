@@ -19,10 +19,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from weftline.llm.common import Segments, fresh_name, slices, spans, with_columns
+from weftline.llm.common import SpanMemo, Utf8, fresh_name, slices, spans, with_columns
 
 SPACE = "▁"
 ROUNDS = 48
@@ -82,40 +83,29 @@ class PieceCodec:
         self.out_at = np.cumsum(self.out_len) - self.out_len
         self.out = np.frombuffer(b"".join(text), np.uint8)
         self.leads = np.array([p.startswith(SPACE) and not self.control[i] for i, p in enumerate(names)])
-        self.memo = Segments(self._encode_segments)
+        self.memo = SpanMemo(self._encode_segments)
 
     # -- encoding ---------------------------------------------------------
 
-    def segments(self, text: str | None) -> list[str]:
-        """Pieces never hold a space after another character, so a text falls into independent segments.
+    def segments(self, text: Utf8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where independent segments begin and end, and which of them open a text.
 
-        A segment ``x`` stands for a space and ``x``; one that starts with a
-        line feed or with the space symbol stands for itself.
+        Pieces never hold a space after another character, so a segment begins
+        at the first of each run of spaces, at line feeds, and where a text
+        does; there the library adds a space.
         """
-        if not text:
-            return []
-        if SPACE in text:
-            text = text.replace(SPACE, " ")
-        if self.splits_lines and "\n" in text:
-            text = text.replace("\n", " \n")
-        parts = text.split(" ")
-        if "" not in parts:
-            return parts
-        out, run = [], 0
-        for p in parts:
-            if not p:
-                run += 1
-            elif not run:
-                out.append(p)
-            else:
-                if self.splits_lines and p[0] == "\n":
-                    out += [SPACE * run, p]
-                else:
-                    out.append(SPACE * (run + 1) + p)
-                run = 0
-        if run:
-            out.append(SPACE * run)
-        return out
+        raw = text.raw[: text.n]
+        space = raw == 32
+        starts = space.copy()
+        starts[1:] &= ~space[:-1]
+        if self.splits_lines:
+            starts |= raw == 10
+        opens = text.opens()
+        starts[opens] = True
+        begin = np.flatnonzero(starts)
+        first = np.zeros(text.n, np.uint64)
+        first[opens] = 1
+        return begin, np.append(begin[1:], text.n)[: len(begin)], first[begin]
 
     def _index_pairs(self) -> None:
         """An open-addressed table of the pairs, at most a quarter full."""
@@ -145,8 +135,8 @@ class PieceCodec:
             open_, key, slot = open_[on], key[on], (slot[on] + 1) & ((1 << self.bits) - 1)
         return rank, piece
 
-    def _encode_segments(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        plain = [s if s[0] == SPACE or (self.splits_lines and s[0] == "\n") else SPACE + s for s in segments]
+    def _encode_segments(self, segments: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
+        plain = [(SPACE + s if opens else s).replace(" ", SPACE) for s, opens in segments]
         sizes = np.fromiter(map(len, plain), np.int64, len(plain))
         symbols = self.symbol[np.frombuffer("".join(plain).encode("utf-32-le"), np.uint32)]
         word = np.repeat(np.arange(len(plain)), sizes)
@@ -235,9 +225,12 @@ class PieceCodec:
             symbols, word = flat, np.repeat(word, reps)
         return symbols.astype(np.int32), np.bincount(word, minlength=n)
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in one array, and how many each has."""
-        return self.memo.expand([self.segments(t) for t in texts])
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and how many each has; null texts have none."""
+        if len(column) and pc.any(pc.match_substring(column, SPACE)).as_py():
+            column = pc.replace_substring(column, SPACE, " ")
+        text = Utf8(column)
+        return self.memo.expand(text, *self.segments(text))
 
     # -- decoding ---------------------------------------------------------
 
@@ -302,7 +295,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "
 
     def make():
         table = codec(model)
-        return lambda texts: [_lists(*table.encode(texts))]
+        return lambda column: [_lists(*table.encode(column))]
 
     return with_columns(docs, text_col, [T.StructField(ids_col, T.ArrayType(T.IntegerType()))], make, TEXT_SLICE)
 
@@ -312,13 +305,16 @@ def _lists(ids: np.ndarray, counts: np.ndarray) -> pa.ListArray:
 
 
 def round_trip(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
-    """Add the ids of each whole text and the text that they decode to, as ``decode(encode(docs))`` does, by one worker a task."""
+    """Add the ids of each whole text and the text that they decode to, as ``decode(encode(docs))`` does, by one worker a task.
+
+    A null or empty text has no ids and decodes to an empty one.
+    """
 
     def make():
         table = codec(model)
 
-        def step(texts: list) -> list:
-            ids, counts = table.encode(texts)
+        def step(column: pa.Array) -> list:
+            ids, counts = table.encode(column)
             return [_lists(ids, counts), pa.array(table.decode(ids, counts), pa.string())]
 
         return step

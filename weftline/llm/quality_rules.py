@@ -13,14 +13,18 @@ neither its language nor its script has enough documents, none is.
 from __future__ import annotations
 
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
-from weftline.llm.common import WordHashes, cut_lineage, fresh_name, mix, split_words, window_hashes, with_columns, written
+from weftline.llm.common import cut_lineage, fresh_name, mix, split_words, window_hashes, with_columns, written
+from weftline.llm.passages import FlatWords
 from weftline.llm.piece_codec import TEXT_SLICE, codec
 
 BLOCK = 64
@@ -39,19 +43,35 @@ FIELDS = [
     T.StructField("blocks", LONG),
     T.StructField("script", T.StringType()),
 ]
-_SCRIPTS = [(name, regex.compile(rf"\p{{Script={name}}}")) for name in ("Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Devanagari", "Thai", "Hangul", "Hiragana", "Katakana", "Han")]
-_MORE = "Ethiopic Armenian Georgian Bengali Gurmukhi Gujarati Oriya Tamil Telugu Kannada Malayalam Sinhala Lao Tibetan Myanmar Khmer Mongolian Syriac Thaana Cherokee".split()
-_MORE_SCRIPTS = [(name, regex.compile(rf"\p{{Script={name}}}")) for name in _MORE]
-_ANY_MORE = regex.compile("[" + "".join(rf"\p{{Script={name}}}" for name in _MORE) + "]")
-
-
-def script_of(text: str) -> str:
-    """The script of most letters; texts of ASCII letters alone are Latin."""
-    if text.isascii():
-        return "Latin"
-    scripts = _SCRIPTS + _MORE_SCRIPTS if _ANY_MORE.search(text) else _SCRIPTS
-    counts = [(len(p.findall(text)), name) for name, p in scripts]
-    return max(counts, key=lambda x: x[0])[1] if any(n for n, _ in counts) else "Other"
+# The scripts that are told apart, in the order that decides ties.
+SCRIPTS = "Latin Cyrillic Greek Arabic Hebrew Devanagari Thai Hangul Hiragana Katakana Han Ethiopic Armenian Georgian Bengali Gurmukhi Gujarati Oriya Tamil Telugu Kannada Malayalam Sinhala Lao Tibetan Myanmar Khmer Mongolian Syriac Thaana Cherokee".split()
+#: Code points from here on have no script of the list.
+CODE_POINTS = 0x32000
+
+
+@lru_cache(maxsize=1)
+def _script_numbers() -> np.ndarray:
+    """For each code point the place of its script in the list, or the list's length."""
+    letters = [chr(c) for c in range(CODE_POINTS) if not 0xD800 <= c < 0xE000]
+    place = np.array([c for c in range(CODE_POINTS) if not 0xD800 <= c < 0xE000])
+    out = np.full(CODE_POINTS, len(SCRIPTS), np.uint8)
+    for k, name in enumerate(SCRIPTS):
+        for run in regex.finditer(rf"\p{{Script={name}}}+", "".join(letters)):
+            out[place[run.start() : run.end()]] = k
+    return out
+
+
+def scripts_of(column: pa.Array) -> list[str]:
+    """The script of most letters of each text; texts of ASCII characters alone are Latin, those without a script Other."""
+    table, out = _script_numbers(), []
+    for text in column.to_pylist():
+        if not text or text.isascii():
+            out.append("Latin")
+            continue
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        counts = np.bincount(table[np.minimum(points, CODE_POINTS - 1)], minlength=len(SCRIPTS) + 1)[:-1]
+        out.append(SCRIPTS[int(counts.argmax())] if counts.any() else "Other")
+    return out
 
 
 def repeat_words(words: list[str]) -> int:
@@ -65,34 +85,63 @@ def repeat_words(words: list[str]) -> int:
     return total
 
 
+_SYMBOL = np.zeros(256, bool)
+_SYMBOL[[ord(c) for c in SYMBOLS]] = True
+
+
+def _per_text(marks: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many of the marked bytes each text has."""
+    return np.diff(np.concatenate([[0], np.cumsum(marks)])[bounds])
+
+
+def _repeated_lines(flat: FlatWords) -> np.ndarray:
+    """Per text the lines with a word that equal an earlier line of it."""
+    text = flat.text
+    feeds = text.raw[: text.n] == 10
+    edges = np.zeros(text.n + 1, bool)
+    edges[1:] = feeds
+    edges[text.opens()] = True
+    begin = np.flatnonzero(edges[:-1])
+    last = np.zeros(text.n + 1, bool)
+    last[text.bounds[1:]] = True
+    ends = np.flatnonzero(feeds | last[1:]) + 1
+    end = ends - feeds[ends - 1]
+    held = np.searchsorted(flat.begin, end) > np.searchsorted(flat.begin, begin)
+    begin, end = begin[held], end[held]
+    row = np.searchsorted(text.bounds[1:], begin, "right")
+    _, first = np.unique(text.hashes(begin, end, 41) ^ mix(row.astype(np.uint64), 43), return_index=True)
+    n = len(text.bounds) - 1
+    return np.bincount(row, minlength=n) - np.bincount(row[first], minlength=n)
+
+
 def _measure(model: str):
-    table, hashes = codec(model), WordHashes(150_000)
+    table = codec(model)
     line_feed = table.byte_id[10]
 
-    def step(texts: list) -> list:
-        texts = [t or "" for t in texts]
-        words = [split_words(t) for t in texts]
-        sizes = np.array([len(w) for w in words], np.int64)
-        row = np.repeat(np.arange(len(texts)), sizes)
-        flat = hashes.of([w for ws in words for w in ws])
+    def step(column: pa.Array) -> list:
+        flat = FlatWords(column)
+        sizes, row, n_texts = flat.sizes, flat.row, len(column)
         # Hashes find the texts that may repeat a window; those texts are then counted by their words.
-        windows = window_hashes(flat, 5)
+        windows = window_hashes(flat.words, 5)
         inside = row[: len(windows)] == row[4:] if len(windows) else np.empty(0, bool)
         owner = row[: len(windows)][inside]
         keys, first, count = np.unique(windows[inside] ^ mix(owner.astype(np.uint64), 7), return_index=True, return_counts=True)
-        suspects = set(owner[first[count > 1]].tolist())
-        repeats = [repeat_words(ws) if i in suspects else 0 for i, ws in enumerate(words)]
-        dup_lines = []
-        for t in texts:
-            lines = [x for x in t.split("\n") if x.strip(" \t\x0b\x0c\r")]
-            dup_lines.append(len(lines) - len(set(lines)))
-
-        ids, counts = table.encode(texts)
-        owner = np.repeat(np.arange(len(texts)), counts)
+        repeats = np.zeros(n_texts, np.int64)
+        for i in set(owner[first[count > 1]].tolist()):
+            repeats[i] = repeat_words(split_words(column[i].as_py()))
+        dup_lines = _repeated_lines(flat)
+        text = flat.text
+        raw = text.raw[: text.n]
+        points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+        chars = np.bincount(row, points[flat.end] - points[flat.begin], minlength=n_texts).astype(np.int64)
+        symbols = _per_text(_SYMBOL[raw], text.bounds)
+
+        ids, counts = table.encode(column)
+        owner = np.repeat(np.arange(n_texts), counts)
         # Line feeds and spaces between words are layout, not tokens of the language.
         real = ids != line_feed
         ids, owner = ids[real], owner[real]
-        n = np.bincount(owner, minlength=len(texts))
+        n = np.bincount(owner, minlength=n_texts)
         starts = np.cumsum(n) - n
         blocks = np.maximum(1, n // BLOCK)
         place = np.minimum((np.arange(len(ids)) - starts[owner]) // BLOCK, blocks[owner] - 1)
@@ -103,11 +152,9 @@ def _measure(model: str):
         at = seen // table.size
         share = count / total[at]
         bits = np.bincount(at, -share * np.log2(share), minlength=len(total)) / np.log2(np.maximum(total, 2))
-        entropy = np.add.reduceat(bits, first_block) / blocks if len(texts) else np.empty(0)
-        byte = np.bincount(owner, table.is_byte[ids], minlength=len(texts)) / np.maximum(n, 1)
-        chars = np.array([sum(map(len, w)) for w in words], np.int64)
-        symbols = [sum(map(t.count, SYMBOLS)) for t in texts]
-        return [sizes, chars, symbols, dup_lines, repeats, n, chars / np.maximum(n, 1), byte, entropy, blocks, [script_of(t) for t in texts]]
+        entropy = np.round(np.add.reduceat(bits, first_block) / blocks, 9) if n_texts else np.empty(0)
+        byte = np.bincount(owner, table.is_byte[ids], minlength=n_texts) / np.maximum(n, 1)
+        return [sizes, chars, symbols, dup_lines, repeats, n, chars / np.maximum(n, 1), byte, entropy, blocks, scripts_of(column)]
 
     return step
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import WordHashes, mix, slices, spans, split_words, window_hashes
+from weftline.llm.common import Utf8, mix, slices, spans, window_hashes
 from weftline.llm.passages import RUN_ROWS, FlatWords, by_shard, covered, ident, ids_of, merge_runs, packed, packed_schema, real_id, run_rows, runs, shard_count, spans_of
 
 WIDTH, GRAM = 50, 16
@@ -50,7 +50,7 @@ def repeated_marks(docs: DataFrame, width: int, gram: int, id_col: str, text_col
     shards = shard_count(docs)
 
     def partition(batches):
-        hashes, held, n = WordHashes(), [], 0
+        held, n = [], 0
 
         def flush():
             if held:
@@ -59,7 +59,7 @@ def repeated_marks(docs: DataFrame, width: int, gram: int, id_col: str, text_col
                 yield from packed((grams % np.uint64(shards)).astype(np.int64), shards, [grams, doc, at])
 
         for batch in slices(batches, text_col):
-            flat, ids = FlatWords(batch.column(text_col).to_pylist(), hashes), ids_of(batch.column(id_col))
+            flat, ids = FlatWords(batch.column(text_col)), ids_of(batch.column(id_col))
             marks, grams = _marks(flat, width, gram)
             held.append((grams, ids[flat.row[marks]], flat.at[marks].astype(np.int32)))
             n += len(marks)
@@ -150,7 +150,7 @@ def repeated_starts(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_co
         return list(runs(doc[rows], (at[rows] - taken).astype(np.int32)))
 
     def partition(batches):
-        hashes, held, n = WordHashes(), [], 0
+        held, n = [], 0
 
         def flush():
             if not held:
@@ -178,7 +178,7 @@ def repeated_starts(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_co
             yield from packed((grams[on] % np.uint64(shards)).astype(np.int64), shards, [grams[on], doc[on], at[on], raw[on]], kind=1)
 
         for batch in slices(batches, text_col, 1 << 20):
-            flat = FlatWords(batch.column(text_col).to_pylist(), hashes)
+            flat = FlatWords(batch.column(text_col))
             grams = window_hashes(flat.words, gram)
             for i, (doc, blobs) in enumerate(zip(batch.column("doc").to_pylist(), batch.column("runs").to_pylist())):
                 lo, size = int(flat.starts[i]), int(flat.sizes[i])
@@ -220,7 +220,8 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_
 
     def sizes(batches):
         for batch in slices(batches, "text"):
-            n = pa.array([len(split_words(t)) for t in batch.column("text").to_pylist()], pa.int64())
+            text = Utf8(batch.column("text"))
+            n = pa.array(text.per_text(text.words()[0]))
             yield pa.RecordBatch.from_arrays([batch.column("id"), n], names=["id", "n_words"])
 
     counted = docs.select(ident(id_col, text_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(sizes, "id long, n_words long")

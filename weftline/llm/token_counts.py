@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import Segments, cut_lineage, slices
+from weftline.llm.common import SpanMemo, Utf8, cut_lineage, slices
 
 #: Upper bound of the broadcast pre-tokens (12 bytes each).
 HOT_SHARE = 1 << 21
@@ -31,6 +31,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Below this code point the two libraries agree on letters, numbers and spaces; above, the tokenizer splits itself.
 PLAIN_BELOW = "ɐ"
 SLICE = 2 << 20
+#: First bytes of characters beyond ASCII among which there is white space.
+_SPACE_LEADS = np.zeros(256, bool)
+_SPACE_LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 class Splitter:
@@ -45,44 +48,32 @@ class Splitter:
         self.special = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))) if specials else None
         self.pattern = regex.compile(PATTERN)
         self.exotic = regex.compile(f"[{PLAIN_BELOW}-\U0010ffff]")
-        self.double = regex.compile(r"\s\s|^\s|\s$")
-        self.single = regex.compile(r"(?<=\S) (?=\S)")
 
     def pre_tokens(self, text: str) -> list[str]:
         if self.exotic.search(text):
             return [text[a:b] for _, (a, b) in self.lib.pre_tokenizer.pre_tokenize_str(text)]
         return self.pattern.findall(text)
 
-    def parts(self, text: str | None) -> tuple[list, int]:
-        """A text as independent parts, and the special tokens in it.
+    def parts(self, text: Utf8) -> tuple[np.ndarray, np.ndarray]:
+        """Where independent parts begin and end.
 
-        No pre-token crosses a single space between two other characters, but
-        it may begin with that space. A part ``x`` stands for a space and
-        ``x``, one that starts with a line feed for itself, and a tuple for the
-        text that opens a stretch.
+        No pre-token crosses a single space or line feed between two characters
+        that aren't white space, but it may begin with that space; so parts
+        begin there.
         """
-        if not text:
-            return [], 0
-        stretches, n = [text], 0
-        if self.special and self.special.search(text):
-            stretches = self.special.split(text)
-            n = len(stretches) - 1
-        out: list = []
-        for s in stretches:
-            if not s:
-                continue
-            if self.double.search(s):
-                own = self.single.split(s)
-            else:
-                own = (s.replace("\n", " \n") if "\n" in s else s).split(" ")
-            own[0] = (own[0],)
-            out += own
-        return out, n
-
-    def part_tokens(self, part) -> list[str]:
-        if isinstance(part, tuple):
-            return self.pre_tokens(part[0])
-        return self.pre_tokens(part if part[0] == "\n" else " " + part)
+        raw, n = text.raw, text.n
+        starts = np.zeros(n, bool)
+        opens = text.opens()
+        starts[opens] = True
+        at = np.flatnonzero((raw[:n] == 32) | (raw[:n] == 10))
+        at = at[(at > 0) & (at < n - 1)]
+        before, after = raw[at - 1], raw[at + 1]
+        inside = (before > 32) & (before != 127) & (after > 32) & (after != 127) & ~starts[at] & ~starts[at + 1]
+        # beyond ASCII, leads of characters that may be white space, and what such characters end in
+        inside &= ~_SPACE_LEADS[after] & ~((before >= 128) & (_SPACE_LEADS[raw[at - 2]] | _SPACE_LEADS[raw[at - 3]]))
+        starts[at[inside]] = True
+        begin = np.flatnonzero(starts)
+        return begin, np.append(begin[1:], n)[: len(begin)]
 
     def count(self, pieces: list[str]) -> list[int]:
         return [len(e.ids) for e in self.lib.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -94,27 +85,39 @@ def splitter(path: str) -> Splitter:
 
 
 class _PartNumbers:
-    """Parts to numbers of pre-tokens, which are kept as strings or as hashes."""
+    """Parts of texts to numbers of pre-tokens; texts with special tokens are cut at those first."""
 
     def __init__(self, split: Splitter):
-        self.split, self.parts = split, Segments(self._learn, bound=300_000)
+        self.split, self.memo = split, SpanMemo(self._learn)
         self.piece_number: dict[str, int] = {}
 
     def _learn(self, parts: list) -> tuple[np.ndarray, np.ndarray]:
         number, values, lengths = self.piece_number, [], []
-        for p in parts:
-            pieces = self.split.part_tokens(p)
+        for p, _ in parts:
+            pieces = self.split.pre_tokens(p)
             lengths.append(len(pieces))
             values += [number.setdefault(x, len(number)) for x in pieces]
         return np.array(values, np.int32), np.array(lengths, np.int64)
 
-    def expand(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if len(self.piece_number) > 600_000:
-            self.piece_number = {}
-            self.parts.clear()
-        split = [self.split.parts(t) for t in texts]
-        values, sizes = self.parts.expand([p for p, _ in split])
-        return values, sizes, np.array([n for _, n in split], np.int64)
+    def forget(self) -> None:
+        self.piece_number = {}
+        self.memo.clear()
+
+    def expand(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The numbers of all pre-tokens, how many each text has, and the special tokens in each."""
+        special = self.split.special
+        if special is None or not len(column) or not pc.any(pc.match_substring_regex(column, special.pattern)).as_py():
+            values, sizes = self._plain(column)
+            return values, sizes, np.zeros(len(column), np.int64)
+        cut = [special.split(t) if t else [""] for t in column.to_pylist()]
+        per = np.array([len(c) for c in cut], np.int64)
+        values, sizes = self._plain(pa.array([s for c in cut for s in c], pa.string()))
+        return values, np.add.reduceat(sizes, np.cumsum(per) - per), per - 1
+
+    def _plain(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        text = Utf8(column)
+        begin, end = self.split.parts(text)
+        return self.memo.expand(text, begin, end, np.zeros(len(begin), np.uint64))
 
 
 def piece_frequencies(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
@@ -129,13 +132,13 @@ def piece_frequencies(docs: DataFrame, tokenizer: str, text_col: str = "text") -
             names = list(numbers.piece_number)
             for lo in range(0, len(names), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(names[lo : lo + 50_000], pa.string()), pa.array(total[lo : lo + 50_000])], names=["piece", "freq"])
-            numbers.piece_number, total = {}, np.zeros(0, np.int64)
-            numbers.parts.clear()
+            total = np.zeros(0, np.int64)
+            numbers.forget()
 
         for batch in slices(batches, text_col, SLICE):
             if len(numbers.piece_number) > 400_000:
                 yield from flush()
-            values, _, _ = numbers.expand(batch.column(text_col).to_pylist())
+            values, _, _ = numbers.expand(batch.column(text_col))
             seen = np.bincount(values, minlength=len(numbers.piece_number))
             seen[: len(total)] += total
             total = seen
@@ -186,7 +189,9 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         numbers, (hot_keys, hot_n) = _PartNumbers(splitter(tokenizer)), shared.value
         owner, hashes, tokens = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in slices(batches, "text", SLICE):
-            values, sizes, specials = numbers.expand(batch.column("text").to_pylist())
+            if len(numbers.piece_number) > 600_000:
+                numbers.forget()
+            values, sizes, specials = numbers.expand(batch.column("text"))
             if numbers.piece_number is not owner:
                 owner, hashes, tokens = numbers.piece_number, hashes[:0], tokens[:0]
             names = list(islice(numbers.piece_number, len(hashes), None))

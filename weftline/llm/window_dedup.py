@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import WordHashes, mix, slices, split_words, window_hashes
+from weftline.llm.common import mix, slices, window_hashes
 from weftline.llm.passages import RUN_ROWS, FlatWords, by_shard, covered, ident, ids_of, packed, packed_schema, real_id, run_rows, runs, shard_count, spans_of
 
 WIDTH, GRAM = 50, 25
@@ -64,7 +64,7 @@ def sketch(docs: DataFrame, bits: int, width: int = WIDTH, gram: int = GRAM, tex
     per_slice = (1 << bits) // SLICES
 
     def partition(batches):
-        hashes, held, n = WordHashes(), [[] for _ in range(DEPTH)], 0
+        held, n = [[] for _ in range(DEPTH)], 0
 
         def flush():
             for r in range(DEPTH):
@@ -74,7 +74,7 @@ def sketch(docs: DataFrame, bits: int, width: int = WIDTH, gram: int = GRAM, tex
                 held[r].clear()
 
         for batch in slices(batches, text_col):
-            flat = FlatWords(batch.column(text_col).to_pylist(), hashes)
+            flat = FlatWords(batch.column(text_col))
             starts, anchors = _anchors(flat, width, gram)
             for r, cells in enumerate(_once_per_document(flat.row[starts], anchors, bits)):
                 held[r].append(cells)
@@ -134,7 +134,7 @@ def repeated_starts(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_co
         return by[later], by[~later]
 
     def partition(batches):
-        hashes, rows, held, n = WordHashes(), shared.value, [], 0
+        rows, held, n = shared.value, [], 0
 
         def flush():
             if not held:
@@ -148,7 +148,7 @@ def repeated_starts(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_co
             yield from packed(shard, shards, [h1[on], h2[on], doc[on], start[on]], kind=1)
 
         for batch in slices(batches, text_col):
-            flat, ids = FlatWords(batch.column(text_col).to_pylist(), hashes), ids_of(batch.column(id_col))
+            flat, ids = FlatWords(batch.column(text_col)), ids_of(batch.column(id_col))
             starts, anchors = _anchors(flat, width, gram)
             often = np.ones(len(starts), bool)
             for r in range(DEPTH):
@@ -196,21 +196,15 @@ def dedup_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col:
 
     def finish(batches):
         for batch in slices(batches, text_col):
-            n, removed, spans, kept = [], [], [], []
-            for text, blobs in zip(batch.column(text_col).to_pylist(), batch.column("runs").to_pylist()):
-                words = split_words(text)
-                n.append(len(words))
-                if not blobs:
-                    removed.append(0)
-                    spans.append([])
-                    kept.append(" ".join(words))
-                    continue
-                mask = covered(blobs, width, len(words))
-                removed.append(int(mask.sum()))
-                spans.append([{"start": a, "end": b} for a, b in spans_of(mask)])
-                kept.append(" ".join([w for w, gone in zip(words, mask.tolist()) if not gone]))
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), *(pa.array(x, k) for x, k in zip((n, removed, spans, kept), kinds))], names=[id_col, "n_words", "n_removed", "spans", "kept_text"])
+            flat = FlatWords(batch.column(text_col))
+            gone, spans = np.zeros(len(flat.words), bool), []
+            for start, n, blobs in zip(flat.starts.tolist(), flat.sizes.tolist(), batch.column("runs").to_pylist()):
+                if blobs:
+                    gone[start : start + n] = covered(blobs, width, n)
+                spans.append([{"start": a, "end": b} for a, b in spans_of(gone[start : start + n])] if blobs else [])
+            removed = np.bincount(flat.row[gone], minlength=len(flat.sizes))
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(flat.sizes), pa.array(removed), pa.array(spans, kind), flat.joined(~gone)], names=[id_col, "n_words", "n_removed", "spans", "kept_text"])
 
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     fields = [T.StructField(id_col, T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span), T.StructField("kept_text", T.StringType())]
