@@ -392,6 +392,50 @@ def test_main_text(spark):
     assert found[9] == "deep" and main_text.extract(df.limit(0)).columns == ["page_id", "url", "html", "text"]
 
 
+LINKS = "<div><p><a>Home</a> <a>Next story</a> <a>Buy now</a></p><ul><li><a href=x>More of it</a></li><li><a>Other things</a></li></ul></div>"
+STORY = "<div><h2>Head</h2><p>A first paragraph of some length, with stops. And more of it, so it counts.</p><p>A second one, as long as the first is, or so. Yes, indeed.</p><p>Short.</p></div>"
+
+
+def test_scores_select_blocks_without_names_that_help(monkeypatch):
+    want = "Head\nA first paragraph of some length, with stops. And more of it, so it counts.\nA second one, as long as the first is, or so. Yes, indeed.\nShort."
+    page = f"<body>{LINKS}<div>{STORY}{LINKS}</div><div>Some words</div></body>"
+    assert main_text.main_text(page) == want
+    assert main_text.main_text(f"<article>{LINKS}{STORY}</article>") == want
+    assert main_text.main_text(f"<body><div class='page has-sidebar'><form>{STORY}</form></div><div class='sidebar'><p>Side words, here.</p></div></body>") == want
+    assert main_text.main_text(f"<div><article>{STORY}</article><div id=comments><article class=comment><p>{'A long comment, with much text. ' * 30}</p></article></div></div>") == want
+    import numpy as np
+
+    monkeypatch.setattr(main_text, "path_scores", lambda path, *rest: np.ones(path.max() + 1))
+    assert main_text.main_text(page) != want and main_text.main_text(f"<article>{LINKS}{STORY}</article>") != want
+
+
+def test_path_scores_equal_plain_python():
+    import numpy as np
+
+    rng = random.Random(12)
+    for _ in range(50):
+        n = rng.randrange(1, 30)
+        path = np.unique([rng.randrange(6) for _ in range(n)], return_inverse=True)[1]
+        length, punct = [rng.randrange(1, 90) for _ in range(n)], [rng.randrange(5) for _ in range(n)]
+        linked = [x if rng.random() < 0.3 else 0 for x in length]
+        of = {p: [i for i in range(n) if path[i] == p] for p in set(path.tolist())}
+        mean = lambda x: [sum(x[j] for j in of[path[i]]) / len(of[path[i]]) for i in range(n)]  # noqa: B023, E731
+        smooth = lambda x: [0.25 * x[max(i - 1, 0)] + 0.5 * x[i] + 0.25 * x[min(i + 1, n - 1)] for i in range(n)]  # noqa: B023, E731
+        fused = mean([a * (1 + b) for a, b in zip(smooth(mean(length)), smooth(mean(punct)))])
+        want = {p: fused[of[p][0]] * max(0, 1 - 2 * sum(linked[i] for i in of[p]) / sum(length[i] for i in of[p])) for p in of}
+        found = main_text.path_scores(path, np.array(length), np.array(punct), np.array(linked))
+        assert found.tolist() == pytest.approx([want[p] for p in sorted(want)])
+
+
+def test_deep_pages_cost_no_more_than_flat_ones():
+    import time
+
+    began = time.perf_counter()
+    assert main_text.main_text("<div>x" * 8000).count("x") == 8000
+    main_text.main_text("<b>" * 8000 + "<div></div>" * 8000 + "</q>" * 8000 + "x")
+    assert time.perf_counter() - began < 2
+
+
 # -- 8 ---------------------------------------------------------------------
 
 

@@ -1,11 +1,20 @@
 """Main text of web pages by tag-path ratios.
 
-Each text node has the path of tags from the root to it. Text length and
-punctuation are added up per path, divided by the nodes on it, smoothed over
-the nodes in page order, and fused into one score per path. Paths above a
-share of the best score hold content; the smallest element around them is the
-article, and each of its blocks is kept, short ones too. Elements that are
-never article text (menus, forms, adverts and so on) have no nodes at all.
+Each text node has the path of block tags (with their classes) from the root to
+it. Text length, punctuation and linked text are added up per path and divided
+by the nodes on it; length and punctuation are smoothed over the nodes in page
+order and fused into one score per path, which linked text lowers to nothing.
+
+The scores decide twice. Paths above ``SHARE`` of the best score are strong;
+the smallest element that holds ``MASS`` of their text is the article (grown to
+the ``article`` or ``main`` around it, and to a parent where it is one block).
+Within it the blocks on paths under ``LEAST_SHARE`` of the best score go: menus
+and other blocks of links, whatever they are called.
+
+Names decide less. Elements that by name, class or role are never article text
+(menus, forms, adverts, comments and so on) are marked, and go with all they
+hold, unless they hold an ``article`` or ``main`` that isn't marked itself, or
+nearly all strong text of the page where they are mere wrappers.
 """
 
 from __future__ import annotations
@@ -19,16 +28,21 @@ from pyspark.sql import types as T
 
 from weftline.llm.common import with_columns
 
-#: Part of the best path score that a path needs.
-SHARE = 0.1
+#: Parts of the best path score that make a path strong, and that a block inside the article needs.
+SHARE, LEAST_SHARE = 0.1, 0.0005
+#: Part of the strong text that the article holds, and that a marked wrapper must hold to stay.
+MASS, WRAPPER = 0.8, 0.75
+#: Weight of strong text inside an article or main element.
+SEMANTIC = 1.5
 # Element names of HTML by what they mean for text.
 RAW = "script|style|noscript|template|iframe|svg|math|canvas|object|textarea|select|title|xmp|noembed|noframes"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 NEVER = frozenset("head nav footer aside form button menu dialog fieldset legend audio video map".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar side rail footer masthead topbar comment comments commentlist disqus respond reply replies "
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
+WORDS = COMMENTS | frozenset(
+    "ad ads advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar side rail footer masthead topbar "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget pagination pager copyright legal disclaimer toolbar search tags skip hidden".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
@@ -40,125 +54,194 @@ _PUNCT = re.compile(r"[.,;:!?…、。，；：！？]")
 _SPACE = re.compile(r"\s+")
 
 
-def _unwanted(name: str, attrs: str, in_article: bool) -> bool:
-    if name in NEVER or (name == "header" and not in_article):
-        return True
-    if not attrs or name in ("html", "body", "article", "main"):
-        return False
+_SAME = {"td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
+#: Marks of an element: none, one that a wrapper may have by chance, one that only a real article inside lifts.
+CLEAR, LOOSE, FIRM = 0, 1, 2
+
+
+def _mark(name: str, attrs: str, in_article: bool) -> int:
+    if name in ("nav", "footer", "aside") or (name == "header" and not in_article):
+        return FIRM
+    mark = LOOSE if name in NEVER else CLEAR
+    if not attrs or name in ("html", "body"):
+        return mark
     for key, a, b, c in _ATTR.findall(attrs):
         key, value = key.lower(), (a or b or c).lower()
         if key in ("class", "id"):
             tokens = _TOKEN.findall(value)
-            if not WORDS.isdisjoint(tokens) or ("header" in tokens and not in_article):
-                return True
+            if not COMMENTS.isdisjoint(tokens):
+                return FIRM
+            if name not in ("article", "main") and (not WORDS.isdisjoint(tokens) or ("header" in tokens and not in_article)):
+                mark = LOOSE
         if (key == "role" and value in ROLES) or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")) or (key == "hidden" and value in ("", "hidden")):
-            return True
-    return False
-
-
-def text_nodes(html: str) -> list[tuple[tuple[str, ...], int, str]]:
-    """(tag path, block number, text) of each text node that may be article text."""
-    nodes, stack, block, bad, at = [], [], 0, 0, 0
-
-    def pop() -> None:
-        nonlocal bad, block
-        name, _, was_bad = stack.pop()
-        bad -= was_bad
-        if name not in INLINE:
-            block += 1
-
-    def text(raw: str) -> None:
-        if not bad and raw:
-            raw = unescape(raw) if "&" in raw else raw
-            nodes.append((tuple(s[1] for s in stack), block, raw))
-
-    for m in _TAG.finditer(html):
-        if m.start() > at:
-            text(html[at : m.start()])
-        at = m.end()
-        name = m["name"]
-        if not name:
-            continue
-        name = name.lower()
-        if m["end"]:
-            if any(s[0] == name for s in stack):
-                while stack[-1][0] != name:
-                    pop()
-                pop()
-            elif name not in INLINE:
+            mark = max(mark, LOOSE)
+    return mark
+
+
+class Page:
+    """Elements (parent, name, path and mark) and text nodes (element, block, text, linked) of one page, in page order.
+
+    Elements and paths are numbered, a path by its parent's and its own label,
+    so deep nesting costs no more than flat pages.
+    """
+
+    def __init__(self, html: str):
+        self.parent, self.name, self.path, self.mark = [-1], [""], [0], [CLEAR]
+        self.nodes: list[tuple[int, int, str, bool]] = []
+        numbers: dict[tuple[int, str], int] = {}
+        open_: list[tuple[str, int]] = []  # names of open elements with the element their text belongs to
+        outer: list[str] = []  # names of the open elements that aren't inline
+        count: dict[str, int] = {}
+        block, at, here = 0, 0, 0
+
+        def pop() -> None:
+            nonlocal block, here
+            name, here = open_.pop()
+            count[name] -= 1
+            if name not in INLINE:
+                outer.pop()
                 block += 1
-            continue
-        if name == "br":
-            text(" ")
-            continue
-        if name in VOID:
-            block += name == "hr"
-            continue
-        if name not in INLINE:
-            block += 1
-        if name in CLOSES_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    while len(stack) > k:
+
+        def text(raw: str) -> None:
+            if raw:
+                self.nodes.append((here, block, unescape(raw) if "&" in raw else raw, count.get("a", 0) > 0))
+
+        for m in _TAG.finditer(html):
+            if m.start() > at:
+                text(html[at : m.start()])
+            at = m.end()
+            name = m["name"]
+            if not name:
+                continue
+            name = name.lower()
+            if m["end"]:
+                if count.get(name):
+                    while open_[-1][0] != name:
                         pop()
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-        if name in ("li", "td", "th", "tr", "dt", "dd", "option"):
-            same = {"td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}.get(name, (name,))
-            if stack and stack[-1][0] in same:
+                    pop()
+                elif name not in INLINE:
+                    block += 1
+                continue
+            if name == "br":
+                text(" ")
+                continue
+            if name in VOID:
+                block += name == "hr"
+                continue
+            inline = name in INLINE
+            if not inline:
+                block += 1
+            if outer and ((name in CLOSES_P and outer[-1] == "p") or (open_[-1][0] in _SAME.get(name, (name,)) and name in ("li", "td", "th", "tr", "dt", "dd", "option"))):
+                ends = "p" if outer[-1] == "p" and name in CLOSES_P else open_[-1][0]
+                while open_[-1][0] != ends:
+                    pop()
                 pop()
-        attrs = m["attrs"]
-        if attrs.endswith("/") and name not in ("html", "body", "article", "main", "section", "div", "p"):
-            continue
-        wrong = (name in NEVER or name == "header" or attrs != "") and _unwanted(name, attrs, any(s[0] in ("article", "main") for s in stack))
-        kind = next((a or b or c for key, a, b, c in _ATTR.findall(attrs) if key.lower() == "class"), "") if attrs else ""
-        stack.append((name, f"{name}.{kind}" if kind else name, wrong))
-        bad += wrong
-    if at < len(html):
-        text(html[at:])
-    return nodes
+            attrs = m["attrs"]
+            if attrs.endswith("/") and name not in ("html", "body", "article", "main", "section", "div", "p"):
+                continue
+            open_.append((name, here))
+            count[name] = count.get(name, 0) + 1
+            if not inline:
+                outer.append(name)
+            plain = attrs == ""
+            mark = CLEAR if plain and name not in NEVER and name != "header" else _mark(name, attrs, bool(count.get("article") or count.get("main")))
+            if inline and mark == CLEAR:
+                continue
+            kind = "" if plain else next((a or b or c for key, a, b, c in _ATTR.findall(attrs) if key.lower() == "class"), "")
+            self.path.append(self.path[here] if inline else numbers.setdefault((self.path[here], f"{name}.{kind}"), len(numbers) + 1))
+            self.parent.append(here)
+            self.name.append(name)
+            self.mark.append(mark)
+            here = len(self.parent) - 1
+        if at < len(html):
+            text(html[at:])
+
+
+def path_scores(path: np.ndarray, length: np.ndarray, punct: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """The score of each path, from each node's path, text length, punctuation and linked length, in page order."""
+    count = np.maximum(np.bincount(path), 1)
+    per = lambda x: np.bincount(path, x) / count
+    kernel = np.array([0.25, 0.5, 0.25])
+    smooth = lambda x: np.convolve(np.pad(per(x)[path], 1, mode="edge"), kernel, "valid")
+    share = np.bincount(path, linked) / np.maximum(np.bincount(path, length), 1)
+    return per(smooth(length) * (1 + smooth(punct))) * np.maximum(0.0, 1 - 2 * share)
+
+
+def _subtree(parent: list[int], own: np.ndarray) -> np.ndarray:
+    """The sum over each element and all inside it; parents have smaller numbers."""
+    out = own.tolist()
+    for e in range(len(out) - 1, 0, -1):
+        out[parent[e]] += out[e]
+    return np.array(out)
 
 
 def main_text(html: str | None) -> str:
-    nodes = text_nodes(html) if html else []
-    real = [i for i, n in enumerate(nodes) if not n[2].isspace()]
+    """The article of a whole page; empty for a null or empty page, and for one without text."""
+    page = Page(html) if html else None
+    real = [n for n in page.nodes if not n[2].isspace()] if page else []
     if not real:
         return ""
-    outer = lambda path: tuple(t for t in path if t.split(".")[0] not in INLINE)
-    paths = [outer(nodes[i][0]) for i in real]
-    number = {p: k for k, p in enumerate(dict.fromkeys(paths))}
-    of = np.array([number[p] for p in paths])
-    count = np.bincount(of)
-    length = np.bincount(of, [len(nodes[i][2]) for i in real]) / count
-    punct = np.bincount(of, [len(_PUNCT.findall(nodes[i][2])) for i in real]) / count
-    kernel = np.array([0.25, 0.5, 0.25])
-    smooth = lambda x: np.convolve(np.pad(x[of], 1, mode="edge"), kernel, "valid")
-    fused = smooth(length) * (1 + smooth(punct))
-    score = np.bincount(of, fused) / count * np.minimum(1.0, length / max(length.max(), 1) + SHARE)
-    semantic = np.array([any(t.split(".")[0] in ("article", "main") for t in p) for p in number])
-    if semantic.any():
-        score = np.where(semantic, score, 0)
-    content = [p for p, k in number.items() if score[k] >= SHARE * score.max()]
-    around = content[0]
-    for p in content[1:]:
-        same = 0
-        while same < min(len(p), len(around)) and p[same] == around[same]:
-            same += 1
-        around = around[:same]
-    tops = [k for k, t in enumerate(around) if t.split(".")[0] in ("article", "main")]
-    if tops:
-        around = around[: tops[-1] + 1]
-    elif len(content) == 1 and len(around) > 1:
-        around = around[:-1]
-    blocks: dict[int, list[str]] = {}
-    for path, block, text in nodes:
-        if outer(path)[: len(around)] == around:
-            blocks.setdefault(block, []).append(text)
-    lines = (_SPACE.sub(" ", "".join(parts)).strip() for parts in blocks.values())
+    element = np.array([n[0] for n in real])
+    _, path = np.unique(np.array(page.path)[element], return_inverse=True)
+    length = np.array([len(n[2].strip()) for n in real])
+    punct = np.array([len(_PUNCT.findall(n[2])) for n in real])
+    linked = np.where([n[3] for n in real], length, 0)
+    score = path_scores(path, length, punct, linked)
+
+    # what names mark goes, unless an article or nearly all strong text is inside
+    n = len(page.parent)
+    weight = np.where(score[path] >= SHARE * score.max(), length, 0) if score.max() > 0 else length
+    held = _subtree(page.parent, np.bincount(element, weight, minlength=n))
+    semantic = np.array([name in ("article", "main") for name in page.name])
+    articles = _subtree(page.parent, (semantic & (np.array(page.mark) < FIRM)).astype(int))
+    gone, inside = np.zeros(n, bool), np.zeros(n, bool)
+    for e in range(1, n):
+        p = page.parent[e]
+        lifted = articles[e] > 0 or (page.mark[e] == LOOSE and held[e] >= WRAPPER * held[0] > 0)
+        gone[e] = gone[p] or (page.mark[e] and not lifted)
+        inside[e] = inside[p] or semantic[e]
+    stays = ~gone[element]
+    if not stays.any():
+        return ""
+    best = score[path[stays]].max()
+
+    strong = np.where(stays & (score[path] >= SHARE * best), length * np.where(inside[element], SEMANTIC, 1.0), 0.0)
+    mass = _subtree(page.parent, np.bincount(element, strong, minlength=n))
+    root = int(np.flatnonzero(mass >= MASS * mass[0])[-1]) if mass[0] else 0
+    around = root
+    while around and not semantic[around]:
+        around = page.parent[around]
+    if around:
+        root = around
+    elif root and page.name[root] not in ("body", "div", "section", "table"):
+        root = page.parent[root]
+    within = np.zeros(n, bool)
+    within[root] = True
+    for e in range(root + 1, n):
+        within[e] = within[page.parent[e]]
+    titles = [e for e in range(n) if page.name[e] == "h1" and not gone[e]]
+    if len(titles) == 1:  # a title above the article
+        within[titles[0]] = True
+
+    keep = {e for e in range(n) if within[e] and not gone[e]}
+    good = {p: score[k] >= LEAST_SHARE * best for p, k in zip(np.array(page.path)[element].tolist(), path.tolist())}
+    blocks: dict[int, list] = {}
+    for e, block, text, link in page.nodes:
+        if e in keep and good.get(page.path[e], True):
+            blocks.setdefault(block, []).append((text, link))
+    lines = []
+    for parts in blocks.values():
+        links = [t for t, link in parts if link and not t.isspace()]
+        # a block of several links and nothing else is a menu on whatever path
+        if len(links) > 1 and all(link or not any(map(str.isalnum, t)) for t, link in parts):
+            continue
+        lines.append(_SPACE.sub(" ", "".join(t for t, _ in parts)).strip())
     return "\n".join(x for x in lines if x)
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
-    """Add the main text of each whole page; a null or empty page, or one without text, has an empty one."""
+    """Add the main text of each whole page; a null or empty page, or one without text, has an empty one.
+
+    Repeated rows have a result each; other columns stay, one named like ``text_col`` is replaced.
+    """
     return with_columns(pages, html_col, [T.StructField(text_col, T.StringType())], lambda: lambda pages: [[main_text(x) for x in pages.to_pylist()]])
