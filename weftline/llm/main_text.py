@@ -7,7 +7,8 @@ order and fused into one score per path, which linked text lowers to nothing.
 
 The scores decide twice. Paths above ``SHARE`` of the best score are strong;
 the smallest element that holds ``MASS`` of their text is the article (grown to
-the ``article`` or ``main`` around it, and to a parent where it is one block).
+strong text right beside it, to the ``article`` or ``main`` around it, and to a
+parent where it is one block).
 Within it the blocks on paths under ``LEAST_SHARE`` of the best score go: menus
 and other blocks of links, whatever they are called.
 
@@ -30,8 +31,8 @@ from weftline.llm.common import with_columns
 
 #: Parts of the best path score that make a path strong, and that a block inside the article needs.
 SHARE, LEAST_SHARE = 0.1, 0.0005
-#: Part of the strong text that the article holds, and that a marked wrapper must hold to stay.
-MASS, WRAPPER = 0.8, 0.75
+#: Part of the strong text that the article holds, that a marked wrapper must hold to stay, and that stands beside an article to belong to it.
+MASS, WRAPPER, BESIDE = 0.8, 0.75, 0.05
 #: Weight of strong text inside an article or main element.
 SEMANTIC = 1.5
 # Element names of HTML by what they mean for text.
@@ -40,6 +41,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 NEVER = frozenset("head nav footer aside form button menu dialog fieldset legend audio video map".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+CONTAINERS = frozenset("body div section table tbody tr td main article".split())
 COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
 WORDS = COMMENTS | frozenset(
     "ad ads advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar side rail footer masthead topbar "
@@ -208,12 +210,20 @@ def main_text(html: str | None) -> str:
     strong = np.where(stays & (score[path] >= SHARE * best), length * np.where(inside[element], SEMANTIC, 1.0), 0.0)
     mass = _subtree(page.parent, np.bincount(element, strong, minlength=n))
     root = int(np.flatnonzero(mass >= MASS * mass[0])[-1]) if mass[0] else 0
+    # strong text that stands beside the root, not in a container of its own, is the article's too
+    flat = np.array([name not in CONTAINERS for name in page.name])
+    beside = np.bincount(element, strong, minlength=n) + np.bincount(np.array(page.parent)[element].clip(0), strong * flat[element], minlength=n)
+    over = root
+    while over:
+        over = page.parent[over]
+        if beside[over] >= BESIDE * mass[0] > 0:
+            root = over
     around = root
     while around and not semantic[around]:
         around = page.parent[around]
     if around:
         root = around
-    elif root and page.name[root] not in ("body", "div", "section", "table"):
+    elif root and flat[root]:
         root = page.parent[root]
     within = np.zeros(n, bool)
     within[root] = True
