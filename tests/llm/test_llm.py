@@ -121,6 +121,42 @@ def test_quality_figures_and_verdict(spark, docs, rows, empty):
     assert len(ids & set(range(60))) >= 58 and not ids & {100, 101, 102}
 
 
+def plain_verdicts(rows, least=quality_rules.LEAST_GROUP):
+    """kept per id, by sorting every figure of every group."""
+    good = [r for r in rows if not r["base_failed"] and r["n_tokens"]]
+    groups = collections.defaultdict(list)
+    for r in good:
+        for key in (("language", r["lang"]), ("script", r["script"])):
+            if key[1]:
+                groups[key].append(r)
+    step = lambda x, c: int(x * quality_rules.STEPS[c] // 1)
+    middle = lambda xs, c: sorted(step(x, c) for x in xs)[(len(xs) + 1) // 2 - 1] / quality_rules.STEPS[c]
+    spread = lambda r: min(r["blocks"], 8) ** 0.5
+    out = {}
+    for r in rows:
+        key = next((k for k in (("language", r["lang"]), ("script", r["script"])) if len(groups.get(k, ())) >= least), None)
+        odd = False
+        if key:
+            mid = {c: middle([x[c] for x in groups[key]], c) for c in quality_rules.STEPS}
+            wide = 1.4826 * middle([abs(x["entropy"] - mid["entropy"]) * spread(x) for x in groups[key]], "entropy") / spread(r)
+            bytes_ = 1.4826 * middle([abs(x["byte_share"] - mid["byte_share"]) for x in groups[key]], "byte_share")
+            stray, chars = r["entropy"] - mid["entropy"], r["chars_per_token"] / mid["chars_per_token"]
+            odd = r["byte_share"] > mid["byte_share"] + max(0.3, 4 * bytes_) or not 0.5 <= chars <= 2 or stray < -4 * wide or stray > 6 * wide
+        out[r["doc_id"]] = (not r["base_failed"] and not odd, key[0] if key else "none")
+    return out
+
+
+def test_verdicts_equal_plain_python_however_rows_are_dealt(spark):
+    rng = random.Random(5)
+    texts = [prose(rng, rng.randrange(5, 400)) for _ in range(150)] + [" ".join(f"{w} ###" for w in prose(rng, 60).split()) for _ in range(12)] + ["中文 文字 " * 20, "ሰላም ውሃ " * 9] + [" ".join("".join(rng.choice("bcdfghjkz") for _ in range(9)) for _ in range(60)) for _ in range(5)]
+    rows = [(k, t, rng.choice([*["en"] * 6, "fr", None, "", "xx"])) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = [quality_rules.assess(docs.repartition(n), PIECES).collect() for n in (1, 7, 64)]
+    judged = [{r["doc_id"]: (r["kept"], r["judged_by"]) for r in rows} for rows in found]
+    assert judged[0] == judged[1] == judged[2] == plain_verdicts(found[0])
+    assert {by for _, by in judged[0].values()} >= {"language", "script", "none"} and 0 < sum(k for k, _ in judged[0].values()) < len(rows)
+
+
 def test_texts_of_rare_languages_and_scripts_stay(spark):
     rng = random.Random(3)
     text = lambda words: " ".join(rng.choice(words) for _ in range(60))

@@ -28,12 +28,14 @@ from weftline.llm.passages import FlatWords
 from weftline.llm.piece_codec import TEXT_SLICE, codec
 
 BLOCK = 64
-#: Blocks beyond which a longer text no longer narrows its band.
+#: Defaults of the parameters that say how bands are made: blocks beyond which a longer text no longer narrows its band;
 MOST_BLOCKS = 8
-#: The languages with most documents have bands of their own, others those of their script; so there are at most this many bands and one per script.
+#: languages that have bands of their own, those with most documents (others have those of their script);
 MOST_GROUPS = 4096
-#: Languages and scripts with fewer documents than this have none, as their medians would be their junk's as soon as not.
+#: and documents a language or script needs for bands, as the medians of fewer would be their junk's as soon as not.
 LEAST_GROUP = 50
+#: Steps per unit of the grids on which medians are taken, so that they don't depend on how rows are dealt out.
+STEPS = {"chars_per_token": 500, "entropy": 20_000, "byte_share": 10_000}
 SYMBOLS = "#*$%&|<>"
 
 LONG, REAL = T.LongType(), T.DoubleType()
@@ -173,38 +175,60 @@ def _language(lang_col: str | None) -> Column:
     return F.nullif(F.col(lang_col), F.lit("")) if lang_col else F.lit(None).cast("string")
 
 
-def _spread() -> Column:
-    return F.sqrt(F.least(F.col("blocks"), F.lit(MOST_BLOCKS)))
+def _spread(most_blocks: int) -> Column:
+    return F.sqrt(F.least(F.col("blocks"), F.lit(most_blocks)))
 
 
-def bands(measured: DataFrame, lang_col: str | None = "lang") -> DataFrame:
-    """(level, group, mid_chars, mid_entropy, mid_bytes, width_entropy, width_bytes) per language (level 0) and per script (level 1) with enough documents.
+def _medians(rows: DataFrame) -> DataFrame:
+    """(level, group, figure, n, middle) of rows (level, group, figure, step): the least step that half of the rows of a group don't exceed.
 
-    Medians and median deviations over all documents that pass the base rules.
-    The deviation of the entropy is per block, as longer texts stray less.
+    Counts per step are added up before the shuffle, so a group, however
+    large, comes to a window with no more rows than its grid has steps.
     """
-    good = measured.where(~base_failed() & (F.col("n_tokens") > 0))
-    levels = F.array(F.struct(F.lit(0).alias("level"), _language(lang_col).alias("group")), F.struct(F.lit(1).alias("level"), F.col("script").alias("group")))
-    both = good.select(F.explode(levels).alias("of"), "chars_per_token", "entropy", "byte_share", _spread().alias("spread")).select("of.*", "chars_per_token", "entropy", "byte_share", "spread").where("group is not null")
-    middle = lambda c: F.percentile_approx(c, 0.5, 1000)
-    mid = both.groupBy("level", "group").agg(middle("chars_per_token").alias("mid_chars"), middle("entropy").alias("mid_entropy"), middle("byte_share").alias("mid_bytes"), F.count("*").alias("n")).where(F.col("n") >= LEAST_GROUP)
-    # at most MOST_GROUPS rows and the scripts
-    mid = mid.where("level = 1").union(mid.where("level = 0").orderBy(F.desc("n"), "group").limit(MOST_GROUPS)).drop("n")
-    off = F.abs(F.col("entropy") - F.col("mid_entropy")) * F.col("spread")
-    names = ("mid_chars", "mid_entropy", "mid_bytes")
-    width = both.join(F.broadcast(mid), ["level", "group"]).groupBy("level", "group")
-    return width.agg(*(F.first(c).alias(c) for c in names), (middle(off) * 1.4826).alias("width_entropy"), (middle(F.abs(F.col("byte_share") - F.col("mid_bytes"))) * 1.4826).alias("width_bytes"))
+    counts = rows.where("group is not null").groupBy("level", "group", "figure", "step").agg(F.count("*").alias("here"))
+    over = W.partitionBy("level", "group", "figure")
+    summed = counts.withColumn("upto", F.sum("here").over(over.orderBy("step"))).withColumn("n", F.sum("here").over(over))
+    return summed.where("2 * upto >= n").groupBy("level", "group", "figure").agg(F.min("step").alias("middle"), F.max("n").alias("n"))
 
 
-def judge(measured: DataFrame, limits: DataFrame, lang_col: str | None = "lang", deviations: float = 4.0, most_bytes: float = 0.3, chars_range: tuple[float, float] = (0.5, 2.0)) -> DataFrame:
-    """Add base_failed and kept.
+def bands(measured: DataFrame, lang_col: str | None = "lang", least_group: int = LEAST_GROUP, most_groups: int = MOST_GROUPS, most_blocks: int = MOST_BLOCKS) -> DataFrame:
+    """(level, group, n, mid_chars, mid_entropy, mid_bytes, width_entropy, width_bytes) per language (level 0) and per script (level 1) with at least ``least_group`` documents.
+
+    Medians and median deviations over all documents that pass the base rules,
+    on fixed grids, so that they are the same however the rows are dealt out.
+    The deviation of the entropy is per block, as longer texts stray less. Only
+    the ``most_groups`` largest languages have bands. No documents, or none
+    that pass, give no rows.
+    """
+    good = measured.where(~base_failed() & (F.col("n_tokens") > 0))
+    levels = F.array(F.struct(F.lit(0).alias("level"), _language(lang_col).alias("group")), F.struct(F.lit(1).alias("level"), F.col("script").alias("group")))
+    both = good.select(F.explode(levels).alias("of"), *STEPS, _spread(most_blocks).alias("spread")).select("of.*", *STEPS, "spread")
+    on_grid = lambda c, figure: F.struct(F.lit(figure).alias("figure"), F.floor(c * STEPS[figure]).alias("step"))
+    middles = _medians(both.select("level", "group", F.explode(F.array(*(on_grid(F.col(c), c) for c in STEPS))).alias("x")).select("level", "group", "x.*"))
+    of = lambda c: F.max(F.when(F.col("figure") == c, F.col("middle"))) / STEPS[c]
+    mid = middles.groupBy("level", "group").agg(of("chars_per_token").alias("mid_chars"), of("entropy").alias("mid_entropy"), of("byte_share").alias("mid_bytes"), F.max("n").alias("n")).where(F.col("n") >= least_group)
+    # at most most_groups rows and the scripts
+    mid = cut_lineage(mid.where("level = 1").union(mid.where("level = 0").orderBy(F.desc("n"), "group").limit(most_groups)))
+    off = F.array(on_grid(F.abs(F.col("entropy") - F.col("mid_entropy")) * F.col("spread"), "entropy"), on_grid(F.abs(F.col("byte_share") - F.col("mid_bytes")), "byte_share"))
+    widths = _medians(both.join(F.broadcast(mid), ["level", "group"]).select("level", "group", F.explode(off).alias("x")).select("level", "group", "x.*"))
+    width = widths.groupBy("level", "group").agg((of("entropy") * 1.4826).alias("width_entropy"), (of("byte_share") * 1.4826).alias("width_bytes"))
+    return mid.join(width, ["level", "group"])
+
+
+def judge(
+    measured: DataFrame, limits: DataFrame, lang_col: str | None = "lang", deviations: float = 4.0, most_bytes: float = 0.3, chars_range: tuple[float, float] = (0.5, 2.0), above: float = 6.0, most_blocks: int = MOST_BLOCKS
+) -> DataFrame:
+    """Add base_failed, kept and judged_by.
 
     Rejected are texts that fail the base rules, whose share of byte tokens is
     more than ``deviations`` (and than ``most_bytes``, as most texts of many
     languages have none and so no deviation) over the middle of their language
     or script, whose characters per token are outside ``chars_range`` times the
     middle, or whose entropy lies more than ``deviations`` below it (low entropy
-    is repetition and padding). Where there are no bands there is nothing to judge.
+    is repetition and padding) or more than ``above`` deviations over it (noise
+    with no word twice; long names and lists stray upwards more than texts do
+    downwards). judged_by is language, script or, where neither has bands and
+    there is nothing to judge, none.
     """
     parts = ("mid_chars", "mid_entropy", "mid_bytes", "width_entropy", "width_bytes")
     own = {(k, c): fresh_name(measured, f"_{k}_{c}") for k in (0, 1) for c in ("group", *parts)}
@@ -214,22 +238,30 @@ def judge(measured: DataFrame, limits: DataFrame, lang_col: str | None = "lang",
         joined = joined.join(F.broadcast(named), here == F.col(own[k, "group"]), "left")
     of = lambda c: F.coalesce(F.col(own[0, c]), F.col(own[1, c]))
     chars = F.col("chars_per_token") / of("mid_chars")
-    floor = of("mid_entropy") - deviations * of("width_entropy") / _spread()
+    step = of("width_entropy") / _spread(most_blocks)
+    stray = F.col("entropy") - of("mid_entropy")
     bytes_over = F.col("byte_share") > of("mid_bytes") + F.greatest(F.lit(most_bytes), deviations * of("width_bytes"))
-    odd = bytes_over | (chars < chars_range[0]) | (chars > chars_range[1]) | (F.col("entropy") < floor)
+    odd = bytes_over | (chars < chars_range[0]) | (chars > chars_range[1]) | (stray < -deviations * step) | (stray > above * step)
     failed = base_failed()
-    return joined.select(*(measured[c] for c in measured.columns if c not in ("base_failed", "kept")), failed.alias("base_failed"), (~failed & ~F.coalesce(odd, F.lit(False))).alias("kept"))
+    by = F.when(F.col(own[0, "group"]).isNotNull(), "language").when(F.col(own[1, "group"]).isNotNull(), "script").otherwise("none")
+    rest = [measured[c] for c in measured.columns if c not in ("base_failed", "kept", "judged_by")]
+    return joined.select(*rest, failed.alias("base_failed"), (~failed & ~F.coalesce(odd, F.lit(False))).alias("kept"), by.alias("judged_by"))
 
 
 def assess(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
-    """The figures and the verdict of every row, by its id; texts are measured once."""
+    """The figures and the verdict of every row, by its id; texts are measured once.
+
+    A null or empty text has no words and fails the base rules. Rows that repeat
+    an id have a result each, a null id stays null, and a null or empty language
+    is judged by the script. An empty table gives no rows.
+    """
     cols = [c for c in (id_col, lang_col) if c]
     measured = cut_lineage(measure(docs.select(*cols, text_col), model, text_col).drop(text_col))
     return judge(measured, bands(measured, lang_col), lang_col)
 
 
 def keep_good(docs: DataFrame, model: str, text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
-    """The documents that pass, with their own columns alone.
+    """The documents that pass, with their own columns alone; nulls, repeats and empty tables are as in ``assess``.
 
     Texts are measured once and written with their figures, so none is shuffled; the bands read the figures alone.
     """

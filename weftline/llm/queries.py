@@ -31,7 +31,7 @@ def op1_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     judged = quality_rules.assess(docs, public_tokenizers.path(PIECES))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "byte_share", "entropy")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "judged_by", "n_tokens", "chars_per_token", "byte_share", "entropy")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
