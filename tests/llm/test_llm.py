@@ -1,6 +1,7 @@
 """The corpus operators against plain Python on small fixtures, with nulls, empty and long texts, ties and repeated rows."""
 
 import collections
+import datetime
 import hashlib
 import random
 import re
@@ -343,6 +344,61 @@ def test_pseudonyms_are_bijective(spark):
     assert pairs.count() == 35 and pairs.where("p.l < 5 and p.r < 7").count() == 35
 
 
+def plain_feistel(left, right, a, b, key, kind):
+    for step in range(8):
+        draw = lambda value: int(hashlib.sha256(f"{key}|{kind}|{step}|{value}".encode()).hexdigest()[:15], 16)  # noqa: B023, E731
+        if step % 2 == 0:
+            left = (left + draw(right) % a) % a
+        else:
+            right = (right + draw(left) % b) % b
+    return left, right
+
+
+def test_pseudonyms_equal_an_independent_feistel(spark):
+    key = pseudonyms.derived("k")
+    rng = random.Random(13)
+    ips = [".".join(str(rng.randrange(256)) for _ in range(4)) for _ in range(20)]
+    ssns = [f"{rng.randrange(1, 666):03}-{rng.randrange(1, 100):02}-{rng.randrange(1, 10000):04}" for _ in range(20)]
+    phones = [f"+44 {rng.randrange(10**4):04} {rng.randrange(10**6):06}" for _ in range(20)]
+    dates = [f"{rng.randrange(1800, 2200)}-{rng.randrange(1, 13):02}-{rng.randrange(1, 29):02}" for _ in range(20)]
+    found = [t for t, _ in hidden(spark, [*ips, *ssns, *phones, *dates]).values()]
+    for t, new in zip(ips, found):
+        o = list(map(int, t.split(".")))
+        x, y = plain_feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ip")
+        assert new == f"{x // 256}.{x % 256}.{y // 256}.{y % 256}"
+    for t, new in zip(ssns, found[20:]):
+        area, group, serial = map(int, t.split("-"))
+        x, y = plain_feistel((area - 1) * 99 + group - 1, serial - 1, 898 * 99, 9999, key, "ssn")
+        assert new == f"{x // 99 + (2 if x // 99 >= 665 else 1):03}-{x % 99 + 1:02}-{y + 1:04}"
+    for t, new in zip(phones, found[40:]):
+        digits = t[4:].replace(" ", "")
+        x, y = plain_feistel(int(digits[:5]), int(digits[5:]), 10**5, 10**5, key, "phone")
+        whole = f"{x:05}{y:05}"
+        assert new == f"+44 {whole[:4]} {whole[4:]}"
+    first = datetime.date(1800, 1, 1)
+    for t, new in zip(dates, found[60:]):
+        d = (datetime.date.fromisoformat(t) - first).days
+        x, y = plain_feistel(d // 773, d % 773, 189, 773, key, "date")
+        assert new == (first + datetime.timedelta(x * 773 + y)).isoformat()
+
+
+def test_each_format_is_permuted_within_itself(spark):
+    day = datetime.date(1987, 1, 1)
+    days = [day + datetime.timedelta(k) for k in range(1500)]
+    dates = {t for d in days for t in (d.strftime("%d/%m/%Y"), d.strftime("%m/%d/%Y"), f"{d.day}/{d.month}/{d.year}", f"{d.month}/{d.day}/{d.year}", f"{d.day:02}/{d.month}/{d.year}", f"{d.day}.{d.month}.{d.year}", d.strftime("%d.%m.%Y"), d.strftime("%Y-%m-%d"))}
+    others = {f"10.0.{k // 256}.{k % 256}" for k in range(600)} | {f"123-45-{k:04}" for k in range(1, 600)} | {f"(030) 555-{k:04}" for k in range(600)}
+    cards = {c for k in range(6000) for c in [f"49293483{k:07}"] for c in [c + d for d in "0123456789" if luhn(c + d)]}
+    texts = sorted(dates | others | cards)
+    found = hidden(spark, texts)
+    assert all(n == 1 for _, n in found.values()) and len({t for t, _ in found.values()}) == len(texts)
+    assert all(len(t) == len(found[k][0]) for k, t in enumerate(texts) if t in cards or "-" in t)
+
+
+def test_the_key_is_not_in_the_plan(spark):
+    plan = pseudonyms.pseudonymise(spark.createDataFrame([("a",)], "text string"), "the owner's key")._jdf.queryExecution().toString()
+    assert "the owner's key" not in plan and re.search(pseudonyms.KEY_PATTERN, pseudonyms.derived("the owner's key"))
+
+
 def test_pseudonyms_pass_other_columns_and_use_no_python(docs, empty):
     found = pseudonyms.pseudonymise(docs, "k")
     assert found.count() == docs.count() and found.columns == [*docs.columns, "n_private"]
