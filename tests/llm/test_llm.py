@@ -464,6 +464,66 @@ def test_parts_and_short_items_leak(spark):
     assert {r["doc_id"] for r in decontaminate.drop_leaks(docs, bench).collect()} == {5, 6, 7}
 
 
+def test_items_of_any_length_equal_brute_force(spark):
+    rng = random.Random(14)
+    line = lambda n: prose(rng, n // 4)[:n].strip()
+    items = [(n, line(n)) for n in range(1, 31)] + [(40, "Who wrote Hamlet?"), (41, "aaaaaaaaaaaa aaaaaaa"), (42, "é" * 9)]
+    texts = [f"{line(20)} {t} {line(20)}" for _, t in items] + ["x Who wrote Hamlet? y", line(200), "a" * 50]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = set()
+    for i, t in enumerate(texts):
+        for k, x in items:
+            a, b = decontaminate.fold(x).tobytes(), decontaminate.fold(t).tobytes()
+            if a and (f" {a.decode()} " in f" {b.decode()} " if len(a) < decontaminate.LEAST else edits(a, b) <= int(decontaminate.EDITS * len(a))):
+                want.add((i, k))
+    assert found == want and (33, 40) in found
+
+
+def test_long_items_with_all_their_edits_are_found():
+    rng = random.Random(15)
+    for size in (512, 520, 532, 535, 540, 600, 1030, 1300):
+        item = "".join(rng.choice("abcdefghij klmnop") for _ in range(size)).replace("  ", " x").strip()
+        block = decontaminate.Items([1], [item])
+        raw = decontaminate.fold(item)
+        for _ in range(12):
+            own, n = raw.copy(), int(decontaminate.EDITS * len(raw))
+            low = rng.randrange(2) * rng.randrange(len(raw) // 2)
+            for at in rng.sample(range(low, len(raw)), n):
+                own[at] = ord("z")
+            assert block.matches(own) and block.holds_any(own)
+
+
+def test_one_repeated_character_takes_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+
+    block = decontaminate.Items([1, 2], ["a" * 500, "b" * 40 + "a" * 300])
+    text = np.full(20000, ord("a"), np.uint8)
+    tracemalloc.start()
+    whole = block.matches(text)
+    assert tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
+    assert [m[0] for m in whole] == [1, 2] and whole[0][3] == 0
+    rng = random.Random(16)
+    items = [prose(rng, 40) for _ in range(30)]
+    other = decontaminate.Items(list(range(30)), items)
+    mixed = decontaminate.fold(" ".join(f"{prose(rng, 200)} {items[rng.randrange(30)]}" for _ in range(40)))
+    found = other.matches(mixed)
+    monkeypatch.setattr(decontaminate, "PAIRS", 50)
+    assert other.matches(mixed) == found and len(found) > 10
+
+
+def test_id_columns_may_have_the_names_of_results(spark):
+    bench = spark.createDataFrame([(1, "a benchmark item of some length, to be found")], "item_id long, text string")
+    for name in ("item_id", "start", "end", "edits"):
+        docs = spark.createDataFrame([(7, "a benchmark item of some length, to be found", "x")], f"{name} long, text string, item string")
+        row = decontaminate.leaks(docs, bench, id_col=name).collect()[0]
+        assert row[name] == 7 and len(set(row.asDict())) == 5
+        assert decontaminate.drop_leaks(docs, bench).count() == 0
+
+
 # -- 7 ---------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>

@@ -37,6 +37,8 @@ PIECE = 512
 SMALL, PART = 128, 64
 BLOCK_BYTES = 4 << 20
 FILTER_BITS = 22
+#: Pairs of equal q-grams looked at together; texts with more are looked at in stretches, which overlap by more than any match is long.
+PAIRS, STRETCH, OVERLAP = 500_000, 4096, 640
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -80,7 +82,8 @@ class Items:
                     continue
                 starts = range(0, max(1, len(raw) - width // 2), width // 2) if len(raw) > width else (0,)
                 for s in starts:
-                    piece = raw[s : s + width]
+                    # a rest too short for a piece of its own belongs to the last, so every second piece makes up the item
+                    piece = raw[s:] if len(raw) - s - width < LEAST else raw[s : s + width]
                     if len(piece) >= LEAST:
                         self.ids.append(i)
                         self.raw.append(piece)
@@ -98,6 +101,11 @@ class Items:
         self.at = np.concatenate([np.arange(len(x)) for x in keys]) if keys else np.empty(0, np.int64)
         by = np.argsort(self.key, kind="stable")
         self.key, self.item, self.at = self.key[by], self.item[by], self.at[by]
+        opens = np.ones(len(by), bool)
+        opens[1:] = self.key[1:] != self.key[:-1]
+        #: Each q-gram's number, and with it the items that hold it in order.
+        self.rank = np.cumsum(opens) - 1
+        self.place = self.rank * max(1, len(self.raw)) + self.item
         self.size = size
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[(self.key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
@@ -114,6 +122,22 @@ class Items:
         where, lo, n = where[n > 0], lo[n > 0], n[n > 0]
         if not len(where):
             return []
+        if int(n.sum()) <= PAIRS:
+            return self._bands(where, lo, n)
+        out = []
+        for start in range(0, len(own), STRETCH):
+            first, last = np.searchsorted(where, (start, start + STRETCH + OVERLAP))
+            here, rank, held = where[first:last], self.rank[lo[first:last]], n[first:last]
+            parts = -(-int(held.sum()) // PAIRS)
+            for edges in zip(*(np.linspace(0, len(self.raw), parts + 1).astype(np.int64)[k : k + parts] for k in (0, 1))):
+                low, high = (np.searchsorted(self.place, rank * len(self.raw) + i) for i in edges)
+                some = high > low
+                if some.any():
+                    out += self._bands(here[some], low[some], (high - low)[some])
+        return out
+
+    def _bands(self, where: np.ndarray, lo: np.ndarray, n: np.ndarray) -> list[tuple[int, int, int, bool, int, int, int]]:
+        """The regions among the places of a text whose q-gram has n entries from lo on."""
         entry = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         item, at, diagonal = self.item[entry], self.at[entry], np.repeat(where, n) - self.at[entry]
         # enough shared grams of an item at all, before bands are looked at
@@ -156,6 +180,18 @@ class Items:
             at += len(word) + 1
         return list(found.values())
 
+    def holds_any(self, raw: np.ndarray) -> bool:
+        """Whether the text holds an item, or a part that counts."""
+        if self.words(raw):
+            return True
+        for item, low, high, whole, covered, _, _ in self.regions(raw):
+            if covered >= self.cover[item]:
+                return True
+            k, start = int(self.k[item]), max(0, low - int(self.k[item]))
+            if whole and align(self.raw[item], raw[start : min(len(raw), high + int(self.size[item]) + k)], low - start - k, high - start + k, k):
+                return True
+        return False
+
     def matches(self, raw: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item id, start, end, edits) of the best match of each item, in folded bytes.
 
@@ -163,6 +199,8 @@ class Items:
         """
         best: dict[int, tuple[bool, int, int, int]] = {}
         for item, low, high, whole, covered, first, last in self.regions(raw):
+            if best.get(self.ids[item], (True, 1))[:2] == (False, 0):
+                continue  # there is no better match than one without edits
             k, m = int(self.k[item]), int(self.size[item])
             start = max(0, low - k)
             end = min(len(raw), high + m + k)
@@ -227,13 +265,13 @@ def _blocks(benchmark: DataFrame, id_col: str | None, text_col: str):
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(id, item_id, start, end, edits) of every benchmark item that stands in a document.
+    """(id, item_id, start, end, edits) of every benchmark item that stands in a document; a name that the id has gets an underscore.
 
     Places are in the folded text; an item counts once per document, at its best
     match. Null and empty texts hold and are nothing; repeated items are found
     each under their own id, repeated documents each as a row of its own.
     """
-    longs = ["item_id", "start", "end", "edits"]
+    longs = [f"{c}_" if c == id_col.lower() else c for c in ("item_id", "start", "end", "edits")]
     schema, out = T.StructType([docs.schema[id_col], *(T.StructField(n, T.LongType()) for n in longs)]), None
     for shared in _blocks(benchmark, item_col, item_text_col):
 
@@ -254,14 +292,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text") -> DataFrame:
-    """The documents that hold no benchmark item, with their own columns."""
+    """The documents that hold no benchmark item, with their own columns.
+
+    Null and empty texts hold none and stay; null and empty items are in no
+    text; a repeated document stays or goes with all its rows.
+    """
     out = docs
     for shared in _blocks(benchmark, None, item_text_col):
 
         def run(batches, shared=shared):
             block = Items(*shared.value)
             for batch in slices(batches, text_col):
-                yield batch.filter(pa.array([not block.matches(fold(t)) for t in batch.column(text_col).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not block.holds_any(fold(t)) for t in batch.column(text_col).to_pylist()], pa.bool_()))
 
         out = out.mapInArrow(run, docs.schema)
     return out
