@@ -636,6 +636,19 @@ def test_captures_come_back(spark, tmp_path):
     assert twice.count() == 2 * len(rows) and twice.where("type = 'response'").count() == 2 * back.where("type = 'response'").count()
 
 
+def test_archives_of_large_pages_stay_small(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 4000)
+    monkeypatch.setattr(warc, "CLASS_BYTES", (1000, 2000))
+    rows = [(k, f"http://h/{k}", chr(97 + k % 26) * n) for k, n in enumerate([10] * 20 + [1500] * 9 + [9000] * 3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    folder = str(tmp_path / "w")
+    warc.write_captures(df, folder)
+    archives = [list(warc.parse_records(r["content"])) for r in spark.read.format("binaryFile").load(folder).collect()]
+    held = [sum(len(block) for h, block in records if h["warc-type"] == ["response"]) for records in archives]
+    assert warc.read_records(spark, folder).where("type in ('response', 'revisit')").count() == len(rows)
+    assert max(held) < 9300 and sorted(map(len, archives))[0] >= 3 and len(archives) >= 3 + 9 // 2
+
+
 def test_records_link_either_way_and_damage_is_an_error(spark):
     records = spark.createDataFrame(
         [("response", "r", ["q"], None, None, None, "D", 1, True, "h", {}, b"x"), ("request", "q", [], None, None, None, None, None, None, "get", {}, b""), ("metadata", "m", ["r"], None, None, None, None, None, None, None, {"a": "b"}, None)],

@@ -298,11 +298,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """The frame as a Parquet table in the shared folder, for rows too wide for several passes; steps read only the columns they need."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     # rows are wide, so small row groups keep writers and readers small
-    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).option("compression", compression).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import shared_folder
+from weftline.llm.common import cut_lineage, shared_folder, written
 
 CRLF = "\r\n"
 END = CRLF + CRLF
@@ -28,6 +28,9 @@ VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DIGITS, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
+#: Bytes of payload that an archive holds at most, besides a single larger one; pages are written in classes of size, each with so many to a file that this holds.
+FILE_BYTES, CLASS_BYTES = 64 << 20, (64 << 10, 1 << 20, 16 << 20)
+
 RECORD = """type string, record_id string, concurrent_to array<string>, refers_to string, target_uri string, date string,
     payload_digest string, payload_bytes long, digest_ok boolean, http_head string, fields map<string,string>, payload binary"""
 
@@ -60,13 +63,16 @@ def write_captures(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     smallest id holds the payload; the others are revisits that refer to it.
     A null payload is empty, a null id sorts last, a null url has no target
     header. Rows that repeat id, url and payload are one capture, written and
-    read as often as they stand there.
+    read as often as they stand there. An archive has ``captures_per_file``
+    captures at most, fewer where payloads are large.
     """
     clean = lambda c: F.regexp_replace(c, "[\\r\\n]", "%0A")
     rows = pages.select(F.col(id_col).alias("id"), clean(F.col(url_col).cast("string")).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", base32_sha1(F.col("html"))).withColumn("n", F.octet_length("html").cast("long"))
     ident = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.coalesce("url", F.lit("")).alias("at"))
-    firsts = rows.where(F.col("n") >= least_bytes).groupBy("digest").agg(F.min(ident).alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    per = cut_lineage(rows.groupBy("digest").agg(F.min(ident).alias("first"), F.count("*").alias("copies"), F.max("n").alias("size")))
+    sizes = [r["size"] for r in per.select(sum((F.col("size") >= b).cast("int") for b in CLASS_BYTES).alias("size")).distinct().collect()]
+    firsts = per.where((F.col("copies") > 1) & (F.col("size") >= least_bytes)).select("digest", "first")
     rows = rows.join(firsts, "digest", "left")
     again = F.col("first").isNotNull() & (F.col("n") >= least_bytes) & (F.col("first") != ident)
     rows = rows.withColumn("again", F.coalesce(again, F.lit(False)))
@@ -88,8 +94,13 @@ def write_captures(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     request = _record("request", _urn(F.lit("request"), F.col("own")), [*beside, ("Content-Type", "application/http;msgtype=request")], F.concat(F.lit("GET "), path, F.lit(f" HTTP/1.1{CRLF}Host: "), F.coalesce(host, F.lit("")), F.lit(END)))
     fields = F.concat_ws(CRLF, F.concat(F.lit("page-id: "), F.col("id").cast("string")), F.concat(F.lit("refers-to-page: "), F.when(F.col("again"), F.col("first.id").cast("string"))), F.lit(""))
     metadata = _record("metadata", _urn(F.lit("metadata"), F.col("own")), [*beside, ("Content-Type", "application/warc-fields")], fields)
-    records = rows.select(F.explode(F.array(response, request, metadata)).alias("value"))
-    records.write.mode("overwrite").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 3 * captures_per_file).text(folder)
+    edges = [0, *CLASS_BYTES, None]
+    for k, size in enumerate(sorted(sizes) or [0]):
+        low, high = edges[size], edges[size + 1]
+        some = rows.where((F.col("n") >= low) & (F.col("n") < high) if high else F.col("n") >= low) if len(sizes) > 1 else rows
+        most = max(1, min(captures_per_file, FILE_BYTES // high)) if high else 1
+        records = some.select(F.explode(F.array(response, request, metadata)).alias("value"))
+        records.write.mode("append" if k else "overwrite").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 3 * most).text(folder)
 
 
 def _members(data: bytes) -> bytes:
@@ -186,11 +197,11 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, **options) -> DataFrame:
-    """Write the pages to archives in a folder all machines share, and read the captures back."""
+    """Write the pages to archives in a folder all machines share, and read the captures back; archives are parsed once, into a table."""
     spark = pages.sparkSession
     folder = folder or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_captures(pages, folder, **options)
-    return assemble(read_records(spark, folder))
+    return assemble(written(read_records(spark, folder), "zstd"))
 
 
 def metadata_field(name: str) -> Column:
