@@ -288,8 +288,7 @@ def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a frame that several steps read to the shared checkpoint folder.
 
-    The folder is what the cluster names in ``spark.checkpoint.dir``. Where it
-    is unset, as in tests, one is made under the warehouse.
+    Spark removes checkpoints itself where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -303,14 +302,37 @@ def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     # rows are wide, so small row groups keep writers and readers small
     df.write.option("parquet.block.size", ROW_GROUP_BYTES).option("compression", compression).parquet(path)
+    remove_at_exit(df.sparkSession, path)
     return df.sparkSession.read.parquet(path)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove an intermediate folder when the driver ends; until then lost tasks may read it again."""
+    place, files = _hadoop(spark, path)
+    files.deleteOnExit(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place, files = _hadoop(spark, path)
+    files.delete(place, True)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
+    """The folder that driver and executors share, as the cluster names it in ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session, as in tests, takes one under the
+    warehouse; on a cluster it is an error, as that folder may be one machine's.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
 

@@ -149,22 +149,23 @@ def piece_frequencies(docs: DataFrame, tokenizer: str, text_col: str = "text") -
 
 
 def count_pieces(pieces: DataFrame, tokenizer: str) -> DataFrame:
-    """Add piece_hash and n, the tokens of each distinct pre-token."""
+    """Piece_hash, mark (more bits of the hash), freq and n, the tokens, of each distinct pre-token."""
 
     def run(batches):
         split = splitter(tokenizer)
         for batch in batches:
             names = batch.column("piece").to_pylist()
-            hashes = np.array([_hash(x) for x in names], np.int64)
+            hashes, marks = _hashes(names)
             n = pa.array(split.count(names), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(hashes), batch.column("freq"), n], names=["piece_hash", "freq", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(marks), batch.column("freq"), n], names=["piece_hash", "mark", "freq", "n"])
 
-    return pieces.mapInArrow(run, "piece_hash long, freq long, n int")
+    return pieces.mapInArrow(run, "piece_hash long, mark short, freq long, n int")
 
 
-def _hash(piece: str) -> int:
-    h = xxhash.xxh3_64_intdigest(piece.encode())
-    return h - (1 << 64) if h >> 63 else h
+def _hashes(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64 bits and 15 more of each pre-token, so that among 10 ** 10 of them two alike have odds of 10 ** -4."""
+    whole = [xxhash.xxh3_128_intdigest(x.encode()) for x in pieces]
+    return np.array([h & (2**64 - 1) for h in whole], np.uint64).view(np.int64), np.array([h >> 64 & 0x7FFF for h in whole], np.int16)
 
 
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,18 +188,18 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     def run(batches):
         numbers, (hot_keys, hot_n) = _PartNumbers(splitter(tokenizer)), shared.value
-        owner, hashes, tokens = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        owner, hashes, marks, tokens = None, np.zeros(0, np.int64), np.zeros(0, np.int16), np.zeros(0, np.int64)
         for batch in slices(batches, "text", SLICE):
             if len(numbers.piece_number) > 600_000:
                 numbers.forget()
             values, sizes, specials = numbers.expand(batch.column("text"))
             if numbers.piece_number is not owner:
-                owner, hashes, tokens = numbers.piece_number, hashes[:0], tokens[:0]
+                owner, hashes, marks, tokens = numbers.piece_number, hashes[:0], marks[:0], tokens[:0]
             names = list(islice(numbers.piece_number, len(hashes), None))
-            fresh = np.array([_hash(x) for x in names], np.int64)
+            fresh, own_marks = _hashes(names)
             at = np.minimum(np.searchsorted(hot_keys, fresh), max(len(hot_keys) - 1, 0))
             known = hot_keys[at] == fresh if len(hot_keys) else np.zeros(len(fresh), bool)
-            hashes = np.concatenate([hashes, fresh])
+            hashes, marks = np.concatenate([hashes, fresh]), np.concatenate([marks, own_marks])
             tokens = np.concatenate([tokens, np.where(known, hot_n[at], 0) if len(hot_keys) else np.zeros(len(fresh), np.int64)])
             row = np.repeat(np.arange(batch.num_rows), sizes)
             sums = np.bincount(row, tokens[values], minlength=batch.num_rows).astype(np.int64) + specials
@@ -212,22 +213,24 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                 [
                     ids,
                     fps,
-                    pa.array(np.arange(len(rows)) < own),
+                    pa.array(np.concatenate([np.full(own, -1, np.int16), marks[piece]])),
                     pa.array(np.concatenate([batch.column("fp").to_numpy(), hashes[piece]])),
                     pa.array(np.concatenate([sums, freq])),
                     pa.array(np.concatenate([pc.binary_length(batch.column("text")).to_numpy().astype(np.int64), np.zeros(len(pair), np.int64)])),
                 ],
-                names=["id", "fp", "own", "piece_hash", "tokens", "n_bytes"],
+                names=["id", "fp", "mark", "piece_hash", "tokens", "n_bytes"],
             )
 
     long = T.LongType()
-    fields = [("id", docs.schema["id"].dataType), ("fp", long), ("own", T.BooleanType()), ("piece_hash", long), ("tokens", long), ("n_bytes", long)]
+    fields = [("id", docs.schema["id"].dataType), ("fp", long), ("mark", T.ShortType()), ("piece_hash", long), ("tokens", long), ("n_bytes", long)]
     parts = docs.mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in fields]))
-    # A document's own row carries the sum of its hot pre-tokens. It matches no pre-token, and its key spreads it.
-    cold = pieces.where(F.col("freq") < floor).select("piece_hash", "n", F.lit(False).alias("own"))
+    # A document's own row carries the sum of its hot pre-tokens. Its mark matches no pre-token, and its key spreads it.
+    cold = pieces.where(F.col("freq") < floor).select("piece_hash", "mark", "n")
+    whole = F.col("mark") < 0
+    each = F.when(whole, F.lit(1)).otherwise(F.coalesce("n", F.raise_error(F.lit("a pre-token was not counted")).cast("int")))
     per_doc = (
-        parts.join(cold, ["piece_hash", "own"], "left")
+        parts.join(cold, ["piece_hash", "mark"], "left")
         .groupBy("id", "fp")
-        .agg(F.sum(F.col("tokens") * F.coalesce("n", F.lit(1))).alias("tokens"), F.max("n_bytes").alias("n_bytes"), F.count(F.when(F.col("own"), 1)).cast("int").alias("rows"))
+        .agg(F.sum(F.col("tokens") * each).alias("tokens"), F.max("n_bytes").alias("n_bytes"), F.count(F.when(whole, 1)).cast("int").alias("rows"))
     )
     return per_doc.select(F.col("id").alias(id_col), "n_bytes", F.expr("tokens div rows").alias("n_tokens"), F.explode(F.array_repeat(F.lit(0), F.col("rows"))).alias("_copy")).drop("_copy")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut_lineage, shared_folder, written
+from weftline.llm.common import cut_lineage, remove_at_exit, shared_folder, written
 
 CRLF = "\r\n"
 END = CRLF + CRLF
@@ -199,9 +199,11 @@ def assemble(records: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, folder: str | None = None, **options) -> DataFrame:
     """Write the pages to archives in a folder all machines share, and read the captures back; archives are parsed once, into a table."""
     spark = pages.sparkSession
-    folder = folder or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
-    write_captures(pages, folder, **options)
-    return assemble(written(read_records(spark, folder), "zstd"))
+    own = None if folder else f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    write_captures(pages, folder or own, **options)
+    if own:
+        remove_at_exit(spark, own)
+    return assemble(written(read_records(spark, folder or own), "zstd"))
 
 
 def metadata_field(name: str) -> Column:
