@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import decontaminate, ngram_join, piece_codec, pseudonyms, quality_rules
-from weftline.llm.common import read_table, shared_folder
+from weftline.llm.common import fresh_name, read_table, remove, remove_at_exit, shared_folder
 from weftline.llm.queries import KEY, PIECES
 
 
@@ -34,16 +34,18 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data become pseudonyms; n_chars follows the new text."""
+    """Personal data become pseudonyms; n_chars, where there is one, follows the new text."""
     hidden = pseudonyms.pseudonymise(docs, KEY, count_col=None)
+    if "n_chars" not in docs.columns:
+        return hidden
     return hidden.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every text, and whether they give the text back."""
-    model = public_tokenizers.path(PIECES)
-    coded = piece_codec.round_trip(docs, model)
-    return coded.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    """Piece ids of every text, and whether they give the text back; a name that a column has already gets an underscore."""
+    ids, n, back, decoded = (fresh_name(docs, c) for c in ("ids", "n_tokens", "round_trip", "decoded"))
+    coded = piece_codec.round_trip(docs, public_tokenizers.path(PIECES), ids_col=ids, decoded_col=decoded)
+    return coded.select(*docs.columns, ids, F.size(ids).cast("long").alias(n), (F.col(decoded) == F.coalesce("text", F.lit(""))).alias(back))
 
 
 STAGES = [
@@ -59,7 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder."""
+    """All stages over the documents of a folder.
+
+    Null and empty texts fail the quality rules, so later stages never see
+    them; rows that repeat an id and a text pass together; no documents give no
+    rows. Other columns pass through, whatever their names.
+    """
     docs = read_table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
@@ -67,4 +74,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:  # no later step reads what the stage before left
+                remove(spark, f"{folder}/{k - 1}")
+    remove_at_exit(spark, folder)
     return docs
