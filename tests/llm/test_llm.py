@@ -683,3 +683,27 @@ def test_pipeline_equals_its_stages_in_plain_python(spark, tmp_path):
     assert set(found) == want and all(r["round_trip"] for r in found.values())
     assert all(found[k]["text"] == texts[k] for k in want if "@" not in texts[k])
     assert "mail3" not in found[45]["text"] and found[45]["n_chars"] == len(found[45]["text"])
+
+
+def test_pipeline_stages_take_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    names = ("ids", "n_tokens", "round_trip", "decoded", "kept", "script", "item_id", "component", "u", "row", "holder")
+    docs = spark.createDataFrame([(k, prose(rng, 60) if k else None, "en") for k in range(12)], "doc_id long, text string, lang string").withColumns({c: F.lit("own") for c in names})
+    docs.union(docs.where("doc_id = 3")).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, prose(rng, 20))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    out.write.parquet(str(tmp_path / "out"))
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert out.columns == [*docs.columns, "ids_", "n_tokens_", "round_trip_"] and len(rows) == 12
+    assert all(r[c] == "own" for r in rows for c in names) and all(r["round_trip_"] and r["n_tokens_"] == len(r["ids_"]) for r in rows)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_large_ids_are_an_error(spark):
+    docs = spark.createDataFrame([(1 << 62, "a b c d e f")], "doc_id long, text string")
+    for operator in (ngram_join.near_duplicates, window_dedup.dedup_windows, suffix_dedup.repeated_passages):
+        with pytest.raises(Exception, match="ids must be under"):
+            operator(docs).collect()
