@@ -71,6 +71,15 @@ def shingle_sets(column: pa.Array, gram: int = GRAM) -> list[np.ndarray]:
     return out
 
 
+def to_planes(tokens: np.ndarray) -> bytes:
+    """Sorted tokens as bytes, all first ones before all second ones and so on, as the leading ones, in order, then compress."""
+    return np.ascontiguousarray(tokens).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
 def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
     h = xxhash.xxh3_128_intdigest(tokens.tobytes())
     signed = lambda x: x - (1 << 64) if x >> 63 else x
@@ -131,7 +140,7 @@ def _profiles(docs: DataFrame, gram: int) -> DataFrame:
                 seen.add(p)
                 held.append(s)
                 n += len(s)
-                stored.append(s.tobytes())
+                stored.append(to_planes(s))
                 rows.append(row)
                 row += 1
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -183,7 +192,7 @@ def _candidates(sets: DataFrame, hot, threshold: int, orders: int) -> tuple[Data
 
         for batch in slices(batches, "tokens"):
             blobs = batch.column("tokens").to_pylist()
-            flat = np.frombuffer(b"".join(blobs), np.uint64)
+            flat = np.concatenate([from_planes(b) for b in blobs])
             if len(known):
                 at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
                 often = known[at] == flat
@@ -358,7 +367,7 @@ def _verified(sets: DataFrame, classes: DataFrame, pairs: DataFrame, threshold:
         for batch in slices(batches, "t1"):
             keep = []
             for a, b in zip(batch.column("t1").to_pylist(), batch.column("t2").to_pylist()):
-                few, many = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+                few, many = sorted((from_planes(a), from_planes(b)), key=len)
                 both = int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
                 keep.append(100 * both >= threshold * (len(few) + len(many) - both))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
@@ -454,7 +463,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _grouped(rows: DataFrame, gram: int = GRAM, threshold: int = THRESHOLD, orders: int = ORDERS) -> DataFrame:
     """(id, n, component) of rows (id, text)."""
-    profiles = written(_profiles(rows, gram))
+    profiles = written(_profiles(rows, gram), "zstd")
     own = profiles.where("kind = 0").select(F.col("a").alias("id"), "n", "c", "d", "row")
     classes = cut_lineage(own.where("n > 0").groupBy("n", "c", "d").agg(F.min("id").alias("id"), F.min("row").alias("holder")).withColumn("k", F.col("c").bitwiseAND(F.lit(KEY))))
     parts = grouped(profiles, classes, threshold, orders).withColumnRenamed("node", "id")

@@ -267,7 +267,7 @@ def keep_good(docs: DataFrame, model: str, text_col: str = "text", lang_col: str
     """
     names = {f.name: f"_doc_{i}" for i, f in enumerate(docs.schema.fields)}
     safe = docs.select(*(F.col(c).alias(n) for c, n in names.items()))
-    measured = written(measure(safe, model, names[text_col]))
+    measured = written(measure(safe, model, names[text_col]), "zstd")
     lang = names[lang_col] if lang_col else None
     limits = cut_lineage(bands(measured, lang))
     return judge(measured, limits, lang).where("kept").select(*(F.col(n).alias(c) for c, n in names.items()))
