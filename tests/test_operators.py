@@ -216,3 +216,39 @@ def test_catalog_checks_parameters(spark):
     for _, function, _ in catalog.OPERATORS.values():
         module, _, name = function.rpartition(".")
         assert callable(getattr(importlib.import_module(f"weftline.{module}"), name))
+
+
+def test_stream_counts_a_switch_from_state_zero_across_triggers():
+    import pandas as pd
+
+    from weftline.streaming.switches import _count
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    state = State()
+    for t, s in enumerate([0, 1, 0, 0]):
+        found = next(_count(("k",), iter([pd.DataFrame({"t": [t], "state": [s]})]), state))
+    assert found["switch_count"].tolist() == [2]
+
+
+def test_variants_equal_four_separate_filters(spark):
+    keys = ["definition", "subject", "session"]
+    sessions = spark.createDataFrame([(d, s, k, 10 * s + k) for d in "ab" for s in range(4) for k in range(3)], "definition string, subject int, session int, switch_count int")
+    motion = spark.createDataFrame([(0, 0), (1, 2), (1, 2)], "subject int, session int")
+    features = spark.createDataFrame([("a", s, k, (s + k) % 2 == 0) for s in range(4) for k in range(3)], "definition string, subject int, session int, keep boolean")
+    found = rows(study.variants(sessions, motion, features, keys), "motion", "tsnr", *keys)
+    moved, good = {(0, 0), (1, 2)}, {("a", s, k) for s in range(4) for k in range(3) if (s + k) % 2 == 0}
+    want = [(m, t, d, s, k) for m in (False, True) for t in (False, True) for d in "ab" for s in range(4) for k in range(3) if not (m and (s, k) in moved) and (not t or (d, s, k) in good)]
+    assert sorted(found) == sorted(want)
+
+
+def test_definitions_take_atlases_of_all_and_of_each_session(spark):
+    bold = spark.createDataFrame([(k, v, 0, float(v + 10 * k)) for k in range(2) for v in range(4)], "session int, vertex int, t int, value double")
+    common = spark.createDataFrame([(v, 1 + v % 2) for v in range(4)], "vertex int, roi int")
+    own = spark.createDataFrame([(k, v, 1 + (v + k) % 2) for k in range(2) for v in range(4)], "session int, vertex int, roi int")
+    found = sorted(rows(study.definitions({"x": (bold, common), "y": (bold, own)}, ["session"]), "definition", "session", "roi", "value"))
+    assert found == [("x", 0, 1, 1.0), ("x", 0, 2, 2.0), ("x", 1, 1, 11.0), ("x", 1, 2, 12.0), ("y", 0, 1, 1.0), ("y", 0, 2, 2.0), ("y", 1, 1, 12.0), ("y", 1, 2, 11.0)]

@@ -9,21 +9,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 
 def icc21(scores: DataFrame, by: Sequence[str] = (), subject: str = "subject", session: str = "session", value: str = "value") -> DataFrame:
     """(by, n, k, icc): two-way random, single-measure reliability over subjects with all sessions."""
-    over = W.partitionBy(*by, subject)
     known = scores.where(F.col(value).isNotNull())
     sessions = known.groupBy(*by).agg(F.count_distinct(session).alias("k"))
-    counted = known.withColumn("_have", F.count("*").over(over))
-    counted = counted.join(F.broadcast(sessions), list(by)) if by else counted.crossJoin(F.broadcast(sessions))
-    full = counted.where(F.col("_have") == F.col("k"))
     x = F.col(value)
-    full = full.withColumn("_s", F.avg(x).over(over)).withColumn("_m", F.avg(x).over(W.partitionBy(*by, session)))
-    grand = full.groupBy(*by).agg(F.avg(x).alias("_g"))
-    full = full.join(F.broadcast(grand), list(by)) if by else full.crossJoin(F.broadcast(grand))
+    # means by partial aggregation, joined back: no session's or subject's rows meet in one task
+    rows = known.groupBy(*by, subject).agg(F.count("*").alias("_have"), F.avg(x).alias("_s"))
+    rows = (rows.join(F.broadcast(sessions), list(by)) if by else rows.crossJoin(F.broadcast(sessions))).where(F.col("_have") == F.col("k")).drop("_have")
+    full = known.join(rows, [*by, subject])
+    columns = full.groupBy(*by, session).agg(F.avg(x).alias("_m"), F.count("*").alias("_n"))
+    grand = columns.groupBy(*by).agg((F.sum(F.col("_m") * F.col("_n")) / F.sum("_n")).alias("_g"))
+    columns = columns.drop("_n").join(grand, list(by)) if by else columns.drop("_n").crossJoin(F.broadcast(grand))
+    full = full.join(columns, [*by, session])
     square = lambda c: c * c
     sums = full.groupBy(*by).agg(
         F.count_distinct(subject).alias("n"),

@@ -13,17 +13,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def kmeans(samples: DataFrame, sample_col: str = "sample", vector_col: str = "features", n_clusters: int = 2, n_init: int = 10, max_iter: int = 300, random_state: int = 0) -> tuple[DataFrame, DataFrame, float]:
+def kmeans(samples: DataFrame, sample_col: str = "sample", vector_col: str = "features", n_clusters: int = 2, n_init: int = 100, max_iter: int = 300, random_state: int = 0) -> tuple[DataFrame, DataFrame, float]:
     """Labels (sample, label), centers (label, center) and inertia of the best of ``n_init`` runs over all samples (sample, array).
 
     Labels count from 0 in the order of the centers' norms.
     """
     data = samples.select(F.col(sample_col).alias("sample"), array_to_vector(F.col(vector_col).cast("array<double>")).alias("features")).persist()
     best = None
-    for k in range(n_init):
-        model = KMeans(k=n_clusters, maxIter=max_iter, seed=random_state + k, featuresCol="features", predictionCol="raw").fit(data)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
+    try:  # the runs share one copy of the samples; the labels are computed from the source again
+        for k in range(n_init):
+            model = KMeans(k=n_clusters, maxIter=max_iter, seed=random_state + k, featuresCol="features", predictionCol="raw").fit(data)
+            if best is None or model.summary.trainingCost < best.summary.trainingCost:
+                best = model
+    finally:
+        data.unpersist()
     centers = [np.asarray(c) for c in best.clusterCenters()]
     order = np.argsort([np.linalg.norm(c) for c in centers], kind="stable")
     label = {int(old): new for new, old in enumerate(order)}

@@ -65,11 +65,9 @@ def tsnr(series: DataFrame, keys: Sequence[str] = (), threshold_sd: float = 2.0,
     A constant series has no tsnr and isn't kept.
     """
     each = series.groupBy(*keys, feature).agg(F.try_divide(F.avg("value"), F.stddev_samp("value")).alias("tsnr"))
-    over = W.partitionBy(*keys) if keys else None
-    if over is not None:
-        each = each.withColumn("_m", F.avg("tsnr").over(over)).withColumn("_s", F.stddev_samp("tsnr").over(over))
-    else:
-        each = each.crossJoin(F.broadcast(each.agg(F.avg("tsnr").alias("_m"), F.stddev_samp("tsnr").alias("_s"))))
+    # moments per key by partial aggregation: a key with many features is no single task
+    spread = each.groupBy(*keys).agg(F.avg("tsnr").alias("_m"), F.stddev_samp("tsnr").alias("_s"))
+    each = each.join(spread, list(keys)) if keys else each.crossJoin(F.broadcast(spread))
     keep = F.coalesce(F.abs(F.col("tsnr") - F.col("_m")) <= threshold_sd * F.col("_s"), F.lit(False))
     return each.select(*keys, feature, "tsnr", keep.alias("keep"))
 

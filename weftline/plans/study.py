@@ -1,9 +1,10 @@
-"""The switching study from signals to reliability, as one lazy plan."""
+"""The switching study from signals to reliability; only the sizes of small tables are read while a plan is made."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,12 +34,12 @@ class Settings:
             raise ValueError("a setting is out of its range")
 
 
-def states(series: DataFrame, keys: Sequence[str], settings: Settings = Settings()) -> DataFrame:
-    """(keys, t, state, inertia) from parcel series (keys, roi, t, value).
+def profiles(series: DataFrame, keys: Sequence[str], settings: Settings = Settings()) -> DataFrame:
+    """(keys, sample, feature, value): the profile of each window, from parcel series (keys, roi, t, value).
 
-    Coupling, communities per window, participation and module z, profiles and
-    clusters per key. Every step groups by the keys, so sessions run side by
-    side and nothing is gathered.
+    Coupling, communities per window, participation and module z, and their
+    joint counts. Every step groups by the keys, so sessions run side by side
+    and nothing is gathered.
     """
     keys = list(keys)
     at = [*keys, "t"]
@@ -48,8 +49,12 @@ def states(series: DataFrame, keys: Sequence[str], settings: Settings = Settings
     bt = metrics.participation(full, labels, at)
     wt = metrics.module_z(full, labels, at)
     nodes = bt.join(wt, [*at, "node"]).select(*at, "node", F.col("p_pos").alias("bt"), F.col("z").alias("wt"))
-    cells = metrics.flatten_profile(metrics.cartography(nodes, keys), keys)
-    return clustering.kmeans_by_key(cells, keys, settings.n_clusters, settings.n_init, seed=settings.seed)
+    return metrics.flatten_profile(metrics.cartography(nodes, keys), keys)
+
+
+def states(series: DataFrame, keys: Sequence[str], settings: Settings = Settings()) -> DataFrame:
+    """(keys, t, state, inertia) from parcel series: the clusters of each key's profiles."""
+    return clustering.kmeans_by_key(profiles(series, keys, settings), list(keys), settings.n_clusters, settings.n_init, seed=settings.seed)
 
 
 def switching(series: DataFrame, keys: Sequence[str] = ("subject", "session"), settings: Settings = Settings()) -> DataFrame:
@@ -57,30 +62,52 @@ def switching(series: DataFrame, keys: Sequence[str] = ("subject", "session"), s
     return metrics.switch_count(states(series, keys, settings), keys)
 
 
+def definitions(tables: Mapping[str, tuple[DataFrame, DataFrame]], keys: Sequence[str] = ("subject", "session")) -> DataFrame:
+    """(definition, keys, roi, t, value): parcel series under each definition of parcels, by name.
+
+    A definition is a signal table (keys, vertex, t, value) of its space and an
+    atlas (vertex, roi) of it, which may have the keys too where subjects have
+    atlases of their own. The definition is a key of all later steps, so the
+    whole grid is one plan.
+    """
+    keys = list(keys)
+    parts = [preprocessing.extract_roi(bold, atlas, keys).select(F.lit(name).alias("definition"), *keys, "roi", "t", "value") for name, (bold, atlas) in tables.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def variants(sessions: DataFrame, motion: DataFrame, features: DataFrame, keys: Sequence[str] = ("subject", "session")) -> DataFrame:
-    """(motion, tsnr, keys, ...) of session rows under the four choices of leaving out moving sessions and sessions without a kept feature."""
+    """(motion, tsnr, keys, ...) of session rows under the four choices of leaving out moving sessions and sessions without a kept feature.
+
+    Both flags are joined once; then each row goes to the variants that keep
+    it. With a definition among the keys this is the grid of all pipelines.
+    """
     keys = list(keys)
-    moved = motion.select(*keys).distinct()
-    good = features.where("keep").select(*keys).distinct()
-    parts = []
-    for m in (False, True):
-        for s in (False, True):
-            rows = preprocessing.exclude(sessions, moved, keys) if m else sessions
-            rows = rows.join(good, keys, "left_semi") if s else rows
-            parts.append(rows.select(F.lit(m).alias("motion"), F.lit(s).alias("tsnr"), *sessions.columns))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    moved = motion.select(*(k for k in keys if k in motion.columns)).distinct().withColumn("_moved", F.lit(True))
+    good = features.where("keep").select(*(k for k in keys if k in features.columns)).distinct().withColumn("_good", F.lit(True))
+    flagged = sessions.join(moved, [k for k in keys if k in moved.columns], "left").join(good, [k for k in keys if k in good.columns], "left")
+    choices = F.array(*(F.when(keep, F.struct(F.lit(m).alias("motion"), F.lit(s).alias("tsnr"))) for m, s, keep in (
+        (False, False, F.lit(True)), (False, True, F.col("_good").isNotNull()), (True, False, F.col("_moved").isNull()), (True, True, F.col("_moved").isNull() & F.col("_good").isNotNull())
+    )))
+    return flagged.withColumn("_to", F.explode(F.filter(choices, lambda c: c.isNotNull()))).select("_to.motion", "_to.tsnr", *(sessions[c] for c in sessions.columns))
+
+
+def subject_means(counts: DataFrame, by: Sequence[str] = (), subject: str = "subject", value: str = "switch_count") -> DataFrame:
+    """(by, subject, mean_count): the mean over a subject's sessions."""
+    return counts.groupBy(*by, subject).agg(F.avg(value).alias("mean_count"))
+
+
+def group_spread(counts: DataFrame, by: Sequence[str] = (), value: str = "switch_count") -> DataFrame:
+    """(by, n, mean, sd) over all sessions of a group."""
+    return statistics.describe(counts, value, by)
 
 
 def reliability(counts: DataFrame, behaviour: DataFrame, score: str, by: Sequence[str] = (), value: str = "switch_count") -> DataFrame:
     """(by, mean, sd, icc, grade, r, p) of switch counts (by, subject, session, value) and a behavioural score per subject."""
     by = list(by)
     numbers = counts.withColumn(value, F.col(value).cast("double"))
-    spread = statistics.describe(numbers, value, by)
+    spread = group_spread(numbers, by, value)
     icc = statistics.icc21(numbers, by, value=value).select(*by, "icc", statistics.icc_grade(F.col("icc")).alias("grade"))
-    means = numbers.groupBy(*by, "subject").agg(F.avg(value).alias("mean_count"))
+    means = subject_means(numbers, by, value=value)
     r = statistics.pearson(means.join(behaviour.select("subject", score), "subject"), "mean_count", score, by).select(*by, "r", "p")
     if by:
         return spread.join(icc, by).join(r, by)

@@ -59,15 +59,14 @@ def coupling_sql(frame: str, window: int = 14) -> str:
 
 FORWARD, CENTERED = "CURRENT ROW AND 13 FOLLOWING", "7 PRECEDING AND 6 FOLLOWING"
 WEIGHTS = f"""{coupling_sql(FORWARD)},
-    up AS (SELECT i, j, t, round(value, 9) AS wt FROM m WHERE whole AND i < j AND t <= 100),
+    up AS (SELECT i, j, t, round(value, 9) AS wt FROM m WHERE whole AND i < j),
     weights AS (SELECT i, j, t, wt FROM up UNION ALL SELECT j, i, t, wt FROM up),
     modules AS (SELECT t, CAST(node AS INTEGER) AS node, CAST(node % 2 + 1 AS INTEGER) AS c FROM (SELECT DISTINCT t FROM up), unnest(range(0, 5)) AS u(node))"""
 
 
-def _weights(spark: SparkSession, sf_dir: str, last: int | None = 100) -> DataFrame:
-    """Both triangles of the coupling slices up to a time, as the SQL has them, or of all."""
+def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both triangles of all coupling slices."""
     up = connectivity.derivative_coupling(tables.event_series(spark, sf_dir), window=14, direction="forward").where("i < j")
-    up = up if last is None else up.where(F.col("t") <= last)
     return connectivity.mirror(up.withColumn("wt", F.round("value", 9)).drop("value"))
 
 
@@ -83,6 +82,21 @@ def read_scan_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return control.extents(tables.event_bold(spark, sf_dir), ["session", "vertex", "t"])
 
 
+@query(f"""WITH {HOURS}, bold AS (SELECT user_id % 7 AS subject, session, user_id AS vertex, t, avg(value) AS value FROM hours GROUP BY ALL),
+    kept AS (SELECT * FROM bold ANTI JOIN (SELECT DISTINCT user_id % 7 AS subject, session FROM hours WHERE event_type = 'error' AND value > 90 AND user_id % 7 < 2) USING (subject, session))
+    SELECT axis, size FROM (SELECT count(DISTINCT subject) AS subject, count(DISTINCT session) AS session, count(DISTINCT vertex) AS vertex, count(DISTINCT t) AS t FROM kept) UNPIVOT (size FOR axis IN (subject, session, vertex, t))""")
+def read_bold_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals and a list of excluded sessions, written as the study's files and read by its readers."""
+    folder = tables.scratch_folder(spark)
+    hours = tables.hours(spark, sf_dir).withColumn("subject", (F.col("user_id") % 7).cast("int"))
+    bold = hours.groupBy("subject", "session", F.col("user_id").cast("int").alias("vertex"), "t").agg(F.avg("value").alias("value"))
+    bold.write.partitionBy("subject", "session").parquet(f"{folder}/bold")
+    moved = hours.where("event_type = 'error' and value > 90 and subject < 2").select("subject", "session").distinct()
+    moved.select(F.concat_ws(" ", "subject", "session").alias("value")).write.text(f"{folder}/excluded")
+    excluded = tables.read_exclusions(spark, f"{folder}/excluded").select(F.col("subject").cast("int").alias("subject"), F.col("session").cast("int").alias("session"))
+    return tables.scan_extents(preprocessing.exclude(tables.read_bold(spark, f"{folder}/bold"), excluded))
+
+
 def _roi(spark: SparkSession, sf_dir: str, level: str = "roi") -> DataFrame:
     return preprocessing.extract_roi(tables.event_bold(spark, sf_dir), tables.event_atlas(spark, sf_dir), ["session"], level)
 
@@ -191,66 +205,68 @@ def mtd_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- communities and metrics ----------------------------------------------------
 
-CI = """parts AS (SELECT p_partkey AS node, 0 AS p, p_brand AS c FROM part WHERE p_partkey < 100 UNION ALL SELECT p_partkey, 1, p_type FROM part WHERE p_partkey < 100
-    UNION ALL SELECT p_partkey, 2, CAST(p_size % 4 AS VARCHAR) FROM part WHERE p_partkey < 100)"""
+#: All parts, a hundred to a matrix.
+CI = """parts AS (SELECT p_partkey // 100 AS block, p_partkey AS node, 0 AS p, p_brand AS c FROM part UNION ALL SELECT p_partkey // 100, p_partkey, 1, p_type FROM part
+    UNION ALL SELECT p_partkey // 100, p_partkey, 2, CAST(p_size % 4 AS VARCHAR) FROM part)"""
 
 
 def _partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey < 100")
-    return part.select(F.col("p_partkey").alias("node"), F.posexplode(F.array("p_brand", "p_type", (F.col("p_size") % 4).cast("string"))).alias("p", "c"))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.select(F.expr("p_partkey div 100").alias("block"), F.col("p_partkey").alias("node"), F.posexplode(F.array("p_brand", "p_type", (F.col("p_size") % 4).cast("string"))).alias("p", "c"))
 
 
 def _agreement_sql(weights: str) -> str:
     return f"""WITH {CI}, wts AS (SELECT * FROM (VALUES {weights}) AS v(p, wt))
-    SELECT a.node AS i, b.node AS j, round(sum(wt / (SELECT sum(wt) FROM wts)), 6) AS value
-    FROM parts a JOIN parts b USING (p, c) JOIN wts USING (p) WHERE a.node <= b.node GROUP BY ALL"""
+    SELECT block, a.node AS i, b.node AS j, round(sum(wt / (SELECT sum(wt) FROM wts)), 6) AS value
+    FROM parts a JOIN parts b USING (block, p, c) JOIN wts USING (p) WHERE a.node <= b.node GROUP BY ALL"""
 
 
 @query(_agreement_sql("(0, 1.0::DOUBLE), (1, 1.0), (2, 1.0)"))
 def agreement_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(community.agreement(_partitions(spark, sf_dir)), "value")
+    return _round(community.agreement(_partitions(spark, sf_dir), keys=["block"]), "value")
 
 
 @query(_agreement_sql("(0, 0.5::DOUBLE), (1, 0.2), (2, 0.9)"))
 def agreement_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = spark.createDataFrame([(0, 0.5), (1, 0.2), (2, 0.9)], "p int, wt double")
-    return _round(community.agreement(_partitions(spark, sf_dir), weights), "value")
+    return _round(community.agreement(_partitions(spark, sf_dir), weights, ["block"]), "value")
+
 
+PARTICIPATION = f"""WITH {WEIGHTS}, k AS (SELECT weights.t, i, c, sum(greatest(wt, 0)) AS pos, sum(greatest(-wt, 0)) AS neg FROM weights JOIN modules ON weights.t = modules.t AND j = node GROUP BY ALL)
+    SELECT t, i AS node, round(coalesce(1 - sum(pos * pos) / nullif(sum(pos) * sum(pos), 0), 0), 6) AS p_pos, round(coalesce(1 - sum(neg * neg) / nullif(sum(neg) * sum(neg), 0), 0), 6) AS p_neg FROM k GROUP BY ALL"""
 
-@query(f"""WITH {WEIGHTS}, k AS (SELECT t, i, c, sum(greatest(wt, 0)) AS pos, sum(greatest(-wt, 0)) AS neg FROM weights JOIN modules ON weights.t = modules.t AND j = node GROUP BY ALL)
-    SELECT t, i AS node, round(coalesce(1 - sum(pos * pos) / nullif(sum(pos) * sum(pos), 0), 0), 6) AS p_pos, round(coalesce(1 - sum(neg * neg) / nullif(sum(neg) * sum(neg), 0), 0), 6) AS p_neg FROM k GROUP BY ALL""".replace("SELECT t, i, c, sum", "SELECT weights.t, i, c, sum"))
+
+@query(PARTICIPATION)
 def participation_pos_neg(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = _weights(spark, sf_dir)
     return _round(metrics.participation(w, _modules(w), ["t"]), "p_pos", "p_neg")
 
 
-@query()
-def participation_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """participation_pos_neg over all slices."""
-    w = _weights(spark, sf_dir, None)
-    return _round(metrics.participation(w, _modules(w), ["t"]), "p_pos", "p_neg")
+#: An earlier name of the same query, from when the other had a part of the slices.
+query(PARTICIPATION, "participation_all")(participation_pos_neg)
 
 
-#: A directed matrix, so that the flags differ: users of one day and type, weighted by their difference.
-DIRECTED = f"""{HOURS}, u AS (SELECT session, event_type, user_id, sum(value) AS v FROM hours WHERE user_id < 40 GROUP BY ALL),
-    weights AS (SELECT a.session, a.user_id AS i, b.user_id AS j, sum(a.v - 0.5 * b.v) AS wt FROM u a JOIN u b USING (session, event_type) WHERE a.user_id <> b.user_id GROUP BY ALL),
-    modules AS (SELECT DISTINCT session, user_id AS node, CAST(user_id % 5 AS INTEGER) AS c FROM u)"""
+#: A directed matrix, so that the flags differ: users of one session, site (forty users) and type, weighted by their difference.
+DIRECTED = f"""{HOURS}, u AS (SELECT session, user_id // 40 AS site, event_type, user_id, sum(value) AS v FROM hours GROUP BY ALL),
+    weights AS (SELECT a.session, a.site, a.user_id AS i, b.user_id AS j, sum(a.v - 0.5 * b.v) AS wt FROM u a JOIN u b USING (session, site, event_type) WHERE a.user_id <> b.user_id GROUP BY ALL),
+    modules AS (SELECT DISTINCT session, site, user_id AS node, CAST(user_id % 5 AS INTEGER) AS c FROM u)"""
 
 
 def _z_sql(links: str) -> str:
     return f"""WITH {DIRECTED}, links AS ({links}),
     own AS (SELECT l.session, l.i, sum(wt) AS k FROM links l JOIN modules a ON a.session = l.session AND a.node = l.i JOIN modules b ON b.session = l.session AND b.node = l.j WHERE a.c = b.c GROUP BY ALL),
-    d AS (SELECT m.session, node, c, coalesce(k, 0) AS k FROM modules m LEFT JOIN own ON own.session = m.session AND own.i = node)
-    SELECT session, node, round(coalesce((k - avg(k) OVER w) / nullif(stddev_samp(k) OVER w, 0), 0), 6) AS z FROM d WINDOW w AS (PARTITION BY session, c)"""
+    d AS (SELECT m.session, m.site, node, c, coalesce(k, 0) AS k FROM modules m LEFT JOIN own ON own.session = m.session AND own.i = node)
+    SELECT session, site, node, round(coalesce((k - avg(k) OVER w) / nullif(stddev_samp(k) OVER w, 0), 0), 6) AS z FROM d WINDOW w AS (PARTITION BY session, site, c)"""
 
 
 def _module_z(flag: int) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        u = tables.hours(spark, sf_dir).where("user_id < 40").groupBy("session", "event_type", "user_id").agg(F.sum("value").alias("v"))
-        a, b = u.select("session", "event_type", F.col("user_id").alias("i"), F.col("v").alias("a")), u.select("session", "event_type", F.col("user_id").alias("j"), F.col("v").alias("b"))
-        w = a.join(b, ["session", "event_type"]).where("i <> j").groupBy("session", "i", "j").agg(F.sum(F.col("a") - 0.5 * F.col("b")).alias("wt"))
-        modules = u.select("session", F.col("user_id").alias("node")).distinct().withColumn("c", (F.col("node") % 5).cast("int"))
-        return _round(metrics.module_z(w, modules, ["session"], flag), "z")
+        u = tables.hours(spark, sf_dir).groupBy("session", F.expr("user_id div 40").alias("site"), "event_type", "user_id").agg(F.sum("value").alias("v"))
+        at = ["session", "site", "event_type"]
+        a, b = u.select(*at, F.col("user_id").alias("i"), F.col("v").alias("a")), u.select(*at, F.col("user_id").alias("j"), F.col("v").alias("b"))
+        w = a.join(b, at).where("i <> j").groupBy("session", "site", "i", "j").agg(F.sum(F.col("a") - 0.5 * F.col("b")).alias("wt"))
+        modules = u.select("session", "site", F.col("user_id").alias("node")).distinct().withColumn("c", (F.col("node") % 5).cast("int"))
+        return _round(metrics.module_z(w, modules, ["session", "site"], flag), "z")
 
     return run
 
@@ -271,9 +287,9 @@ def _q_sql(d0: str, d1: str) -> str:
     SELECT t, round(coalesce({d0}, 0) * (wp - coalesce(kkp / nullif(s0, 0), 0)) - coalesce({d1}, 0) * (wn - coalesce(kkn / nullif(s1, 0), 0)), 6) + 0.0 AS q FROM g"""
 
 
-def _modularity(qtype: str, last: int | None = 100) -> Query:
+def _modularity(qtype: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        w = _weights(spark, sf_dir, last)
+        w = _weights(spark, sf_dir)
         return _round(metrics.modularity(w, _modules(w), ["t"], qtype), "q")
 
     return run
@@ -282,7 +298,7 @@ def _modularity(qtype: str, last: int | None = 100) -> Query:
 _S0, _S1, _ALL = "1 / nullif(s0, 0)", "1 / nullif(s1, 0)", "1 / nullif(s0 + s1, 0)"
 for _q, _d0, _d1 in (("sta", _S0, _ALL), ("pos", _S0, "0"), ("smp", _S0, _S1), ("gja", _ALL, _ALL), ("neg", "0", _S1)):
     query(_q_sql(_d0, _d1), f"modularity_q_{_q}")(_modularity(_q))
-    query(name=f"modularity_all_{_q}")(_modularity(_q, None))
+    query(_q_sql(_d0, _d1), f"modularity_all_{_q}")(_modularity(_q))
 
 
 #: Participation-like and z-like values of users per hour.
@@ -300,12 +316,13 @@ def cartography_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _profile(spark, sf_dir)
 
 
-@query(f"""WITH {NODES}, p AS (SELECT t, {BINS}, count(*) AS n FROM nodes WHERE t < 4 GROUP BY ALL),
-    grid AS (SELECT t, CAST(y AS INTEGER) AS yb, CAST(x AS INTEGER) AS xb FROM (SELECT DISTINCT t FROM p), unnest(range(0, 101)) AS a(y), unnest(range(0, 101)) AS b(x))
-    SELECT t, yb, xb, coalesce(n, 0) AS n FROM grid LEFT JOIN p USING (t, yb, xb)""")
+@query(f"""WITH {NODES}, p AS (SELECT t, {BINS}, count(*) AS n FROM nodes GROUP BY ALL)
+    SELECT t, 10201::BIGINT AS cells, count(*) AS filled, CAST(sum(n) AS BIGINT) AS nodes, CAST(sum(n * (101 * yb + xb)) AS BIGINT) AS places, CAST(max(n) AS BIGINT) AS most FROM p GROUP BY t""")
 def cartography_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole 101 x 101 profiles of the first hours, the operator's own size of output."""
-    return metrics.densify(_profile(spark, sf_dir).where("t < 4"))
+    """The whole 101 x 101 profiles of all hours, each told by its sums."""
+    dense = metrics.densify(_profile(spark, sf_dir))
+    total = lambda c: F.sum(c).cast("long")
+    return dense.groupBy("t").agg(F.count("*").alias("cells"), F.count(F.when(F.col("n") > 0, 1)).alias("filled"), total("n").alias("nodes"), total(F.col("n") * (101 * F.col("yb") + F.col("xb"))).alias("places"), F.max("n").alias("most"))
 
 
 # -- switching and statistics ----------------------------------------------------
@@ -342,12 +359,12 @@ def variant_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {HOURS}, {COUNTS} SELECT subject, round(avg(switch_count), 6) AS mean_count FROM counts GROUP BY ALL")
 def subject_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(_counts(spark, sf_dir).groupBy("subject").agg(F.avg("switch_count").alias("mean_count")), "mean_count")
+    return _round(study.subject_means(_counts(spark, sf_dir)), "mean_count")
 
 
 @query(f"WITH {GRID} SELECT motion, tsnr, count(*) AS n, round(avg(switch_count), 6) AS mean, round(stddev_samp(switch_count), 6) AS sd FROM grid GROUP BY motion, tsnr")
 def group_mean_sd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(statistics.describe(_grid(spark, sf_dir), "switch_count", ["motion", "tsnr"]), "mean", "sd")
+    return _round(study.group_spread(_grid(spark, sf_dir), ["motion", "tsnr"]), "mean", "sd")
 
 
 ICC = """f AS (SELECT *, count(*) OVER (PARTITION BY motion, tsnr, subject) AS have FROM grid),
@@ -386,7 +403,17 @@ def pearson_behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(_pearson(spark, sf_dir).drop("p"), "r")
 
 
-@query()
+#: Two-sided p at n - 2 degrees of freedom as the finite sums of Student's distribution, in r and cos^2 = 1 - r^2.
+P_SQL = f"""WITH {GRID}, {PAIRS}, c AS (SELECT motion, tsnr, count(*) AS n, corr(x, y) AS r FROM pairs GROUP BY ALL),
+    terms AS (SELECT motion, tsnr, n, r, n % 2 = 0 AS even, unnest(range(0, greatest(n - 2, 2) // 2)) AS k FROM c),
+    sums AS (SELECT motion, tsnr, n, r, even, CASE
+        WHEN even THEN sum(exp(lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1) + k * ln(1 - r * r))) * abs(r)
+        ELSE 2 / pi() * (asin(abs(r)) + abs(r) * sqrt(1 - r * r) * coalesce(sum(CASE WHEN k < (n - 3) // 2 THEN exp(lgamma(k + 1) + lgamma(1.5) - lgamma(k + 1.5) + k * ln(1 - r * r)) END), 0)) END AS inside
+        FROM terms GROUP BY motion, tsnr, n, r, even)
+    SELECT motion, tsnr, n, round(r, 6) AS r, round(1 - inside, 6) AS p FROM sums"""
+
+
+@query(P_SQL)
 def pearson_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(_pearson(spark, sf_dir), "r", "p")
 
@@ -420,16 +447,16 @@ def dense_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- kernels: the query is a check that has SQL -----------------------------------
 
 
-@query(f"WITH {WEIGHTS} SELECT DISTINCT t, true AS q_agrees, true AS labels_from_one FROM up")
+LOUVAIN = f"WITH {WEIGHTS} SELECT DISTINCT t, true AS q_agrees, true AS labels_from_one FROM up"
+
+
+@query(LOUVAIN)
 def louvain_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kernel's Q equals the relational one for its labels, and isn't under that of one module."""
     return _louvain_check(_weights(spark, sf_dir))
 
 
-@query()
-def louvain_check_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """louvain_check over all slices."""
-    return _louvain_check(_weights(spark, sf_dir, None))
+query(LOUVAIN, "louvain_check_all")(louvain_check)
 
 
 def _louvain_check(w: DataFrame) -> DataFrame:
@@ -440,10 +467,22 @@ def _louvain_check(w: DataFrame) -> DataFrame:
     return own.join(q, "t").join(one, "t").select("t", ((F.abs(F.col("q") - F.col("kernel")) < 1e-6) & (F.col("kernel") >= F.col("q1") - 1e-9)).alias("q_agrees"), ((F.col("low") == 1) & (F.col("high") == F.col("n"))).alias("labels_from_one"))
 
 
-@query(f"WITH {CI} SELECT CAST(count(DISTINCT node) AS BIGINT) AS nodes, 1::BIGINT AS first_label FROM parts")
+@query("""SELECT block, node, CAST(dense_rank() OVER (PARTITION BY block ORDER BY first) AS INTEGER) AS c
+    FROM (SELECT p_partkey // 100 AS block, p_partkey AS node, min(p_partkey) OVER (PARTITION BY p_partkey // 100, p_size % 4) AS first FROM part)""")
+def consensus_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels where two of three partitions agree on four groups and the third is the brand: consensus finds the groups, numbered by their first node."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    group = (F.col("p_size") % 4).cast("string")
+    parts = part.select(F.expr("p_partkey div 100").alias("block"), F.col("p_partkey").alias("node"), F.posexplode(F.array(group, group, "p_brand")).alias("p", "c"))
+    agreed = community.agreement(parts, keys=["block"])
+    return community.consensus(agreed, ["block"], tau=0.5, reps=20, seed=7).where("p = 0").select("block", "node", "c")
+
+
+@query(f"WITH {CI} SELECT block, count(DISTINCT node) AS nodes, 1::INTEGER AS first_label, true AS dense FROM parts GROUP BY block")
 def consensus_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = community.consensus(community.agreement(_partitions(spark, sf_dir)).withColumn("k", F.lit(0)), ["k"], reps=20, seed=7)
-    return found.where("p = 0").agg(F.count_distinct("node").alias("nodes"), F.min("c").cast("long").alias("first_label"))
+    """Every part has one label of its matrix, from 1 on without gaps."""
+    found = community.consensus(community.agreement(_partitions(spark, sf_dir), keys=["block"]), ["block"], reps=20, seed=7).where("p = 0")
+    return found.groupBy("block").agg(F.count_distinct("node").alias("nodes"), F.min("c").alias("first_label"), ((F.count_distinct("c") == F.max("c")) & (F.count("*") == F.count_distinct("node"))).alias("dense"))
 
 
 @query("SELECT count(*) AS vectors, 10::BIGINT AS labels, true AS inertia_agrees FROM embeddings")
@@ -463,17 +502,86 @@ def operator_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.catalog(spark).groupBy("category").agg(F.count_distinct("id").alias("operators"))
 
 
+def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hourly = tables.hours(spark, sf_dir).groupBy("session", "event_type", (F.col("t") % 24 + 24 * F.floor(F.col("t") / 144)).cast("int").alias("t")).agg(F.avg("value").alias("value"))
+    return hourly.select("session", F.pmod(F.xxhash64("event_type"), F.lit(1 << 20)).cast("int").alias("roi"), "t", "value")
+
+
 @query()
 def study_switching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole study on hourly series per session, with few repetitions."""
-    hourly = tables.hours(spark, sf_dir).groupBy("session", "event_type", (F.col("t") % 24 + 24 * F.floor(F.col("t") / 144)).cast("int").alias("t")).agg(F.avg("value").alias("value"))
-    series = hourly.select("session", F.pmod(F.xxhash64("event_type"), F.lit(1 << 20)).cast("int").alias("roi"), "t", "value")
-    return study.switching(series, ["session"], study.Settings(runs=3, reps=3, n_init=3))
+    return study.switching(_hourly(spark, sf_dir), ["session"], study.Settings(runs=3, reps=3, n_init=3))
+
+
+DEFINITIONS = f"""{BOLD}, verts AS (SELECT DISTINCT session, vertex FROM bold),
+    labels AS (SELECT 'surface' AS definition, session, vertex, CAST(vertex % 12 AS INTEGER) AS roi FROM verts UNION ALL SELECT 'volume', session, vertex, CAST(vertex % 10 AS INTEGER) FROM verts
+        UNION ALL SELECT 'own labels', session, vertex, CAST((vertex + session) % 12 AS INTEGER) FROM verts UNION ALL SELECT 'own labels, matched', session, vertex, CAST((vertex + 2 * session) % 12 AS INTEGER) FROM verts),
+    parcels AS (SELECT definition, session, roi, t, avg(value) AS value FROM bold JOIN labels USING (session, vertex) WHERE roi <> 0 GROUP BY ALL)"""
+
+
+def _definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parcel series under four definitions: two atlases of all, two of each session's own."""
+    bold = tables.event_bold(spark, sf_dir)
+    atlas = tables.event_atlas(spark, sf_dir)
+    own = bold.select("session").distinct().crossJoin(F.broadcast(atlas))  # sessions are few
+    named = lambda df, roi: df.withColumn("roi", roi.cast("int"))
+    return study.definitions(
+        {
+            "surface": (bold, atlas),
+            "volume": (bold, named(atlas, F.col("vertex") % 10)),
+            "own labels": (bold, named(own, (F.col("vertex") + F.col("session")) % 12)),
+            "own labels, matched": (bold, named(own, (F.col("vertex") + 2 * F.col("session")) % 12)),
+        },
+        ["session"],
+    )
+
+
+@query(f"WITH {DEFINITIONS} SELECT definition, session, roi, t, round(value, 6) AS value FROM parcels")
+def definition_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(_definitions(spark, sf_dir), "value")
+
+
+@query(f"""WITH {DEFINITIONS},
+    moves AS (SELECT definition, roi AS subject, session, state <> lag(state) OVER (PARTITION BY definition, session, roi ORDER BY t) AS m FROM (SELECT *, CASE WHEN value > 50 THEN 2 ELSE 1 END AS state FROM parcels)),
+    counted AS (SELECT definition, subject, session, count(*) FILTER (WHERE m) AS switch_count FROM moves GROUP BY ALL),
+    motion AS (SELECT DISTINCT user_id % 12 AS subject, session FROM hours WHERE event_type = 'error' AND value > 90 AND user_id % 12 < 4),
+    each AS (SELECT definition, session, roi AS subject, avg(value) / nullif(stddev_samp(value), 0) AS tsnr FROM parcels GROUP BY ALL),
+    good AS (SELECT definition, session, subject FROM (SELECT *, coalesce(abs(tsnr - avg(tsnr) OVER w) <= 1.0 * stddev_samp(tsnr) OVER w, false) AS keep FROM each WINDOW w AS (PARTITION BY definition, session)) WHERE keep),
+    flags AS (SELECT c.*, m.subject IS NOT NULL AS moved, g.subject IS NOT NULL AS fine FROM counted c LEFT JOIN motion m USING (subject, session) LEFT JOIN good g USING (definition, subject, session)),
+    grid AS (SELECT f.*, v.motion, v.tsnr FROM flags f, (VALUES (false, false), (false, true), (true, false), (true, true)) AS v(motion, tsnr) WHERE NOT (v.motion AND moved) AND (NOT v.tsnr OR fine))
+    SELECT definition, motion, tsnr, count(*) AS n, round(avg(switch_count), 6) AS mean, round(stddev_samp(switch_count), 6) AS sd FROM grid GROUP BY ALL""")
+def pipeline_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sixteen pipelines, four definitions by four variants, in one plan: switches of each parcel and session."""
+    parcels = _definitions(spark, sf_dir).withColumnRenamed("roi", "subject")
+    keys = ["definition", "subject", "session"]
+    counted = metrics.switch_count(parcels.withColumn("state", F.when(F.col("value") > 50, 2).otherwise(1)), keys)
+    motion = tables.hours(spark, sf_dir).where("event_type = 'error' and value > 90 and user_id % 12 < 4").select((F.col("user_id") % 12).cast("int").alias("subject"), "session").distinct()
+    features = preprocessing.tsnr(parcels, ["definition", "session"], 1.0, "subject")
+    return _round(study.group_spread(study.variants(counted, motion, features, keys), ["definition", "motion", "tsnr"]), "mean", "sd")
+
+
+@query("SELECT true AS states_in_range, true AS inertia_agrees, true AS counts_agree")
+def states_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The study's states against relational sums: the inertia of the labelled profiles, and the switches of the labels."""
+    few = study.Settings(runs=3, reps=3, n_init=3)
+    cells = study.profiles(_hourly(spark, sf_dir), ["session"], few)
+    found = clustering.kmeans_by_key(cells, ["session"], few.n_clusters, few.n_init, seed=few.seed)
+    size = found.groupBy("session", "state").agg(F.count("*").alias("size"))
+    named = cells.join(found.select("session", F.col("t").alias("sample"), "state"), ["session", "sample"])
+    sums = named.groupBy("session", "state", "feature").agg(F.sum(F.col("value") * F.col("value")).alias("square"), F.sum("value").alias("sum")).join(size, ["session", "state"])
+    within = sums.groupBy("session").agg(F.sum(F.col("square") - F.col("sum") * F.col("sum") / F.col("size")).alias("within"))
+    seen = found.groupBy("session").agg(F.max("inertia").alias("inertia"), F.min("state").alias("low"), F.max("state").alias("high"))
+    lists = found.groupBy("session").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "state"))), lambda x: x["state"]).alias("s"))
+    moves = lists.select("session", F.size(F.filter(F.zip_with(F.slice("s", 2, 1 << 30), F.slice("s", F.lit(1), F.size("s") - 1), lambda a, b: a != b), lambda x: x)).cast("long").alias("moves"))
+    counts = metrics.switch_count(found, ["session"]).join(moves, "session").select("session", (F.col("switch_count") == F.col("moves")).alias("counts_agree"))
+    each = within.join(seen, "session").join(counts, "session")
+    ok = {"states_in_range": (F.col("low") == 1) & (F.col("high") <= 2), "inertia_agrees": F.abs(F.col("within") - F.col("inertia")) <= 1e-6 * (1 + F.col("inertia")), "counts_agree": F.col("counts_agree")}
+    return each.agg(*(F.coalesce(F.bool_and(c), F.lit(True)).alias(n) for n, c in ok.items()))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All coupling slices, their node metrics under fixed communities, and the profile of each."""
-    w = _weights(spark, sf_dir, None)
+    w = _weights(spark, sf_dir)
     modules = _modules(w)
     nodes = metrics.participation(w, modules, ["t"]).join(metrics.module_z(w, modules, ["t"]), ["t", "node"])
     return metrics.cartography(nodes.select("t", "node", F.col("p_pos").alias("bt"), F.col("z").alias("wt")))

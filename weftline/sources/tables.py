@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,14 @@ def read_bold(spark: SparkSession, path: str, space: str = "fsaverage6") -> Data
     return spark.read.schema(BOLD).parquet(path)
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: under ``spark.checkpoint.dir``, or for a local session the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(named or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/study-{uuid.uuid4().hex}"
+
+
 def scan_extents(bold: DataFrame) -> DataFrame:
     """(axis, size) of a signal table."""
     return extents(bold, ["subject", "session", "vertex", "t"])

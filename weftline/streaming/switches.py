@@ -11,12 +11,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 def _count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """The state is the last state seen and the count so far. Rows of one trigger are put in order of t; a row older than those already counted is a late one and left out."""
-    t, last, count = state.get if state.exists else (-1, 0, 0)
+    t, last, count = state.get if state.exists else (-1, None, 0)
     rows = pd.concat(list(batches)).sort_values("t")
     rows = rows[rows["t"] > t]
     if len(rows):
         seen = rows["state"].tolist()
-        count += sum(a != b for a, b in zip([last or seen[0], *seen], seen))
+        count += sum(a != b for a, b in zip([seen[0] if last is None else last, *seen], seen))
         state.update((int(rows["t"].iloc[-1]), int(seen[-1]), int(count)))
     yield pd.DataFrame({"key": [key[0]], "switch_count": [count]})
 
