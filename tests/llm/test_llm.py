@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import components, decontaminate, main_text, ngram_join, piece_codec, pseudonyms, quality_rules, suffix_dedup, token_counts, warc, window_dedup
+from weftline.llm import components, decontaminate, main_text, ngram_join, passages, piece_codec, pseudonyms, quality_rules, suffix_dedup, token_counts, warc, window_dedup
 
 PIECES, BYTES = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -261,8 +261,10 @@ def test_window_dedup_equals_brute_force(docs, rows, empty, bits, monkeypatch):
     assert window_dedup.dedup_windows(empty).count() == 0
 
 
-def test_suffix_dedup_equals_brute_force(docs, rows, empty, monkeypatch):
+@pytest.mark.parametrize("least", [1000, 1])
+def test_suffix_dedup_equals_brute_force(docs, rows, empty, least, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HELD", 40)
+    monkeypatch.setattr(suffix_dedup, "LEAST_SPLIT", least)  # few marks split the grams of shared passages by windows
     found = by_id(suffix_dedup.repeated_passages(docs), "n_words", "n_repeated", "spans")
     for i, (n, gone, _, mask) in plain_windows(rows).items():
         spans = [(m.start(), m.end()) for m in re.finditer("1+", "".join("01"[g] for g in mask))]
@@ -270,6 +272,20 @@ def test_suffix_dedup_equals_brute_force(docs, rows, empty, monkeypatch):
     assert suffix_dedup.repeated_passages(empty).count() == 0
 
 
+def test_a_passage_in_many_surroundings_is_split(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "LEAST_SPLIT", 50)
+    rng = random.Random(12)
+    passage = prose(rng, 70)
+    some = [(i, f"{prose(rng, rng.randrange(60))} {passage} {prose(rng, rng.randrange(60))}") for i in range(1, 201)]
+    docs = spark.createDataFrame(some, "doc_id long, text string").repartition(6)
+    want = {i: x[:2] for i, x in plain_windows(some).items()}
+    assert by_id(suffix_dedup.repeated_passages(docs), "n_words", "n_repeated") == want
+    found = suffix_dedup.repeated_marks(docs, suffix_dedup.WIDTH, suffix_dedup.GRAM, "doc_id", "text")
+    counts = found.where("gram is not null").select(F.col("gram").alias("key"), "n")
+    assert 0 < len(passages.frequent(counts, passages.shard_count(docs))) <= 4 * passages.shard_count(docs)
+    assert counts.agg(F.max("n")).first()[0] == 200
+
+
 def test_windows_of_documents_without_id(spark):
     rng = random.Random(8)
     a, b = prose(rng, 70), prose(rng, 90)

@@ -153,6 +153,22 @@ def shard_count(df: DataFrame) -> int:
     return 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def frequent(counts: DataFrame, shards: int) -> np.ndarray:
+    """Of rows (key, n), one a key, the sorted keys that hold a quarter of an even shard or more; so four a shard at most."""
+    total = counts.agg(F.sum("n")).first()[0]
+    if not total:
+        return np.empty(0, np.uint64)
+    found = counts.where(F.col("n") * 4 * shards >= total).select("key").toArrow().column("key")
+    return np.sort(found.to_numpy().view(np.uint64))
+
+
+def among(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Mask of the keys that are among sorted ones."""
+    if not len(known):
+        return np.zeros(len(keys), bool)
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+
+
 def slots(df: DataFrame) -> np.ndarray:
     """For each shuffle partition a number that repartition() deals to it, so one shard per partition is even."""
     spark = df.sparkSession

@@ -15,7 +15,10 @@ at marked positions are kept.
    words are equal, hold the same window. The smallest id keeps it.
 
 Each task first settles suffixes with the same surroundings among its own
-documents and sends on one of them, so copies don't pile up in one shard.
+documents and sends on one of them, so copies don't pile up in one shard. Grams
+that two documents of a task hold are known to be repeated, and one row tells
+the others. A gram that makes up more than its share of a shard is split: its
+suffixes go by the windows that it marks, of which each task again settles its own.
 """
 
 from __future__ import annotations
@@ -26,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import Utf8, mix, slices, spans, window_hashes
-from weftline.llm.passages import RUN_ROWS, FlatWords, by_shard, covered, ident, ids_of, merge_runs, packed, packed_schema, real_id, run_rows, runs, shard_count, spans_of
+from weftline.llm.common import Utf8, mix, slices, spans, window_hashes, written
+from weftline.llm.passages import RUN_ROWS, FlatWords, among, by_shard, covered, frequent, ident, ids_of, merge_runs, packed, packed_schema, real_id, run_rows, runs, shard_count, spans_of
 
 WIDTH, GRAM = 50, 16
 #: Bytes of a word's hash that travel: two different words agree once in 10 ** 12.
 WORD_BYTES = 5
 HELD = 100_000
+#: A gram with fewer marks than this is never split; results are the same.
+LEAST_SPLIT = 1000
 
 
 def _marks(flat: FlatWords, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,22 +50,47 @@ def _marks(flat: FlatWords, width: int, gram: int) -> tuple[np.ndarray, np.ndarr
     return marked, value[starts][first]
 
 
+def _settled(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of which a smaller document holds the key too, and the others."""
+    by = np.lexsort((doc, keys))
+    keys, d = keys[by], doc[by]
+    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    later = d > np.repeat(d[heads], np.diff(np.append(heads, len(d))))
+    return by[later], by[~later]
+
+
 def repeated_marks(docs: DataFrame, width: int, gram: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc, runs): marked positions whose gram is marked in another document too."""
+    """(doc, runs): marked positions whose gram is marked in another document too; and rows (gram, n) of grams with many marks."""
     shards = shard_count(docs)
 
     def partition(batches):
         held, n = [], 0
 
         def flush():
-            if held:
-                grams, doc, at = (np.concatenate(x) for x in zip(*held))
-                held.clear()
-                yield from packed((grams % np.uint64(shards)).astype(np.int64), shards, [grams, doc, at])
+            if not held:
+                return
+            grams, doc, at = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            by = np.lexsort((doc, grams))
+            grams, doc, at = grams[by], doc[by], at[by]
+            heads = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+            size = np.diff(np.append(heads, len(grams)))
+            several = doc[heads] != doc[heads + size - 1]
+            known = np.repeat(several, size)
+            d, first, last = runs(doc[known], at[known])
+            yield from packed((mix(d.astype(np.uint64)) % np.uint64(shards)).astype(np.int64), shards, [d, first, last, np.zeros(len(d), np.uint8)], kind=0)
+            # of a gram of several documents here, one row with the number of its marks goes on
+            count = np.ones(len(grams), np.int32)
+            count[heads[several]] = size[several]
+            on = ~known
+            on[heads] = True
+            yield from packed((grams[on] % np.uint64(shards)).astype(np.int64), shards, [grams[on], doc[on], at[on], count[on]], kind=1)
 
         for batch in slices(batches, text_col):
             flat, ids = FlatWords(batch.column(text_col)), ids_of(batch.column(id_col))
             marks, grams = _marks(flat, width, gram)
+            if not len(marks):
+                continue
             held.append((grams, ids[flat.row[marks]], flat.at[marks].astype(np.int32)))
             n += len(marks)
             if n > 10 * HELD:
@@ -68,20 +98,35 @@ def repeated_marks(docs: DataFrame, width: int, gram: int, id_col: str, text_col
                 n = 0
         yield from flush()
 
-    def merge(held):
-        grams, doc, at = (np.frombuffer(b"".join(x), k) for x, k in zip(held[0], (np.uint64, np.int64, np.int32)))
-        by = np.lexsort((doc, grams))
-        grams, doc, at = grams[by], doc[by], at[by]
-        opens = np.ones(len(by), bool)
-        opens[1:] = grams[1:] != grams[:-1]
-        heads = np.flatnonzero(opens)
-        tails = np.append(heads[1:], len(by))
-        several = np.repeat(doc[heads] != doc[tails - 1], tails - heads)
-        if several.any():
-            yield run_rows(*runs(doc[several], at[several]))
+    def rows(docs_, blobs, grams, counts):
+        columns = (pa.array(docs_, pa.int64()), pa.array(blobs, pa.binary()), pa.array(grams, pa.int64()), pa.array(counts, pa.int64()))
+        size = max(map(len, columns))
+        return pa.RecordBatch.from_arrays([c if len(c) == size else pa.nulls(size, c.type) for c in columns], names=["doc", "runs", "gram", "n"])
 
-    parts = docs.mapInArrow(partition, packed_schema(3))
-    return by_shard(parts, merge, RUN_ROWS, 3)
+    def merge(held):
+        if 0 in held:
+            d, first, last = (np.frombuffer(b"".join(x), k) for x, k in zip(held[0], (np.int64, np.int32, np.int32)))
+            by = np.lexsort((first, d))
+            found = run_rows(d[by], first[by], last[by])
+            yield rows(found.column("doc"), found.column("runs"), [], [])
+        if 1 in held:
+            grams, doc, at, count = (np.frombuffer(b"".join(x), k) for x, k in zip(held[1], (np.uint64, np.int64, np.int32, np.int32)))
+            by = np.lexsort((doc, grams))
+            grams, doc, at, count = grams[by], doc[by], at[by], count[by].astype(np.int64)
+            heads = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+            size = np.diff(np.append(heads, len(grams)))
+            several = (doc[heads] != doc[heads + size - 1]) | (np.maximum.reduceat(count, heads) > 1)
+            left = np.repeat(several, size) & (count == 1)  # those counted together have their runs
+            if left.any():
+                found = run_rows(*runs(doc[left], at[left]))
+                yield rows(found.column("doc"), found.column("runs"), [], [])
+            total = np.add.reduceat(count, heads)
+            many = several & (total >= LEAST_SPLIT)
+            if many.any():
+                yield rows([], [], grams[heads[many]].view(np.int64), total[many])
+
+    parts = docs.mapInArrow(partition, packed_schema(4))
+    return written(by_shard(parts, merge, RUN_ROWS + ", gram long, n long", 4))
 
 
 def _surroundings(words: np.ndarray, at: np.ndarray, left: int, right: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -135,7 +180,9 @@ def repeated_starts(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_co
     docs = docs.select(ident(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
     id_col, text_col = "id", "text"
     shards, side = shard_count(docs), width - gram
-    marks = repeated_marks(docs, width, gram, id_col, text_col).groupBy("doc").agg(F.collect_list("runs").alias("runs"))
+    found = repeated_marks(docs, width, gram, id_col, text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent(found.where("gram is not null").select(F.col("gram").alias("key"), "n"), shards))
+    marks = found.where("doc is not null").groupBy("doc").agg(F.collect_list("runs").alias("runs"))
     joined = docs.join(marks, docs[id_col] == marks["doc"]).select("doc", text_col, "runs")
 
     def unpack(held):
@@ -150,9 +197,16 @@ def repeated_starts(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_co
         return list(runs(doc[rows], (at[rows] - taken).astype(np.int32)))
 
     def partition(batches):
-        held, n = [], 0
+        split, held, windows, n = shared.value, [], [], 0
 
         def flush():
+            if windows:
+                keys, doc, start = (np.concatenate(x) for x in zip(*windows))
+                windows.clear()
+                copies, on = _settled(keys, doc)
+                d, first, last = runs(doc[copies], start[copies])
+                yield from packed((mix(d.astype(np.uint64)) % np.uint64(shards)).astype(np.int64), shards, [d, first, last, np.zeros(len(d), np.uint8)], kind=0)
+                yield from packed((keys[on] % np.uint64(shards)).astype(np.int64), shards, [keys[on], doc[on], start[on], np.zeros(len(on), np.uint8)], kind=2)
             if not held:
                 return
             grams, doc, at, raw = (np.concatenate(x) for x in zip(*held))
@@ -180,10 +234,19 @@ def repeated_starts(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_co
         for batch in slices(batches, text_col, 1 << 20):
             flat = FlatWords(batch.column(text_col))
             grams = window_hashes(flat.words, gram)
+            if len(split):
+                starts, (mark, _) = flat.windows(width), flat.least(width, gram)
+                starts = starts[among(split, mark[starts])] if len(starts) else starts
+                if len(starts):
+                    windows.append((window_hashes(flat.words, width)[starts], ids_of(batch.column("doc"))[flat.row[starts]], flat.at[starts].astype(np.int32)))
+                    n += len(starts) // 10
             for i, (doc, blobs) in enumerate(zip(batch.column("doc").to_pylist(), batch.column("runs").to_pylist())):
                 lo, size = int(flat.starts[i]), int(flat.sizes[i])
                 pairs = merge_runs(blobs)
                 at = np.concatenate([np.arange(a, b + 1) for a, b in pairs.tolist()])
+                at = at[~among(split, grams[lo + at])]
+                if not len(at):
+                    continue
                 before, n_left, after, n_right = _surroundings(flat.words[lo : lo + size], at, side, width)
                 raw = np.concatenate([n_left[:, None], n_right[:, None], before.reshape(len(at), -1), after.reshape(len(at), -1)], axis=1)
                 held.append((grams[lo + at], np.full(len(at), doc), at.astype(np.int32), raw))
@@ -203,6 +266,11 @@ def repeated_starts(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_co
             rows, taken = _same_windows(grams, before, n_left, after, n_right, doc, width, gram)
             if len(rows):
                 yield run_rows(*runs(doc[rows], (at[rows] - taken).astype(np.int32)))
+        if 2 in held:
+            keys, doc, start = (np.frombuffer(b"".join(x), k) for x, k in zip(held[2], (np.uint64, np.int64, np.int32)))
+            copies, _ = _settled(keys, doc)
+            if len(copies):
+                yield run_rows(*runs(doc[copies], start[copies]))
 
     return by_shard(joined.mapInArrow(partition, packed_schema(4)), merge, RUN_ROWS, 4)
 
