@@ -251,8 +251,9 @@ def plain_windows(rows, width=50):
     return out
 
 
-@pytest.mark.parametrize("bits", [None, 8])
-def test_window_dedup_equals_brute_force(docs, rows, empty, bits, monkeypatch):
+@pytest.mark.parametrize("bits, least", [(None, 1000), (8, 1000), (None, 1)])
+def test_window_dedup_equals_brute_force(docs, rows, empty, bits, least, monkeypatch):
+    monkeypatch.setattr(window_dedup, "LEAST_SPLIT", least)  # few counts split anchors by windows
     if bits:  # a sketch so full that its estimates are useless loses nothing
         monkeypatch.setattr(window_dedup, "MOST_BITS", 11)
     found = window_dedup.dedup_windows(docs)
@@ -284,6 +285,9 @@ def test_a_passage_in_many_surroundings_is_split(spark, monkeypatch):
     counts = found.where("gram is not null").select(F.col("gram").alias("key"), "n")
     assert 0 < len(passages.frequent(counts, passages.shard_count(docs))) <= 4 * passages.shard_count(docs)
     assert counts.agg(F.max("n")).first()[0] == 200
+    monkeypatch.setattr(window_dedup, "LEAST_SPLIT", 50)
+    assert 0 < len(window_dedup.sketch(docs, 16)[1]) <= 4 * passages.shard_count(docs)
+    assert by_id(window_dedup.dedup_windows(docs), "n_words", "n_removed") == want
 
 
 def test_windows_of_documents_without_id(spark):

@@ -9,7 +9,9 @@ documents with an anchor is never less than the number with a window.
 2. Windows whose anchor is estimated in fewer than two documents can't repeat.
    The others are grouped exactly. Each task first settles what it can itself:
    of equal windows only those of the smallest id go on, so that a window that
-   a third of all documents hold reaches its shard once per task.
+   a third of all documents hold reaches its shard once per task. An anchor
+   whose cell has more than its share of a shard, as in a passage in many
+   surroundings, is split: its windows are dealt by their own hash.
 3. The starts of repeated windows return to their documents.
 
 The merged sketch is two bit arrays of ``2 ** bits`` cells. ``bits`` follows the
@@ -28,12 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import mix, slices, window_hashes
-from weftline.llm.passages import RUN_ROWS, FlatWords, by_shard, covered, ident, ids_of, packed, packed_schema, real_id, run_rows, runs, shard_count, spans_of
+from weftline.llm.common import mix, slices, window_hashes, written
+from weftline.llm.passages import RUN_ROWS, FlatWords, among, by_shard, covered, frequent, ident, ids_of, packed, packed_schema, real_id, run_rows, runs, shard_count, spans_of
 
 WIDTH, GRAM = 50, 25
 DEPTH, MOST_BITS, SLICES = 2, 29, 256
 HELD = 1_500_000
+#: An anchor whose cell counts fewer is never split; results are the same.
+LEAST_SPLIT = 1000
 
 
 def _cells(anchors: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -59,9 +63,9 @@ def _once_per_document(row: np.ndarray, anchors: np.ndarray, bits: int) -> list[
     return [_cells(anchors[fresh], r, bits) for r in range(DEPTH)]
 
 
-def sketch(docs: DataFrame, bits: int, width: int = WIDTH, gram: int = GRAM, text_col: str = "text") -> list[np.ndarray]:
-    """Per row of the sketch, a packed bit for each cell: whether two documents or more fell there."""
-    per_slice = (1 << bits) // SLICES
+def sketch(docs: DataFrame, bits: int, width: int = WIDTH, gram: int = GRAM, text_col: str = "text") -> tuple[list[np.ndarray], np.ndarray]:
+    """Per row of the sketch, a packed bit for each cell: whether two documents or more fell there; and the frequent cells of the first row."""
+    per_slice, shards = (1 << bits) // SLICES, shard_count(docs)
 
     def partition(batches):
         held, n = [[] for _ in range(DEPTH)], 0
@@ -70,7 +74,7 @@ def sketch(docs: DataFrame, bits: int, width: int = WIDTH, gram: int = GRAM, tex
             for r in range(DEPTH):
                 if held[r]:
                     cells, count = np.unique(np.concatenate(held[r]), return_counts=True)
-                    yield from packed((cells // per_slice).astype(np.int64) + r * SLICES, DEPTH * SLICES, [(cells % per_slice).astype(np.uint32), np.minimum(count, 2).astype(np.uint8)])
+                    yield from packed((cells // per_slice).astype(np.int64) + r * SLICES, DEPTH * SLICES, [(cells % per_slice).astype(np.uint32), np.minimum(count, 255).astype(np.uint8)])
                 held[r].clear()
 
         for batch in slices(batches, text_col):
@@ -88,27 +92,31 @@ def sketch(docs: DataFrame, bits: int, width: int = WIDTH, gram: int = GRAM, tex
         shard, cells = None, None
 
         def done():
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([np.packbits(cells >= 2, bitorder="little").tobytes()], pa.binary())], names=["shard", "bits"])
+            # those that are frequent overall are so within their slice, which holds four a shard of such at most
+            many = np.flatnonzero((cells >= LEAST_SPLIT) & (cells * 4 * shards >= cells.sum())) if shard < SLICES else np.empty(0, np.int64)
+            packed_bits = [np.packbits(cells >= 2, bitorder="little").tobytes()] + [None] * len(many)
+            keys, counts = [None] + (shard * per_slice + many).tolist(), [None] + cells[many].tolist()
+            return pa.RecordBatch.from_arrays([pa.array([shard] * len(keys), pa.int32()), pa.array(packed_bits, pa.binary()), pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], names=["shard", "bits", "key", "n"])
 
         for batch in batches:
             for s, at, count in zip(batch.column("shard").to_pylist(), batch.column("a").to_pylist(), batch.column("b").to_pylist()):
                 if s != shard:
                     if cells is not None:
                         yield done()
-                    shard, cells = s, np.zeros(per_slice, np.uint8)
-                at = np.frombuffer(at, np.uint32)
-                cells[at] = np.minimum(cells[at] + np.frombuffer(count, np.uint8), 2)
+                    shard, cells = s, np.zeros(per_slice, np.int64)
+                cells[np.frombuffer(at, np.uint32)] += np.frombuffer(count, np.uint8)  # a row has each cell once
         if cells is not None:
             yield done()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = docs.select(text_col).mapInArrow(partition, packed_schema(2))
-    merged = parts.repartition(n, F.col("shard")).sortWithinPartitions("shard").mapInArrow(merge, "shard int, bits binary").toArrow()
+    counted = written(parts.repartition(n, F.col("shard")).sortWithinPartitions("shard").mapInArrow(merge, "shard int, bits binary, key long, n long"))
+    merged = counted.where("key is null").select("shard", "bits").toArrow()
     rows = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(DEPTH)]
     for s, data in zip(merged.column("shard").to_pylist(), merged.column("bits").to_pylist()):
         r, k = divmod(s, SLICES)
         rows[r][k * per_slice // 8 : (k + 1) * per_slice // 8] = np.frombuffer(data, np.uint8)
-    return rows
+    return rows, frequent(counted.where("key is not null").select("key", "n"), shards)
 
 
 def repeated_starts(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> DataFrame:
@@ -134,31 +142,32 @@ def repeated_starts(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_co
         return by[later], by[~later]
 
     def partition(batches):
-        rows, held, n = shared.value, [], 0
+        (rows, split), held, n = shared.value, [], 0
 
         def flush():
             if not held:
                 return
-            h1, h2, anchor, doc, start = (np.concatenate(x) for x in zip(*held))
+            h1, h2, dealt, doc, start = (np.concatenate(x) for x in zip(*held))
             held.clear()
             later, on = settle(h1, h2, doc, start)
             d, first, last = runs(doc[later], start[later])
             yield from packed((mix(d.astype(np.uint64)) % np.uint64(shards)).astype(np.int64), shards, [d, first.astype(np.int32), last.astype(np.int32), np.zeros(len(d), np.uint8)], kind=0)
-            shard = (mix(anchor[on], 9) % np.uint64(shards)).astype(np.int64)
+            shard = (mix(dealt[on], 9) % np.uint64(shards)).astype(np.int64)
             yield from packed(shard, shards, [h1[on], h2[on], doc[on], start[on]], kind=1)
 
         for batch in slices(batches, text_col):
             flat, ids = FlatWords(batch.column(text_col)), ids_of(batch.column(id_col))
             starts, anchors = _anchors(flat, width, gram)
             often = np.ones(len(starts), bool)
-            for r in range(DEPTH):
-                cell = _cells(anchors, r, bits)
+            places = [_cells(anchors, r, bits) for r in range(DEPTH)]
+            for r, cell in enumerate(places):
                 often &= (rows[r][cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
             if not often.any():
                 continue
-            starts, anchors = starts[often], anchors[often]
+            starts = starts[often]
             one, two = window_hashes(flat.words, width, 11), window_hashes(flat.words, width, 23)
-            held.append((one[starts], two[starts].astype(np.uint32), anchors, ids[flat.row[starts]], flat.at[starts].astype(np.int32)))
+            dealt = np.where(among(split, places[0][often].astype(np.uint64)), one[starts], anchors[often])
+            held.append((one[starts], two[starts].astype(np.uint32), dealt, ids[flat.row[starts]], flat.at[starts].astype(np.int32)))
             n += len(starts)
             if n > HELD:
                 yield from flush()
