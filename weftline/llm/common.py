@@ -137,9 +137,9 @@ class Utf8:
         """Where texts that aren't empty start."""
         return self.bounds[:-1][np.diff(self.bounds) > 0]
 
-    def words(self) -> tuple[np.ndarray, np.ndarray]:
-        """Where the words ``[^\\x20\\x09-\\x0D]+`` begin and end."""
-        inside = ~_BLANK[self.raw[: self.n]]
+    def words(self, between: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Where the words ``[^\\x20\\x09-\\x0D]+`` begin and end, or those of other bytes than a table of 256 flags sets."""
+        inside = ~(_BLANK if between is None else between)[self.raw[: self.n]]
         begin, end = inside.copy(), inside.copy()
         begin[1:] &= ~inside[:-1]
         end[:-1] &= ~inside[1:]
