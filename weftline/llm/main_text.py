@@ -7,15 +7,22 @@ order and fused into one score per path, which linked text lowers to nothing.
 
 The scores decide twice. Paths above ``SHARE`` of the best score are strong;
 the smallest element that holds ``MASS`` of their text is the article (grown to
-strong text right beside it, to the ``article`` or ``main`` around it, and to a
-parent where it is one block).
+strong text right beside it, from a ``section`` to the block around it, to the ``article`` or ``main``
+around it, and to a parent where it is one block).
 Within it the blocks on paths under ``LEAST_SHARE`` of the best score go: menus
-and other blocks of links, whatever they are called.
+and other blocks of links, whatever they are called. A list right after a heading, in
+a block that isn't mostly links, stays as a list of sources does; a
+heading goes if all that follows it up to the next one has gone.
 
-Names decide less. Elements that by name, class or role are never article text
+Names decide less. Elements that by tag, role or class are never article text
 (menus, forms, adverts, comments and so on) are marked, and go with all they
 hold, unless they hold an ``article`` or ``main`` that isn't marked itself, or
-nearly all strong text of the page where they are mere wrappers.
+nearly all strong text of the page where they are mere wrappers. A class counts
+if the whole of it is such a word, or joins such words and mere places
+(``cookie-notice``, ``left-sidebar``), never by a part (``side-effects``). Words that headings
+and notes have too (``related``, ``search``, ``legal``) remove nothing inside
+the article but blocks of links or form fields. Ids count outside
+``article`` and ``main`` alone, on containers, in the same way; names of inline elements never.
 """
 
 from __future__ import annotations
@@ -42,23 +49,36 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 NEVER = frozenset("head nav footer aside form button menu dialog fieldset legend audio video map".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 CONTAINERS = frozenset("body div section table tbody tr td main article".split())
+HOLDERS = frozenset("div section table td ul ol".split())
 COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
-WORDS = COMMENTS | frozenset(
-    "ad ads advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar side rail footer masthead topbar "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget pagination pager copyright legal disclaimer toolbar search tags skip hidden".split()
-)
+FRAME = frozenset("nav navbar navigation menu breadcrumb breadcrumbs sidebar header footer masthead topbar".split())
+FOREIGN = frozenset("ad ads advert adverts advertisement advertising adbox adslot sponsor sponsored promo promotion cookie cookies consent gdpr popup modal overlay newsletter pagination pager toolbar".split())
+DOUBTFUL = frozenset("banner rail side notice notices alert subscribe subscription signup login share sharing social related recommended recommendations widget copyright legal disclaimer search tags skip hidden".split())
+WORDS = COMMENTS | FRAME | FOREIGN | DOUBTFUL
+PLACES = frozenset("page site main top bottom left right global primary secondary inner outer area bar block box container wrapper wrap section holder list item items link links post posts story stories articles icon icons button buttons text".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 
 _TAG = re.compile(rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)>|<(?:/?[a-zA-Z][^>]*\Z|[!?/][^>]*(?:>|\Z))""", re.S | re.I)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
-_TOKEN = re.compile(r"[a-z0-9]+")
+_JOINT = re.compile(r"[-_]+")
 _PUNCT = re.compile(r"[.,;:!?…、。，；：！？]")
 _SPACE = re.compile(r"\s+")
 
 
 _SAME = {"td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
-#: Marks of an element: none, one that a wrapper may have by chance, one that only a real article inside lifts.
-CLEAR, LOOSE, FIRM = 0, 1, 2
+HEADINGS, LISTS = frozenset(("h2", "h3", "h4", "h5", "h6")), frozenset(("ul", "ol", "dl"))
+#: Marks of an element: none, one that needs links or form fields inside the article, one that a wrapper may have by chance, one that only a real article inside lifts.
+CLEAR, DOUBT, LOOSE, FIRM = 0, 1, 2, 3
+
+
+def _telling(names: str) -> set[str]:
+    """The telling words of a class attribute or an id."""
+    found: set[str] = set()
+    for name in names.split():
+        parts = [p for p in _JOINT.split(name) if p]
+        if all(p in WORDS or p in PLACES or p.isdigit() for p in parts):
+            found.update(WORDS.intersection(parts))
+    return found
 
 
 def _mark(name: str, attrs: str, in_article: bool) -> int:
@@ -69,19 +89,22 @@ def _mark(name: str, attrs: str, in_article: bool) -> int:
         return mark
     for key, a, b, c in _ATTR.findall(attrs):
         key, value = key.lower(), (a or b or c).lower()
-        if key in ("class", "id"):
-            tokens = _TOKEN.findall(value)
-            if not COMMENTS.isdisjoint(tokens):
+        if (key == "class" and name not in INLINE) or (key == "id" and not in_article and name in HOLDERS):
+            words = _telling(value)
+            if not COMMENTS.isdisjoint(words):
                 return FIRM
-            if name not in ("article", "main") and (not WORDS.isdisjoint(tokens) or ("header" in tokens and not in_article)):
-                mark = LOOSE
+            if in_article:
+                words.discard("header")
+            if words and name not in ("article", "main"):
+                sure = FRAME if key == "id" else FRAME | FOREIGN
+                mark = max(mark, DOUBT if sure.isdisjoint(words) else LOOSE)
         if (key == "role" and value in ROLES) or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")) or (key == "hidden" and value in ("", "hidden")):
             mark = max(mark, LOOSE)
     return mark
 
 
 class Page:
-    """Elements (parent, name, path and mark) and text nodes (element, block, text, linked) of one page, in page order.
+    """Elements (parent, name, path and mark), text nodes (element, block, text, linked) and the elements of form fields of one page, in page order.
 
     Elements and paths are numbered, a path by its parent's and its own label,
     so deep nesting costs no more than flat pages.
@@ -90,6 +113,7 @@ class Page:
     def __init__(self, html: str):
         self.parent, self.name, self.path, self.mark = [-1], [""], [0], [CLEAR]
         self.nodes: list[tuple[int, int, str, bool]] = []
+        self.fields: list[int] = []
         numbers: dict[tuple[int, str], int] = {}
         open_: list[tuple[str, int]] = []  # names of open elements with the element their text belongs to
         outer: list[str] = []  # names of the open elements that aren't inline
@@ -114,6 +138,8 @@ class Page:
             at = m.end()
             name = m["name"]
             if not name:
+                if (m["raw"] or "").lower() in ("select", "textarea"):
+                    self.fields.append(here)
                 continue
             name = name.lower()
             if m["end"]:
@@ -129,6 +155,8 @@ class Page:
                 continue
             if name in VOID:
                 block += name == "hr"
+                if name == "input":
+                    self.fields.append(here)
                 continue
             inline = name in INLINE
             if not inline:
@@ -196,12 +224,24 @@ def main_text(html: str | None) -> str:
     held = _subtree(page.parent, np.bincount(element, weight, minlength=n))
     semantic = np.array([name in ("article", "main") for name in page.name])
     articles = _subtree(page.parent, (semantic & (np.array(page.mark) < FIRM)).astype(int))
-    gone, inside = np.zeros(n, bool), np.zeros(n, bool)
+    all_text, all_linked = (_subtree(page.parent, np.bincount(element, x, minlength=n)) for x in (length, linked))
+    dense = (2 * all_linked >= all_text) | (_subtree(page.parent, np.bincount(np.array(page.fields, np.int64), minlength=n)) > 0)
+    inside = np.zeros(n, bool)
     for e in range(1, n):
-        p = page.parent[e]
-        lifted = articles[e] > 0 or (page.mark[e] == LOOSE and held[e] >= WRAPPER * held[0] > 0)
-        gone[e] = gone[p] or (page.mark[e] and not lifted)
-        inside[e] = inside[p] or semantic[e]
+        inside[e] = inside[page.parent[e]] or semantic[e]
+
+    def removed(article: np.ndarray) -> np.ndarray:
+        """The elements that go where this is the article."""
+        gone = np.zeros(n, bool)
+        for e in range(1, n):
+            mark = page.mark[e]
+            if mark == DOUBT and article[e] and not dense[e]:
+                mark = CLEAR
+            lifted = articles[e] > 0 or (mark < FIRM and held[e] >= WRAPPER * held[0] > 0)
+            gone[e] = gone[page.parent[e]] or (mark > CLEAR and not lifted)
+        return gone
+
+    gone = removed(inside)
     stays = ~gone[element]
     if not stays.any():
         return ""
@@ -218,6 +258,9 @@ def main_text(html: str | None) -> str:
         over = page.parent[over]
         if beside[over] >= BESIDE * mass[0] > 0:
             root = over
+    # a section is a part of something: of the block around it, if that has more strong text
+    while page.name[root] == "section" and mass[page.parent[root]] > mass[root]:
+        root = page.parent[root]
     around = root
     while around and not semantic[around]:
         around = page.parent[around]
@@ -229,23 +272,43 @@ def main_text(html: str | None) -> str:
     within[root] = True
     for e in range(root + 1, n):
         within[e] = within[page.parent[e]]
+    gone = removed(inside | within)
     titles = [e for e in range(n) if page.name[e] == "h1" and not gone[e]]
     if len(titles) == 1:  # a title above the article
         within[titles[0]] = True
 
     keep = {e for e in range(n) if within[e] and not gone[e]}
+    before, last = [0] * n, {}
+    for e in range(1, n):
+        before[e] = last.get(page.parent[e], 0)
+        last[page.parent[e]] = e
+    listed = np.zeros(n, bool)
+    for e in range(1, n):
+        p = page.parent[e]
+        listed[e] = listed[p] or (page.name[e] in LISTS and page.name[before[e]] in HEADINGS and not gone[before[e]] and 2 * all_linked[p] < all_text[p])
     good = {p: score[k] >= LEAST_SHARE * best for p, k in zip(np.array(page.path)[element].tolist(), path.tolist())}
     blocks: dict[int, list] = {}
     for e, block, text, link in page.nodes:
-        if e in keep and good.get(page.path[e], True):
-            blocks.setdefault(block, []).append((text, link))
-    lines = []
-    for parts in blocks.values():
-        links = [t for t, link in parts if link and not t.isspace()]
+        if e in keep and (listed[e] or good.get(page.path[e], True)):
+            blocks.setdefault(block, []).append((e, text, link))
+    for block, parts in list(blocks.items()):
+        links = [t for _, t, link in parts if link and not t.isspace()]
         # a block of several links and nothing else is a menu on whatever path
-        if len(links) > 1 and all(link or not any(map(str.isalnum, t)) for t, link in parts):
-            continue
-        lines.append(_SPACE.sub(" ", "".join(t for t, _ in parts)).strip())
+        if len(links) > 1 and not listed[parts[0][0]] and all(link or not any(map(str.isalnum, t)) for _, t, link in parts):
+            del blocks[block]
+
+    # a heading goes with what followed it
+    own = np.bincount(np.array([e for parts in blocks.values() for e, t, _ in parts if not t.isspace()], np.int64), minlength=n)
+    kept = _subtree(page.parent, own) > 0
+    alone, follows = set(), {}
+    for e in range(n - 1, 0, -1):
+        p = page.parent[e]
+        if page.name[e] in HEADINGS:
+            if follows.pop(p, True) is False and not own[p]:
+                alone.add(e)
+        elif all_text[e]:
+            follows[p] = follows.get(p, False) or bool(kept[e])
+    lines = [_SPACE.sub(" ", "".join(t for e, t, _ in parts if e not in alone)).strip() for parts in blocks.values()]
     return "\n".join(x for x in lines if x)
 
 
