@@ -298,6 +298,39 @@ def test_windows_of_documents_without_id(spark):
         assert sorted((r["doc_id"] or 0, r["n_words"], r[gone]) for r in found.collect()) == [(0, 70, 70), (0, 90, 0), (3, 70, 0)]
 
 
+@pytest.mark.parametrize("least", [1000, 1])
+def test_an_id_with_several_texts(spark, least, monkeypatch):
+    """Each of its texts has a result of its own, by what smaller ids hold; equal rows have the same one."""
+    monkeypatch.setattr(suffix_dedup, "HELD", 40)
+    for module in (window_dedup, suffix_dedup):
+        monkeypatch.setattr(module, "LEAST_SPLIT", least)
+    rng = random.Random(21)
+    passages_ = [prose(rng, 60) for _ in range(4)]
+    some = [(i, f"{prose(rng, rng.randrange(20))} {p} {prose(rng, rng.randrange(20))}") for i in (1, 2, 2, 2, 3, 5, 5, 9) for p in rng.sample(passages_, 2)]
+    some += [(2, passages_[0] * 2), (2, None), (5, ""), some[3], (None, passages_[1]), (None, passages_[1]), (None, f"x {passages_[1]}")]
+    docs = spark.createDataFrame(some, "doc_id long, text string").repartition(5)
+    windows = lambda t: [tuple(w[k : k + 50]) for w in [WORD.findall(t or "")] for k in range(len(w) - 49)]
+    want = []
+    for i, t in some:
+        n = len(WORD.findall(t or ""))
+        if i is None:
+            continue  # their order is that of hashes
+        before = {w for j, u in some if j is not None and j < i for w in windows(u)}
+        gone = [any(w in before for w in windows(t)[max(0, k - 49) : k + 1]) for k in range(n)]
+        want.append((i, n, sum(gone)))
+    for found, count in ((window_dedup.dedup_windows(docs), "n_removed"), (suffix_dedup.repeated_passages(docs), "n_repeated")):
+        rows = [(r["doc_id"], r["n_words"], r[count]) for r in found.collect()]
+        assert sorted(r for r in rows if r[0] is not None) == sorted(want)
+        assert sorted(r[1:] for r in rows if r[0] is None) == [(60, 60), (60, 60), (61, 60)]
+
+
+def test_ids_that_are_no_numbers_are_an_error(spark):
+    docs = spark.createDataFrame([("a", "some text")], "doc_id string, text string")
+    for operator in (window_dedup.dedup_windows, suffix_dedup.repeated_passages):
+        with pytest.raises(TypeError, match="whole numbers"):
+            operator(docs)
+
+
 # -- 5 ---------------------------------------------------------------------
 
 
@@ -583,6 +616,74 @@ def test_scores_select_blocks_without_names_that_help(monkeypatch):
     assert main_text.main_text(page) != want and main_text.main_text(f"<article>{LINKS}{STORY}</article>") != want
 
 
+def test_names_of_sections_lose_no_text():
+    for mark in ("id='side-effects'", "id='search'", "id='related-work'", "id=legal", "class='hidden-markov-models'", "class='ad-hoc side-by-side'", "class=search", "id=comments-on-method"):
+        for tag in ("section", "h2", "div"):
+            part = f"<section {mark}><h2>Part</h2><p>Words of the part, some of them. It matters.</p></section>" if tag == "section" else f"<h2 {mark}>Part</h2><p>Words of the part, some of them. It matters.</p>" if tag == "h2" else f"<div {mark}><p>Part</p><p>Words of the part, some of them. It matters.</p></div>"
+            for outer in ("article", "main", "div"):
+                page = f"<body><nav><a href=/>Home</a> <a href=/b>Back</a></nav><{outer}>{STORY}{part}{STORY}</{outer}><footer>Imprint</footer></body>"
+                text = main_text.main_text(page)
+                assert text.count("A first paragraph") == 2 and "Part\nWords of the part, some of them. It matters." in text and "Home" not in text and "Imprint" not in text, (mark, tag, outer)
+
+
+def test_names_that_remove():
+    for mark in ("class=ad", "class='cookie-notice'", "class='box sponsored'", "class='comments-list'", "class=related", "class='widget left-sidebar'", "role=search"):
+        links = "<ul><li><a href=1>One more story</a></li><li><a href=2>Another story</a></li></ul>"
+        assert main_text.main_text(f"<article>{STORY}<div {mark}><h3>More</h3>{links}</div>{STORY}</article>") == main_text.main_text(f"<article>{STORY}{STORY}</article>")
+    assert "Subscribe" not in main_text.main_text(f"<article>{STORY}<div class=subscribe><p>Subscribe, please. It is free.</p><input name=mail></div></article>")
+    code = "<pre><code><span class=comment># what it does</span>\nrun()</code></pre>"
+    assert "# what it does run()" in main_text.main_text(f"<article>{STORY}{code}</article>")
+
+
+def test_a_heading_and_its_list_stay_or_go_together():
+    sources = "<ul><li><a href=1>First source of this</a></li><li><a href=2>Second source of this</a></li></ul>"
+    whole = main_text.main_text(f"<article>{STORY}<h2>Sources</h2>{sources}</article>")
+    assert whole.endswith("Short.\nSources\nFirst source of this\nSecond source of this")
+    assert main_text.main_text(f"<article>{STORY}<div><h2>More of us</h2>{sources}</div></article>") == main_text.main_text(f"<article>{STORY}</article>")
+    assert main_text.main_text(f"<article>{sources}{STORY}</article>") == main_text.main_text(f"<article>{STORY}</article>")
+
+
+def generated_page(rng, outer):
+    """(page, text): an article among things that go, and the text of the article alone, as it was put in."""
+    sentence = lambda n: " ".join(rng.choice(VOCABULARY) for _ in range(n)).capitalize() + rng.choice([".", ", or so.", "!"])
+    para = lambda: " ".join(sentence(rng.randrange(6, 20)) for _ in range(rng.randrange(2, 6)))
+    harmless = lambda: rng.choice(["", "", f" id='{rng.choice(VOCABULARY)}-{rng.choice(sorted(main_text.WORDS))}'", f" class='{rng.choice(sorted(main_text.WORDS))}-{rng.choice(VOCABULARY)}'", f" id=x{rng.randrange(99)} data-x='a>b'"])
+    links = lambda: "<ul>" + "".join(f"<li><a href='/{k}'>{sentence(2)}</a></li>" for k in range(rng.randrange(2, 6))) + "</ul>"
+    title = sentence(5)
+    html, text = [f"<h1>{title}</h1>"], [title]
+    for _ in range(rng.randrange(2, 5)):
+        head, parts = sentence(3), [para() for _ in range(rng.randrange(1, 4))]
+        inner = f"<h2{harmless()}>{head}</h2>" + "".join(f"<p{harmless()}>{p.replace(' ', rng.choice([' ', chr(10), ' <b>', '&#32;']), 1)}" + rng.choice(["</p>", ""]) for p in parts)
+        html.append(rng.choice([inner, f"<section{harmless()}>{inner}</section>"]))
+        text += [head, *parts]
+        if rng.random() < 0.5:
+            html.append(rng.choice([f"<aside>{para()}</aside>", "<script>var x = '<p>no</p>';</script>", f"<div class=ad>{sentence(6)}</div>", f"<form><p>{sentence(4)}</p><input></form>", "<!-- <p>not this</p> -->", f"<div>{links()}</div>"]))
+    top = [f"<nav>{links()}</nav>", f"<header><a href=/>{sentence(2)}</a></header>", f"<div class='cookie-notice'>{sentence(9)}</div>", f"<div class='ad'>{sentence(8)}</div>"]
+    low = [f"<div id=comments><h3>Comments</h3><p>{para()}</p><p>{para()}</p></div>", f"<footer>{sentence(6)}</footer>", f"<aside class=sidebar>{links()}</aside>"]
+    some = lambda x: "".join(rng.sample(x, rng.randrange(len(x) + 1)))
+    return f"<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body>{some(top)}<{outer}{harmless() if outer == 'div' else ''}>{''.join(html)}</{outer}>{some(low)}</body></html>", "\n".join(text)
+
+
+@pytest.mark.parametrize("outer", ["article", "main", "div"])
+def test_generated_pages_give_their_article_whole(outer):
+    rng = random.Random(31)
+    for k in range(300):
+        page, text = generated_page(rng, outer)
+        assert main_text.main_text(page) == text, (k, page)
+
+
+def test_pages_give_the_same_without_their_article_element():
+    import os
+
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables here")
+    for html in pq.read_table(path).column("html").to_pylist():
+        assert main_text.main_text(html) == main_text.main_text(html.replace("<article>", "<div>").replace("</article>", "</div>"))
+
+
 def test_path_scores_equal_plain_python():
     import numpy as np
 

@@ -3,8 +3,10 @@
 Conventions that hold for every operator here:
 
 * a null text counts as an empty text;
-* columns an operator adds replace input columns of the same name, all other
-  columns pass through untouched;
+* operators that change or annotate rows replace columns of the names they add and
+  pass all others through untouched; those that report on rows (quality figures,
+  near duplicates, repeated passages, token counts, leaks, rankings, manifests, mixtures) return their
+  own columns alone, whatever further ones the input has;
 * repeated rows are kept as they are, each with its own result;
 * an empty table gives an empty table of the same schema.
 """

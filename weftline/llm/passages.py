@@ -13,8 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.llm.common import Utf8, spans, window_hashes
+from weftline.llm.ordering import before, bucketed
 
 #: Documents without an id get one from here on, by their text; so they come after all others (ids are below it).
 NO_ID_FROM = 1 << 62
@@ -30,9 +32,35 @@ def ident(id_col: str, text_col: str) -> Column:
     return F.coalesce(own, F.lit(NO_ID_FROM) + F.xxhash64(F.col(text_col)).bitwiseAND(F.lit(NO_ID_FROM - 1)))
 
 
-def real_id(c: str) -> Column:
-    """The id as it was, null where ``ident`` made one up."""
-    return F.when(F.col(c) < NO_ID_FROM, F.col(c))
+def real_id(c: str, bits: int = 0) -> Column:
+    """The id as it was before ``keyed`` put bits below it, null where one was made up."""
+    return F.when(F.col(c) < NO_ID_FROM, F.shiftright(c, bits) if bits else F.col(c))
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int, int]:
+    """(id, text) rows whose ids name one text each, the bits that were put below the ids for that, and the bytes of all texts.
+
+    Where all rows of an id have one text, ids are as they are and the bits are 0.
+    Else an id's texts are numbered in these bits, so ids shifted right by
+    them still tell what is smaller; there, ids must leave room for them. Null ids are made up as by ``ident``. Ids
+    that aren't whole numbers are a TypeError.
+    """
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must hold whole numbers, not {docs.schema[id_col].dataType.simpleString()}")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    hashed = rows.withColumn("hash", F.xxhash64("text"))
+    per = hashed.groupBy("id").agg(F.min("hash").alias("low"), F.max("hash").alias("high"), F.sum(F.octet_length("text")).alias("size"))
+    several = F.col("id").isNotNull() & (F.col("low") != F.col("high"))
+    size, clash = per.agg(F.sum("size"), F.bool_or(several)).first()
+    if not clash:
+        return rows.select(ident("id", "text").alias("id"), "text"), 0, size or 0
+    texts = hashed.join(per.where(several).select("id"), "id", "left_semi").select("id", "hash").distinct()
+    numbers = before(bucketed(texts, ["id", "hash"]), ["id"], ["hash"], F.lit(1), "nth")
+    bits = int(numbers.agg(F.max("nth")).first()[0]).bit_length()
+    room = NO_ID_FROM >> bits
+    own = F.when(F.col("id") >= room, F.raise_error(F.lit(f"ids must be under {room} where one has several texts")).cast("long")).otherwise(F.shiftleft("id", bits) + F.coalesce("nth", F.lit(0)))
+    made = F.lit(NO_ID_FROM) + F.col("hash").bitwiseAND(F.lit(NO_ID_FROM - (1 << bits)))
+    return hashed.join(numbers, ["id", "hash"], "left").select(F.coalesce(own, made).alias("id"), "text"), bits, size or 0
 
 
 class FlatWords:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm.common import Utf8, mix, slices, spans, window_hashes, written
-from weftline.llm.passages import RUN_ROWS, FlatWords, among, by_shard, covered, frequent, ident, ids_of, merge_runs, packed, packed_schema, real_id, run_rows, runs, shard_count, spans_of
+from weftline.llm.passages import RUN_ROWS, FlatWords, among, by_shard, covered, frequent, ids_of, keyed, merge_runs, packed, packed_schema, real_id, run_rows, runs, shard_count, spans_of
 
 WIDTH, GRAM = 50, 16
 #: Bytes of a word's hash that travel: two different words agree once in 10 ** 12.
@@ -50,12 +50,12 @@ def _marks(flat: FlatWords, width: int, gram: int) -> tuple[np.ndarray, np.ndarr
     return marked, value[starts][first]
 
 
-def _settled(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _settled(keys: np.ndarray, doc: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray]:
     """The rows of which a smaller document holds the key too, and the others."""
     by = np.lexsort((doc, keys))
     keys, d = keys[by], doc[by]
     heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    later = d > np.repeat(d[heads], np.diff(np.append(heads, len(d))))
+    later = d >> low > np.repeat(d[heads], np.diff(np.append(heads, len(d)))) >> low
     return by[later], by[~later]
 
 
@@ -140,7 +140,7 @@ def _surroundings(words: np.ndarray, at: np.ndarray, left: int, right: int) -> t
     return raw[np.where(before >= 0, before, n)], n_left.astype(np.uint8), raw[np.minimum(after, n)], n_right.astype(np.uint8)
 
 
-def _same_windows(gram, before, n_left, after, n_right, doc, width, gram_words):
+def _same_windows(gram, before, n_left, after, n_right, doc, width, gram_words, low):
     """(row, words taken from the left) of each window that a smaller document holds too."""
     m = len(doc)
     key = np.concatenate([gram.astype(">u8").view(np.uint8).reshape(m, 8), after.reshape(m, -1)], axis=1)
@@ -167,7 +167,7 @@ def _same_windows(gram, before, n_left, after, n_right, doc, width, gram_words):
         opens[1:] = (run[by][1:] != run[by][:-1]) | (own[by][1:] != own[by][:-1])
         heads = np.flatnonzero(opens)
         smallest = np.repeat(d[by][heads], np.diff(np.append(heads, len(by))))
-        later = by[d[by] > smallest]
+        later = by[d[by] >> low > smallest >> low]
         rows.append(order[whole[later]])
         taken.append(np.full(len(later), k))
     if not rows:
@@ -175,9 +175,8 @@ def _same_windows(gram, before, n_left, after, n_right, doc, width, gram_words):
     return np.concatenate(rows), np.concatenate(taken)
 
 
-def repeated_starts(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, runs): the starts of windows of ``width`` words that a document with a smaller id holds too."""
-    docs = docs.select(ident(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
+def repeated_starts(docs: DataFrame, width: int, gram: int, low: int) -> DataFrame:
+    """(doc, runs): the starts of windows of ``width`` words that a document with a smaller id holds too, of rows as ``keyed`` gives them with ``low`` bits."""
     id_col, text_col = "id", "text"
     shards, side = shard_count(docs), width - gram
     found = repeated_marks(docs, width, gram, id_col, text_col)
@@ -203,7 +202,7 @@ def repeated_starts(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_co
             if windows:
                 keys, doc, start = (np.concatenate(x) for x in zip(*windows))
                 windows.clear()
-                copies, on = _settled(keys, doc)
+                copies, on = _settled(keys, doc, low)
                 d, first, last = runs(doc[copies], start[copies])
                 yield from packed((mix(d.astype(np.uint64)) % np.uint64(shards)).astype(np.int64), shards, [d, first, last, np.zeros(len(d), np.uint8)], kind=0)
                 yield from packed((keys[on] % np.uint64(shards)).astype(np.int64), shards, [keys[on], doc[on], start[on], np.zeros(len(on), np.uint8)], kind=2)
@@ -219,15 +218,14 @@ def repeated_starts(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_co
             opens[1:] = group[by][1:] != group[by][:-1]
             heads = np.flatnonzero(opens)
             least = np.repeat(doc[by][heads], np.diff(np.append(heads, len(by))))
-            copies = by[doc[by] > least]
-            on = by[doc[by] == least]
+            later = doc[by] >> low > least >> low
+            copies, on = by[later], by[~later]
             if len(copies):
                 n_left, n_right = raw[copies, 0].astype(np.int64), raw[copies, 1].astype(np.int64)
-                low = np.maximum(0, width - n_right)  # least and most words that whole windows take from the left
-                high = np.minimum(n_left, side)
-                count = np.maximum(0, high - low + 1)
+                fewest = np.maximum(0, width - n_right)  # of the words that whole windows take from the left
+                count = np.maximum(0, np.minimum(n_left, side) - fewest + 1)
                 rows = np.repeat(copies, count)
-                d, first, last = settled(doc, at, rows, spans(low, count))
+                d, first, last = settled(doc, at, rows, spans(fewest, count))
                 yield from packed((mix(d.astype(np.uint64)) % np.uint64(shards)).astype(np.int64), shards, [d, first, last, np.zeros(len(d), np.uint8)], kind=0)
             yield from packed((grams[on] % np.uint64(shards)).astype(np.int64), shards, [grams[on], doc[on], at[on], raw[on]], kind=1)
 
@@ -263,12 +261,12 @@ def repeated_starts(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_co
             yield run_rows(d[by], first[by], last[by])
         if 1 in held:
             grams, doc, at, before, n_left, after, n_right = unpack(held[1])
-            rows, taken = _same_windows(grams, before, n_left, after, n_right, doc, width, gram)
+            rows, taken = _same_windows(grams, before, n_left, after, n_right, doc, width, gram, low)
             if len(rows):
                 yield run_rows(*runs(doc[rows], (at[rows] - taken).astype(np.int32)))
         if 2 in held:
             keys, doc, start = (np.frombuffer(b"".join(x), k) for x, k in zip(held[2], (np.uint64, np.int64, np.int32)))
-            copies, _ = _settled(keys, doc)
+            copies, _ = _settled(keys, doc, low)
             if len(copies):
                 yield run_rows(*runs(doc[copies], start[copies]))
 
@@ -280,11 +278,14 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_
 
     A word is repeated if a window of ``width`` words that covers it also stands
     in a document with a smaller id; so the first copy of a passage is free.
-    Texts shorter than a window have no spans, a null text has no words. An id
-    names one text; rows that repeat both get the same result each. Documents
-    without an id come after all others, in an order of their texts.
+    Texts shorter than a window have no spans, a null text has no words. Equal
+    rows get the same result each; rows with one id and different texts are texts of
+    that id, each with a result of its own, and repeat nothing of each other. Documents
+    without an id come after all others, in an order of their texts. Ids are whole numbers, others are a TypeError. An
+    empty table gives no rows. Other columns aren't returned, whatever their names.
     """
-    found = repeated_starts(docs, width, gram, id_col, text_col).groupBy("doc").agg(F.collect_list("runs").alias("runs"))
+    rows, low, _ = keyed(docs, id_col, text_col)
+    found = repeated_starts(rows, width, gram, low).groupBy("doc").agg(F.collect_list("runs").alias("runs"))
 
     def sizes(batches):
         for batch in slices(batches, "text"):
@@ -292,8 +293,7 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_
             n = pa.array(text.per_text(text.words()[0]))
             yield pa.RecordBatch.from_arrays([batch.column("id"), n], names=["id", "n_words"])
 
-    counted = docs.select(ident(id_col, text_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(sizes, "id long, n_words long")
-    joined = counted.join(found, F.col("id") == F.col("doc"), "left").select(real_id("id").alias(id_col), "n_words", "runs")
+    joined = rows.mapInArrow(sizes, "id long, n_words long").join(found, F.col("id") == F.col("doc"), "left").select(real_id("id", low).alias(id_col), "n_words", "runs")
 
     def finish(batches):
         for batch in batches:

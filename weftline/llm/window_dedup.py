@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm.common import mix, slices, window_hashes, written
-from weftline.llm.passages import RUN_ROWS, FlatWords, among, by_shard, covered, frequent, ident, ids_of, packed, packed_schema, real_id, run_rows, runs, shard_count, spans_of
+from weftline.llm.passages import RUN_ROWS, FlatWords, among, by_shard, covered, frequent, ids_of, keyed, packed, packed_schema, real_id, run_rows, runs, shard_count, spans_of
 
 WIDTH, GRAM = 50, 25
 DEPTH, MOST_BITS, SLICES = 2, 29, 256
@@ -119,14 +119,11 @@ def sketch(docs: DataFrame, bits: int, width: int = WIDTH, gram: int = GRAM, tex
     return rows, frequent(counted.where("key is not null").select("key", "n"), shards)
 
 
-def repeated_starts(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> DataFrame:
-    """(doc, runs): the starts of windows that also start in a document with a smaller id."""
-    docs = docs.select(ident(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
+def repeated_starts(docs: DataFrame, width: int, gram: int, low: int, size: int) -> DataFrame:
+    """(doc, runs): the starts of windows that also start in a document with a smaller id, of rows as ``keyed`` gives them with ``low`` bits and ``size`` bytes."""
     id_col, text_col = "id", "text"
-    if bits is None:
-        size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-        anchors = size / 6 * 2 / (width - gram + 2)
-        bits = min(MOST_BITS, max(16, math.ceil(math.log2(8 * anchors + 1))))
+    anchors = size / 6 * 2 / (width - gram + 2)
+    bits = min(MOST_BITS, max(16, math.ceil(math.log2(8 * anchors + 1))))
     shards, context = shard_count(docs), docs.sparkSession.sparkContext
     shared = context.broadcast(sketch(docs, bits, width, gram, text_col))
 
@@ -138,7 +135,7 @@ def repeated_starts(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_co
         opens[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
         heads = np.flatnonzero(opens)
         smallest = np.repeat(d[heads], np.diff(np.append(heads, len(d))))
-        later = d > smallest
+        later = d >> low > smallest >> low
         return by[later], by[~later]
 
     def partition(batches):
@@ -194,13 +191,15 @@ def dedup_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col:
 
     A word goes if a window of ``width`` words that covers it also starts in a
     document with a smaller id; windows are judged on the input. Texts shorter
-    than a window keep all their words, a null text has none. An id names one
-    text; rows that repeat both get the same result each. Documents without an
-    id come after all others, in an order of their texts.
+    than a window keep all their words, a null text has none. Equal rows get the same
+    result each; rows with one id and different texts are texts of that id, each with
+    a result of its own, and take nothing from each other. Documents without an
+    id come after all others, in an order of their texts. Ids are whole numbers, others are a TypeError. An empty
+    table gives no rows. Other columns aren't returned, whatever their names.
     """
-    found = repeated_starts(docs, width, gram, id_col, text_col).groupBy("doc").agg(F.collect_list("runs").alias("runs"))
-    rows = docs.select(ident(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
-    joined = rows.join(found, F.col("id") == F.col("doc"), "left").select(real_id("id").alias(id_col), F.col("text"), "runs")
+    rows, low, size = keyed(docs, id_col, text_col)
+    found = repeated_starts(rows, width, gram, low, size).groupBy("doc").agg(F.collect_list("runs").alias("runs"))
+    joined = rows.join(found, F.col("id") == F.col("doc"), "left").select(real_id("id", low).alias(id_col), F.col("text"), "runs")
     text_col = "text"
 
     def finish(batches):
