@@ -87,7 +87,8 @@ def manifest(rows: DataFrame, fields: Sequence[str] = FIELDS, id_col: str = "doc
     leaf = leaf_digest(list(values.values()))
     changed = leaf_digest([(tampered or {}).get(c, v) for c, v in values.items()]) if tampered else leaf
     leaves = rows.select(F.col(id_col).alias("id"), grouped_key(F.col(source_col)).alias("g"), leaf.alias("digest"), changed.alias("changed"))
-    leaves = leaves.withColumn("changed", F.nullif("changed", "digest"))
+    # texts are read and hashed once; ranges are sampled from the digests
+    leaves = written(leaves.withColumn("changed", F.nullif("changed", "digest")), "zstd")
     leaves = written(_numbered(leaves, "g", ["id", "digest"]))
     levels = _levels(leaves, fanout, ["id", "changed"])
 
