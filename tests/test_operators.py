@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import statistics
 from weftline.operators import clustering, community, connectivity, control, metrics, preprocessing
-from weftline.plans import catalog, study
+from weftline.plans import study
 from weftline.sources import tables
 
 
@@ -85,8 +85,12 @@ def test_cartography_cells(spark):
     nodes = spark.createDataFrame([(0, 0, 0.5, 0.0), (0, 1, 1.0, 9.0)], "t int, node int, bt double, wt double")
     profile = metrics.cartography(nodes)
     assert rows(profile, "yb", "xb", "n") == [(0, 100, 1), (50, 50, 1)]
-    dense = metrics.densify(profile)
-    assert dense.count() == 101 * 101 and dense.agg(F.sum("n")).first()[0] == 2
+    dense = metrics.densify(metrics.profile_vectors(nodes.union(nodes.limit(1).withColumn("t", F.lit(3)))))
+    values = {r["t"]: r["values"] for r in dense.collect()}
+    assert sorted(values) == [0, 3] and all(len(v) == 101 * 101 for v in values.values())
+    assert [k for k, n in enumerate(values[0]) if n] == [100, 50 * 101 + 50] and sum(values[0]) == 2 and values[3][50 * 101 + 50] == 1 == sum(values[3])
+    plan = dense._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
 
 
 def test_switches(spark):
@@ -184,57 +188,6 @@ def test_sources_round_trip(spark, tmp_path):
     assert rows(tables.read_mapping(spark, str(tmp_path / "m.csv")).where("roi = 1"), "network", "target_network") == [("DefaultA", "DefaultB")]
 
 
-def test_stream_counts_equal_the_batch(spark, tmp_path):
-    from weftline.streaming.switches import switch_stream
-
-    source = tmp_path / "in"
-    data = [(k, t, 1 + (t * (k + 3) // 2) % 2) for k in range(3) for t in range(30)]
-    for lo in (0, 10, 20):
-        spark.createDataFrame([r for r in data if lo <= r[1] < lo + 10], "key long, t long, state int").coalesce(1).write.mode("append").parquet(str(source))
-    stream = spark.readStream.schema("key long, t long, state int").option("maxFilesPerTrigger", 1).parquet(str(source))
-    done = switch_stream(stream).writeStream.outputMode("update").format("memory").queryName("counts").option("checkpointLocation", str(tmp_path / "c")).start()
-    done.processAllAvailable()
-    done.stop()
-    last = {r["key"]: r["n"] for r in spark.sql("SELECT key, max(switch_count) AS n FROM counts GROUP BY key").collect()}
-    batch = metrics.switch_count(spark.createDataFrame(data, "key long, t long, state int"), ["key"])
-    assert last == {r["key"]: r["switch_count"] for r in batch.collect()}
-
-
-def test_catalog_checks_parameters(spark):
-    assert catalog.catalog(spark).select("id").distinct().count() == 15
-    assert rows(catalog.search(spark, "LOUVAIN"), "id") == [("modularity_louvain_und_sign_optimized",)]
-    assert catalog.settle("coupling_optimized", window="20") == {"window": 20, "direction": 0, "trim": 0, "parallel": True}
-    assert catalog.settle("kmeans_optimized", random_state="")["random_state"] is None
-    assert catalog.settle("extract_dmn_ecn", dmn_indices="1,2") == {"dmn_indices": [1, 2], "ecn_indices": "auto"}
-    for operator, wrong in (("coupling_optimized", {"window": 2}), ("stack", {"stack_order": "middle"}), ("stack", {"size": 1}), ("agreement_weighted_optimized", {"parallel": "maybe"})):
-        with pytest.raises(ValueError):
-            catalog.settle(operator, **wrong)
-    with pytest.raises(KeyError):
-        catalog.settle("none")
-    import importlib
-
-    for _, function, _ in catalog.OPERATORS.values():
-        module, _, name = function.rpartition(".")
-        assert callable(getattr(importlib.import_module(f"weftline.{module}"), name))
-
-
-def test_stream_counts_a_switch_from_state_zero_across_triggers():
-    import pandas as pd
-
-    from weftline.streaming.switches import _count
-
-    class State:
-        exists, get = False, None
-
-        def update(self, value):
-            self.exists, self.get = True, value
-
-    state = State()
-    for t, s in enumerate([0, 1, 0, 0]):
-        found = next(_count(("k",), iter([pd.DataFrame({"t": [t], "state": [s]})]), state))
-    assert found["switch_count"].tolist() == [2]
-
-
 def test_variants_equal_four_separate_filters(spark):
     keys = ["definition", "subject", "session"]
     sessions = spark.createDataFrame([(d, s, k, 10 * s + k) for d in "ab" for s in range(4) for k in range(3)], "definition string, subject int, session int, switch_count int")

@@ -12,29 +12,26 @@ from pyspark.sql import types as T
 
 
 def icc21(scores: DataFrame, by: Sequence[str] = (), subject: str = "subject", session: str = "session", value: str = "value") -> DataFrame:
-    """(by, n, k, icc): two-way random, single-measure reliability over subjects with all sessions."""
+    """(by, n, k, icc): two-way random, single-measure reliability over subjects with all sessions.
+
+    Subjects are summed up once, as their mean and their scores' distances to it, then
+    sessions over the subjects with as many scores, and of these sums those of the subjects with all sessions count; no
+    rows are joined back. Every sum adds up in the tasks first. A group without such subjects has n = 0, one without scores no row.
+    """
+    by = list(by)
     known = scores.where(F.col(value).isNotNull())
-    sessions = known.groupBy(*by).agg(F.count_distinct(session).alias("k"))
-    x = F.col(value)
-    # means by partial aggregation, joined back: no session's or subject's rows meet in one task
-    rows = known.groupBy(*by, subject).agg(F.count("*").alias("_have"), F.avg(x).alias("_s"))
-    rows = (rows.join(F.broadcast(sessions), list(by)) if by else rows.crossJoin(F.broadcast(sessions))).where(F.col("_have") == F.col("k")).drop("_have")
-    full = known.join(rows, [*by, subject])
-    columns = full.groupBy(*by, session).agg(F.avg(x).alias("_m"), F.count("*").alias("_n"))
-    grand = columns.groupBy(*by).agg((F.sum(F.col("_m") * F.col("_n")) / F.sum("_n")).alias("_g"))
-    columns = columns.drop("_n").join(grand, list(by)) if by else columns.drop("_n").crossJoin(F.broadcast(grand))
-    full = full.join(columns, [*by, session])
-    square = lambda c: c * c
-    sums = full.groupBy(*by).agg(
-        F.count_distinct(subject).alias("n"),
-        F.max("k").alias("k"),
-        F.sum(square(F.col("_s") - F.col("_g"))).alias("rows"),
-        F.sum(square(F.col("_m") - F.col("_g"))).alias("cols"),
-        F.sum(square(x - F.col("_s") - F.col("_m") + F.col("_g"))).alias("err"),
-    )
+    each = known.groupBy(*by, subject).agg(F.avg(value).alias("_s"), F.collect_list(F.struct(F.col(session).alias("j"), F.col(value).cast("double").alias("x"))).alias("_x"))  # a subject's sessions are few
+    long = each.select(*by, "_s", F.size("_x").alias("_m"), F.explode("_x").alias("_x")).withColumn("_d", F.col("_x.x") - F.col("_s"))
+    per = long.groupBy(*by, "_m", F.col("_x.j").alias("_j")).agg(F.count("*").alias("n"), F.avg("_d").alias("d"), F.sum(F.col("_d") * F.col("_d")).alias("q"), F.var_pop("_s").alias("v"))
+    # of each number of scores a row per session: their number is the largest
+    whole = per.groupBy(*by).agg(F.count_distinct("_j").alias("k"), F.collect_list(F.struct(F.col("_m").alias("m"), "n", "d", "q", "v")).alias("_r"))
+    full = whole.select(*by, "k", F.filter("_r", lambda r: r["m"] == F.col("k")).alias("_r"))
+    total = lambda f: F.aggregate("_r", F.lit(0.0), lambda s, r: s + f(r))
+    sums = full.select(*by, F.coalesce(F.try_element_at("_r", F.lit(1))["n"], F.lit(0)).alias("n"), "k", F.try_element_at("_r", F.lit(1))["v"].alias("v"), total(lambda r: r["d"] * r["d"]).alias("cols"), total(lambda r: r["q"]).alias("within"))
     n, k = F.col("n"), F.col("k")
-    msr, msc = F.try_divide(F.col("rows"), n - 1), F.try_divide(F.col("cols"), k - 1)
-    mse = F.try_divide(F.col("err"), (n - 1) * (k - 1))
+    cols = n * F.col("cols")
+    msr, msc = F.try_divide(k * n * F.col("v"), n - 1), F.try_divide(cols, k - 1)
+    mse = F.try_divide(F.col("within") - cols, (n - 1) * (k - 1))
     icc = F.try_divide(msr - mse, msr + (k - 1) * mse + k * (msc - mse) / n)
     return sums.select(*by, n.alias("n"), k.alias("k"), icc.alias("icc"))
 

@@ -1,40 +1,174 @@
-"""K-means: over all samples by MLlib, or per key in one task each."""
+"""K-means: many starts in one job over all samples, or per key in one task each."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.sources.tables import kept
 
-def kmeans(samples: DataFrame, sample_col: str = "sample", vector_col: str = "features", n_clusters: int = 2, n_init: int = 100, max_iter: int = 300, random_state: int = 0) -> tuple[DataFrame, DataFrame, float]:
-    """Labels (sample, label), centers (label, center) and inertia of the best of ``n_init`` runs over all samples (sample, array).
+#: Samples from which starts are drawn, and the bytes that they may have on the driver.
+SEEDS, SEED_BYTES = 2000, 64 << 20
+#: Features of one row of sums, and values of samples that a task works on at once.
+FEATURES, SLICE = 4096, 1 << 20
 
-    Labels count from 0 in the order of the centers' norms.
+
+class _Samples:
+    """Some samples as dense rows, or as the places and values of what isn't 0."""
+
+    def __init__(self, column: pa.Array, width: int):
+        self.n, self.width = len(column), width
+        if pa.types.is_struct(column.type):
+            lists, values = (pa.compute.struct_field(column, k) for k in (0, 1))
+            self.at, self.x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), values.flatten().to_numpy(zero_copy_only=False).astype(float)
+            size = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
+            self.row = np.repeat(np.arange(self.n), size)
+            self.square = np.bincount(self.row, self.x**2, self.n)
+        else:
+            self.at, self.x = None, column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(self.n, -1)
+            self.square = (self.x**2).sum(1)
+
+    def rows(self) -> np.ndarray:
+        if self.at is None:
+            return self.x
+        out = np.zeros((self.n, self.width))
+        out[self.row, self.at] = self.x
+        return out
+
+    def distances(self, centers: np.ndarray) -> np.ndarray:
+        """Squared distances (samples, centers)."""
+        if self.at is None:
+            dot = self.x @ centers.T
+        else:
+            dot, open_ = np.zeros((self.n, len(centers))), np.flatnonzero(np.concatenate([[True], self.row[1:] != self.row[:-1]])) if len(self.row) else np.empty(0, np.int64)
+            if len(open_):
+                dot[self.row[open_]] = np.add.reduceat(self.x[:, None] * centers.T[self.at], open_, axis=0)
+        return np.maximum(self.square[:, None] - 2 * dot + (centers**2).sum(1)[None], 0.0)
+
+    def sums(self, label: np.ndarray, k: int) -> np.ndarray:
+        """The sum of the samples of each label."""
+        if self.at is None:
+            return np.eye(k)[label].T @ self.x
+        return np.bincount(label[self.row] * self.width + self.at, self.x, k * self.width).reshape(k, self.width)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    step = max(1, SLICE // max(1, width))
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
+def _starts(data: DataFrame, width: int, k: int, n_init: int, seed: int) -> np.ndarray:
+    """(starts, k, width): far points of a bounded sample are likelier starts; the sample is drawn by hash."""
+    most = max(k, min(SEEDS, SEED_BYTES // (8 * max(1, width))))
+    some = data.orderBy(F.xxhash64(F.col("sample").cast("string"), F.lit(seed)), "sample").limit(most).select("features").toArrow()
+    x = _Samples(some.column("features").combine_chunks(), width).rows()
+    out = []
+    for s in range(n_init):
+        rng = np.random.default_rng(seed + s)
+        centers = [x[rng.integers(len(x))]]
+        far = ((x - centers[0]) ** 2).sum(1)
+        while len(centers) < k:
+            centers.append(x[rng.choice(len(x), p=far / far.sum()) if far.sum() else rng.integers(len(x))])
+            far = np.minimum(far, ((x - centers[-1]) ** 2).sum(1))
+        out.append(np.stack(centers))
+    return np.stack(out)
+
+
+def _sums(data: DataFrame, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(counts, sums, inertias) of every start's clusters, in one pass over the samples."""
+    starts, k, width = centers.shape
+    shared = data.sparkSession.sparkContext.broadcast(centers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centers = shared.value
+        counts, sums, inertia = np.zeros((starts, k)), np.zeros((starts, k, width)), np.zeros(starts)
+        seen = False
+        for batch in _pieces(batches, width):
+            x, seen = _Samples(batch.column("features"), width), True
+            far = x.distances(centers.reshape(-1, width)).reshape(x.n, starts, k)
+            label = far.argmin(2)
+            inertia += far.min(2).sum(0)
+            for s in range(starts):
+                counts[s] += np.bincount(label[:, s], minlength=k)
+                sums[s] += x.sums(label[:, s], k)
+        for s in range(starts if seen else 0):
+            for c in range(k):
+                for block, at in enumerate(range(0, max(1, width), FEATURES)):
+                    part = sums[s, c, at : at + FEATURES]
+                    yield pa.RecordBatch.from_pylist([{"start": s, "center": c, "block": block, "n": counts[s, c], "inertia": inertia[s], "sums": part.tobytes()}], _PARTIAL)
+
+    def add(table: pa.Table) -> pa.Table:
+        """The partial sums of all tasks, one row a task."""
+        parts = np.sum([np.frombuffer(x.as_buffer()) for x in table.column("sums")], axis=0)
+        row = {c: table.column(c)[0].as_py() for c in ("start", "center", "block")}
+        return pa.Table.from_pylist([row | {"n": pa.compute.sum(table.column("n")).as_py(), "inertia": pa.compute.sum(table.column("inertia")).as_py(), "sums": parts.tobytes()}], _PARTIAL)
+
+    kind = "start int, center int, block int, n double, inertia double, sums binary"
+    found = data.select("features").mapInArrow(run, kind).groupBy("start", "center", "block").applyInArrow(add, kind).toArrow().to_pylist()
+    counts, sums, inertia = np.zeros((starts, k)), np.zeros((starts, k, width)), np.zeros(starts)
+    for r in found:
+        at = r["block"] * FEATURES
+        counts[r["start"], r["center"]], inertia[r["start"]] = r["n"], r["inertia"]
+        sums[r["start"], r["center"], at : at + FEATURES] = np.frombuffer(r["sums"])
+    return counts, sums, inertia
+
+
+_PARTIAL = pa.schema([("start", pa.int32()), ("center", pa.int32()), ("block", pa.int32()), ("n", pa.float64()), ("inertia", pa.float64()), ("sums", pa.binary())])
+
+
+def kmeans(samples: DataFrame, sample_col: str = "sample", vector_col: str = "features", n_clusters: int = 2, n_init: int = 100, max_iter: int = 300, random_state: int = 0, width: int | None = None) -> tuple[DataFrame, DataFrame, float]:
+    """Labels (sample, label), centers (label, center) and inertia of the best of ``n_init`` runs over all samples (sample, vector).
+
+    A vector is an array, or (indices, values) of what isn't 0, then of ``width`` features. All
+    runs go on side by side: an iteration is one pass over the samples with all
+    centers of the runs that haven't settled (n_init x n_clusters x features numbers, broadcast and
+    returned as sums). Starts are drawn from at most ``SEEDS`` samples. Labels count from
+    0 in the order of the centers' norms. An empty cluster keeps its center; samples without a vector are left out; no
+    samples give no labels and no centers.
     """
-    data = samples.select(F.col(sample_col).alias("sample"), array_to_vector(F.col(vector_col).cast("array<double>")).alias("features")).persist()
-    best = None
-    try:  # the runs share one copy of the samples; the labels are computed from the source again
-        for k in range(n_init):
-            model = KMeans(k=n_clusters, maxIter=max_iter, seed=random_state + k, featuresCol="features", predictionCol="raw").fit(data)
-            if best is None or model.summary.trainingCost < best.summary.trainingCost:
-                best = model
-    finally:
-        data.unpersist()
-    centers = [np.asarray(c) for c in best.clusterCenters()]
-    order = np.argsort([np.linalg.norm(c) for c in centers], kind="stable")
-    label = {int(old): new for new, old in enumerate(order)}
-    named = F.create_map(*(F.lit(x) for pair in label.items() for x in pair))
-    labels = best.transform(data).select("sample", F.element_at(named, F.col("raw")).alias("label"))
-    spark = samples.sparkSession
-    table = spark.createDataFrame([(label[int(o)], [float(x) for x in centers[o]]) for o in order], "label int, center array<double>")
-    return labels, table, float(best.summary.trainingCost)
+    vector = F.col(vector_col)
+    sparse = isinstance(samples.schema[vector_col].dataType, T.StructType)
+    typed = F.struct(vector["indices"].cast("array<int>").alias("indices"), vector["values"].cast("array<double>").alias("values")) if sparse else vector.cast("array<double>")
+    data = kept(samples.where(vector.isNotNull()).select(F.col(sample_col).alias("sample"), typed.alias("features")))
+    spark, kind = samples.sparkSession, samples.schema[sample_col].dataType
+    if not sparse:
+        width = data.agg(F.max(F.size("features"))).first()[0]
+    elif width is None:
+        raise ValueError("sparse vectors need their width")
+    if not data.head(1):
+        return data.select("sample", F.lit(0).alias("label")).limit(0), spark.createDataFrame([], "label int, center array<double>"), 0.0
+    centers = _starts(data, width, n_clusters, n_init, random_state)
+    inertia, live = np.full(n_init, np.inf), np.arange(n_init)
+    for _ in range(max_iter):
+        counts, sums, now = _sums(data, centers[live])
+        moved = np.where(counts[:, :, None] > 0, sums / np.maximum(counts, 1)[:, :, None], centers[live])
+        inertia[live] = now
+        change = ~np.isclose(moved, centers[live], rtol=1e-12, atol=1e-12).all(axis=(1, 2))
+        centers[live[change]] = moved[change]
+        live = live[change]
+        if not len(live):
+            break
+    best = int(np.argmin(inertia))
+    chosen = centers[best][np.argsort(np.linalg.norm(centers[best], axis=1), kind="stable")]
+    shared = spark.sparkContext.broadcast(chosen)
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches, width):
+            near = _Samples(batch.column("features"), width).distances(shared.value).argmin(1)
+            yield pa.RecordBatch.from_arrays([batch.column("sample"), pa.array(near.astype(np.int32))], names=["sample", "label"])
+
+    labels = data.mapInArrow(label, T.StructType([T.StructField("sample", kind), T.StructField("label", T.IntegerType())]))
+    table = spark.createDataFrame([(k, [float(x) for x in c]) for k, c in enumerate(chosen)], "label int, center array<double>")
+    return labels, table, float(inertia[best])
 
 
 def _lloyd(x: np.ndarray, k: int, rng: np.random.Generator, max_iter: int) -> tuple[np.ndarray, float]:

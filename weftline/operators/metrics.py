@@ -69,11 +69,21 @@ def cartography(nodes: DataFrame, keys: Sequence[str] = (), bins: int = 101) ->
     return nodes.groupBy(*keys, "t", yb.alias("yb"), xb.alias("xb")).agg(F.count("*").alias("n"))
 
 
+def profile_vectors(nodes: DataFrame, keys: Sequence[str] = (), bins: int = 101) -> DataFrame:
+    """(keys, t, cells, counts): each time's profile as the sorted numbers (``yb * bins + xb``) and counts of its filled cells.
+
+    Counts per cell add up in every task before the exchange; what meets for a time is a row per filled cell, ``bins`` squared at most.
+    """
+    per = cartography(nodes, keys, bins).groupBy(*keys, "t").agg(F.sort_array(F.collect_list(F.struct((F.col("yb") * bins + F.col("xb")).alias("cell"), "n"))).alias("_f"))
+    return per.select(*keys, "t", F.col("_f.cell").alias("cells"), F.col("_f.n").alias("counts"))
+
+
 def densify(profile: DataFrame, keys: Sequence[str] = (), bins: int = 101) -> DataFrame:
-    """The profile with all cells, empty ones 0."""
-    times = profile.select(*keys, "t").distinct()
-    cells = times.withColumn("yb", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).withColumn("xb", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    return cells.join(profile, [*keys, "t", "yb", "xb"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    """(keys, t, values): the counts of all cells of ``profile_vectors`` as one array, row by row; a projection, without a join."""
+    ends = F.concat(F.slice("cells", F.lit(2), F.size("cells")), F.array(F.lit(bins * bins)))
+    zeros = lambda n: F.array_repeat(F.lit(0).cast("bigint"), n)
+    runs = F.zip_with(F.arrays_zip(F.col("cells").alias("c"), F.col("counts").alias("n")), ends, lambda a, end: F.concat(F.array(a["n"].cast("bigint")), zeros(end - a["c"] - 1)))
+    return profile.select(*keys, "t", F.concat(zeros(F.element_at("cells", 1)), F.flatten(runs)).alias("values"))
 
 
 def flatten_profile(profile: DataFrame, keys: Sequence[str] = (), bins: int = 101) -> DataFrame:

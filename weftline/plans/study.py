@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import statistics
 from weftline.operators import clustering, community, connectivity, metrics, preprocessing
+from weftline.sources import results, tables
 
 
 @dataclass(frozen=True)
@@ -102,7 +103,7 @@ def group_spread(counts: DataFrame, by: Sequence[str] = (), value: str = "switch
 
 
 def reliability(counts: DataFrame, behaviour: DataFrame, score: str, by: Sequence[str] = (), value: str = "switch_count") -> DataFrame:
-    """(by, mean, sd, icc, grade, r, p) of switch counts (by, subject, session, value) and a behavioural score per subject."""
+    """(by, n, mean, sd, icc, grade, r, p) of switch counts (by, subject, session, value) and a behavioural score per subject."""
     by = list(by)
     numbers = counts.withColumn(value, F.col(value).cast("double"))
     spread = group_spread(numbers, by, value)
@@ -110,5 +111,15 @@ def reliability(counts: DataFrame, behaviour: DataFrame, score: str, by: Sequenc
     means = subject_means(numbers, by, value=value)
     r = statistics.pearson(means.join(behaviour.select("subject", score), "subject"), "mean_count", score, by).select(*by, "r", "p")
     if by:
-        return spread.join(icc, by).join(r, by)
+        return spread.join(icc, by, "left").join(r, by, "left")
     return spread.crossJoin(F.broadcast(icc)).crossJoin(F.broadcast(r))
+
+
+def write_run(counts: DataFrame, folder: str, behaviour: DataFrame | None = None, score: str = "score", by: Sequence[str] = ()) -> None:
+    """The files of a run: switch counts (by, subject, session, switch_count) as ``sessions_csv`` and ``sessions_mat``, subjects' means as
+    ``subjects_csv`` and the statistics as ``statistics_json``, with reliability and correlation if there is a score. Each is written by the tasks that have its rows."""
+    counts = tables.kept(counts)
+    results.write_results(counts, f"{folder}/sessions_csv", "csv")
+    results.write_results(counts, f"{folder}/sessions_mat", "mat")
+    results.write_results(subject_means(counts, by), f"{folder}/subjects_csv", "csv")
+    results.write_results(group_spread(counts, by) if behaviour is None else reliability(counts, behaviour, score, by), f"{folder}/statistics_json", "json")

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import statistics
-from weftline.operators import clustering, community, connectivity, control, metrics, preprocessing
-from weftline.plans import catalog, study
-from weftline.sources import tables
+from weftline.operators import chunks, clustering, community, connectivity, control, large_graphs, metrics, preprocessing
+from weftline.plans import study
+from weftline.sources import nifti, results, tables
+from weftline.streaming import switches as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -120,6 +121,60 @@ def roi_individual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(preprocessing.extract_roi(bold, atlas, ["session"]), "value")
 
 
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.to_chunks(tables.event_bold(spark, sf_dir), ["session"], 64, 128)
+
+
+@query(f"WITH {BOLD} SELECT session, roi, t, round(value, 6) AS value FROM roi")
+def roi_mean_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parcels' means from signals laid out as chunks; only sums per parcel are exchanged."""
+    blocks = chunks.atlas_blocks(tables.event_atlas(spark, sf_dir), ["session"], 64)
+    return _round(chunks.extract_roi(_chunks(spark, sf_dir), blocks, ["session"], 128), "value")
+
+
+@query(f"""WITH {BOLD}, own AS (SELECT s.session, vertex, CAST((vertex + s.session) % 12 AS INTEGER) AS roi FROM (SELECT DISTINCT session FROM bold) s, atlas)
+    SELECT session, roi, t, round(avg(value), 6) AS value FROM bold JOIN own USING (session, vertex) WHERE roi <> 0 GROUP BY session, roi, t""")
+def roi_individual_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An atlas of its own for each session; signals and atlases are bucketed alike, so neither moves for the join."""
+    atlas = tables.event_bold(spark, sf_dir).select("session", "vertex").distinct().withColumn("roi", ((F.col("vertex") + F.col("session")) % 12).cast("int"))
+    folder = tables.scratch_folder(spark)
+    name = folder.rpartition("-")[2]
+    by = ["session", "vb"]
+    signals = chunks.save_bucketed(_chunks(spark, sf_dir), f"signals_{name}", f"{folder}/signals", by, 8)
+    blocks = chunks.save_bucketed(chunks.atlas_blocks(atlas, ["session"], 64), f"atlas_{name}", f"{folder}/atlas", by, 8)
+    return _round(chunks.extract_roi(signals, blocks, ["session"], 128), "value")
+
+
+#: Users of each of seven subjects are the vertices of its runs, numbered from 0; a run has the hours of its session.
+RUNS = f"""{HOURS}, runs AS (SELECT CAST(user_id % 7 AS VARCHAR) AS subject, CAST(session AS VARCHAR) AS session, user_id // 7 AS vertex, t, avg(value) AS value FROM hours GROUP BY ALL)"""
+
+
+def _bids(spark: SparkSession, sf_dir: str) -> str:
+    """A BIDS directory of the events, written by Spark."""
+    hours = tables.hours(spark, sf_dir)
+    bold = hours.groupBy((F.col("user_id") % 7).cast("string").alias("subject"), F.col("session").cast("string").alias("session"), F.expr("user_id div 7").alias("vertex"), "t").agg(F.avg("value").alias("value"))
+    folder = tables.scratch_folder(spark)
+    width, length = bold.agg(F.max("vertex") + 1, F.max("t") + 1).first()
+    nifti.write_runs(bold, folder, "fsaverage6", width, length).write.format("noop").mode("overwrite").save()
+    return folder
+
+
+@query(f"WITH {RUNS} SELECT DISTINCT subject, session, 'fsaverage6' AS space, (SELECT max(vertex) + 1 FROM runs) AS vertices, (SELECT CAST(max(t) + 1 AS INTEGER) FROM runs) AS frames, 1.0::DOUBLE AS repetition_time FROM runs")
+def bids_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dimensions of all runs of a BIDS directory, from the files' headers."""
+    return nifti.scan_runs(spark, _bids(spark, sf_dir)).drop("path")
+
+
+@query(f"WITH {RUNS} SELECT subject, session, CAST(vertex % 5 + 1 AS INTEGER) AS roi, t, round(avg(value), 6) AS value FROM runs GROUP BY ALL")
+def bids_roi_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parcels' means straight from the run files of a BIDS directory."""
+    folder = _bids(spark, sf_dir)
+    width = nifti.scan_runs(spark, folder).agg(F.max("vertices")).first()[0]
+    atlas = spark.range(width).select(F.col("id").alias("vertex"), (F.col("id") % 5 + 1).cast("int").alias("roi"))
+    keys = ["subject", "session"]
+    return _round(chunks.extract_roi(nifti.read_runs(spark, folder, "fsaverage6", 64, 128), chunks.atlas_blocks(atlas, keys, 64), keys, 128), "value")
+
+
 REGIONS = "regions AS (SELECT CAST(r AS INTEGER) AS roi, CASE WHEN r % 3 = 0 THEN 'DefaultA' WHEN r % 3 = 1 THEN 'ContB' ELSE 'VisCent' END AS network FROM unnest(range(1, 12)) AS u(r))"
 
 
@@ -203,6 +258,21 @@ def mtd_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _coupled(spark, sf_dir, declared_length=True)
 
 
+def _blocked(spark: SparkSession, sf_dir: str, direction: str) -> DataFrame:
+    blocks = connectivity.coupling_blocks(tables.event_series(spark, sf_dir), window=14, direction=direction, parcels=2, frames=100)
+    return _round(connectivity.blocks_to_long(blocks, frames=100), "value")
+
+
+@query(f"WITH {coupling_sql(CENTERED)} SELECT i, j, t, round(value, 6) AS value FROM m WHERE whole")
+def mtd_blocks_centered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _blocked(spark, sf_dir, "centered")
+
+
+@query(f"WITH {coupling_sql(FORWARD)} SELECT i, j, t, round(value, 6) AS value FROM m WHERE whole")
+def mtd_blocks_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _blocked(spark, sf_dir, "forward")
+
+
 # -- communities and metrics ----------------------------------------------------
 
 #: All parts, a hundred to a matrix.
@@ -242,10 +312,6 @@ def participation_pos_neg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(metrics.participation(w, _modules(w), ["t"]), "p_pos", "p_neg")
 
 
-#: An earlier name of the same query, from when the other had a part of the slices.
-query(PARTICIPATION, "participation_all")(participation_pos_neg)
-
-
 #: A directed matrix, so that the flags differ: users of one session, site (forty users) and type, weighted by their difference.
 DIRECTED = f"""{HOURS}, u AS (SELECT session, user_id // 40 AS site, event_type, user_id, sum(value) AS v FROM hours GROUP BY ALL),
     weights AS (SELECT a.session, a.site, a.user_id AS i, b.user_id AS j, sum(a.v - 0.5 * b.v) AS wt FROM u a JOIN u b USING (session, site, event_type) WHERE a.user_id <> b.user_id GROUP BY ALL),
@@ -298,7 +364,15 @@ def _modularity(qtype: str) -> Query:
 _S0, _S1, _ALL = "1 / nullif(s0, 0)", "1 / nullif(s1, 0)", "1 / nullif(s0 + s1, 0)"
 for _q, _d0, _d1 in (("sta", _S0, _ALL), ("pos", _S0, "0"), ("smp", _S0, _S1), ("gja", _ALL, _ALL), ("neg", "0", _S1)):
     query(_q_sql(_d0, _d1), f"modularity_q_{_q}")(_modularity(_q))
-    query(_q_sql(_d0, _d1), f"modularity_all_{_q}")(_modularity(_q))
+
+
+@query(f"""WITH {WEIGHTS}, l AS (SELECT w.t, a.c AS ci, b.c AS cj, sum(abs(wt)) AS x FROM weights w JOIN modules a ON a.t = w.t AND a.node = i JOIN modules b ON b.t = w.t AND b.node = j GROUP BY ALL),
+    s AS (SELECT t, ci, sum(x) AS k, sum(CASE WHEN ci = cj THEN x ELSE 0 END) AS own FROM l GROUP BY ALL)
+    SELECT t, round(sum(own) / sum(k) - sum(k * k) / (sum(k) * sum(k)), 6) + 0.0 AS q FROM s GROUP BY t""")
+def modularity_unsigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Newman's modularity of weights without signs, which the signed one gives where none is negative."""
+    w = _weights(spark, sf_dir).withColumn("wt", F.abs("wt"))
+    return _round(metrics.modularity(w, _modules(w), ["t"]), "q")
 
 
 #: Participation-like and z-like values of users per hour.
@@ -306,23 +380,23 @@ NODES = f"{HOURS}, nodes AS (SELECT t, user_id AS node, (avg(value) % 100) / 100
 BINS = "least(greatest(CAST(round((5 - wt) * 10) AS INTEGER), 0), 100) AS yb, least(greatest(CAST(round(bt * 100) AS INTEGER), 0), 100) AS xb"
 
 
-def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = tables.hours(spark, sf_dir).groupBy("t", F.col("user_id").alias("node")).agg((F.avg("value") % 100 / 100).alias("bt"), (F.avg("value") % 13 - 6).alias("wt"))
-    return metrics.cartography(nodes)
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.hours(spark, sf_dir).groupBy("t", F.col("user_id").alias("node")).agg((F.avg("value") % 100 / 100).alias("bt"), (F.avg("value") % 13 - 6).alias("wt"))
 
 
 @query(f"WITH {NODES} SELECT t, {BINS}, count(*) AS n FROM nodes GROUP BY ALL")
 def cartography_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _profile(spark, sf_dir)
+    return metrics.cartography(_nodes(spark, sf_dir))
 
 
 @query(f"""WITH {NODES}, p AS (SELECT t, {BINS}, count(*) AS n FROM nodes GROUP BY ALL)
     SELECT t, 10201::BIGINT AS cells, count(*) AS filled, CAST(sum(n) AS BIGINT) AS nodes, CAST(sum(n * (101 * yb + xb)) AS BIGINT) AS places, CAST(max(n) AS BIGINT) AS most FROM p GROUP BY t""")
 def cartography_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole 101 x 101 profiles of all hours, each told by its sums."""
-    dense = metrics.densify(_profile(spark, sf_dir))
-    total = lambda c: F.sum(c).cast("long")
-    return dense.groupBy("t").agg(F.count("*").alias("cells"), F.count(F.when(F.col("n") > 0, 1)).alias("filled"), total("n").alias("nodes"), total(F.col("n") * (101 * F.col("yb") + F.col("xb"))).alias("places"), F.max("n").alias("most"))
+    dense = metrics.densify(metrics.profile_vectors(_nodes(spark, sf_dir)))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, b: a + b)
+    places = F.transform("values", lambda n, k: n * k)
+    return dense.select("t", F.size("values").cast("long").alias("cells"), F.size(F.filter("values", lambda n: n > 0)).cast("long").alias("filled"), total("values").alias("nodes"), total(places).alias("places"), F.array_max("values").alias("most"))
 
 
 # -- switching and statistics ----------------------------------------------------
@@ -338,6 +412,27 @@ def switch_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.switches(tables.event_states(spark, sf_dir), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "flag", "switched")
 
 
+@query(f"WITH {HOURS}, m AS (SELECT user_id, state <> lag(state) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS m FROM (SELECT *, CASE WHEN value > 50 THEN 2 ELSE 1 END AS state FROM hours)) SELECT user_id, count(*) FILTER (WHERE m) AS switch_count, 0::BIGINT AS late FROM m GROUP BY ALL")
+def switch_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as files in an order of arrival that isn't theirs, counted by a stream in the order of event time."""
+    folder = tables.scratch_folder(spark)
+    states = tables.event_states(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("n"), "state")
+    states.repartition(8, F.xxhash64("n")).write.parquet(f"{folder}/arrived")
+    counts = streams.count_files(spark, f"{folder}/arrived", "key long, ts timestamp, n long, state int", folder, "60 days", 3)
+    return counts.withColumnRenamed("key", "user_id")
+
+
+@query(f"WITH {HOURS}, {COUNTS} SELECT subject, session, switch_count, switch_count AS from_mat, round(avg(switch_count) OVER (PARTITION BY subject), 6) AS mean_count FROM counts")
+def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The session table as CSV and MATLAB files, subjects' means as CSV and the group's figures as JSON, read back and put side by side."""
+    folder, keys = tables.scratch_folder(spark), ["subject", "session"]
+    study.write_run(_counts(spark, sf_dir), folder)
+    sessions = spark.read.csv(f"{folder}/sessions_csv", header=True, schema="subject long, session int, switch_count long")
+    mat = results.read_mat(spark, f"{folder}/sessions_mat", "subject long, session int, switch_count long").withColumnRenamed("switch_count", "from_mat")
+    means = spark.read.csv(f"{folder}/subjects_csv", header=True, schema="subject long, mean_count double")
+    return _round(sessions.join(mat, keys).join(means, "subject"), "mean_count")
+
+
 KEPT = """each AS (SELECT user_id AS subject, session, avg(value) / nullif(stddev_samp(value), 0) AS tsnr FROM hours GROUP BY ALL),
     kept AS (SELECT subject, session, coalesce(abs(tsnr - avg(tsnr) OVER w) <= 1.0 * stddev_samp(tsnr) OVER w, false) AS keep FROM each WINDOW w AS (PARTITION BY session))"""
 GRID = f"""{HOURS}, {MOTION}, {COUNTS}, {KEPT}, grid AS (
@@ -456,7 +551,28 @@ def louvain_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _louvain_check(_weights(spark, sf_dir))
 
 
-query(LOUVAIN, "louvain_check_all")(louvain_check)
+#: Customers in groups of forty, all linked within a group and repelled by their like of the next.
+_GROUPS = "SELECT c_custkey AS node, CAST(min(c_custkey) OVER (PARTITION BY c_custkey // 40) AS BIGINT) AS c FROM customer"
+
+
+def _group_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("i"), F.expr("c_custkey div 40").alias("g"))
+    inside = nodes.join(nodes.withColumnRenamed("i", "j"), "g").where("i < j").select("g", "i", "j", F.lit(1.0).alias("wt"))
+    apart = nodes.join(nodes.select(F.col("i").alias("j")), F.col("j") == F.col("i") + 40).select("g", "i", "j", F.lit(-0.5).alias("wt"))
+    return inside.unionByName(apart)
+
+
+@query(_GROUPS)
+def louvain_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers as one graph, whose modules the rounds over the edge table find."""
+    return large_graphs.louvain(_group_edges(spark, sf_dir).drop("g"))
+
+
+@query("SELECT c_custkey // 200 AS part, c_custkey AS node, CAST(dense_rank() OVER (PARTITION BY c_custkey // 200 ORDER BY c_custkey // 40) AS INTEGER) AS c FROM customer")
+def louvain_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kernel on five groups at a time."""
+    edges = _group_edges(spark, sf_dir).withColumn("part", F.expr("g div 5")).where("i div 200 = j div 200")
+    return community.louvain(edges.select("part", "i", "j", "wt"), ["part"], seed=7).select("part", "node", "c")
 
 
 def _louvain_check(w: DataFrame) -> DataFrame:
@@ -467,15 +583,25 @@ def _louvain_check(w: DataFrame) -> DataFrame:
     return own.join(q, "t").join(one, "t").select("t", ((F.abs(F.col("q") - F.col("kernel")) < 1e-6) & (F.col("kernel") >= F.col("q1") - 1e-9)).alias("q_agrees"), ((F.col("low") == 1) & (F.col("high") == F.col("n"))).alias("labels_from_one"))
 
 
+def _agreed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    group = (F.col("p_size") % 4).cast("string")
+    parts = part.select(F.expr("p_partkey div 100").alias("block"), F.col("p_partkey").alias("node"), F.posexplode(F.array(group, group, "p_brand")).alias("p", "c"))
+    return community.agreement(parts, keys=["block"])
+
+
 @query("""SELECT block, node, CAST(dense_rank() OVER (PARTITION BY block ORDER BY first) AS INTEGER) AS c
     FROM (SELECT p_partkey // 100 AS block, p_partkey AS node, min(p_partkey) OVER (PARTITION BY p_partkey // 100, p_size % 4) AS first FROM part)""")
 def consensus_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels where two of three partitions agree on four groups and the third is the brand: consensus finds the groups, numbered by their first node."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    group = (F.col("p_size") % 4).cast("string")
-    parts = part.select(F.expr("p_partkey div 100").alias("block"), F.col("p_partkey").alias("node"), F.posexplode(F.array(group, group, "p_brand")).alias("p", "c"))
-    agreed = community.agreement(parts, keys=["block"])
-    return community.consensus(agreed, ["block"], tau=0.5, reps=20, seed=7).where("p = 0").select("block", "node", "c")
+    return community.consensus(_agreed(spark, sf_dir), ["block"], tau=0.5, reps=20, seed=7).where("p = 0").select("block", "node", "c")
+
+
+@query("""SELECT block, node, CAST(dense_rank() OVER (PARTITION BY block ORDER BY first) AS INTEGER) AS c
+    FROM (SELECT p_partkey // 100 AS block, p_partkey AS node, min(p_partkey) OVER (PARTITION BY p_partkey // 100, p_size % 4) AS first FROM part)""")
+def consensus_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of ``consensus_planted``, found by the loop over pair lists of all matrices at once."""
+    return large_graphs.consensus(_agreed(spark, sf_dir), ["block"], tau=0.5, reps=3).where("p = 0").select("block", "node", "c")
 
 
 @query(f"WITH {CI} SELECT block, count(DISTINCT node) AS nodes, 1::INTEGER AS first_label, true AS dense FROM parts GROUP BY block")
@@ -495,11 +621,28 @@ def kmeans_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.agg(F.count("*").alias("vectors"), F.count_distinct("label").alias("labels"), (F.abs(F.sum(off) - F.lit(inertia)) <= 1e-6 * F.lit(inertia)).alias("inertia_agrees"))
 
 
-@query(
-    "SELECT * FROM (VALUES ('analysis', 1::BIGINT), ('clustering', 1), ('community', 3), ('connectivity', 1), ('control', 2), ('input', 1), ('metrics', 2), ('output', 1), ('preprocessing', 3)) AS v(category, operators)"
-)
-def operator_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.catalog(spark).groupBy("category").agg(F.count_distinct("id").alias("operators"))
+@query("SELECT c_custkey AS sample, CAST(c_nationkey % 5 AS INTEGER) AS label FROM customer")
+def kmeans_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers around five points far apart, told by their balance within: the labels follow from the points' norms."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    group = F.col("c_nationkey") % 5
+    vector = F.array((1000.0 * (group + 1)).cast("double"), F.when(group % 2 == 0, 300.0).otherwise(0.0), F.col("c_acctbal") / 1000)
+    return clustering.kmeans(c.select(F.col("c_custkey").alias("sample"), vector.alias("features")), n_clusters=5, n_init=10)[0]
+
+
+#: Hours with an even and with an odd number of events are two states.
+_STATES = f"""{HOURS}, hourly AS (SELECT session, t, CAST(count(*) % 2 + 1 AS INTEGER) AS state FROM hours GROUP BY ALL),
+    moves AS (SELECT session, t, state, state <> lag(state) OVER (PARTITION BY session ORDER BY t) AS m FROM hourly)"""
+
+
+@query(f"WITH {_STATES} SELECT session, count(*) AS windows, count(*) FILTER (WHERE state = 2) AS second, count(*) FILTER (WHERE m) AS switch_count FROM moves GROUP BY session")
+def states_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States per session from profiles of two kinds, and their switches."""
+    hourly = tables.hours(spark, sf_dir).groupBy("session", "t").agg((F.count("*") % 2).alias("odd"), F.avg("value").alias("v"))
+    cells = hourly.select("session", F.col("t").alias("sample"), (F.col("odd") * 7 + 3).alias("feature"), (100.0 * (F.col("odd") + 1) + F.col("v") / 100).alias("value"))
+    found = clustering.kmeans_by_key(cells, ["session"], n_init=10)
+    size = found.groupBy("session").agg(F.count("*").alias("windows"), F.count(F.when(F.col("state") == 2, 1)).alias("second"))
+    return size.join(metrics.switch_count(found, ["session"]), "session")
 
 
 def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -541,28 +684,62 @@ def definition_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(_definitions(spark, sf_dir), "value")
 
 
-@query(f"""WITH {DEFINITIONS},
+#: Switches of each parcel and session under all sixteen pipelines.
+PIPELINES = f"""{DEFINITIONS},
     moves AS (SELECT definition, roi AS subject, session, state <> lag(state) OVER (PARTITION BY definition, session, roi ORDER BY t) AS m FROM (SELECT *, CASE WHEN value > 50 THEN 2 ELSE 1 END AS state FROM parcels)),
     counted AS (SELECT definition, subject, session, count(*) FILTER (WHERE m) AS switch_count FROM moves GROUP BY ALL),
     motion AS (SELECT DISTINCT user_id % 12 AS subject, session FROM hours WHERE event_type = 'error' AND value > 90 AND user_id % 12 < 4),
     each AS (SELECT definition, session, roi AS subject, avg(value) / nullif(stddev_samp(value), 0) AS tsnr FROM parcels GROUP BY ALL),
     good AS (SELECT definition, session, subject FROM (SELECT *, coalesce(abs(tsnr - avg(tsnr) OVER w) <= 1.0 * stddev_samp(tsnr) OVER w, false) AS keep FROM each WINDOW w AS (PARTITION BY definition, session)) WHERE keep),
     flags AS (SELECT c.*, m.subject IS NOT NULL AS moved, g.subject IS NOT NULL AS fine FROM counted c LEFT JOIN motion m USING (subject, session) LEFT JOIN good g USING (definition, subject, session)),
-    grid AS (SELECT f.*, v.motion, v.tsnr FROM flags f, (VALUES (false, false), (false, true), (true, false), (true, true)) AS v(motion, tsnr) WHERE NOT (v.motion AND moved) AND (NOT v.tsnr OR fine))
-    SELECT definition, motion, tsnr, count(*) AS n, round(avg(switch_count), 6) AS mean, round(stddev_samp(switch_count), 6) AS sd FROM grid GROUP BY ALL""")
-def pipeline_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All sixteen pipelines, four definitions by four variants, in one plan: switches of each parcel and session."""
+    grid AS (SELECT f.*, v.motion, v.tsnr FROM flags f, (VALUES (false, false), (false, true), (true, false), (true, true)) AS v(motion, tsnr) WHERE NOT (v.motion AND moved) AND (NOT v.tsnr OR fine))"""
+PIPELINE = ["definition", "motion", "tsnr"]
+
+
+def _pipelines(spark: SparkSession, sf_dir: str) -> DataFrame:
     parcels = _definitions(spark, sf_dir).withColumnRenamed("roi", "subject")
     keys = ["definition", "subject", "session"]
     counted = metrics.switch_count(parcels.withColumn("state", F.when(F.col("value") > 50, 2).otherwise(1)), keys)
     motion = tables.hours(spark, sf_dir).where("event_type = 'error' and value > 90 and user_id % 12 < 4").select((F.col("user_id") % 12).cast("int").alias("subject"), "session").distinct()
     features = preprocessing.tsnr(parcels, ["definition", "session"], 1.0, "subject")
-    return _round(study.group_spread(study.variants(counted, motion, features, keys), ["definition", "motion", "tsnr"]), "mean", "sd")
+    return study.variants(counted, motion, features, keys)
+
+
+@query(f"WITH {PIPELINES} SELECT definition, motion, tsnr, count(*) AS n, round(avg(switch_count), 6) AS mean, round(stddev_samp(switch_count), 6) AS sd FROM grid GROUP BY ALL")
+def pipeline_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sixteen pipelines, four definitions by four variants, in one plan: switches of each parcel and session."""
+    return _round(study.group_spread(_pipelines(spark, sf_dir), PIPELINE), "mean", "sd")
+
 
+ICC_BY = ICC.replace("motion, tsnr", "definition, motion, tsnr")
 
-@query("SELECT true AS states_in_range, true AS inertia_agrees, true AS counts_agree")
+
+@query(f"""WITH {PIPELINES}, {ICC_BY},
+    spread AS (SELECT definition, motion, tsnr, count(*) AS n, avg(switch_count) AS mean, stddev_samp(switch_count) AS sd FROM grid GROUP BY ALL),
+    pairs AS (SELECT definition, motion, tsnr, avg(switch_count) AS x, any_value(c_acctbal) AS y FROM grid JOIN customer ON c_custkey = subject GROUP BY definition, motion, tsnr, subject),
+    related AS (SELECT definition, motion, tsnr, count(*) AS m, corr(x, y) AS r FROM pairs GROUP BY ALL),
+    terms AS (SELECT definition, motion, tsnr, m, r, m % 2 = 0 AS even, unnest(range(0, greatest(m - 2, 2) // 2)) AS k FROM related),
+    sums AS (SELECT definition, motion, tsnr, r, CASE
+        WHEN even THEN sum(exp(lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1) + k * ln(1 - r * r))) * abs(r)
+        ELSE 2 / pi() * (asin(abs(r)) + abs(r) * sqrt(1 - r * r) * coalesce(sum(CASE WHEN k < (m - 3) // 2 THEN exp(lgamma(k + 1) + lgamma(1.5) - lgamma(k + 1.5) + k * ln(1 - r * r)) END), 0)) END AS inside
+        FROM terms GROUP BY definition, motion, tsnr, m, r, even)
+    SELECT definition, motion, tsnr, s.n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(icc, 6) AS icc,
+        CASE WHEN icc < 0.4 THEN 'poor' WHEN icc < 0.6 THEN 'fair' WHEN icc < 0.75 THEN 'good' WHEN icc IS NOT NULL THEN 'excellent' END AS grade, round(r, 6) AS r, round(1 - inside, 6) AS p
+    FROM spread s LEFT JOIN icc USING (definition, motion, tsnr) LEFT JOIN sums USING (definition, motion, tsnr)""")
+def pipeline_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The study's table of results: mean, sd, reliability with its grade, and the correlation with a score, of each of the sixteen pipelines."""
+    scores = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("subject"), F.col("c_acctbal").alias("score"))
+    return _round(study.reliability(_pipelines(spark, sf_dir), scores, "score", PIPELINE), "mean", "sd", "icc", "r", "p")
+
+
+@query(f"""WITH {HOURS}, h AS (SELECT DISTINCT session, event_type, t % 24 + 24 * (t // 144) AS t FROM hours),
+    meets AS (SELECT a.session, a.event_type AS x, b.event_type AS y, a.t FROM h a JOIN h b ON a.session = b.session AND a.t = b.t AND a.event_type < b.event_type),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY session, event_type ORDER BY t) AS n FROM h),
+    pairs AS (SELECT session, t, count(*) FILTER (WHERE fa > 1 AND fb > 1) OVER (PARTITION BY session, x, y ORDER BY t ROWS BETWEEN 7 PRECEDING AND 6 FOLLOWING) AS have
+        FROM (SELECT b.*, ra.n AS fa, rb.n AS fb FROM meets b JOIN ranked ra ON ra.session = b.session AND ra.event_type = x AND ra.t = b.t JOIN ranked rb ON rb.session = b.session AND rb.event_type = y AND rb.t = b.t))
+    SELECT session, count(DISTINCT t) AS windows, true AS states_in_range, true AS inertia_agrees, true AS counts_agree FROM pairs WHERE have = 14 GROUP BY session""")
 def states_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The study's states against relational sums: the inertia of the labelled profiles, and the switches of the labels."""
+    """The study's states per session against relational sums: their number, the inertia of the labelled profiles, and the switches of the labels."""
     few = study.Settings(runs=3, reps=3, n_init=3)
     cells = study.profiles(_hourly(spark, sf_dir), ["session"], few)
     found = clustering.kmeans_by_key(cells, ["session"], few.n_clusters, few.n_init, seed=few.seed)
@@ -570,13 +747,13 @@ def states_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = cells.join(found.select("session", F.col("t").alias("sample"), "state"), ["session", "sample"])
     sums = named.groupBy("session", "state", "feature").agg(F.sum(F.col("value") * F.col("value")).alias("square"), F.sum("value").alias("sum")).join(size, ["session", "state"])
     within = sums.groupBy("session").agg(F.sum(F.col("square") - F.col("sum") * F.col("sum") / F.col("size")).alias("within"))
-    seen = found.groupBy("session").agg(F.max("inertia").alias("inertia"), F.min("state").alias("low"), F.max("state").alias("high"))
+    seen = found.groupBy("session").agg(F.count("*").alias("windows"), F.max("inertia").alias("inertia"), F.min("state").alias("low"), F.max("state").alias("high"))
     lists = found.groupBy("session").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "state"))), lambda x: x["state"]).alias("s"))
     moves = lists.select("session", F.size(F.filter(F.zip_with(F.slice("s", 2, 1 << 30), F.slice("s", F.lit(1), F.size("s") - 1), lambda a, b: a != b), lambda x: x)).cast("long").alias("moves"))
     counts = metrics.switch_count(found, ["session"]).join(moves, "session").select("session", (F.col("switch_count") == F.col("moves")).alias("counts_agree"))
     each = within.join(seen, "session").join(counts, "session")
     ok = {"states_in_range": (F.col("low") == 1) & (F.col("high") <= 2), "inertia_agrees": F.abs(F.col("within") - F.col("inertia")) <= 1e-6 * (1 + F.col("inertia")), "counts_agree": F.col("counts_agree")}
-    return each.agg(*(F.coalesce(F.bool_and(c), F.lit(True)).alias(n) for n, c in ok.items()))
+    return each.select("session", "windows", *(c.alias(n) for n, c in ok.items()))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

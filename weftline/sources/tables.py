@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Sequence
 
@@ -25,11 +26,32 @@ def read_bold(spark: SparkSession, path: str, space: str = "fsaverage6") -> Data
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under ``spark.checkpoint.dir``, or for a local session the warehouse."""
+    """A new folder that driver and executors share, removed when the driver ends: under ``spark.checkpoint.dir``, or for a local session the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{(named or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/study-{uuid.uuid4().hex}"
+    folder = f"{(named or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/study-{uuid.uuid4().hex}"
+    place, files = _hadoop(spark, folder)
+    files.deleteOnExit(place)
+    return folder
+
+
+def _hadoop(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def kept(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    """The frame as a table in the shared folder, so what follows doesn't compute it again and a loop's plan doesn't grow; the table of an earlier round is removed."""
+    spark = df.sparkSession
+    folder = scratch_folder(spark)
+    df.write.parquet(folder)
+    out = spark.read.parquet(folder)
+    out.kept_in = folder
+    if instead_of is not None:
+        place, files = _hadoop(spark, instead_of.kept_in)
+        files.delete(place, True)
+    return out
 
 
 def scan_extents(bold: DataFrame) -> DataFrame:

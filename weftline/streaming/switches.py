@@ -1,26 +1,113 @@
-"""Switch counts over a stream of states."""
+"""Switch counts over a stream of states, in the order of event time whatever the order of arrival."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_OUT = "key long, switch_count long, pending long, late long"
 
-def _count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The state is the last state seen and the count so far. Rows of one trigger are put in order of t; a row older than those already counted is a late one and left out."""
-    t, last, count = state.get if state.exists else (-1, None, 0)
-    rows = pd.concat(list(batches)).sort_values("t")
-    rows = rows[rows["t"] > t]
-    if len(rows):
-        seen = rows["state"].tolist()
-        count += sum(a != b for a, b in zip([seen[0] if last is None else last, *seen], seen))
-        state.update((int(rows["t"].iloc[-1]), int(seen[-1]), int(count)))
-    yield pd.DataFrame({"key": [key[0]], "switch_count": [count]})
 
+class _Switches(StatefulProcessor):
+    """Of each key: the last settled (time, order, state) with the count up to it, and the rows after it by (time, order).
 
-def switch_stream(states: DataFrame) -> DataFrame:
-    """(key, switch_count), updated as rows (key long, t long, state int) come in."""
-    return states.groupBy("key").applyInPandasWithState(_count, "key long, switch_count long", "t long, last long, count long", "update", GroupStateTimeout.NoTimeout)
+    Rows up to the watermark are settled in order when it has passed them, by a timer where no new row
+    comes. A row older than the last settled one comes too late to change anything, and is counted as such. A key that
+    is silent for the time to live is forgotten.
+    """
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.settled = handle.getValueState("settled", "t long, n long, state int, switches long, late long", self.ttl_ms)
+        self.waiting = handle.getMapState("waiting", "t long, n long", "state int", self.ttl_ms)
+
+    def _advance(self, key: tuple, timers) -> pd.DataFrame:
+        watermark = timers.getCurrentWatermarkInMs() * 1000
+        t, n, state, switches, late = self.settled.get() if self.settled.exists() else (None, None, None, 0, 0)
+        rows = sorted((tuple(k), v[0]) for k, v in self.waiting.iterator())
+        ready = [r for r in rows if r[0][0] <= watermark]
+        for (t_, n_), s in ready:
+            switches += state is not None and s != state
+            t, n, state = t_, n_, s
+            self.waiting.removeKey((t_, n_))
+        if t is not None:
+            self.settled.update((t, n, state, switches, late))
+        rest, now = rows[len(ready) :], switches
+        before = state
+        for _, s in rest:
+            now += before is not None and s != before
+            before = s
+        if rest:
+            self.handle.registerTimer(rest[0][0][0] // 1000 + 1)
+        return pd.DataFrame({"key": [key[0]], "switch_count": [now], "pending": [len(rest)], "late": [late]})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last = self.settled.get() if self.settled.exists() else None
+        late = 0
+        for batch in rows:
+            for t, n, state in zip(batch["micros"].tolist(), batch["n"].tolist(), batch["state"].tolist()):
+                if last is not None and (t, n) <= (last[0], last[1]):
+                    late += 1
+                else:
+                    self.waiting.updateValue((t, n), (state,))
+        if late:
+            self.settled.update((*last[:4], last[4] + late))
+        yield self._advance(key, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._advance(key, timerValues)
+
+    def close(self) -> None:
+        pass
+
+
+def switch_stream(states: DataFrame, delay: str = "1 hour", ttl_ms: int | None = None) -> DataFrame:
+    """(key, switch_count, pending, late), updated as rows (key long, ts timestamp, n long, state int) come in; n orders rows of one time.
+
+    Counts hold all rows that came so far, in the order of (ts, n): those up to the watermark, ``delay`` behind the latest, are settled, ``pending``
+    ones after it are kept and may still get earlier ones between them. ``late`` rows came after later ones
+    had been settled. The session needs the RocksDB state store, see ``rocks``.
+    """
+    rows = states.withWatermark("ts", delay).withColumn("micros", F.unix_micros("ts"))
+    return rows.groupBy("key").transformWithStateInPandas(_Switches(ttl_ms), _OUT, "Update", "EventTime")
+
+
+@contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """The session with the state store that timers and maps need; as it was afterwards."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ROCKS)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_STORE)
+        else:
+            spark.conf.set(_STORE, before)
+
+
+def count_files(spark: SparkSession, source: str, schema: str, folder: str, delay: str, files_per_trigger: int = 4) -> DataFrame:
+    """Stream all files of a folder with rows as ``switch_stream`` takes them, and give the last count of each key, (key, switch_count, late).
+
+    The stream ends when all files that are there now are counted; checkpoints and updates go to ``folder``.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/updates/batch={number}")
+
+    with rocks(spark):
+        rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
+        stream = switch_stream(rows, delay).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        stream.awaitTermination()
+    latest = F.max_by(F.struct("switch_count", "late"), F.struct("batch", "switch_count")).alias("_l")
+    return spark.read.schema(f"{_OUT}, batch int").parquet(f"{folder}/updates").groupBy("key").agg(latest).select("key", "_l.switch_count", "_l.late")
