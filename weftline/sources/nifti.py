@@ -144,7 +144,9 @@ class _Reader(DataSourceReader):
         walk(top)
         return found
 
-    def read(self, run: Run) -> Iterator[pa.RecordBatch]:
+    def read(self, run: Run | None) -> Iterator[pa.RecordBatch]:
+        if run is None:  # no file is left
+            return
         stream = _Stream(run.path, 512 if self.headers else 1 << 20)
         head = Header.parse(stream.read(HEADER), run.path)
         own = [run.subject, run.session, run.space]
