@@ -201,6 +201,32 @@ def test_components_equal_brute_force(docs, rows, empty, often, monkeypatch):
     assert ngram_join.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("rounds", [8, 0])
+def test_a_thinly_spread_token_makes_no_large_bucket(spark, rounds, monkeypatch):
+    """A shingle that no task sees often stands in all documents; with no rounds to find it, its bucket is compared whole. Results are the same."""
+    monkeypatch.setattr(ngram_join, "OFTEN", 1 << 30)
+    monkeypatch.setattr(ngram_join, "BUCKET", 40)
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+    rng, common = random.Random(17), "one line that all of them hold"
+    texts = [f"{prose(rng, rng.randrange(8, 30))} {common} {prose(rng, 6)}" for _ in range(400)]
+    for k in range(0, 60, 3):  # near copies, some of them in chains
+        words = texts[k].split()
+        words[-1] = f"other{k}"
+        texts += [" ".join(words), texts[k].upper()]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets = ngram_join._profiles(docs.select(F.col("doc_id").alias("id"), "text"), 5).where("kind = 0 and row is not null").select("row", F.col("c").bitwiseAND(F.lit(ngram_join.KEY)).alias("k"), "tokens")
+    import numpy as np
+
+    hot = spark.sparkContext.broadcast(np.empty(0, np.uint64))
+    first = ngram_join._met(sets, hot, None, 75, 2, 40)
+    assert first.where(F.col("kind") == ngram_join.LARGE).count() > 0
+    pairs, _ = ngram_join._candidates(sets, hot, 75, 2)
+    if rounds:
+        assert pairs.count() < 2000  # of 90,000
+    assert by_id(ngram_join.near_duplicates(docs), "n_shingles", "component_id") == plain_groups(rows)
+
+
 def test_families_are_joined_whole(spark):
     rng = random.Random(9)
     base = prose(rng, 200).split()
@@ -326,7 +352,7 @@ def test_an_id_with_several_texts(spark, least, monkeypatch):
 
 def test_ids_that_are_no_numbers_are_an_error(spark):
     docs = spark.createDataFrame([("a", "some text")], "doc_id string, text string")
-    for operator in (window_dedup.dedup_windows, suffix_dedup.repeated_passages):
+    for operator in (window_dedup.dedup_windows, suffix_dedup.repeated_passages, ngram_join.near_duplicates):
         with pytest.raises(TypeError, match="whole numbers"):
             operator(docs)
 

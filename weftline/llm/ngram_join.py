@@ -9,9 +9,11 @@ candidate only if it shares prefix tokens under each of them, and enough of
 them that the rest can still make up the overlap it needs. Candidates are
 verified on their whole sets.
 
-Tokens that many documents hold come last in every order (as far as they are
-known: those frequent within some task's documents), so shared passages seldom
-reach a prefix, and buckets stay small. Documents made up mostly of such tokens
+Tokens that many documents hold come last in every order, so shared passages seldom
+reach a prefix, and buckets stay small. Those frequent within some task's documents are known
+from the first pass. A token that is spread more thinly shows as a bucket of over ``BUCKET`` entries: no pairs are
+made there, the token joins the frequent ones, in a filter of bounded size, and prefixes are made anew, until no such
+bucket is left. So no bucket is compared pair by pair beyond that size, however rows are dealt. Documents made up mostly of such tokens
 are members of large families. Among those no pairs are enumerated at first:
 in each bucket all are compared with its hub, the member that has the fewest
 tokens of its own, as the text that the others were copied from has. What is
@@ -31,6 +33,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.llm.common import cut_lineage, fresh_name, mix, slices, window_hashes, written
 from weftline.llm.components import components
@@ -41,8 +44,14 @@ GRAM, THRESHOLD, ORDERS = 5, 75, 2
 MOST_HOT = 1 << 20
 #: Tokens of a task looked at together for frequent ones, and the documents among them that make one frequent.
 LOOK, OFTEN = 2_000_000, 3
-#: Bits of the broadcast filter of classes in candidate pairs (16 MB).
-FILTER_BITS = 27
+#: Entries of a token's bucket that are compared pair by pair; a token with more is a frequent one.
+BUCKET = 2000
+#: Rounds of looking for such tokens. What then is left is compared all the same.
+ROUNDS = 8
+#: Bits of the broadcast filter of classes in candidate pairs (16 MB), and at most of that of frequent tokens (128 MB, which 16 million fill to an eighth).
+FILTER_BITS, MOST_FILTER_BITS = 27, 30
+#: Pairs that a task holds before it sends them on.
+HELD_PAIRS = 4_000_000
 #: Distinct sets a task remembers, to store each once.
 HELD_SETS = 200_000
 #: Bytes of a class key (part of its fingerprint: two classes have one key in 10 ** 17 pairs), and of a token beside its shard.
@@ -52,6 +61,8 @@ KEY = (1 << 8 * KEY_BYTES) - 1
 LENGTHS = 1.1
 #: Prefix tokens a task holds before it sends them on.
 HELD_TOKENS = 1_000_000
+#: The kind of packed rows with tokens of large buckets.
+LARGE = 100
 #: A count of shared tokens that stands for as many or more.
 MANY = (1 << 16) - 1
 
@@ -155,13 +166,21 @@ def _profiles(docs: DataFrame, gram: int) -> DataFrame:
     return docs.mapInArrow(run, PROFILE)
 
 
-def _candidates(sets: DataFrame, hot, threshold: int, orders: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (k1, k2, n0, n1, ...) of class keys with the prefix tokens they share per order, and the family members (k, n, rare, o, tokens) with their prefix under each order."""
+def _spread(place: list[np.ndarray], bits: np.ndarray | None) -> np.ndarray:
+    """Which tokens, given by their place in each order, the filter of frequent ones has under any order; a few others too, but the same ones everywhere."""
+    often = np.zeros(len(place[0]), bool)
+    for o, x in enumerate(place if bits is not None else ()):
+        often |= _in_filter((x >> np.uint64(32)) | np.uint64(o << 32), bits)
+    return often
+
+
+def _met(sets: DataFrame, hot, spread, threshold: int, orders: int, bucket_bound: int) -> DataFrame:
+    """Packed rows of pairs (kind o), of family members (kind -1 - o) and of tokens with too large a bucket (kind 100)."""
     names, seeds = slots(sets), range(orders)
     shards = len(names)
 
     def partition(batches):
-        known, held, n = hot.value, [], 0
+        known, filter_bits, held, n = hot.value, spread.value if spread else None, [], 0
 
         def flush():
             """Per shard the tokens, and for each document there (many tokens make several entries) its key, facts and tokens per order."""
@@ -198,8 +217,9 @@ def _candidates(sets: DataFrame, hot, threshold: int, orders: int) -> tuple[Data
                 often = known[at] == flat
             else:
                 often = np.zeros(len(flat), bool)
-            last = often.astype(np.uint64) << np.uint64(63)
             place = [mix(flat, 50 + o) for o in seeds]
+            often |= _spread(place, filter_bits)
+            last = often.astype(np.uint64) << np.uint64(63)
             rank = [last | (x >> np.uint64(1)) for x in place]
             total = np.concatenate([[0], np.cumsum(often)])
             members, lo = [], 0
@@ -258,28 +278,61 @@ def _candidates(sets: DataFrame, hot, threshold: int, orders: int) -> tuple[Data
             opens = np.ones(len(tokens), bool)
             opens[1:] = tokens[1:] != tokens[:-1]
             bucket = np.cumsum(opens) - 1
-            ends = np.append(np.flatnonzero(opens)[1:], len(tokens))[bucket] if len(tokens) else bucket
-            one, two = [keys[:0]], [keys[:0]]
-            step, left = 1, np.arange(len(tokens))
+            if not len(tokens):
+                continue
+            size, members = np.bincount(bucket), np.bincount(bucket, family)
+            large = (size > bucket_bound) & (members < size)
+            if large.any():
+                ids = (tokens[opens][large].astype(np.uint64) | np.uint64(o << 32)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([LARGE], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([b""], pa.binary()), pa.array([b""], pa.binary())], names=["shard", "kind", "a", "b", "c"])
+            ends = np.append(np.flatnonzero(opens)[1:], len(tokens))[bucket]
+            one, two, n = [], [], 0
+
+            def flush(o=o):
+                a, b = np.concatenate(one), np.concatenate(two)
+                one.clear()
+                two.clear()
+                a, b = np.minimum(a, b), np.maximum(a, b)
+                by = np.lexsort((b, a))
+                a, b = a[by], b[by]
+                heads = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+                count = np.minimum(np.diff(np.append(heads, len(a))), MANY).astype(np.uint16)
+                a, b = a[heads], b[heads]
+                yield from packed((mix(a * np.uint64(3) + b) % np.uint64(shards)).astype(np.int64), shards, [_narrow(a, KEY_BYTES), _narrow(b, KEY_BYTES), count], kind=o, named=names)
+
+            step, left = 1, np.flatnonzero(~large[bucket])
             while len(left):
                 left = left[left + step < ends[left]]
                 right = left + step
                 near = sizes[right] - sizes[left] <= steps
                 left, right = left[near], right[near]  # sizes ascend in a bucket, so those farther off differ more
                 plain = ~(family[left] & family[right])
-                one.append(keys[left[plain]])
-                two.append(keys[right[plain]])
+                if plain.any():
+                    one.append(keys[left[plain]])
+                    two.append(keys[right[plain]])
+                    n += len(one[-1])
+                if n > HELD_PAIRS:
+                    yield from flush()
+                    n = 0
                 step += 1
-            a, b = np.concatenate(one), np.concatenate(two)
-            if not len(a):
-                continue
-            a, b = np.minimum(a, b), np.maximum(a, b)
-            by = np.lexsort((b, a))
-            a, b = a[by], b[by]
-            heads = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-            count = np.minimum(np.diff(np.append(heads, len(a))), MANY).astype(np.uint16)
-            a, b = a[heads], b[heads]
-            yield from packed((mix(a * np.uint64(3) + b) % np.uint64(shards)).astype(np.int64), shards, [_narrow(a, KEY_BYTES), _narrow(b, KEY_BYTES), count], kind=o, named=names)
+            if one:
+                yield from flush()
+
+    return cut_lineage(by_shard(sets.mapInArrow(partition, packed_schema(3)), meet, packed_schema(3), 3))
+
+
+def _candidates(sets: DataFrame, hot, threshold: int, orders: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (k1, k2, n0, n1, ...) of class keys with the prefix tokens they share per order, and the family members (k, n, rare, o, tokens) with their prefix under each order."""
+    seeds, spread, found = range(orders), None, None
+    for k in range(ROUNDS + 1):
+        met = _met(sets, hot, spread, threshold, orders, BUCKET if k < ROUNDS else 1 << 62)
+        large = met.where(F.col("kind") == LARGE)
+        if large.isEmpty():
+            break
+        ids = large.select("a").mapInArrow(_long_rows, "row long")
+        found = cut_lineage((ids if found is None else ids.union(found)).distinct())
+        bits = min(MOST_FILTER_BITS, max(16, int(16 * found.count()).bit_length()))
+        spread = sets.sparkSession.sparkContext.broadcast(_row_filter(found, bits))
 
     def intersect(held):
         """Add up the shared prefix tokens per order, and keep the pairs that every order has."""
@@ -289,14 +342,19 @@ def _candidates(sets: DataFrame, hot, threshold: int, orders: int) -> tuple[Data
                 return
             a, b, count = _widen(b"".join(held[o][0]), KEY_BYTES), _widen(b"".join(held[o][1]), KEY_BYTES), np.frombuffer(b"".join(held[o][2]), np.uint16)
             by = np.lexsort((b, a))
-            a, b, count = a[by], b[by], np.where(count[by] < MANY, count[by], 1 << 40)
+            a, b, count = a[by], b[by], np.where(count[by] < MANY, count[by].astype(np.int64), np.int64(1 << 40))
             heads = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-            here = {(x, y): n for x, y, n in zip(a[heads].tolist(), b[heads].tolist(), np.add.reduceat(count, heads).tolist())}
-            found = {p: (n,) for p, n in here.items()} if found is None else {p: (*ns, here[p]) for p, ns in found.items() if p in here}
-        if found:
-            keys = np.array(list(found), np.uint64).view(np.int64)
-            counts = np.array(list(found.values()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), *(pa.array(counts[:, o]) for o in seeds)], names=["k1", "k2", *(f"n{o}" for o in seeds)])
+            here = (a[heads], b[heads], np.add.reduceat(count, heads)[:, None])
+            if found is not None:
+                # of two sorted lists of different pairs, those that stand twice in both together
+                a, b = (np.concatenate([found[i], here[i]]) for i in (0, 1))
+                by = np.lexsort((b, a))
+                again = np.flatnonzero((a[by][1:] == a[by][:-1]) & (b[by][1:] == b[by][:-1]))
+                one, two = by[again], by[again + 1] - len(found[0])  # the sort is stable
+                here = (found[0][one], found[1][one], np.concatenate([found[2][one], here[2][two]], axis=1))
+            found = here
+        if len(found[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(found[0].view(np.int64)), pa.array(found[1].view(np.int64)), *(pa.array(np.ascontiguousarray(found[2][:, o])) for o in seeds)], names=["k1", "k2", *(f"n{o}" for o in seeds)])
 
     def members(batches):
         for batch in batches:
@@ -307,21 +365,34 @@ def _candidates(sets: DataFrame, hot, threshold: int, orders: int) -> tuple[Data
             order = pa.array(-1 - batch.column("kind").to_numpy(), pa.int32())
             yield pa.RecordBatch.from_arrays([*(pa.array(facts[:, i]) for i in range(3)), order, lists], names=["k", "n", "rare", "o", "tokens"])
 
-    postings = sets.mapInArrow(partition, packed_schema(3))
-    met = cut_lineage(by_shard(postings, meet, packed_schema(3), 3))
-    pairs = by_shard(met.where("kind >= 0"), intersect, "k1 long, k2 long, " + ", ".join(f"n{o} long" for o in seeds), 3)
+    pairs = by_shard(met.where(F.col("kind").between(0, orders - 1)), intersect, "k1 long, k2 long, " + ", ".join(f"n{o} long" for o in seeds), 3)
     return pairs, met.where("kind < 0").select("kind", "a", "b").mapInArrow(members, "k long, n long, rare long, o int, tokens array<long>")
 
 
-def _row_filter(rows: DataFrame) -> np.ndarray:
-    """A bit array of fixed size with two bits per row number."""
+def _long_rows(batches):
+    """Packed numbers as rows."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column("a").to_pylist()), np.int64))], names=["row"])
+
+
+def _in_filter(x: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which numbers may be among those that a filter was made of."""
+    shift, keep = np.uint64(64 - (8 * len(bits)).bit_length() + 1), np.ones(len(x), bool)
+    for r in range(2):
+        at = (mix(x, 70 + r) >> shift).astype(np.int64)
+        keep &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    return keep
+
+
+def _row_filter(rows: DataFrame, width: int = FILTER_BITS) -> np.ndarray:
+    """A bit array of ``2 ** width`` bits, with two for each number ``row``."""
     parts = 256
-    per = (1 << FILTER_BITS) // parts
+    per = (1 << width) // parts
 
     def run(batches):
         for batch in batches:
             x = batch.column("row").to_numpy().astype(np.uint64)
-            at = np.unique(np.concatenate([mix(x, 70 + r) >> np.uint64(64 - FILTER_BITS) for r in range(2)])).astype(np.int64)
+            at = np.unique(np.concatenate([mix(x, 70 + r) >> np.uint64(64 - width) for r in range(2)])).astype(np.int64)
             yield from packed(at // per, parts, [(at % per).astype(np.uint32)])
 
     def numbered(batches):
@@ -338,7 +409,7 @@ def _row_filter(rows: DataFrame) -> np.ndarray:
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     made = rows.mapInArrow(run, packed_schema(1)).repartition(n, F.col("shard")).sortWithinPartitions("shard").mapInArrow(numbered, "shard int, bits binary").toArrow()
-    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    out = np.zeros((1 << width) // 8, np.uint8)
     for s, bits in zip(made.column("shard").to_pylist(), made.column("bits").to_pylist()):
         out[s * per // 8 : (s + 1) * per // 8] = np.frombuffer(bits, np.uint8)
     return out
@@ -355,11 +426,7 @@ def _verified(sets: DataFrame, classes: DataFrame, pairs: DataFrame, threshold:
     def wanted(batches):
         bits = shared.value
         for batch in batches:
-            x = batch.column("row").to_numpy().astype(np.uint64)
-            keep = np.ones(len(x), bool)
-            for r in range(2):
-                at = (mix(x, 70 + r) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                keep &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            keep = _in_filter(batch.column("row").to_numpy().astype(np.uint64), bits)
             if keep.any():
                 yield batch.filter(pa.array(keep))
 
@@ -452,10 +519,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id, n_shingles and component_id of every document.
 
     The component is the smallest id reachable over links. Texts without words,
-    null ones too, are linked with nothing. An id names one text; rows that
-    repeat both have one component. Documents without an id come after all
-    others, and a component of such documents alone has a null id.
+    null ones too, are linked with nothing. Equal rows have one component; rows with one id and
+    different texts have the figures of their own texts, and whatever is linked with one of them is in the component of that id.
+    Documents without an id come after all others, and a component of such documents alone has a null id. Ids are whole
+    numbers, others are a TypeError. An empty table gives no rows. Other columns aren't returned, whatever their names.
     """
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must hold whole numbers, not {docs.schema[id_col].dataType.simpleString()}")
     rows = docs.select(ident(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
     out = _grouped(rows, gram, threshold, orders)
     return out.select(real_id("id").alias(id_col), F.col("n").alias("n_shingles"), real_id("component").alias("component_id"))
