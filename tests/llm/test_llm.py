@@ -416,6 +416,27 @@ def test_secrets_and_addresses_go(spark):
     assert a == b
 
 
+def test_more_formats_go_and_their_neighbours_stay(spark):
+    texts = {
+        "call 1-800-555-1234 now": r"call 1-\d{3}-\d{3}-\d{4} now", "Tel. (030) 1234 5678.": r"Tel. \(0\d\d\) \d{4} \d{4}\.", "Tel. 030 1234567": r"Tel. 0\d\d \d{7}", "or 555 123 4567 then": r"or \d{3} \d{3} \d{4} then",
+        "au 06 12 34 56 78": r"au 0\d \d\d \d\d \d\d \d\d", "post@bücher.example, please": r"u[0-9a-f]{16}@example\.invalid, please", "born 31/12/99.": r"born \d\d/\d\d/\d\d\.", "am 05.03.87": r"am \d\d\.\d\d\.\d\d", "on 1980.05.04": r"on \d{4}\.\d\d\.\d\d",
+        "from 2001:db8:0:0:0:0:2:1 in": r"from fd[0-9a-f]{2}(:[0-9a-f]{4}){7} in", "from 2001:DB8::2:1 in": r"from fd[0-9a-f]{2}(:[0-9a-f]{4}){7} in", "password: hunter2secret": r"password: [0-9a-f]{13}", "token=abc123XYZqwerty98765": r"token=[0-9a-f]{20}", "api_key = 'x9-Kq_77/ab+z=='": r"api_key = '[0-9a-f]{15}'",
+    }
+    found = hidden(spark, list(texts))
+    for k, (t, shape) in enumerate(texts.items()):
+        assert re.fullmatch(shape, found[k][0]) and found[k][0] != t and found[k][1] == 1, (t, found[k])
+    assert found[9][0] == found[10][0]  # one address, written in two ways
+    clean = ["v1.2.3.4 and version 10.0.0.1", "std::vector<a::b::c>, Abc::Def", "at 12:30:45 and 10:20", "password: please", "token: the next one", "1/2/34 of it", "sections 1.2.34 and 01.02.03.04", "99/99/99", "rows 1 555 123 4567 9", "0300 1", "numbers 030, 1234567", "555 1234 567", "32.13.99 or 1980.13.01", "00:1a:2b:3c:4d:5e", "a@b", "10.12 and 0.55 555"]
+    assert hidden(spark, clean) == {k: (t, 0) for k, t in enumerate(clean)}
+
+
+def test_short_dates_are_permuted_in_their_century(spark):
+    days = spark.sql("SELECT date_format(date_add(date'2000-01-01', cast(id AS int)), 'dd.MM.yy') AS m FROM range(0, 36525, 37)")
+    fresh = days.select("m", pseudonyms.replacement(F.col("m"), "k")["new"].alias("new"))
+    assert fresh.where(F.expr("new IS NULL OR NOT new rlike '^[0-9]{2}[.][0-9]{2}[.][0-9]{2}$'")).count() == 0
+    assert fresh.select("new").distinct().count() == fresh.count() == 988
+
+
 def test_pseudonyms_are_bijective(spark):
     numbers = spark.range(0, 1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     assert numbers.select(pseudonyms.permute_digits(F.col("d"), "k", "x").alias("d")).distinct().count() == 1000

@@ -24,8 +24,10 @@ from weftline.llm.common import fresh_name
 
 ROUNDS = 8
 # Formats of personal data.
-EMAIL = r"[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
+EMAIL = r"[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}"
 HEX_SECRET = r"(?i:token|secret|password|passwd|api_?key|access_?key)\s{0,2}[=:]\s{0,2}[\"']?[0-9a-fA-F]{12,128}(?![0-9a-zA-Z])"
+#: Any value after such a word that has a letter and a digit.
+SECRET = r"(?i:token|secret|password|passwd|api_?key|access_?key)\s{0,2}[=:]\s{0,2}[\"']?(?=[^\s\"'<>,;]{0,127}[0-9])(?=[^\s\"'<>,;]{0,127}[A-Za-z])[A-Za-z0-9_./+=!#$%^&*~-]{7,127}[A-Za-z0-9_=+/-](?![0-9a-zA-Z])"
 CLOUD_KEY = r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
 #: Account numbers' lengths by country.
 IBAN_LENGTHS = {
@@ -42,22 +44,32 @@ def _account(length: int, countries: str) -> str:
 
 #: Of the country's length; of any where the country isn't listed.
 IBAN = rf"(?<![0-9A-Za-z])(?:{'|'.join(_account(*x) for x in IBAN_LENGTHS.items())}|(?!{_STATED})[A-Z]{{2}}[0-9]{{2}}(?: ?(?!{_STATED})[0-9A-Z]{{4}}){{2,7}}(?: ?[0-9A-Z]{{1,3}})?)(?![0-9A-Za-z])"
-IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
-ISO_DATE = r"(?<![0-9])[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}(?![0-9])"
+#: Not after a word that a version number follows.
+IP = r"(?<![0-9.vV])(?<!(?:ersion|elease) )[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
+#: Eight groups, or fewer around a double colon; at least three and one digit, so no names of programs.
+IPV6 = r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]{0,38}[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=(?:[0-9A-Fa-f]{1,4}:{1,2}){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:]))[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})(?![0-9A-Za-z:])"
+ISO_DATE = r"(?<![0-9])[0-9]{4}(?:[-/][0-9]{2}[-/][0-9]{2}(?![0-9])|\.[0-9]{2}\.[0-9]{2}(?![0-9]|\.[0-9]))"
+SHORT_DATE = r"(?<![0-9./-])(?:[0-9]{2}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{2})(?![0-9]|[./-][0-9])"
 DAY_DATE = r"(?<![0-9])[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-PHONE = r"(?<![0-9])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9-])"
+PHONE = r"(?<![0-9])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9.-])(?:1[-. ])?[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9-])"
+#: National numbers: with a leading 0, or three groups of 3, 3 and 4 digits; not within longer rows of numbers.
+LOCAL_PHONE = r"(?<![0-9.,/-])(?<![0-9][ -])(?:\(0[0-9]{1,4}\) ?[0-9]{3,8}(?:[ -][0-9]{2,5}){0,3}|0[1-9](?:[ .-][0-9]{2}){4}|0[1-9][0-9]{1,3}[ /-][0-9]{3,8}(?:[ -][0-9]{2,5}){0,2}|[2-9][0-9]{2} [0-9]{3} [0-9]{4})(?![0-9]|[ -][0-9]|[.,][0-9])"
 #: A whole run of groups of digits, up to a value of another kind; cards are looked for inside.
 CARD = rf"(?<![0-9.])[0-9](?:[0-9]|[ -](?!{IP}|{ISO_DATE}|{DAY_DATE}|{SSN}|{PHONE})[0-9]){{12,}}+"
 #: How digits are printed on cards; among stretches that overlap these come first, and common lengths before others.
 CARD_SHAPES = r"^(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}(?: [0-9]{1,3})?|[0-9]{4} [0-9]{6} [0-9]{4,5})$"
 CARD_LENGTHS = (16, 15, 19, 14, 13, 18, 17)
-KINDS = {"email": EMAIL, "secret": HEX_SECRET, "cloud_key": CLOUD_KEY, "iban": IBAN, "ip": IP, "iso_date": ISO_DATE, "day_date": DAY_DATE, "ssn": SSN, "phone": PHONE, "card": CARD}
+KINDS = {
+    "email": EMAIL, "hex_secret": HEX_SECRET, "secret": SECRET, "cloud_key": CLOUD_KEY, "iban": IBAN, "ipv6": IPV6, "ip": IP, "iso_date": ISO_DATE, "day_date": DAY_DATE, "ssn": SSN, "phone": PHONE, "card": CARD, "short_date": SHORT_DATE, "local_phone": LOCAL_PHONE,
+}
 ANY = "|".join(KINDS.values())
 #: Texts without any of these hold nothing to look for.
 HINT = r"[0-9@]|(?i:token|secret|passw|key)"
 #: A whole cycle of the calendar: 400 years, 146,097 = 189 * 773 days.
 FIRST_DAY, DAYS = "1800-01-01", (189, 773)
+#: The century of years of two digits, 36,525 = 25 * 1461 days.
+SHORT_FIRST, SHORT_DAYS = "2000-01-01", (25, 1461)
 #: Steps to a date of the same reading. A fifth of all dates has it, whichever it is, so all steps miss with odds of 10 ** -25; that would be an error.
 WALK = 256
 #: What derived keys look like in plans, for Spark's redaction settings.
@@ -195,38 +207,38 @@ def _ip(m: Column, key: str) -> Column:
     return _let(F.split(m, "\\."), renew)
 
 
-def _reading(m: Column, forms: Column) -> Column:
+def _reading(m: Column, forms: Column, first: str, days: tuple[int, int]) -> Column:
     """The first of the formats in which the text, exactly, writes a date of the cycle; null where none does."""
-    start = F.lit(FIRST_DAY).cast("date")
+    start = F.lit(first).cast("date")
 
     def writes(form: Column) -> Column:
         date = F.call_function("try_to_date", m, form)
-        return (F.call_function("date_format", date, form) == m) & F.datediff(date, start).between(0, DAYS[0] * DAYS[1] - 1)
+        return (F.call_function("date_format", date, form) == m) & F.datediff(date, start).between(0, days[0] * days[1] - 1)
 
     return F.get(F.filter(forms, lambda f: F.coalesce(writes(f), F.lit(False))), F.lit(0))
 
 
-def _date(m: Column, formats: list[str], key: str) -> Column:
+def _date(m: Column, formats: list[str], key: str, first: str = FIRST_DAY, days: tuple[int, int] = DAYS) -> Column:
     """Another date in the format that the text reads in.
 
     A text has one reading, the first that fits. The permutation of all dates
     is applied again until the new text has the same reading, so it permutes
     the texts of each reading and no two readings share an output.
     """
-    start, forms = F.lit(FIRST_DAY).cast("date"), F.array(*map(F.lit, formats))
+    start, forms, kind = F.lit(first).cast("date"), F.array(*map(F.lit, formats)), "date" if first == FIRST_DAY else "short date"
 
     def renewed(form: Column) -> Column:
         def step(at: Column, _: Column) -> Column:
-            pair = feistel(F.floor(at["d"] / DAYS[1]), at["d"] % DAYS[1], *DAYS, key, "date")
-            after = _let(pair, lambda p: (p["l"] * DAYS[1] + p["r"]).cast("int"))
-            moved = _let(after, lambda d: _let(F.call_function("date_format", F.date_add(start, d), form), lambda t: F.struct(d.alias("d"), F.when(_reading(t, forms) == form, t).alias("text"))))
+            pair = feistel(F.floor(at["d"] / days[1]), at["d"] % days[1], *days, key, kind)
+            after = _let(pair, lambda p: (p["l"] * days[1] + p["r"]).cast("int"))
+            moved = _let(after, lambda d: _let(F.call_function("date_format", F.date_add(start, d), form), lambda t: F.struct(d.alias("d"), F.when(_reading(t, forms, first, days) == form, t).alias("text"))))
             return F.when(at["text"].isNotNull(), at).otherwise(moved)
 
-        first = F.struct(F.datediff(F.call_function("try_to_date", m, form), start).alias("d"), F.lit(None).cast("string").alias("text"))
-        walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), first, step)
+        begin = F.struct(F.datediff(F.call_function("try_to_date", m, form), start).alias("d"), F.lit(None).cast("string").alias("text"))
+        walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), begin, step)
         return _let(walked["text"], lambda t: F.coalesce(t, F.raise_error(F.lit("no date of the same reading in reach")).cast("string")))
 
-    return _let(_reading(m, forms), lambda f: F.when(f.isNotNull(), renewed(f)))
+    return _let(_reading(m, forms, first, days), lambda f: F.when(f.isNotNull(), renewed(f)))
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -249,10 +261,10 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """The country code stays; all other digits are permuted together."""
+    """The country code, or the 0 or 1 before the area's, stays; all other digits are permuted together."""
 
     def renew(d: Column) -> Column:
-        code = F.length(F.regexp_extract(m, r"^\+([0-9]{1,3})(?=[ .(-])", 1))
+        code = F.length(F.regexp_extract(m, r"^\+([0-9]{1,3})(?=[ .(-])", 1)) + F.length(F.regexp_extract(m, r"^\(?(0|1(?=[-. ][0-9]{3}[-.]))", 1))
         rest = F.substr(d, code + 1, F.length(d) - code)
         valid = (F.length(d) >= 7) & (F.length(d) <= 15)
         return F.when(valid, F.concat(F.substr(d, F.lit(1), code), permute_digits(rest, key, "phone")))
@@ -268,8 +280,22 @@ def _email(m: Column, key: str) -> Column:
     return F.concat(F.lit("u"), F.substring(_digest(F.lower(m), key, "email"), 1, 16), F.lit("@example.invalid"))
 
 
+def _ipv6(m: Column, key: str) -> Column:
+    """An address of the private range by a digest of the whole one, so it is the same however zeros are left out; null where there are too many groups."""
+
+    def renew(halves: Column) -> Column:
+        groups = lambda i: F.filter(F.split(F.lower(F.element_at(halves, i)), ":"), lambda g: g != "")
+        right = F.when(F.size(halves) > 1, groups(-1)).otherwise(F.array().cast("array<string>"))
+        gap = 8 - F.size(groups(1)) - F.size(right)
+        whole = F.transform(F.concat(groups(1), F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), right), lambda g: F.lpad(g, 4, "0"))
+        fresh = lambda d: F.concat_ws(":", F.concat(F.lit("fd"), F.substring(d, 1, 2)), *(F.substring(d, 4 * k - 1, 4) for k in range(1, 8)))
+        return F.when(F.when(F.size(halves) > 1, gap > 0).otherwise(gap == 0), _let(_digest(F.array_join(whole, ":"), key, "ipv6"), fresh))
+
+    return _let(F.split(m, "::"), renew)
+
+
 def _secret(m: Column, key: str) -> Column:
-    value = F.regexp_extract(m, r"([0-9a-fA-F]{12,128})$", 1)
+    value = F.regexp_extract(m, r"""[=:]\s{0,2}["']?(\S+)$""", 1)
     kept = F.substr(m, F.lit(1), F.length(m) - F.length(value))
     return F.concat(kept, F.substr(F.repeat(_digest(value, key, "secret"), 2), F.lit(1), F.length(value)))
 
@@ -281,28 +307,32 @@ def _cloud_key(m: Column, key: str) -> Column:
 def replacement(m: Column, key: str) -> Column:
     """(new, n): what stands for one match, and how many values it held; null where none is valid and it stays."""
     whole = lambda p: m.rlike(f"^(?:{p})$")
-    iso = ["yyyy-MM-dd", "yyyy/MM/dd"]
+    iso = ["yyyy-MM-dd", "yyyy/MM/dd", "yyyy.MM.dd"]
+    short = ["dd.MM.yy", "dd/MM/yy", "MM/dd/yy"]
     day = ["dd.MM.yyyy", "d.M.yyyy", "dd.M.yyyy", "d.MM.yyyy", "dd/MM/yyyy", "MM/dd/yyyy", "d/M/yyyy", "M/d/yyyy", "dd/M/yyyy", "d/MM/yyyy", "M/dd/yyyy", "MM/d/yyyy"]
     single = (
-        F.when(m.contains("@"), _email(m, key))
-        .when(whole(HEX_SECRET), _secret(m, key))
+        F.when(whole(EMAIL), _email(m, key))
+        .when(whole(HEX_SECRET) | whole(SECRET), _secret(m, key))
         .when(whole(CLOUD_KEY), _cloud_key(m, key))
         .when(whole(IBAN), _iban(m, key))
+        .when(whole(IPV6), _ipv6(m, key))
         .when(whole(IP), _ip(m, key))
         .when(whole(ISO_DATE), _date(m, iso, key))
         .when(whole(DAY_DATE), _date(m, day, key))
         .when(whole(SSN), _ssn(m, key))
-        .when(whole(PHONE), _phone(m, key))
+        .when(whole(SHORT_DATE), _date(m, short, key, SHORT_FIRST, SHORT_DAYS))
+        .when(whole(PHONE) | whole(LOCAL_PHONE), _phone(m, key))
     )
     # an account number that fails its check may hold a card
-    digits = F.when(~m.contains("@") & (whole(CARD) | whole(IBAN)), _cards(m, key))
+    digits = F.when(~whole(EMAIL) & (whole(CARD) | whole(IBAN)), _cards(m, key))
     return _let(single, lambda x: F.when(x.isNotNull(), F.struct(x.alias("new"), F.lit(1).alias("n"))).otherwise(digits))
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = "n_private") -> DataFrame:
     """The documents with the personal data of ``text_col`` replaced, and how many values were.
 
-    A null text stays null, with none. ``key`` is a secret of the owner: the
+    A null text stays null, with none; an empty one stays empty; repeated rows have the same result, and an
+    empty table none. ``key`` is a secret of the owner: the
     same key gives the same pseudonyms. Texts are never split, so length and
     repetition of rows make no difference.
 
