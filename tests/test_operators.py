@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weftline.functions import statistics
 from weftline.operators import clustering, community, connectivity, control, metrics, preprocessing
 from weftline.plans import study
-from weftline.sources import tables
+from weftline.sources import results, tables
 
 
 def rows(df, *cols):
@@ -177,6 +177,31 @@ def test_study_runs_for_each_session(spark):
         study.Settings(window=2)
 
 
+@pytest.mark.parametrize(("level", "tsnr"), [("roi", True), ("vertex", False)])
+def test_a_run_writes_its_files(spark, tmp_path, level, tsnr):
+    rng = np.random.default_rng(9)
+    cells = [(s, k, v, t, float(10 + rng.normal())) for s in "abc" for k in ("1", "2") for v in range(8) for t in range(17)]
+    bold = spark.createDataFrame(cells, "subject string, session string, vertex int, t int, value double")
+    atlas = spark.createDataFrame([(v, v % 5) for v in range(8)], "vertex int, roi int")
+    regions = spark.createDataFrame([(1, "DefaultA"), (2, "ContB"), (3, "DefaultB"), (4, "ContA")], "roi int, network string")
+    behaviour = spark.createDataFrame([("a", 1.0), ("b", 2.5), ("c", 2.0)], "subject string, caq double")
+    motion = spark.createDataFrame([("c", "2")], "subject string, session string")
+    few = study.Settings(window=4, runs=2, reps=2, n_init=2)
+    found = study.run(bold, atlas, behaviour, "caq", str(tmp_path), few, regions, level, motion, tsnr)
+    assert {(r["subject"], r["session"]) for r in found.collect()} == {(s, k) for s in "abc" for k in "12"} - {("c", "2")}
+    text = "subject string, session string, switch_count long"
+    assert rows(spark.read.csv(f"{tmp_path}/sessions_csv", header=True, schema=text), "subject", "session", "switch_count") == rows(found, "subject", "session", "switch_count")
+    assert rows(results.read_mat(spark, f"{tmp_path}/sessions_mat", text), "switch_count") == rows(found, "switch_count")
+    assert spark.read.csv(f"{tmp_path}/subjects_csv", header=True).count() == 3
+    whole = spark.read.json(f"{tmp_path}/statistics_json").first()
+    assert whole["n"] == 5 and whole["mean"] == pytest.approx(found.agg(F.avg("switch_count")).first()[0]) and {"icc", "grade", "r", "p"} <= set(whole.asDict())
+
+
+def test_the_study_has_its_own_settings():
+    own = study.Settings()
+    assert (own.runs, own.reps, own.n_init, own.tau, own.window, own.drop, own.threshold_sd) == (500, 500, 100, 0.1, 14, 5, 2.0)
+
+
 def test_sources_round_trip(spark, tmp_path):
     table = spark.createDataFrame([("s1", "a", 3), ("s1", "b", 4)], "subject string, session string, switch_count int")
     for form in ("csv", "json", "parquet"):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -23,7 +23,7 @@ def agreement(partitions: DataFrame, weights: DataFrame | None = None, keys: Seq
         share, on = weights, [*(k for k in keys if k in weights.columns), "p"]
     total = share.groupBy(*[k for k in on if k != "p"]).agg(F.sum("wt").alias("total"))
     names = [k for k in on if k != "p"]
-    share = share.join(F.broadcast(total), names) if names else share.crossJoin(F.broadcast(total))
+    share = share.join(total, names) if names else share.crossJoin(F.broadcast(total))  # one row
     named = partitions.join(share.select(*on, (F.col("wt") / F.col("total")).alias("w")), on)
     a = named.select(*keys, "p", "c", F.col("node").alias("i"), "w")
     b = named.select(*keys, "p", "c", F.col("node").alias("j"))
@@ -75,6 +75,16 @@ def louvain_labels(w: np.ndarray, rng: np.random.Generator, qtype: str = "sta")
     return labels, float(b[same].sum())
 
 
+def _share(partitions: Iterable[np.ndarray], n: int | None = None) -> np.ndarray:
+    """The share of partitions in which two nodes have one label, added up one partition at a time."""
+    out, seen = None if n is None else np.zeros((n, n)), 0
+    for c in partitions:
+        out = np.zeros((len(c), len(c))) if out is None else out
+        out += c[:, None] == c[None, :]
+        seen += 1
+    return out / max(seen, 1)
+
+
 def consensus_labels(d: np.ndarray, rng: np.random.Generator, tau: float, reps: int, rounds: int = 20) -> np.ndarray:
     """Labels (nodes, partitions) after iterated thresholding and clustering of an agreement matrix; one column if it settles."""
     for _ in range(rounds):
@@ -85,7 +95,7 @@ def consensus_labels(d: np.ndarray, rng: np.random.Generator, tau: float, reps:
         found = np.unique(np.stack([louvain_labels(d, rng, "pos")[0] for _ in range(reps)], axis=1), axis=1)
         if found.shape[1] == 1:
             break
-        d = np.mean([c[:, None] == c[None, :] for c in found.T], axis=0)
+        d = _share(found.T)
     return found
 
 
@@ -150,8 +160,7 @@ def window_communities(weights: DataFrame, keys: Sequence[str], tau: float = 0.1
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         nodes, w = _matrix(rows.sort_values(["i", "j"]), "wt")
         rng = _seed(key, seed)
-        found = [louvain_labels(w, rng, qtype)[0] for _ in range(runs)]
-        d = np.mean([c[:, None] == c[None, :] for c in found], axis=0)
+        d = _share((louvain_labels(w, rng, qtype)[0] for _ in range(runs)), len(w))
         labels = consensus_labels(d, rng, tau, reps)[:, 0]
         return pd.DataFrame({**dict(zip(keys, key)), "node": nodes, "c": labels + 1})[schema.names]
 

@@ -8,16 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Atlases have one row per vertex of a surface or volume; larger ones are joined by a shuffle.
-BROADCAST_VERTICES = 2_000_000
 BACKGROUND = 0
 
 
-def _small(df: DataFrame, most: int) -> DataFrame:
-    """The table, marked for broadcast if it has at most ``most`` rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def drop_frames(series: DataFrame, first: int = 5, t_col: str = "t") -> DataFrame:
     """Drop the first frames of every series and count time from zero again."""
     return series.where(F.col(t_col) >= first).withColumn(t_col, F.col(t_col) - first)
@@ -32,7 +25,8 @@ def extract_roi(bold: DataFrame, atlas: DataFrame, keys: Sequence[str] = (), lev
     """
     on = ["vertex", *(k for k in keys if k in atlas.columns)]
     labels = atlas.where(F.col("roi") != BACKGROUND).select(*on, "roi")
-    joined = bold.join(_small(labels, BROADCAST_VERTICES), on)
+    # Catalyst broadcasts the labels where their estimated size is under its threshold
+    joined = bold.join(labels, on)
     if level == "vertex":
         return joined.select(*keys, "roi", "vertex", "t", "value")
     if level != "roi":
@@ -51,12 +45,12 @@ def select_networks(series: DataFrame, regions: DataFrame, dmn: Sequence[int] |
     part = F.when(by[0], 0).when(by[1], 1)
     # parcels of an atlas are a few hundred; one window over them is no bottleneck
     chosen = regions.withColumn("part", part).where("part is not null").select("roi", (F.row_number().over(W.orderBy("part", "roi")) - 1).cast("int").alias("new"))
-    return series.join(_small(chosen, 100_000), "roi").withColumn("roi", F.col("new")).drop("new")
+    return series.join(chosen, "roi").withColumn("roi", F.col("new")).drop("new")
 
 
 def relabel(series: DataFrame, mapping: DataFrame) -> DataFrame:
     """Rename parcels by ``mapping`` (roi, target); parcels without a target go."""
-    return series.join(_small(mapping.select("roi", "target"), 100_000), "roi").withColumn("roi", F.col("target")).drop("target")
+    return series.join(mapping.select("roi", "target"), "roi").withColumn("roi", F.col("target")).drop("target")
 
 
 def tsnr(series: DataFrame, keys: Sequence[str] = (), threshold_sd: float = 2.0, feature: str = "roi") -> DataFrame:

@@ -123,3 +123,26 @@ def write_run(counts: DataFrame, folder: str, behaviour: DataFrame | None = None
     results.write_results(counts, f"{folder}/sessions_mat", "mat")
     results.write_results(subject_means(counts, by), f"{folder}/subjects_csv", "csv")
     results.write_results(group_spread(counts, by) if behaviour is None else reliability(counts, behaviour, score, by), f"{folder}/statistics_json", "json")
+
+
+def run(bold: DataFrame, atlas: DataFrame, behaviour: DataFrame, score: str, folder: str, settings: Settings = Settings(), regions: DataFrame | None = None, level: str = "roi", motion: DataFrame | None = None, tsnr: bool = False, keys: Sequence[str] = ("subject", "session")) -> DataFrame:
+    """One of the study's runs from signals (keys, vertex, t, value) to its files; returns the session table (keys, switch_count).
+
+    ``atlas`` (vertex, roi) may have the subject or both keys where each has its own, as in the run for
+    individuals. ``regions`` (roi, network) restricts it to the two networks, numbered in order. With level
+    ``vertex`` labelled vertices are the nodes instead of parcels. ``motion`` lists sessions to leave out, ``tsnr``
+    leaves out nodes beyond ``settings.threshold_sd``. The settings' defaults are those of the study: 500 partitions,
+    500 repetitions of consensus at 0.1, 100 starts of the clustering.
+    """
+    keys = list(keys)
+    kept_sessions = preprocessing.exclude(bold, motion, keys) if motion is not None else bold
+    series = preprocessing.extract_roi(preprocessing.drop_frames(kept_sessions, settings.drop), atlas, keys, level)
+    if regions is not None:
+        series = preprocessing.select_networks(series, regions) if level == "roi" else series.join(regions.where(F.col("network").startswith("Default") | F.col("network").startswith("Cont")).select("roi"), "roi", "left_semi")
+    if level == "vertex":
+        series = series.drop("roi").withColumnRenamed("vertex", "roi")
+    if tsnr:
+        series = preprocessing.tsnr_filter(series, keys, settings.threshold_sd)
+    counts = tables.kept(switching(series, keys, settings))
+    write_run(counts, folder, behaviour, score)
+    return counts

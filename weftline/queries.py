@@ -98,6 +98,28 @@ def read_bold_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.scan_extents(preprocessing.exclude(tables.read_bold(spark, f"{folder}/bold"), excluded))
 
 
+@query("SELECT CAST(p_partkey AS INTEGER) AS roi, '17networks_LH_' || p_brand || '_' || p_size AS name, '17Networks_RH_' || p_type || '_1' AS target_name, round(p_retailprice / 3000, 6) AS dice, p_brand AS network, p_type AS target_network FROM part")
+def read_mapping_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as the file of an atlas mapping, read with the networks that the names tell."""
+    folder = tables.scratch_folder(spark)
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    join = lambda *x: F.concat_ws("_", *x)
+    rows = part.select(F.col("p_partkey").cast("int").alias("Kong_Index"), join(F.lit("17networks_LH"), "p_brand", "p_size").alias("Kong_ROI_Name"), join(F.lit("17Networks_RH"), "p_type", F.lit("1")).alias("Schaefer2018_Best_Match"), (F.col("p_retailprice") / 3000).alias("Dice"))
+    rows.write.csv(folder, header=True)
+    return _round(tables.read_mapping(spark, folder), "dice")
+
+
+@query("SELECT c_mktsegment AS segment, count(*) AS n, round(avg(c_nationkey), 6) AS mean, round(stddev_samp(c_nationkey), 6) AS sd FROM customer GROUP BY c_mktsegment")
+def read_behaviour_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as the study's table of behaviour, read from its file and described by group."""
+    folder = tables.scratch_folder(spark)
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    score = lambda name: F.col("c_nationkey").cast("int").alias(name)
+    c.select(F.col("c_custkey").cast("string").alias("subject"), *(score(n) for n in ("N", "E", "O", "A", "C", "caq", "cbq", "raven"))).write.csv(folder, header=True)
+    read = tables.read_behaviour(spark, folder).join(c.select(F.col("c_custkey").cast("string").alias("subject"), F.col("c_mktsegment").alias("segment")), "subject")
+    return _round(statistics.describe(read, "caq", ["segment"]), "mean", "sd")
+
+
 def _roi(spark: SparkSession, sf_dir: str, level: str = "roi") -> DataFrame:
     return preprocessing.extract_roi(tables.event_bold(spark, sf_dir), tables.event_atlas(spark, sf_dir), ["session"], level)
 
@@ -117,7 +139,7 @@ def roi_vertex_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 def roi_individual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An atlas of its own for each session."""
     bold = tables.event_bold(spark, sf_dir)
-    atlas = bold.select("session").distinct().crossJoin(tables.event_atlas(spark, sf_dir)).withColumn("roi", ((F.col("vertex") + F.col("session")) % 12).cast("int"))
+    atlas = bold.select("session", "vertex").distinct().withColumn("roi", ((F.col("vertex") + F.col("session")) % 12).cast("int"))
     return _round(preprocessing.extract_roi(bold, atlas, ["session"]), "value")
 
 
@@ -666,7 +688,7 @@ def _definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parcel series under four definitions: two atlases of all, two of each session's own."""
     bold = tables.event_bold(spark, sf_dir)
     atlas = tables.event_atlas(spark, sf_dir)
-    own = bold.select("session").distinct().crossJoin(F.broadcast(atlas))  # sessions are few
+    own = bold.select("session", "vertex").distinct()
     named = lambda df, roi: df.withColumn("roi", roi.cast("int"))
     return study.definitions(
         {
