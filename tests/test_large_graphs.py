@@ -91,3 +91,13 @@ def test_consensus_of_nodes_without_pairs(spark):
     agreed = spark.createDataFrame([(1, 1, 1.0), (2, 2, 1.0), (1, 2, 0.05), (3, 4, 0.9), (3, 3, 1.0)], "i long, j long, value double")
     assert sorted(map(tuple, large_graphs.consensus(agreed, tau=0.1, reps=3).collect())) == [(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 0, 3)]
     assert sorted(map(tuple, large_graphs.consensus(agreed.where("i <> 3"), tau=0.1, reps=3).collect())) == [(1, 0, 1), (2, 0, 2)]
+
+
+def test_windows_equal_the_kernel(spark):
+    rows, group = [], np.arange(9) % 3
+    rng = np.random.default_rng(3)
+    for t in range(3):
+        rows += [(t, i, j, float((1.0 if group[i] == group[j] else -0.4) + rng.normal(scale=0.05))) for i in range(9) for j in range(i + 1, 9)]
+    df = spark.createDataFrame(rows, "t int, i long, j long, wt double")
+    key = lambda d: sorted((r["t"], r["node"], r["c"]) for r in d.collect())
+    assert key(large_graphs.window_communities(df, ["t"], 0.1, 2, 2)) == key(community.window_communities(df, ["t"], 0.1, 2, 2, seed=1)) == [(t, n, int(group[n]) + 1) for t in range(3) for n in range(9)]

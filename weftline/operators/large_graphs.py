@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.operators import community
 from weftline.operators.metrics import QTYPES
 from weftline.sources.tables import kept
 
@@ -160,3 +161,12 @@ def consensus(agreed: DataFrame, keys: Sequence[str] = (), tau: float = 0.1, rep
     order = every.select(*keys, "p").distinct().withColumn("_p", F.row_number().over(W.partitionBy(*keys).orderBy("p")) - 1)
     labels = numbered(every, [*keys, "p"])
     return labels.join(order, [*keys, "p"]).select(*keys, "node", F.col("_p").cast("int").alias("p"), "c")
+
+
+def window_communities(weights: DataFrame, keys: Sequence[str], tau: float = 0.1, runs: int = 500, reps: int = 500, qtype: str = "sta") -> DataFrame:
+    """(keys, node, c): as ``community.window_communities``, for matrices beyond one worker: all runs of all matrices are graphs of one job, and so are the repetitions of each round of consensus. A matrix that doesn't settle has its first partition."""
+    keys = list(keys)
+    many = weights.withColumn("_run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+    found = louvain(many, [*keys, "_run"], qtype, ["_run"]).withColumnRenamed("_run", "p")
+    agreed = kept(community.agreement(found, keys=keys))
+    return consensus(agreed, keys, tau, reps).where("p = 0").select(*keys, "node", "c")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import statistics
-from weftline.operators import clustering, community, connectivity, metrics, preprocessing
+from weftline.operators import clustering, community, connectivity, large_graphs, metrics, preprocessing
 from weftline.sources import results, tables
 
 
@@ -29,6 +29,7 @@ class Settings:
     n_init: int = 100
     qtype: str = "sta"
     seed: int = 0
+    large: bool = False
 
     def __post_init__(self):
         if not (3 <= self.window <= 50 and 0.5 <= self.threshold_sd <= 5 and 0 <= self.tau <= 1 and 2 <= self.n_clusters <= 10 and self.qtype in metrics.QTYPES):
@@ -40,12 +41,17 @@ def profiles(series: DataFrame, keys: Sequence[str], settings: Settings = Settin
 
     Coupling, communities per window, participation and module z, and their
     joint counts. Every step groups by the keys, so sessions run side by side
-    and nothing is gathered.
+    and nothing is gathered. Communities are found in one task per window, or, with
+    ``settings.large``, by rounds over the edge table of all windows, for nodes by the ten thousands.
     """
     keys = list(keys)
     at = [*keys, "t"]
     upper = connectivity.derivative_coupling(series, keys, settings.window, settings.direction).withColumnRenamed("value", "wt").where("i < j")
-    labels = community.window_communities(upper, at, settings.tau, settings.runs, settings.reps, settings.qtype, settings.seed)
+    if settings.large:
+        upper = tables.kept(upper)
+        labels = large_graphs.window_communities(upper, at, settings.tau, settings.runs, settings.reps, settings.qtype)
+    else:
+        labels = community.window_communities(upper, at, settings.tau, settings.runs, settings.reps, settings.qtype, settings.seed)
     full = connectivity.mirror(upper)
     bt = metrics.participation(full, labels, at)
     wt = metrics.module_z(full, labels, at)
