@@ -152,7 +152,7 @@ def test_kmeans_is_no_worse_than_the_best_of_sequential_runs(spark):
     x = np.concatenate([rng.normal(c, 1.0, (40, 5)) for c in (0, 3, 6, 9)])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "sample int, features array<double>").repartition(3)
     labels, centers, inertia = clustering.kmeans(df, n_clusters=4, n_init=12)
-    best = min(clustering._lloyd(x, 4, np.random.default_rng(s), 300)[1] for s in range(12))
+    best = min(clustering._lloyd(clustering._Samples(len(x), 5, x), 4, np.random.default_rng(s), 300)[1] for s in range(12))
     assert inertia <= best * (1 + 1e-9)
     by = {r["sample"]: r["label"] for r in labels.collect()}
     c = np.array([r["center"] for r in centers.orderBy("label").collect()])

@@ -21,25 +21,27 @@ FEATURES, SLICE = 4096, 1 << 20
 
 
 class _Samples:
-    """Some samples as dense rows, or as the places and values of what isn't 0."""
-
-    def __init__(self, column: pa.Array, width: int):
-        self.n, self.width = len(column), width
-        if pa.types.is_struct(column.type):
-            lists, values = (pa.compute.struct_field(column, k) for k in (0, 1))
-            self.at, self.x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), values.flatten().to_numpy(zero_copy_only=False).astype(float)
-            size = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
-            self.row = np.repeat(np.arange(self.n), size)
-            self.square = np.bincount(self.row, self.x**2, self.n)
-        else:
-            self.at, self.x = None, column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(self.n, -1)
-            self.square = (self.x**2).sum(1)
-
-    def rows(self) -> np.ndarray:
+    """Some samples as dense rows ``x``, or as the values ``x`` of what isn't 0 with its row and place."""
+
+    def __init__(self, n: int, width: int, x: np.ndarray, row: np.ndarray | None = None, at: np.ndarray | None = None):
+        self.n, self.width, self.x, self.row, self.at = n, width, x, row, at
+        self.square = (x**2).sum(1) if at is None else np.bincount(row, x**2, n)
+        self.opens = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if at is not None and len(row) else np.empty(0, np.int64)
+
+    @classmethod
+    def of(cls, column: pa.Array, width: int) -> _Samples:
+        if not pa.types.is_struct(column.type):
+            return cls(len(column), width, column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1))
+        lists, values = (pa.compute.struct_field(column, k) for k in (0, 1))
+        size = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
+        return cls(len(column), width, values.flatten().to_numpy(zero_copy_only=False).astype(float), np.repeat(np.arange(len(column)), size), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+
+    def one(self, i: int) -> np.ndarray:
+        """One sample as a dense row."""
         if self.at is None:
-            return self.x
-        out = np.zeros((self.n, self.width))
-        out[self.row, self.at] = self.x
+            return self.x[i]
+        out, mine = np.zeros(self.width), slice(*np.searchsorted(self.row, [i, i + 1]))
+        out[self.at[mine]] = self.x[mine]
         return out
 
     def distances(self, centers: np.ndarray) -> np.ndarray:
@@ -47,9 +49,9 @@ class _Samples:
         if self.at is None:
             dot = self.x @ centers.T
         else:
-            dot, open_ = np.zeros((self.n, len(centers))), np.flatnonzero(np.concatenate([[True], self.row[1:] != self.row[:-1]])) if len(self.row) else np.empty(0, np.int64)
-            if len(open_):
-                dot[self.row[open_]] = np.add.reduceat(self.x[:, None] * centers.T[self.at], open_, axis=0)
+            dot = np.zeros((self.n, len(centers)))
+            if len(self.opens):
+                dot[self.row[self.opens]] = np.add.reduceat(self.x[:, None] * centers.T[self.at], self.opens, axis=0)
         return np.maximum(self.square[:, None] - 2 * dot + (centers**2).sum(1)[None], 0.0)
 
     def sums(self, label: np.ndarray, k: int) -> np.ndarray:
@@ -70,17 +72,18 @@ def _starts(data: DataFrame, width: int, k: int, n_init: int, seed: int) -> np.n
     """(starts, k, width): far points of a bounded sample are likelier starts; the sample is drawn by hash."""
     most = max(k, min(SEEDS, SEED_BYTES // (8 * max(1, width))))
     some = data.orderBy(F.xxhash64(F.col("sample").cast("string"), F.lit(seed)), "sample").limit(most).select("features").toArrow()
-    x = _Samples(some.column("features").combine_chunks(), width).rows()
-    out = []
-    for s in range(n_init):
-        rng = np.random.default_rng(seed + s)
-        centers = [x[rng.integers(len(x))]]
-        far = ((x - centers[0]) ** 2).sum(1)
-        while len(centers) < k:
-            centers.append(x[rng.choice(len(x), p=far / far.sum()) if far.sum() else rng.integers(len(x))])
-            far = np.minimum(far, ((x - centers[-1]) ** 2).sum(1))
-        out.append(np.stack(centers))
-    return np.stack(out)
+    x = _Samples.of(some.column("features").combine_chunks(), width)
+    return np.stack([_far_points(x, k, np.random.default_rng(seed + s)) for s in range(n_init)])
+
+
+def _far_points(x: _Samples, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k of the samples, far ones likelier."""
+    centers = [x.one(rng.integers(x.n))]
+    far = x.distances(centers[0][None])[:, 0]
+    while len(centers) < k:
+        centers.append(x.one(rng.choice(x.n, p=far / far.sum()) if far.sum() else rng.integers(x.n)))
+        far = np.minimum(far, x.distances(centers[-1][None])[:, 0])
+    return np.stack(centers)
 
 
 def _sums(data: DataFrame, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,7 +96,7 @@ def _sums(data: DataFrame, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         counts, sums, inertia = np.zeros((starts, k)), np.zeros((starts, k, width)), np.zeros(starts)
         seen = False
         for batch in _pieces(batches, width):
-            x, seen = _Samples(batch.column("features"), width), True
+            x, seen = _Samples.of(batch.column("features"), width), True
             far = x.distances(centers.reshape(-1, width)).reshape(x.n, starts, k)
             label = far.argmin(2)
             inertia += far.min(2).sum(0)
@@ -163,7 +166,7 @@ def kmeans(samples: DataFrame, sample_col: str = "sample", vector_col: str = "fe
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches, width):
-            near = _Samples(batch.column("features"), width).distances(shared.value).argmin(1)
+            near = _Samples.of(batch.column("features"), width).distances(shared.value).argmin(1)
             yield pa.RecordBatch.from_arrays([batch.column("sample"), pa.array(near.astype(np.int32))], names=["sample", "label"])
 
     labels = data.mapInArrow(label, T.StructType([T.StructField("sample", kind), T.StructField("label", T.IntegerType())]))
@@ -171,33 +174,30 @@ def kmeans(samples: DataFrame, sample_col: str = "sample", vector_col: str = "fe
     return labels, table, float(inertia[best])
 
 
-def _lloyd(x: np.ndarray, k: int, rng: np.random.Generator, max_iter: int) -> tuple[np.ndarray, float]:
-    centers = x[rng.choice(len(x), 1)]
-    while len(centers) < k:  # far points are likelier starts
-        d = np.min(((x[:, None] - centers[None]) ** 2).sum(2), axis=1)
-        centers = np.vstack([centers, x[rng.choice(len(x), p=d / d.sum()) if d.sum() else rng.integers(len(x))]])
-    labels = None
+def _lloyd(x: _Samples, k: int, rng: np.random.Generator, max_iter: int) -> tuple[np.ndarray, float]:
+    centers, labels = _far_points(x, k, rng), None
     for _ in range(max_iter):
-        d = ((x[:, None] - centers[None]) ** 2).sum(2)
-        now = d.argmin(1)
+        far = x.distances(centers)
+        now = far.argmin(1)
         if labels is not None and (now == labels).all():
             break
         labels = now
-        centers = np.stack([x[labels == c].mean(0) if (labels == c).any() else centers[c] for c in range(k)])
+        count = np.bincount(labels, minlength=k)[:, None]
+        centers = np.where(count > 0, x.sums(labels, k) / np.maximum(count, 1), centers)
     order = np.argsort(np.argsort(np.linalg.norm(centers, axis=1), kind="stable"))
-    return order[labels], float(d.min(1).sum())
+    return order[labels], float(far.min(1).sum())
 
 
 def kmeans_by_key(cells: DataFrame, keys: Sequence[str], n_clusters: int = 2, n_init: int = 100, max_iter: int = 300, seed: int = 0) -> DataFrame:
-    """(keys, t, state, inertia): states from 1 of each key's samples (keys, sample, feature, value), absent features 0."""
+    """(keys, t, state, inertia): states from 1 of each key's samples (keys, sample, feature, value), absent features 0; a task holds the cells that are there, and centers."""
     keys = list(keys)
     schema = T.StructType([*(cells.schema[k] for k in keys), T.StructField("t", T.LongType()), T.StructField("state", T.IntegerType()), T.StructField("inertia", T.DoubleType())])
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         t, at = np.unique(rows["sample"], return_inverse=True)
         f, to = np.unique(rows["feature"], return_inverse=True)
-        x = np.zeros((len(t), len(f)))
-        x[at, to] = rows["value"]
+        by = np.lexsort((to, at))
+        x = _Samples(len(t), len(f), rows["value"].to_numpy(float)[by], at[by], to[by])
         rng = np.random.default_rng(seed)
         labels, inertia = min((_lloyd(x, min(n_clusters, len(t)), rng, max_iter) for _ in range(n_init)), key=lambda r: r[1])
         return pd.DataFrame({**dict(zip(keys, key)), "t": t, "state": labels + 1, "inertia": inertia})[schema.names]

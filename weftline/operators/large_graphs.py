@@ -48,28 +48,32 @@ def _join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, keys) if keys else a.crossJoin(F.broadcast(b))  # without keys b is one row
 
 
-def _round(links: DataFrame, nodes: DataFrame, totals: DataFrame, keys: list[str], chance: list[str], sweep: int, share: int) -> DataFrame:
-    """The nodes (keys, node, c, kp, kn) after the nodes of one share have moved to the module next to them with the greatest gain."""
-    dealt = F.pmod(F.xxhash64("node", *chance, F.lit(sweep)), F.lit(PARITIES)) == share
+def _round(links: DataFrame, nodes: DataFrame, keys: list[str], chance: list[str], sweep: int, share: int) -> DataFrame:
+    """The nodes after those of one share have moved to the module next to them with the greatest gain.
+
+    Links (keys, i, j, wt, kp, kn) have the strengths of i, nodes (keys, node, c, kp, kn, s0, s1, d0, d1) the figures of
+    their graph, so a round joins links with the modules of their ends, modules with their totals, and nodes with their moves.
+    """
+    dealt = lambda c: F.pmod(F.xxhash64(c, *chance, F.lit(sweep)), F.lit(PARITIES)) == share
     tie = F.xxhash64("_to", *chance, F.lit(sweep)) if chance else -F.col("_to")
-    module = nodes.groupBy(*keys, F.col("c").alias("_to")).agg(F.sum("kp").alias("_mp"), F.sum("kn").alias("_mn"))
-    moving = nodes.where(dealt).select(*keys, "node", "c", "kp", "kn")
-    beside = links.join(moving.select(*keys, F.col("node").alias("i")), [*keys, "i"], "left_semi").join(nodes.select(*keys, F.col("node").alias("j"), F.col("c").alias("_to")), [*keys, "j"])
-    to = beside.select(*keys, F.col("i").alias("node"), "_to", F.greatest("wt", F.lit(0.0)).alias("_p"), F.greatest(-F.col("wt"), F.lit(0.0)).alias("_n"))
+    whole = ("s0", "s1", "d0", "d1")
+    module = nodes.groupBy(*keys, F.col("c").alias("_to")).agg(F.sum("kp").alias("_mp"), F.sum("kn").alias("_mn"), *(F.first(c).alias(c) for c in whole))
+    own = [*keys, "node", "_to", "kp", "kn"]
+    beside = links.where(dealt("i")).withColumnRenamed("i", "node").join(nodes.select(*keys, F.col("node").alias("j"), F.col("c").alias("_to")), [*keys, "j"])
+    beside = beside.select(*own, F.greatest("wt", F.lit(0.0)).alias("_p"), F.greatest(-F.col("wt"), F.lit(0.0)).alias("_n"), F.lit(False).alias("_here"))
     # a node may stay where it has no links
-    stay = moving.select(*keys, "node", F.col("c").alias("_to"), F.lit(0.0).alias("_p"), F.lit(0.0).alias("_n"))
-    to = to.unionByName(stay).groupBy(*keys, "node", "_to").agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
-    full = _join(to.join(moving, [*keys, "node"]).join(module, [*keys, "_to"]), totals, keys)
-    here = F.col("_to") == F.col("c")
+    stay = nodes.where(dealt("node")).withColumnRenamed("c", "_to").select(*own, F.lit(0.0).alias("_p"), F.lit(0.0).alias("_n"), F.lit(True).alias("_here"))
+    to = beside.unionByName(stay).groupBy(*keys, "node", "_to").agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"), F.first("kp").alias("kp"), F.first("kn").alias("kn"), F.bool_or("_here").alias("_here"))
+    full = to.join(module, [*keys, "_to"])
     inv = lambda c: F.coalesce(F.try_divide(F.lit(1.0), F.col(c)), F.lit(0.0))
-    rest_p, rest_n = F.col("_mp") - F.when(here, F.col("kp")).otherwise(0.0), F.col("_mn") - F.when(here, F.col("kn")).otherwise(0.0)
-    gain = F.col("d0") * (F.col("_p") - F.col("kp") * rest_p * inv("s0")) - F.col("d1") * (F.col("_n") - F.col("kn") * rest_n * inv("s1"))
+    rest = lambda total, k: F.col(total) - F.when(F.col("_here"), F.col(k)).otherwise(0.0)
+    gain = F.col("d0") * (F.col("_p") - F.col("kp") * rest("_mp", "kp") * inv("s0")) - F.col("d1") * (F.col("_n") - F.col("kn") * rest("_mn", "kn") * inv("s1"))
     # sums of other orders differ in their last digits, which mustn't decide ties
-    even = F.round(gain / F.greatest(F.col("d0"), F.col("d1")), 9)
-    found = full.select(*keys, "node", "_to", even.alias("_gain"), here.alias("_here"), tie.alias("_tie"))
+    even = F.round(gain / F.greatest("d0", "d1"), 9)
+    found = full.select(*keys, "node", "_to", even.alias("_gain"), "_here", tie.alias("_tie"))
     best = found.groupBy(*keys, "node").agg(F.max_by("_to", F.struct("_gain", "_tie")).alias("_best"), F.max("_gain").alias("_most"), F.max(F.when(F.col("_here"), F.col("_gain"))).alias("_now"))
     moved = best.where("_most > _now").select(*keys, "node", "_best")
-    return nodes.join(moved, [*keys, "node"], "left").select(*keys, "node", F.coalesce("_best", "c").alias("c"), "kp", "kn", F.col("_best").isNotNull().alias("moved"))
+    return nodes.drop("moved").join(moved, [*keys, "node"], "left").select(*keys, "node", F.coalesce("_best", "c").alias("c"), "kp", "kn", *whole, F.col("_best").isNotNull().alias("moved"))
 
 
 def _strength(links: DataFrame, keys: list[str]) -> DataFrame:
@@ -92,12 +96,13 @@ def louvain(edges: DataFrame, keys: Sequence[str] = (), qtype: str = "sta", chan
     totals = kept(_with_scale(strength, keys, qtype))
     named = kept(strength.select(*keys, "node", F.col("node").alias("c")))  # of the first level's nodes
     for _ in range(most_levels):
-        nodes, moves = kept(strength.select(*keys, "node", F.col("node").alias("c"), "kp", "kn")), 0
+        nodes, moves = kept(_join(strength.select(*keys, "node", F.col("node").alias("c"), "kp", "kn"), totals, keys)), 0
+        weighted = kept(links.join(strength.withColumnRenamed("node", "i"), [*keys, "i"]))
         for sweep in range(most_sweeps):
             now = 0
             for share in range(PARITIES):
                 seen = Observation()
-                nodes = kept(_round(links, nodes, totals, keys, chance, sweep, share).observe(seen, F.count_if("moved").alias("moves")), nodes)
+                nodes = kept(_round(weighted, nodes, keys, chance, sweep, share).observe(seen, F.count_if("moved").alias("moves")), nodes)
                 now += seen.get["moves"]
             moves += now
             if not now:
