@@ -93,6 +93,26 @@ def test_consensus_of_nodes_without_pairs(spark):
     assert sorted(map(tuple, large_graphs.consensus(agreed.where("i <> 3"), tau=0.1, reps=3).collect())) == [(1, 0, 1), (2, 0, 2)]
 
 
+def test_consensus_goes_on_for_keys_that_have_not_settled(spark, monkeypatch):
+    """A ring has many partitions of one quality, so its repetitions differ; a key of two cliques is done at once, one without pairs too."""
+    ring = [("ring", i, (i + 1) % 12, 1.0) for i in range(12)]
+    cliques = [("cliques", i, j, 0.8) for g in (0, 4) for i in range(g, g + 4) for j in range(i + 1, g + 4)]
+    agreed = spark.createDataFrame([*ring, *cliques, ("bare", 1, 1, 1.0)], "k string, i long, j long, value double")
+    seen, louvain = [], large_graphs.louvain
+
+    def counted(edges, keys, *rest):
+        seen.append({r["k"] for r in edges.select("k").distinct().collect()})
+        return louvain(edges, keys, *rest)
+
+    monkeypatch.setattr(large_graphs, "louvain", counted)
+    found = large_graphs.consensus(agreed, ["k"], 0.3, 3, rounds=3).collect()
+    assert seen[0] == {"ring", "cliques"} and all(s == {"ring"} for s in seen[1:]) and len(seen) > 1
+    labels = {k: {(r["p"], r["node"]): r["c"] for r in found if r["k"] == k} for k in ("ring", "cliques", "bare")}
+    assert labels["bare"] == {(0, 1): 1} and labels["cliques"] == {(0, i): 1 + i // 4 for i in range(8)}
+    parts = {p for p, _ in labels["ring"]}
+    assert parts == set(range(len(parts))) and all((p, i) in labels["ring"] for p in parts for i in range(12)) and len(labels["ring"]) == 12 * len(parts)
+
+
 def test_windows_equal_the_kernel(spark):
     rows, group = [], np.arange(9) % 3
     rng = np.random.default_rng(3)

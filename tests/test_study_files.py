@@ -144,6 +144,27 @@ def test_coupling_blocks_equal_the_rows(spark, direction):
     assert connectivity.coupling_blocks(series.limit(0), ["k"], 5).collect() == []
 
 
+def shuffled(spark, df):
+    """Bytes that a plan writes for its exchanges."""
+    context, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+
+    def total():
+        context.listenerBus().waitUntilEmpty()
+        stages = context.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    before = total()
+    df.write.format("noop").mode("overwrite").save()
+    return total() - before
+
+
+def test_blocks_shuffle_the_series_and_not_the_pairs(spark):
+    rng = np.random.default_rng(5)
+    series = spark.createDataFrame([(r, t, float(rng.normal())) for r in range(40) for t in range(300)], "roi int, t int, value double")
+    rows, blocks = shuffled(spark, connectivity.derivative_coupling(series)), shuffled(spark, connectivity.coupling_blocks(series))
+    assert 0 < 3 * blocks < rows
+
+
 # -- k-means ------------------------------------------------------------------------------
 
 

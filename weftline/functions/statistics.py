@@ -16,7 +16,7 @@ def icc21(scores: DataFrame, by: Sequence[str] = (), subject: str = "subject", s
 
     Subjects are summed up once, as their mean and their scores' distances to it, then
     sessions over the subjects with as many scores, and of these sums those of the subjects with all sessions count; no
-    rows are joined back. Every sum adds up in the tasks first. A group without such subjects has n = 0, one without scores no row.
+    rows are joined back. Every sum adds up in the tasks first. A group without such subjects has no row.
     """
     by = list(by)
     known = scores.where(F.col(value).isNotNull())
@@ -25,9 +25,9 @@ def icc21(scores: DataFrame, by: Sequence[str] = (), subject: str = "subject", s
     per = long.groupBy(*by, "_m", F.col("_x.j").alias("_j")).agg(F.count("*").alias("n"), F.avg("_d").alias("d"), F.sum(F.col("_d") * F.col("_d")).alias("q"), F.var_pop("_s").alias("v"))
     # of each number of scores a row per session: their number is the largest
     whole = per.groupBy(*by).agg(F.count_distinct("_j").alias("k"), F.collect_list(F.struct(F.col("_m").alias("m"), "n", "d", "q", "v")).alias("_r"))
-    full = whole.select(*by, "k", F.filter("_r", lambda r: r["m"] == F.col("k")).alias("_r"))
+    full = whole.select(*by, "k", F.filter("_r", lambda r: r["m"] == F.col("k")).alias("_r")).where(F.size("_r") > 0)
     total = lambda f: F.aggregate("_r", F.lit(0.0), lambda s, r: s + f(r))
-    sums = full.select(*by, F.coalesce(F.try_element_at("_r", F.lit(1))["n"], F.lit(0)).alias("n"), "k", F.try_element_at("_r", F.lit(1))["v"].alias("v"), total(lambda r: r["d"] * r["d"]).alias("cols"), total(lambda r: r["q"]).alias("within"))
+    sums = full.select(*by, F.element_at("_r", 1)["n"].alias("n"), "k", F.element_at("_r", 1)["v"].alias("v"), total(lambda r: r["d"] * r["d"]).alias("cols"), total(lambda r: r["q"]).alias("within"))
     n, k = F.col("n"), F.col("k")
     cols = n * F.col("cols")
     msr, msc = F.try_divide(k * n * F.col("v"), n - 1), F.try_divide(cols, k - 1)

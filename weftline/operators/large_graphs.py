@@ -6,7 +6,8 @@ modules next to it are one aggregation over the edges, and modules' totals come
 modularity matrix is never made. Moves that depend on each other would undo each other's
 gain, so a round moves only one of ``PARITIES`` hashed shares of the nodes, another one
 each time. When no share moves, modules become the nodes of the next level. What a round
-leaves is checkpointed, so no plan grows with the rounds.
+leaves is written to the shared folder, and what the round before left is removed, so no plan grows with the rounds.
+Keys and nodes have no nulls.
 """
 
 from __future__ import annotations
@@ -137,9 +138,9 @@ def consensus(agreed: DataFrame, keys: Sequence[str] = (), tau: float = 0.1, rep
     """
     keys = list(keys)
     nodes = kept(agreed.select(*keys, F.explode(F.array(F.col("i").cast("long"), F.col("j").cast("long"))).alias("node")).distinct())
-    pairs, done = kept(agreed.where((F.col("value") >= tau) & (F.col("i") != F.col("j"))).select(*keys, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("value").alias("wt"))), []
+    pairs, done = kept(agreed.where((F.col("value") >= tau) & (F.col("value") > 0) & (F.col("i") != F.col("j"))).select(*keys, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("value").alias("wt"))), []
     bare = nodes.join(pairs.select(*keys).distinct(), keys, "left_anti") if keys else nodes.limit(0) if pairs.head(1) else nodes
-    done.append(bare.select(*keys, "node", F.lit(0).alias("p"), F.col("node").alias("c")))
+    done.append(kept(bare.select(*keys, "node", F.lit(0).alias("p"), F.col("node").alias("c"))))
     for k in range(rounds):
         if not pairs.head(1):
             break
