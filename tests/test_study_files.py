@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import chunks, clustering, connectivity, metrics, preprocessing
+from weftline.plans import study
 from weftline.sources import nifti, results
 from weftline.streaming import switches
 
@@ -159,9 +160,15 @@ def shuffled(spark, df):
 
 
 def test_blocks_shuffle_the_series_and_not_the_pairs(spark):
+    """Of series too large to be broadcast, as those of a study are."""
     rng = np.random.default_rng(5)
     series = spark.createDataFrame([(r, t, float(rng.normal())) for r in range(40) for t in range(300)], "roi int, t int, value double")
-    rows, blocks = shuffled(spark, connectivity.derivative_coupling(series)), shuffled(spark, connectivity.coupling_blocks(series))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        rows, blocks = shuffled(spark, connectivity.derivative_coupling(series)), shuffled(spark, connectivity.coupling_blocks(series))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert 0 < 3 * blocks < rows
 
 
@@ -230,6 +237,20 @@ def test_an_aborted_write_leaves_what_was_there(spark, tmp_path):
         results.write_results(spark.range(5), path, "xml")
 
 
+def test_a_run_from_files_equals_one_from_a_table(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    table = spark.createDataFrame([(s, k, v, t, float(10 + rng.normal())) for s in "ab" for k in "12" for v in range(9) for t in range(16)], "subject string, session string, vertex long, t int, value double")
+    nifti.write_runs(table, str(tmp_path / "bids"), "fsaverage6", 9, 16).count()
+    atlas = spark.createDataFrame([(v, v % 5) for v in range(9)], "vertex long, roi int")
+    behaviour = spark.createDataFrame([("a", 1.0), ("b", 2.5)], "subject string, caq double")
+    motion = spark.createDataFrame([("b", "2")], "subject string, session string")
+    few = study.Settings(window=4, runs=2, reps=2, n_init=2)
+    one = study.run(table, atlas, behaviour, "caq", str(tmp_path / "one"), few, motion=motion)
+    two = study.run_files(spark, str(tmp_path / "bids"), "fsaverage6", atlas, behaviour, "caq", str(tmp_path / "two"), study.Settings(window=4, runs=2, reps=2, n_init=2, blocks=True), motion=motion)
+    assert same(one, two) and one.count() == 3
+    assert results.read_mat(spark, str(tmp_path / "two" / "sessions_mat"), "subject string, session string").count() == 3
+
+
 # -- streams --------------------------------------------------------------------------------------
 
 

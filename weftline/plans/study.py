@@ -6,12 +6,12 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import statistics
-from weftline.operators import clustering, community, connectivity, large_graphs, metrics, preprocessing
-from weftline.sources import results, tables
+from weftline.operators import chunks, clustering, community, connectivity, large_graphs, metrics, preprocessing
+from weftline.sources import nifti, results, tables
 
 
 @dataclass(frozen=True)
@@ -29,7 +29,8 @@ class Settings:
     n_init: int = 100
     qtype: str = "sta"
     seed: int = 0
-    large: bool = False
+    large: bool = False  # communities by rounds over edge tables
+    blocks: bool = False  # coupling in blocks, for series whose frames have no gaps
 
     def __post_init__(self):
         if not (3 <= self.window <= 50 and 0.5 <= self.threshold_sd <= 5 and 0 <= self.tau <= 1 and 2 <= self.n_clusters <= 10 and self.qtype in metrics.QTYPES):
@@ -46,7 +47,11 @@ def profiles(series: DataFrame, keys: Sequence[str], settings: Settings = Settin
     """
     keys = list(keys)
     at = [*keys, "t"]
-    upper = connectivity.derivative_coupling(series, keys, settings.window, settings.direction).withColumnRenamed("value", "wt").where("i < j")
+    if settings.blocks:
+        coupled = connectivity.blocks_to_long(connectivity.coupling_blocks(series, keys, settings.window, settings.direction), keys)
+    else:
+        coupled = connectivity.derivative_coupling(series, keys, settings.window, settings.direction)
+    upper = coupled.withColumnRenamed("value", "wt").where("i < j")
     if settings.large:
         upper = tables.kept(upper)
         labels = large_graphs.window_communities(upper, at, settings.tau, settings.runs, settings.reps, settings.qtype)
@@ -147,8 +152,29 @@ def run(bold: DataFrame, atlas: DataFrame, behaviour: DataFrame, score: str, fol
         series = preprocessing.select_networks(series, regions) if level == "roi" else series.join(regions.where(F.col("network").startswith("Default") | F.col("network").startswith("Cont")).select("roi"), "roi", "left_semi")
     if level == "vertex":
         series = series.drop("roi").withColumnRenamed("vertex", "roi")
+    return _finish(series, behaviour, score, folder, settings, tsnr, keys)
+
+
+def run_files(spark: SparkSession, path: str, space: str, atlas: DataFrame, behaviour: DataFrame, score: str, folder: str, settings: Settings = Settings(), regions: DataFrame | None = None, motion: DataFrame | None = None, tsnr: bool = False) -> DataFrame:
+    """``run`` at the level of parcels, straight from the run files of a BIDS directory.
+
+    Files of other spaces aren't opened. Signals stay chunks until they are parcels' means, so no
+    table has a row for each vertex and frame.
+    """
+    keys = ["subject", "session"]
+    signals = nifti.read_runs(spark, path, space)
+    if motion is not None:
+        signals = preprocessing.exclude(signals, motion, keys)
+    series = preprocessing.drop_frames(chunks.extract_roi(signals, chunks.atlas_blocks(atlas, keys), keys), settings.drop)
+    if regions is not None:
+        series = preprocessing.select_networks(series, regions)
+    return _finish(series, behaviour, score, folder, settings, tsnr, keys)
+
+
+def _finish(series: DataFrame, behaviour: DataFrame, score: str, folder: str, settings: Settings, tsnr: bool, keys: list[str]) -> DataFrame:
+    """From nodes' series to the files of a run."""
     if tsnr:
         series = preprocessing.tsnr_filter(series, keys, settings.threshold_sd)
-    counts = tables.kept(switching(series, keys, settings))
+    counts = tables.kept(switching(tables.kept(series), keys, settings))
     write_run(counts, folder, behaviour, score)
     return counts
