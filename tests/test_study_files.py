@@ -175,11 +175,11 @@ def test_blocks_shuffle_the_series_and_not_the_pairs(spark):
 # -- k-means ------------------------------------------------------------------------------
 
 
-def test_kmeans_is_no_worse_than_the_best_of_sequential_runs(spark):
+def test_kmeans_is_no_worse_than_the_best_of_sequential_runs(spark, monkeypatch):
     rng = np.random.default_rng(6)
     x = np.concatenate([rng.normal(c, 1.0, (40, 5)) for c in (0, 3, 6, 9)])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "sample int, features array<double>").repartition(3)
-    labels, centers, inertia = clustering.kmeans(df, n_clusters=4, n_init=12)
+    labels, centers, inertia = clustering.kmeans(df, n_clusters=4, n_init=12, tol=0)
     best = min(clustering._lloyd(clustering._Samples(len(x), 5, x), 4, np.random.default_rng(s), 300)[1] for s in range(12))
     assert inertia <= best * (1 + 1e-9)
     by = {r["sample"]: r["label"] for r in labels.collect()}
@@ -188,13 +188,15 @@ def test_kmeans_is_no_worse_than_the_best_of_sequential_runs(spark):
     assert list(np.argsort(np.linalg.norm(c, axis=1))) == [0, 1, 2, 3]
     # the same as sparse vectors
     sparse = df.select("sample", F.struct(F.sequence(F.lit(0), F.lit(4)).alias("indices"), F.col("features").alias("values")).alias("features"))
-    assert clustering.kmeans(sparse, n_clusters=4, n_init=12, width=5)[2] == pytest.approx(inertia)
+    assert clustering.kmeans(sparse, n_clusters=4, n_init=12, width=5, tol=0)[2] == pytest.approx(inertia)
+    monkeypatch.setattr(clustering, "DRIVER_SUMS", 0)  # sums added up in tasks
+    assert clustering.kmeans(df, n_clusters=4, n_init=12, tol=0)[2] == pytest.approx(inertia)
 
 
 def test_kmeans_passes_are_iterations(spark, monkeypatch):
     df = spark.createDataFrame([(i, [float(i % 2) * 50, float(i % 7)]) for i in range(60)], "sample int, features array<double>")
     passes, sums = [], clustering._sums
-    monkeypatch.setattr(clustering, "_sums", lambda data, centers: passes.append(len(centers)) or sums(data, centers))
+    monkeypatch.setattr(clustering, "_sums", lambda data, centers, tasks: passes.append(len(centers)) or sums(data, centers, tasks))
     clustering.kmeans(df, n_clusters=2, n_init=20)
     assert passes[0] == 20 and len(passes) < 20 and passes == sorted(passes, reverse=True)
 

@@ -16,6 +16,8 @@ from weftline.sources.tables import kept
 
 #: Samples from which starts are drawn, and the bytes that they may have on the driver.
 SEEDS, SEED_BYTES = 2000, 64 << 20
+#: Bytes of all tasks' sums that the driver adds up itself; beyond that they are added up in tasks first.
+DRIVER_SUMS = 32 << 20
 #: Features of one row of sums, and values of samples that a task works on at once.
 FEATURES, SLICE = 4096, 1 << 20
 
@@ -68,12 +70,13 @@ def _pieces(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
             yield batch.slice(at, step)
 
 
-def _starts(data: DataFrame, width: int, k: int, n_init: int, seed: int) -> np.ndarray:
-    """(starts, k, width): far points of a bounded sample are likelier starts; the sample is drawn by hash."""
+def _starts(data: DataFrame, width: int, k: int, n_init: int, seed: int) -> tuple[np.ndarray, float]:
+    """(starts, k, width) centers and the features' mean variance: far points of a bounded sample are likelier starts; the sample is drawn by hash."""
     most = max(k, min(SEEDS, SEED_BYTES // (8 * max(1, width))))
     some = data.orderBy(F.xxhash64(F.col("sample").cast("string"), F.lit(seed)), "sample").limit(most).select("features").toArrow()
     x = _Samples.of(some.column("features").combine_chunks(), width)
-    return np.stack([_far_points(x, k, np.random.default_rng(seed + s)) for s in range(n_init)])
+    mean = x.sums(np.zeros(x.n, np.int64), 1)[0] / x.n
+    return np.stack([_far_points(x, k, np.random.default_rng(seed + s)) for s in range(n_init)]), float(x.distances(mean[None]).mean() / max(1, width))
 
 
 def _far_points(x: _Samples, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -86,7 +89,7 @@ def _far_points(x: _Samples, k: int, rng: np.random.Generator) -> np.ndarray:
     return np.stack(centers)
 
 
-def _sums(data: DataFrame, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sums(data: DataFrame, centers: np.ndarray, tasks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(counts, sums, inertias) of every start's clusters, in one pass over the samples."""
     starts, k, width = centers.shape
     shared = data.sparkSession.sparkContext.broadcast(centers)
@@ -109,16 +112,24 @@ def _sums(data: DataFrame, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray,
                     part = sums[s, c, at : at + FEATURES]
                     yield pa.RecordBatch.from_pylist([{"start": s, "center": c, "block": block, "n": counts[s, c], "inertia": inertia[s], "sums": part.tobytes()}], _PARTIAL)
 
+    kind = "start int, center int, block int, n double, inertia double, sums binary"
+    partial = data.select("features").mapInArrow(run, kind)
+    counts, sums, inertia = np.zeros((starts, k)), np.zeros((starts, k, width)), np.zeros(starts)
+    if 8 * starts * k * width * tasks <= DRIVER_SUMS:
+        for r in partial.toArrow().to_pylist():
+            at = r["block"] * FEATURES
+            counts[r["start"], r["center"]] += r["n"] if not at else 0
+            inertia[r["start"]] += r["inertia"] if not at and not r["center"] else 0
+            sums[r["start"], r["center"], at : at + FEATURES] += np.frombuffer(r["sums"])
+        return counts, sums, inertia
+
     def add(table: pa.Table) -> pa.Table:
         """The partial sums of all tasks, one row a task."""
         parts = np.sum([np.frombuffer(x.as_buffer()) for x in table.column("sums")], axis=0)
         row = {c: table.column(c)[0].as_py() for c in ("start", "center", "block")}
         return pa.Table.from_pylist([row | {"n": pa.compute.sum(table.column("n")).as_py(), "inertia": pa.compute.sum(table.column("inertia")).as_py(), "sums": parts.tobytes()}], _PARTIAL)
 
-    kind = "start int, center int, block int, n double, inertia double, sums binary"
-    found = data.select("features").mapInArrow(run, kind).groupBy("start", "center", "block").applyInArrow(add, kind).toArrow().to_pylist()
-    counts, sums, inertia = np.zeros((starts, k)), np.zeros((starts, k, width)), np.zeros(starts)
-    for r in found:
+    for r in partial.groupBy("start", "center", "block").applyInArrow(add, kind).toArrow().to_pylist():
         at = r["block"] * FEATURES
         counts[r["start"], r["center"]], inertia[r["start"]] = r["n"], r["inertia"]
         sums[r["start"], r["center"], at : at + FEATURES] = np.frombuffer(r["sums"])
@@ -128,13 +139,14 @@ def _sums(data: DataFrame, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 _PARTIAL = pa.schema([("start", pa.int32()), ("center", pa.int32()), ("block", pa.int32()), ("n", pa.float64()), ("inertia", pa.float64()), ("sums", pa.binary())])
 
 
-def kmeans(samples: DataFrame, sample_col: str = "sample", vector_col: str = "features", n_clusters: int = 2, n_init: int = 100, max_iter: int = 300, random_state: int = 0, width: int | None = None) -> tuple[DataFrame, DataFrame, float]:
+def kmeans(samples: DataFrame, sample_col: str = "sample", vector_col: str = "features", n_clusters: int = 2, n_init: int = 100, max_iter: int = 300, random_state: int = 0, width: int | None = None, tol: float = 1e-4) -> tuple[DataFrame, DataFrame, float]:
     """Labels (sample, label), centers (label, center) and inertia of the best of ``n_init`` runs over all samples (sample, vector).
 
     A vector is an array, or (indices, values) of what isn't 0, then of ``width`` features. All
     runs go on side by side: an iteration is one pass over the samples with all
     centers of the runs that haven't settled (n_init x n_clusters x features numbers, broadcast and
-    returned as sums). Starts are drawn from at most ``SEEDS`` samples. Labels count from
+    returned as sums). A run has settled when its centers move by no more than ``tol`` of the features' mean variance (squared distance),
+    or not at all. Starts are drawn from at most ``SEEDS`` samples. Labels count from
     0 in the order of the centers' norms. An empty cluster keeps its center; samples without a vector are left out; no
     samples give no labels and no centers.
     """
@@ -149,17 +161,16 @@ def kmeans(samples: DataFrame, sample_col: str = "sample", vector_col: str = "fe
         raise ValueError("sparse vectors need their width")
     if not data.head(1):
         return data.select("sample", F.lit(0).alias("label")).limit(0), spark.createDataFrame([], "label int, center array<double>"), 0.0
-    centers = _starts(data, width, n_clusters, n_init, random_state)
-    inertia, live = np.full(n_init, np.inf), np.arange(n_init)
-    for _ in range(max_iter):
-        counts, sums, now = _sums(data, centers[live])
+    centers, spread = _starts(data, width, n_clusters, n_init, random_state)
+    inertia, live, tasks = np.full(n_init, np.inf), np.arange(n_init), data.rdd.getNumPartitions()
+    for k in range(max_iter):
+        counts, sums, inertia[live] = _sums(data, centers[live], tasks)
         moved = np.where(counts[:, :, None] > 0, sums / np.maximum(counts, 1)[:, :, None], centers[live])
-        inertia[live] = now
-        change = ~np.isclose(moved, centers[live], rtol=1e-12, atol=1e-12).all(axis=(1, 2))
-        centers[live[change]] = moved[change]
-        live = live[change]
-        if not len(live):
-            break
+        still = np.isclose(moved, centers[live], rtol=1e-12, atol=1e-12).all(axis=(1, 2)) | (((moved - centers[live]) ** 2).sum(axis=(1, 2)) <= tol * spread)
+        if k == max_iter - 1 or still.all():
+            break  # the inertias are those of the centers as they are
+        centers[live[~still]] = moved[~still]
+        live = live[~still]
     best = int(np.argmin(inertia))
     chosen = centers[best][np.argsort(np.linalg.norm(centers[best], axis=1), kind="stable")]
     shared = spark.sparkContext.broadcast(chosen)

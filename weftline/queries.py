@@ -416,9 +416,8 @@ def cartography_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cartography_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole 101 x 101 profiles of all hours, each told by its sums."""
     dense = metrics.densify(metrics.profile_vectors(_nodes(spark, sf_dir)))
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, b: a + b)
-    places = F.transform("values", lambda n, k: n * k)
-    return dense.select("t", F.size("values").cast("long").alias("cells"), F.size(F.filter("values", lambda n: n > 0)).cast("long").alias("filled"), total("values").alias("nodes"), total(places).alias("places"), F.array_max("values").alias("most"))
+    cell, n = F.col("cell"), F.col("n")
+    return dense.select("t", F.posexplode("values").alias("cell", "n")).groupBy("t").agg(F.count("*").alias("cells"), F.count(F.when(n > 0, 1)).alias("filled"), F.sum("n").alias("nodes"), F.sum(n * cell).alias("places"), F.max("n").alias("most"))
 
 
 # -- switching and statistics ----------------------------------------------------
