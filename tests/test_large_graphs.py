@@ -41,17 +41,18 @@ def test_louvain_recovers_planted_modules_and_the_kernels_quality(spark):
     w = np.zeros((60, 60))
     for i, j, x in edges:
         w[i, j] = w[j, i] = x
-    kernel[9] = max(community.louvain_labels(w, np.random.default_rng(s), qtype)[1] for s in range(5))
+    kernel[9] = np.mean([community.louvain_labels(w, np.random.default_rng(s), qtype)[1] for s in range(5)])
     df = spark.createDataFrame(rows, "g int, i long, j long, wt double")
-    found = large_graphs.louvain(df, ["g"], qtype)
-    q = {r["g"]: r["q"] for r in metrics.modularity(large_graphs.symmetric(df, ["g"]), found, ["g"], qtype).collect()}
+    found = large_graphs.best_louvain(df, ["g"], qtype, 3)
+    assert {r["g"]: r["q"] for r in found.collect()} == pytest.approx({r["g"]: r["q"] for r in metrics.modularity(large_graphs.symmetric(df, ["g"]), found.drop("q"), ["g"], qtype).collect()})
+    q = {r["g"]: r["q"] for r in found.select("g", "q").distinct().collect()}
     labels = {g: {} for g in kernel}
     for r in found.collect():
         labels[r["g"]][r["node"]] = r["c"]
     for g, group in groups.items():
         assert same_partition([labels[g][n] for n in sorted(labels[g])], [group[n] for n in sorted(labels[g])])
         assert q[g] >= kernel[g] * 0.99
-    assert q[9] >= kernel[9] * 0.9  # one run against the best of five
+    assert q[9] >= kernel[9]  # the best of three against the mean of five
     assert all(min(n for n in labels[g] if labels[g][n] == c) == c for g in labels for c in labels[g].values())
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.operators import community
-from weftline.operators.metrics import QTYPES
+from weftline.operators.metrics import QTYPES, modularity
 from weftline.sources.tables import kept
 
 PARITIES = 3
@@ -122,6 +122,17 @@ def louvain(edges: DataFrame, keys: Sequence[str] = (), qtype: str = "sta", chan
     return named
 
 
+def best_louvain(edges: DataFrame, keys: Sequence[str] = (), qtype: str = "sta", runs: int = 5) -> DataFrame:
+    """(keys, node, c, q): of several runs, all graphs of one job, the modules with the greatest modularity q."""
+    keys = list(keys)
+    each = kept(symmetric(edges.where("wt <> 0"), keys).withColumn("_run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))))
+    found = louvain(each, [*keys, "_run"], qtype, ["_run"])
+    q = modularity(each, found, [*keys, "_run"], qtype)
+    best = q.groupBy(*keys).agg(F.max_by("_run", F.struct("q", -F.col("_run"))).alias("_run"), F.max("q").alias("q")).where("_run is not null")
+    joined = found.join(best, [*keys, "_run"])
+    return joined.select(*keys, "node", "c", "q")
+
+
 def numbered(labels: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, node, c) with labels from 1 in the order of modules' names; modules are numbered, not nodes."""
     order = labels.select(*keys, "c").distinct().withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy("c")))
