@@ -403,7 +403,11 @@ BINS = "least(greatest(CAST(round((5 - wt) * 10) AS INTEGER), 0), 100) AS yb, le
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.hours(spark, sf_dir).groupBy("t", F.col("user_id").alias("node")).agg((F.avg("value") % 100 / 100).alias("bt"), (F.avg("value") % 13 - 6).alias("wt"))
+    """Means add up in the order of events, as the last digit of a sum decides bins at a half and mustn't depend on how rows are dealt."""
+    events = F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("event_id", "value")))).alias("_e")
+    per = tables.hours(spark, sf_dir).groupBy("t", F.col("user_id").alias("node")).agg(events)
+    mean = F.try_divide(F.aggregate("_e.value", F.lit(0.0), lambda total, x: total + x), F.size("_e"))
+    return per.select("t", "node", mean.alias("_m")).select("t", "node", (F.col("_m") % 100 / 100).alias("bt"), (F.col("_m") % 13 - 6).alias("wt"))
 
 
 @query(f"WITH {NODES} SELECT t, {BINS}, count(*) AS n FROM nodes GROUP BY ALL")
