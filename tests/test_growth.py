@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from weftline import queries
 
 
-@pytest.mark.parametrize("name", ["cartography_dense"])
+@pytest.mark.parametrize("name", ["cartography_dense", "cartography_sparse"])
 def test_profiles_add_up_in_the_order_of_events(spark, tmp_path, name):
     rng, n = np.random.default_rng(3), 8000
     cell = rng.permutation(np.arange(n) % 1000)  # of eight events, whose mean lies at a bin's edge in one of eight cells
