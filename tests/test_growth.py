@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline import queries
+from weftline.operators import community
+from weftline.sources import tables
 
 
 @pytest.mark.parametrize("name", ["cartography_dense", "cartography_sparse"])
@@ -24,3 +26,11 @@ def test_profiles_add_up_in_the_order_of_events(spark, tmp_path, name):
         made = spark.createDataFrame(order.astype({"value": object}).where(order.notna(), None), "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
         made.coalesce(3).write.parquet(str(tmp_path / str(k) / "events.parquet"))
         assert sorted(map(tuple, queries.QUERIES[name](spark, str(tmp_path / str(k))).select(*names).collect())) == want
+
+
+def test_pairs_of_agreement_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(tables, "TASK_ROWS", 1000)
+    parts = spark.range(600).selectExpr("id div 100 as block", "id as node", "0 as p", "id % 2 as c").coalesce(1)
+    agreed = community.agreement(parts, keys=["block"])
+    assert agreed.count() == 12 * 50 * 51 // 2
+    assert agreed.rdd.getNumPartitions() == 16  # 15,300 pairs

@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.sources.tables import tasks_for
 
 def agreement(partitions: DataFrame, weights: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, i, j, value): the weighted share of partitions (keys, node, p, c) in which two nodes have one label, i <= j.
 
-    Without ``weights`` (p, wt) all count alike; the diagonal is 1.
+    Without ``weights`` (p, wt) all count alike; the diagonal is 1. Pairs are counted first, to be dealt to so
+    many tasks that the memory of one doesn't grow with the input.
     """
     if weights is None:
         share = partitions.select(*keys, "p").distinct().withColumn("wt", F.lit(1.0))
@@ -24,10 +26,14 @@ def agreement(partitions: DataFrame, weights: DataFrame | None = None, keys: Seq
     total = share.groupBy(*[k for k in on if k != "p"]).agg(F.sum("wt").alias("total"))
     names = [k for k in on if k != "p"]
     share = share.join(total, names) if names else share.crossJoin(F.broadcast(total))  # one row
-    named = partitions.join(share.select(*on, (F.col("wt") / F.col("total")).alias("w")), on)
-    a = named.select(*keys, "p", "c", F.col("node").alias("i"), "w")
-    b = named.select(*keys, "p", "c", F.col("node").alias("j"))
-    return a.join(b, [*keys, "p", "c"]).where("i <= j").groupBy(*keys, "i", "j").agg(F.sum("w").alias("value"))
+    size = partitions.groupBy(*keys, "p", "c").agg(F.count("*").cast("double").alias("n"))
+    tasks, same = tasks_for(size.agg(F.sum(F.col("n") * (F.col("n") + 1) / 2)).first()[0]), [*keys, "p", "c"]
+    # a join by hash, as sorting would hold all rows of a task
+    named = partitions.join(share.select(*on, (F.col("wt") / F.col("total")).alias("w")).hint("shuffle_hash"), on)
+    a = named.select(*keys, "p", "c", F.col("node").alias("i"), "w").repartition(tasks, *same)
+    b = named.select(*keys, "p", "c", F.col("node").alias("j")).repartition(tasks, *same)
+    pairs = a.join(b.hint("merge"), same).where("i <= j").select(*keys, "i", "j", "w")
+    return pairs.repartition(tasks, *keys, "i", "j").groupBy(*keys, "i", "j").agg(F.sum("w").alias("value"))
 
 
 def _scales(pos: float, neg: float, qtype: str) -> tuple[float, float]:

@@ -54,6 +54,15 @@ def kept(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     return out
 
 
+#: Rows of a step that one task should have, where a step makes more rows than it reads.
+TASK_ROWS = 500_000
+
+
+def tasks_for(rows: int | None) -> int:
+    """So many tasks that each has about ``TASK_ROWS`` rows. Spark sizes tasks by what a step reads, and joins of small tables in as many as have files."""
+    return max(1, -(-int(rows or 0) // TASK_ROWS))
+
+
 def scan_extents(bold: DataFrame) -> DataFrame:
     """(axis, size) of a signal table."""
     return extents(bold, ["subject", "session", "vertex", "t"])
