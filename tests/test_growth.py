@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline import queries
-from weftline.operators import community
+from weftline.operators import community, large_graphs
 from weftline.sources import tables
 
 
@@ -34,3 +34,15 @@ def test_pairs_of_agreement_are_dealt_by_their_number(spark, monkeypatch):
     agreed = community.agreement(parts, keys=["block"])
     assert agreed.count() == 12 * 50 * 51 // 2
     assert agreed.rdd.getNumPartitions() == 16  # 15,300 pairs
+
+
+def test_edges_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(tables, "TASK_ROWS", 100)
+    edges = spark.range(40).selectExpr("id as i").crossJoin(spark.range(40).selectExpr("id as j")).where("i <> j and i div 10 = j div 10").withColumn("wt", F.when(F.col("i") < F.col("j"), 1.0).otherwise(2.0)).coalesce(1)
+    written, keep = [], large_graphs.kept
+    monkeypatch.setattr(large_graphs, "kept", lambda df, *old: written.append((sorted(df.columns), df.rdd.getNumPartitions())) or keep(df, *old))
+    found = large_graphs.louvain(edges)
+    assert {(r["node"], r["c"]) for r in found.collect()} == {(n, n // 10 * 10) for n in range(40)}
+    assert [n for columns, n in written if columns == ["i", "j", "wt"]][1] == 4  # 360 links, as they were given and then both ways
+    both = {(r["i"], r["j"]): r["wt"] for r in large_graphs.symmetric(edges).collect()}
+    assert len(both) == 360 and set(both.values()) == {1.0}  # the first triangle's

@@ -20,16 +20,19 @@ from pyspark.sql import functions as F
 
 from weftline.operators import community
 from weftline.operators.metrics import QTYPES, modularity
-from weftline.sources.tables import kept
+from weftline.sources.tables import kept, tasks_for
 
 PARITIES = 3
 
 
-def symmetric(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Both triangles without the diagonal, each pair once; a pair that is listed twice counts once, by its first triangle if they differ."""
-    low, high = F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")
-    one = edges.where("i <> j").groupBy(*keys, low, high).agg(F.min_by("wt", F.struct(F.col("i") > F.col("j"), F.col("wt"))).alias("wt"))
-    return one.unionByName(one.select(*keys, F.col("j").alias("i"), F.col("i").alias("j"), "wt"))
+def symmetric(edges: DataFrame, keys: Sequence[str] = (), tasks: int | None = None) -> DataFrame:
+    """Both triangles without the diagonal, each pair once; a pair that is listed twice counts once, by its first triangle if they differ. Made in so many tasks, where given."""
+    pairs = edges.where("i <> j").select(*keys, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "wt", (F.col("i") > F.col("j")).alias("_up"))
+    first = F.coalesce(F.min(F.when(~F.col("_up"), F.col("wt"))), F.min(F.when(F.col("_up"), F.col("wt"))))  # no structs, which aggregates sort for
+    dealt = pairs.repartition(tasks, *keys, "i", "j") if tasks else pairs
+    one = dealt.groupBy(*keys, "i", "j").agg(first.alias("wt"))
+    both = F.explode(F.array(F.struct("i", "j", "wt"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "wt"))).alias("_e")
+    return one.select(*keys, both).select(*keys, "_e.i", "_e.j", "_e.wt")
 
 
 def _scale(qtype: str, s0: Column, s1: Column) -> tuple[Column, Column]:
@@ -92,7 +95,8 @@ def louvain(edges: DataFrame, keys: Sequence[str] = (), qtype: str = "sta", chan
     if qtype not in QTYPES:
         raise ValueError(f"qtype must be one of {QTYPES}")
     keys, chance = list(keys), list(chance)
-    links = kept(symmetric(edges.where("wt <> 0").select(*keys, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("wt").cast("double").alias("wt")), keys))
+    raw = kept(edges.where("wt <> 0").select(*keys, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("wt").cast("double").alias("wt")))
+    links = kept(symmetric(raw, keys, tasks_for(raw.count())), raw)  # counted, so that no task has more of them as the input grows
     strength = kept(_strength(links, keys))
     totals = kept(_with_scale(strength, keys, qtype))
     named = kept(strength.select(*keys, "node", F.col("node").alias("c")))  # of the first level's nodes

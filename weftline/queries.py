@@ -582,7 +582,9 @@ _GROUPS = "SELECT c_custkey AS node, CAST(min(c_custkey) OVER (PARTITION BY c_cu
 
 def _group_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("i"), F.expr("c_custkey div 40").alias("g"))
-    inside = nodes.join(nodes.withColumnRenamed("i", "j"), "g").where("i < j").select("g", "i", "j", F.lit(1.0).alias("wt"))
+    tasks = tables.tasks_for(nodes.count() * 20)  # twenty pairs to a node
+    left, right = nodes.repartition(tasks, "g"), nodes.withColumnRenamed("i", "j").repartition(tasks, "g")
+    inside = left.join(right.hint("merge"), "g").where("i < j").select("g", "i", "j", F.lit(1.0).alias("wt"))
     apart = nodes.join(nodes.select(F.col("i").alias("j")), F.col("j") == F.col("i") + 40).select("g", "i", "j", F.lit(-0.5).alias("wt"))
     return inside.unionByName(apart)
 
