@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline import queries
+from weftline.llm import ngram_join
 from weftline.operators import community, large_graphs
 from weftline.sources import tables
 
@@ -46,3 +47,23 @@ def test_edges_are_dealt_by_their_number(spark, monkeypatch):
     assert [n for columns, n in written if columns == ["i", "j", "wt"]][1] == 4  # 360 links, as they were given and then both ways
     both = {(r["i"], r["j"]): r["wt"] for r in large_graphs.symmetric(edges).collect()}
     assert len(both) == 360 and set(both.values()) == {1.0}  # the first triangle's
+
+
+def test_sets_of_candidates_out_of_reach_do_not_travel(spark):
+    rng, threshold = np.random.default_rng(4), 75
+    base = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (1, 5, 60, 64, 65, 300, 5000)]
+    rows, pairs = [], []
+    for s in base:
+        for share in (1.0, 0.9, 0.86, 0.85, 0.7, 0.5):
+            kept = s[: max(1, round(share * len(s)))]
+            other = np.unique(np.concatenate([kept, rng.integers(0, 1 << 63, len(s) - len(kept)).astype(np.uint64)]))
+            both = len(np.intersect1d(s, other))
+            at = len(rows)
+            rows += [(at + i, len(x), bytearray(ngram_join.to_planes(x)), bytearray(ngram_join.sketch(x))) for i, x in enumerate((s, other))]
+            pairs.append((2 * at, 2 * at + 1, at, at + 1, 100 * both >= threshold * (len(s) + len(other) - both), share))
+    sets = spark.createDataFrame(rows, "row long, n long, tokens binary, sketch binary")
+    made = spark.createDataFrame([p[:4] for p in pairs], "u long, v long, r1 long, r2 long")
+    found = {tuple(r) for r in ngram_join._within_reach(sets, made, threshold).collect()}
+    assert {p[:4] for p in pairs if p[4]} <= found  # no link is lost
+    assert not any(p[:4] in found for p in pairs if p[5] <= 0.7 and rows[p[2]][1] >= 60)
+    assert sum(len(r[3]) for r in rows) * 30 < sum(len(r[2]) for r in rows if r[1] > 64) * 1.1

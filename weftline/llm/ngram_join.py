@@ -6,7 +6,8 @@ joined once. Two sets can reach the threshold only if they share a token among
 the first n - ceil(t * n) + 1 of each, under any order of all tokens. The
 prefixes are indexed under ``orders`` unrelated orders; a pair of classes is a
 candidate only if it shares prefix tokens under each of them, and enough of
-them that the rest can still make up the overlap it needs. Candidates are
+them that the rest can still make up the overlap it needs. Sketches of the sets, a
+fortieth of their size, bound what candidates can share; those that can reach the threshold are
 verified on their whole sets.
 
 Tokens that many documents hold come last in every order, so shared passages seldom
@@ -117,15 +118,27 @@ def _length_class(n: int) -> int:
     return min(127, int(np.log(n) / np.log(LENGTHS)))
 
 
-PROFILE = "kind int, a long, n long, c long, d long, row long, tokens binary"
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parities of how many tokens fall in each of 64 cells or more, one to two for a token: two sets differ in as many tokens at least as their sketches in cells."""
+    cells = 1 << max(6, int(len(tokens) - 1).bit_length())
+    return np.packbits(np.bincount((tokens & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def cells_apart(a: bytes, b: bytes) -> int:
+    """In how many cells two sketches differ, the larger one folded to the size of the other."""
+    few, many = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    return int(np.bitwise_count(few ^ np.bitwise_xor.reduce(many.reshape(-1, len(few)), axis=0)).sum())
+
+
+PROFILE = "kind int, a long, n long, c long, d long, row long, tokens binary, sketch binary"
 
 
 def _profiles(docs: DataFrame, gram: int) -> DataFrame:
-    """Of kind 0 the id (a), set size and fingerprint (c, d) of each document, with the set itself where it is the task's first; of kind 1 a token (a) and how many of a task's distinct sets hold it (n)."""
+    """Of kind 0 the id (a), set size and fingerprint (c, d) of each document, with the set itself and its sketch where it is the task's first; of kind 1 a token (a) and how many of a task's distinct sets hold it (n)."""
 
     def run(batches):
         held, n, seen, row = [], 0, set(), TaskContext.get().partitionId() << 33
-        names = ["kind", "a", "n", "c", "d", "row", "tokens"]
+        names = ["kind", "a", "n", "c", "d", "row", "tokens", "sketch"]
 
         def frequent():
             tokens = np.concatenate(held)
@@ -135,28 +148,30 @@ def _profiles(docs: DataFrame, gram: int) -> DataFrame:
             found = np.unique(tokens[OFTEN - 1 :][tokens[OFTEN - 1 :] == tokens[: len(tokens) - OFTEN + 1]])
             count = np.searchsorted(tokens, found, "right") - np.searchsorted(tokens, found)
             none = lambda kind: pa.nulls(len(found), kind)
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), np.int32)), pa.array(found.view(np.int64)), pa.array(count), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.binary())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), np.int32)), pa.array(found.view(np.int64)), pa.array(count), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.binary()), none(pa.binary())], names=names)
 
         for batch in slices(batches, "text"):
             sets = shingle_sets(batch.column("text"), gram)
             prints = [fingerprint(s) for s in sets]
-            stored, rows = [], []
+            stored, rows, sketches = [], [], []
             if len(seen) > HELD_SETS:
                 seen.clear()
             for s, p in zip(sets, prints):
                 if p in seen or not len(s):
                     stored.append(None)
                     rows.append(None)
+                    sketches.append(None)
                     continue
                 seen.add(p)
                 held.append(s)
                 n += len(s)
                 stored.append(to_planes(s))
+                sketches.append(sketch(s))
                 rows.append(row)
                 row += 1
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             p = np.array(prints, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), pa.array(ids_of(batch.column("id"))), pa.array(sizes), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(rows, pa.int64()), pa.array(stored, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), pa.array(ids_of(batch.column("id"))), pa.array(sizes), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(rows, pa.int64()), pa.array(stored, pa.binary()), pa.array(sketches, pa.binary())], names=names)
             if n > LOOK:
                 yield frequent()
                 n = 0
@@ -318,7 +333,7 @@ def _met(sets: DataFrame, hot, spread, threshold: int, orders: int, bucket_bound
             if one:
                 yield from flush()
 
-    return cut_lineage(by_shard(sets.mapInArrow(partition, packed_schema(3)), meet, packed_schema(3), 3))
+    return cut_lineage(by_shard(sets.select("k", "tokens").mapInArrow(partition, packed_schema(3)), meet, packed_schema(3), 3))
 
 
 def _candidates(sets: DataFrame, hot, threshold: int, orders: int) -> tuple[DataFrame, DataFrame]:
@@ -415,34 +430,58 @@ def _row_filter(rows: DataFrame, width: int = FILTER_BITS) -> np.ndarray:
     return out
 
 
-def _verified(sets: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
-    """The links (u, v) between the ids of classes whose whole sets reach the threshold, of pairs (k1, k2) of class keys."""
-    first = classes.select(F.col("k").alias("k1"), F.col("id").alias("u"), F.col("holder").alias("r1"))
-    second = classes.select(F.col("k").alias("k2"), F.col("id").alias("v"), F.col("holder").alias("r2"))
-    pairs = cut_lineage(pairs.distinct().join(first, "k1").join(second, "k2").where("u <> v").select("u", "v", "r1", "r2"))
-    rows = pairs.select(F.explode(F.array("r1", "r2")).alias("row")).distinct()
-    shared = sets.sparkSession.sparkContext.broadcast(_row_filter(rows))
+def _wanted(sets: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame:
+    """(row, columns) of the sets that pairs (r1, r2) name, and a few others."""
+    shared = sets.sparkSession.sparkContext.broadcast(_row_filter(pairs.select(F.explode(F.array("r1", "r2")).alias("row")).distinct()))
 
-    def wanted(batches):
+    def run(batches):
         bits = shared.value
         for batch in batches:
             keep = _in_filter(batch.column("row").to_numpy().astype(np.uint64), bits)
             if keep.any():
                 yield batch.filter(pa.array(keep))
 
+    rows = sets.select("row", *columns)
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _both(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs (r1, r2) with the columns of both rows, numbered; both joins read one exchange of the rows."""
+    side = lambda i: held.select(*(F.col(c).alias({"row": "r"}.get(c, c) + str(i)) for c in held.columns))
+    return pairs.join(side(2), "r2").join(side(1), "r1")
+
+
+def _within_reach(sets: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
+    """The pairs whose sketches leave room for the overlap they need: all that reach the threshold, and few others, so that not every candidate's set travels."""
+
+    def run(batches):
+        for batch in batches:
+            total = batch.column("n1").to_numpy() + batch.column("n2").to_numpy()
+            apart = np.fromiter(map(cells_apart, batch.column("sketch1").to_pylist(), batch.column("sketch2").to_pylist()), np.int64, batch.num_rows)
+            yield batch.select(["u", "v", "r1", "r2"]).filter(pa.array((100 + threshold) * (total - apart) >= 2 * threshold * total))
+
+    met = _both(pairs, _wanted(sets, pairs, ["n", "sketch"])).select("u", "v", "r1", "r2", "n1", "n2", "sketch1", "sketch2")
+    return cut_lineage(met.mapInArrow(run, "u long, v long, r1 long, r2 long"))
+
+
+def _verified(sets: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
+    """The links (u, v) between the ids of classes whose whole sets reach the threshold, of pairs (k1, k2) of class keys."""
+    first = classes.select(F.col("k").alias("k1"), F.col("id").alias("u"), F.col("holder").alias("r1"))
+    second = classes.select(F.col("k").alias("k2"), F.col("id").alias("v"), F.col("holder").alias("r2"))
+    pairs = cut_lineage(pairs.distinct().join(first, "k1").join(second, "k2").where("u <> v").select("u", "v", "r1", "r2"))
+    near = _within_reach(sets, pairs, threshold)
+
     def compare(batches):
-        for batch in slices(batches, "t1"):
+        for batch in slices(batches, "tokens1"):
             keep = []
-            for a, b in zip(batch.column("t1").to_pylist(), batch.column("t2").to_pylist()):
+            for a, b in zip(batch.column("tokens1").to_pylist(), batch.column("tokens2").to_pylist()):
                 few, many = sorted((from_planes(a), from_planes(b)), key=len)
                 both = int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
                 keep.append(100 * both >= threshold * (len(few) + len(many) - both))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    # both joins read one exchange of the sets
-    held = sets.select("row", "tokens").mapInArrow(wanted, "row long, tokens binary")
-    met = pairs.join(held.select(F.col("row").alias("r2"), F.col("tokens").alias("t2")), "r2").join(held.select(F.col("row").alias("r1"), F.col("tokens").alias("t1")), "r1")
-    return met.select("u", "v", "t1", "t2").mapInArrow(compare, "u long, v long").distinct()
+    met = _both(near, _wanted(sets, near, ["tokens"]))
+    return met.select("u", "v", "tokens1", "tokens2").mapInArrow(compare, "u long, v long").distinct()
 
 
 def _by_every_order(pairs: DataFrame, orders: int) -> DataFrame:
@@ -483,7 +522,7 @@ def grouped(profiles: DataFrame, classes: DataFrame, threshold: int, orders: int
     total = tokens.agg(F.sum("n")).first()[0] or 0
     often = tokens.where(F.col("n") * MOST_HOT >= total).select("token").toArrow().column("token").to_numpy() if total else np.empty(0, np.int64)
     hot = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
-    sets = profiles.where("kind = 0 and row is not null").select("row", F.col("c").bitwiseAND(F.lit(KEY)).alias("k"), "tokens")
+    sets = profiles.where("kind = 0 and row is not null").select("row", F.col("c").bitwiseAND(F.lit(KEY)).alias("k"), "n", "tokens", "sketch")
 
     pairs, members = _candidates(sets, hot, threshold, orders)
     first = classes.select(F.col("k").alias("k1"), F.col("id").alias("u"), F.col("n").alias("nu"))
