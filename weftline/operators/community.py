@@ -36,7 +36,7 @@ def agreement(partitions: DataFrame, weights: DataFrame | None = None, keys: Seq
     return pairs.repartition(tasks, *keys, "i", "j").groupBy(*keys, "i", "j").agg(F.sum("w").alias("value"))
 
 
-def _scales(pos: float, neg: float, qtype: str) -> tuple[float, float]:
+def scales(pos: float, neg: float, qtype: str) -> tuple[float, float]:
     inv = lambda x: 1 / x if x else 0.0
     return {"sta": (inv(pos), inv(pos + neg)), "pos": (inv(pos), 0.0), "smp": (inv(pos), inv(neg)), "gja": (inv(pos + neg), inv(pos + neg)), "neg": (0.0, inv(neg))}[qtype]
 
@@ -46,7 +46,7 @@ def louvain_labels(w: np.ndarray, rng: np.random.Generator, qtype: str = "sta")
     n = len(w)
     pos, neg = np.maximum(w, 0), np.maximum(-w, 0)
     s0, s1 = pos.sum(), neg.sum()
-    d0, d1 = _scales(s0, s1, qtype)
+    d0, d1 = scales(s0, s1, qtype)
     b = np.zeros_like(w, dtype=float)  # the modularity matrix; Q is its sum within modules
     if s0:
         b += d0 * (pos - np.outer(pos.sum(1), pos.sum(1)) / s0)

@@ -7,6 +7,8 @@ modularity matrix is never made. Moves that depend on each other would undo each
 gain, so a round moves only one of ``PARITIES`` hashed shares of the nodes, another one
 each time. When no share moves, modules become the nodes of the next level. What a round
 leaves is written to the shared folder, and what the round before left is removed, so no plan grows with the rounds.
+Graphs of at most ``GRAPH_LINKS`` links, told apart by keys, are dealt to tasks whole, and go through the same rounds there:
+the result is the same, but links are exchanged once and not in every round.
 Keys and nodes have no nulls.
 """
 
@@ -14,15 +16,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.operators import community
 from weftline.operators.metrics import QTYPES, modularity
 from weftline.sources.tables import kept, tasks_for
 
 PARITIES = 3
+#: Links of a graph that a task takes whole (some 20 MB).
+GRAPH_LINKS = 200_000
 
 
 def symmetric(edges: DataFrame, keys: Sequence[str] = (), tasks: int | None = None) -> DataFrame:
@@ -58,8 +65,9 @@ def _round(links: DataFrame, nodes: DataFrame, keys: list[str], chance: list[str
     Links (keys, i, j, wt, kp, kn) have the strengths of i, nodes (keys, node, c, kp, kn, s0, s1, d0, d1) the figures of
     their graph, so a round joins links with the modules of their ends, modules with their totals, and nodes with their moves.
     """
-    dealt = lambda c: F.pmod(F.xxhash64(c, *chance, F.lit(sweep)), F.lit(PARITIES)) == share
-    tie = F.xxhash64("_to", *chance, F.lit(sweep)) if chance else -F.col("_to")
+    luck = [F.xxhash64(*chance)] if chance else []
+    dealt = lambda c: F.pmod(F.xxhash64(c, *luck, F.lit(sweep).cast("long")), F.lit(PARITIES)) == share
+    tie = F.xxhash64("_to", *luck, F.lit(sweep).cast("long")) if chance else -F.col("_to")
     whole = ("s0", "s1", "d0", "d1")
     module = nodes.groupBy(*keys, F.col("c").alias("_to")).agg(F.sum("kp").alias("_mp"), F.sum("kn").alias("_mn"), *(F.first(c).alias(c) for c in whole))
     own = [*keys, "node", "_to", "kp", "kn"]
@@ -84,6 +92,84 @@ def _strength(links: DataFrame, keys: list[str]) -> DataFrame:
     return links.groupBy(*keys, F.col("i").alias("node")).agg(F.sum(F.greatest("wt", F.lit(0.0))).alias("kp"), F.sum(F.greatest(-F.col("wt"), F.lit(0.0))).alias("kn"))
 
 
+def xxhash64(*columns: np.ndarray | int) -> np.ndarray:
+    """Spark's hash of long columns, so that a graph has the same turns and ties in a task as in joins."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    h = np.full(1, 42, np.uint64)
+    for c in columns:
+        x = np.atleast_1d(np.asarray(c, np.int64)).view(np.uint64)
+        h = turn((h + p5 + np.uint64(8)) ^ (turn(x * p2, 31) * p1), 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        h = h ^ (h >> np.uint64(32))
+    return h.view(np.int64)
+
+
+def rounds_of_one(i: np.ndarray, j: np.ndarray, wt: np.ndarray, luck: Sequence[int], qtype: str, most_sweeps: int, most_levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and modules of one graph by the rounds of ``_round``, all links in arrays."""
+    off = i != j
+    name, at = np.unique(np.concatenate([i[off], j[off]]), return_inverse=True)
+    n, (a, b) = len(name), at.reshape(2, -1)
+    cell = np.minimum(a, b) * n + np.maximum(a, b)
+    by = np.lexsort((wt[off], a > b, cell))  # a pair's first triangle, as in ``symmetric``
+    cell, w = cell[by], wt[off][by]
+    first = np.diff(cell, prepend=-1) != 0
+    (a, b), w = np.divmod(cell[first], max(n, 1)), np.tile(w[first], 2)
+    src, dst, pos, neg = np.concatenate([a, b]), np.concatenate([b, a]), np.maximum(w, 0), np.maximum(-w, 0)
+    nodes, named, kp, kn = name, np.arange(n), np.bincount(src, pos, n), np.bincount(src, neg, n)
+    s0, s1 = kp.sum(), kn.sum()
+    d0, d1 = community.scales(s0, s1, qtype)
+    scale = max(d0, d1) or 1.0
+    inv0, inv1 = 1 / s0 if s0 else 0.0, 1 / s1 if s1 else 0.0
+    for _ in range(most_levels):
+        m = len(name)
+        c, moves = np.arange(m), 0
+        for sweep in range(most_sweeps):
+            turn, luckier, now = np.mod(xxhash64(name, *luck, sweep), PARITIES), xxhash64(name, *luck, sweep) if luck else -name, 0
+            for share in range(PARITIES):
+                mine = np.flatnonzero(turn == share)
+                out = np.flatnonzero(turn[src] == share)
+                cell, of = np.unique(np.concatenate([mine * m + c[mine], src[out] * m + c[dst[out]]]), return_inverse=True)
+                node, to = np.divmod(cell, max(m, 1))
+                here = np.zeros(len(cell), bool)
+                here[of[: len(mine)]] = True
+                p, q = (np.bincount(of[len(mine) :], x[out], len(cell)) for x in (pos, neg))
+                mp, mn = (np.bincount(c, k, m)[to] - np.where(here, k[node], 0.0) for k in (kp, kn))
+                gain = np.round((d0 * (p - kp[node] * mp * inv0) - d1 * (q - kn[node] * mn * inv1)) / scale, 9)
+                by = np.lexsort((luckier[to], gain, node))
+                best = by[np.diff(node[by], append=-1) != 0]
+                moved = best[gain[best] > gain[here]]  # one cell a node in either, in the order of nodes
+                c[node[moved]] = to[moved]
+                now += len(moved)
+            moves += now
+            if not now:
+                break
+        if not moves:
+            break
+        low = np.full(m, m)
+        np.minimum.at(low, c, np.arange(m))  # names ascend, so the first node of a module is its name
+        left, new = np.unique(low[c], return_inverse=True)
+        name, named, kp, kn = name[left], new[named], np.bincount(new, kp), np.bincount(new, kn)
+        src, dst = new[src], new[dst]
+        out = src != dst
+        src, dst, pos, neg = src[out], dst[out], pos[out], neg[out]
+    return nodes, name[named]
+
+
+def _in_tasks(links: DataFrame, keys: list[str], qtype: str, chance: list[str], most_sweeps: int, most_levels: int, tasks: int) -> DataFrame:
+    """(keys, node, c) of graphs that each go to one task, which has many."""
+
+    def one(rows: pa.Table) -> pa.Table:
+        i, j, wt = (rows.column(x).to_numpy() for x in ("i", "j", "wt"))
+        node, c = rounds_of_one(i, j, wt, [rows.column("_luck")[0].as_py()] if chance else [], qtype, most_sweeps, most_levels)
+        key = rows.select(keys).take(pa.array(np.zeros(len(node), np.int64)))
+        return key.append_column("node", pa.array(node, pa.int64())).append_column("c", pa.array(c, pa.int64()))
+
+    schema = T.StructType([*(links.schema[k] for k in keys), T.StructField("node", T.LongType()), T.StructField("c", T.LongType())])
+    return links.select(*keys, "i", "j", "wt", *([F.xxhash64(*chance).alias("_luck")] if chance else [])).repartition(tasks, *keys).groupBy(*keys).applyInArrow(one, schema)
+
+
 def louvain(edges: DataFrame, keys: Sequence[str] = (), qtype: str = "sta", chance: Sequence[str] = (), most_sweeps: int = 20, most_levels: int = 12) -> DataFrame:
     """(keys, node, c) of every node with a link: modules of signed graphs, named by their smallest node.
 
@@ -96,7 +182,18 @@ def louvain(edges: DataFrame, keys: Sequence[str] = (), qtype: str = "sta", chan
         raise ValueError(f"qtype must be one of {QTYPES}")
     keys, chance = list(keys), list(chance)
     raw = kept(edges.where("wt <> 0").select(*keys, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("wt").cast("double").alias("wt")))
-    links = kept(symmetric(raw, keys, tasks_for(raw.count())), raw)  # counted, so that no task has more of them as the input grows
+    rows = raw.count()  # counted, so that no task has more of them as the input grows
+    whole, large = None, raw
+    if keys:
+        size = kept(raw.groupBy(*keys).agg(F.count("*").alias("_n")))
+        most = size.agg(F.max("_n")).first()[0] or 0
+        of = lambda some: raw if (most <= GRAPH_LINKS) else raw.join(size.where(some).select(*keys), keys, "left_semi")
+        tasks = max(tasks_for(rows), int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        whole = kept(_in_tasks(of(F.col("_n") <= GRAPH_LINKS), keys, qtype, chance, most_sweeps, most_levels, tasks))
+        if most <= GRAPH_LINKS:
+            return whole
+        large = kept(of(F.col("_n") > GRAPH_LINKS), raw)
+    links = kept(symmetric(large, keys, tasks_for(rows)), large)
     strength = kept(_strength(links, keys))
     totals = kept(_with_scale(strength, keys, qtype))
     named = kept(strength.select(*keys, "node", F.col("node").alias("c")))  # of the first level's nodes
@@ -123,7 +220,7 @@ def louvain(edges: DataFrame, keys: Sequence[str] = (), qtype: str = "sta", chan
         between = links.join(a, [*keys, "i"]).join(b, [*keys, "j"]).where("a <> b").groupBy(*keys, F.col("a").alias("i"), F.col("b").alias("j"), (F.col("wt") > 0).alias("up"))
         links = kept(between.agg(F.sum("wt").alias("wt")).drop("up"), links)
         strength = kept(strength.join(to, [*keys, "node"]).groupBy(*keys, F.col("name").alias("node")).agg(F.sum("kp").alias("kp"), F.sum("kn").alias("kn")), strength)
-    return named
+    return named if whole is None else named.unionByName(whole)
 
 
 def best_louvain(edges: DataFrame, keys: Sequence[str] = (), qtype: str = "sta", runs: int = 5) -> DataFrame:
@@ -152,6 +249,7 @@ def consensus(agreed: DataFrame, keys: Sequence[str] = (), tau: float = 0.1, rep
     its different partitions, numbered by p from 0. Nodes without a pair are modules of their own.
     """
     keys = list(keys)
+    agreed = kept(agreed.select(*keys, "i", "j", "value"))  # read twice
     nodes = kept(agreed.select(*keys, F.explode(F.array(F.col("i").cast("long"), F.col("j").cast("long"))).alias("node")).distinct())
     pairs, done = kept(agreed.where((F.col("value") >= tau) & (F.col("value") > 0) & (F.col("i") != F.col("j"))).select(*keys, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("value").alias("wt"))), []
     bare = nodes.join(pairs.select(*keys).distinct(), keys, "left_anti") if keys else nodes.limit(0) if pairs.head(1) else nodes
