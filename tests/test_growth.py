@@ -67,3 +67,13 @@ def test_sets_of_candidates_out_of_reach_do_not_travel(spark):
     assert {p[:4] for p in pairs if p[4]} <= found  # no link is lost
     assert not any(p[:4] in found for p in pairs if p[5] <= 0.7 and rows[p[2]][1] >= 60)
     assert sum(len(r[3]) for r in rows) * 30 < sum(len(r[2]) for r in rows if r[1] > 64) * 1.1
+
+
+@pytest.mark.parametrize("kernel", [community.consensus, community.louvain])
+def test_matrices_are_dealt_to_tasks_by_their_rows(spark, monkeypatch, kernel):
+    """Not to as many as there are shuffle partitions, or fewer."""
+    monkeypatch.setattr(tables, "TASK_ROWS", 100)
+    rows = spark.range(1000).selectExpr("id div 10 as block", "id div 2 as i", "id div 2 + id % 2 as j", "1.0D as value", "1.0D as wt").coalesce(1)
+    found = kernel(rows, keys=["block"], reps=2, seed=1)
+    assert found.rdd.getNumPartitions() == 10
+    assert found.select("block").distinct().count() == 100

@@ -6,11 +6,12 @@ from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.sources.tables import tasks_for
+from weftline.sources.tables import kept, tasks_for
+
 
 def agreement(partitions: DataFrame, weights: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, i, j, value): the weighted share of partitions (keys, node, p, c) in which two nodes have one label, i <= j.
@@ -125,6 +126,15 @@ def _schema(df: DataFrame, keys: Sequence[str], *more: tuple[str, T.DataType]) -
     return T.StructType([*(df.schema[k] for k in keys), *(T.StructField(n, k) for n, k in more)])
 
 
+def _by_graph(rows: DataFrame, keys: list[str]) -> GroupedData:
+    """Rows by graph, which are counted to be dealt to so many tasks that none sorts more of them as the input grows."""
+    if not keys:
+        return rows.groupBy()
+    held = kept(rows)
+    tasks = max(tasks_for(held.count()), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return held.repartition(tasks, *keys).groupBy(*keys)
+
+
 def louvain(weights: DataFrame, keys: Sequence[str] = (), qtype: str = "sta", seed: int | None = None, reps: int = 1) -> DataFrame:
     """(keys, p, node, c, q): labels from 1 and modularity of each repetition p, one matrix (i <= j or both triangles) per key at a time.
 
@@ -141,7 +151,7 @@ def louvain(weights: DataFrame, keys: Sequence[str] = (), qtype: str = "sta", se
             out.append(pd.DataFrame({**dict(zip(keys, key)), "p": p, "node": nodes, "c": labels + 1, "q": q}))
         return pd.concat(out)[schema.names]
 
-    return weights.groupBy(*keys).applyInPandas(one, schema)
+    return _by_graph(weights, keys).applyInPandas(one, schema)
 
 
 def consensus(agreed: DataFrame, keys: Sequence[str] = (), tau: float = 0.1, reps: int = 500, seed: int | None = None) -> DataFrame:
@@ -155,7 +165,7 @@ def consensus(agreed: DataFrame, keys: Sequence[str] = (), tau: float = 0.1, rep
         parts = [pd.DataFrame({**dict(zip(keys, key)), "node": nodes, "p": p, "c": c + 1}) for p, c in enumerate(found.T)]
         return pd.concat(parts)[schema.names]
 
-    return agreed.groupBy(*keys).applyInPandas(one, schema)
+    return _by_graph(agreed, keys).applyInPandas(one, schema)
 
 
 def window_communities(weights: DataFrame, keys: Sequence[str], tau: float = 0.1, runs: int = 500, reps: int = 500, qtype: str = "sta", seed: int | None = None) -> DataFrame:
@@ -170,4 +180,4 @@ def window_communities(weights: DataFrame, keys: Sequence[str], tau: float = 0.1
         labels = consensus_labels(d, rng, tau, reps)[:, 0]
         return pd.DataFrame({**dict(zip(keys, key)), "node": nodes, "c": labels + 1})[schema.names]
 
-    return weights.groupBy(*keys).applyInPandas(one, schema)
+    return _by_graph(weights, keys).applyInPandas(one, schema)
