@@ -10,6 +10,7 @@ from weftline import queries
 from weftline.llm import ngram_join
 from weftline.operators import community, large_graphs
 from weftline.sources import tables
+from weftline.streaming import switches
 
 
 @pytest.mark.parametrize("name", ["cartography_dense", "cartography_sparse"])
@@ -77,3 +78,43 @@ def test_matrices_are_dealt_to_tasks_by_their_rows(spark, monkeypatch, kernel):
     found = kernel(rows, keys=["block"], reps=2, seed=1)
     assert found.rdd.getNumPartitions() == 10
     assert found.select("block").distinct().count() == 100
+
+
+def test_a_batch_reads_and_writes_the_state_of_a_key_once():
+    calls, held = [], {}
+
+    class Value:
+        def get(self):
+            calls.append("get")
+            return held.get("v")
+
+        def update(self, v):
+            calls.append("update")
+            held["v"] = v
+
+    class Handle:
+        def getValueState(self, *_):
+            return Value()
+
+        def getMapState(self, *_):
+            raise AssertionError("a row at a time")
+
+        def registerTimer(self, at):
+            held["timer"] = at
+
+    class Timers:
+        now = 0
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    timers, run = Timers(), switches._Switches(None)
+    run.init(Handle())
+    step = lambda rows: next(run.handleInputRows(("k",), iter([pd.DataFrame(rows, columns=["micros", "n", "state"])]), timers)).iloc[0].tolist()
+    assert step([(9000, 1, 2), (5000, 1, 1), (5000, 2, 2)]) == ["k", 1, 3, 0] and held["timer"] == 6
+    assert calls == ["get", "update"]
+    timers.now = 6
+    assert step([(7000, 1, 1), (1000, 1, 1)]) == ["k", 3, 2, 0]
+    assert step([(4000, 1, 2), (5000, 2, 1), (9000, 1, 1)]) == ["k", 2, 2, 2]  # two late ones, and one in the place of a row
+    timers.now = 9
+    assert next(run.handleExpiredTimer(("k",), timers, None)).iloc[0].tolist() == ["k", 2, 0, 2]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,12 +16,17 @@ _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 _OUT = "key long, switch_count long, pending long, late long"
 
 
+#: A row as it waits: time in microseconds, order among rows of one time, state.
+_ROW = np.dtype([("t", "<i8"), ("n", "<i8"), ("state", "<i4")])
+
+
 class _Switches(StatefulProcessor):
-    """Of each key: the last settled (time, order, state) with the count up to it, and the rows after it by (time, order).
+    """Of each key: the last settled (time, order, state) with the count up to it, and the rows after it, sorted by (time, order).
 
     Rows up to the watermark are settled in order when it has passed them, by a timer where no new row
     comes. A row older than the last settled one comes too late to change anything, and is counted as such. A key that
-    is silent for the time to live is forgotten.
+    is silent for the time to live is forgotten. The whole state of a key is one value, its waiting rows packed in it, so a batch reads and
+    writes a key once and not a row at a time.
     """
 
     def __init__(self, ttl_ms: int | None):
@@ -28,41 +34,41 @@ class _Switches(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.settled = handle.getValueState("settled", "t long, n long, state int, switches long, late long", self.ttl_ms)
-        self.waiting = handle.getMapState("waiting", "t long, n long", "state int", self.ttl_ms)
+        self.held = handle.getValueState("held", "t long, n long, state int, switches long, late long, waiting binary", self.ttl_ms)
 
-    def _advance(self, key: tuple, timers) -> pd.DataFrame:
+    def _advance(self, key: tuple, timers, batches: Iterable[pd.DataFrame] = ()) -> pd.DataFrame:
         watermark = timers.getCurrentWatermarkInMs() * 1000
-        t, n, state, switches, late = self.settled.get() if self.settled.exists() else (None, None, None, 0, 0)
-        rows = sorted((tuple(k), v[0]) for k, v in self.waiting.iterator())
-        ready = [r for r in rows if r[0][0] <= watermark]
-        for (t_, n_), s in ready:
-            switches += state is not None and s != state
-            t, n, state = t_, n_, s
-            self.waiting.removeKey((t_, n_))
-        if t is not None:
-            self.settled.update((t, n, state, switches, late))
-        rest, now = rows[len(ready) :], switches
-        before = state
-        for _, s in rest:
-            now += before is not None and s != before
-            before = s
-        if rest:
-            self.handle.registerTimer(rest[0][0][0] // 1000 + 1)
+        t, n, state, switches, late, packed = self.held.get() or (None, None, None, 0, 0, b"")
+        parts = [np.frombuffer(bytes(packed), _ROW)]
+        for batch in batches:
+            new = np.empty(len(batch), _ROW)
+            new["t"], new["n"], new["state"] = batch["micros"], batch["n"], batch["state"]
+            if t is not None:
+                lost = (new["t"] < t) | ((new["t"] == t) & (new["n"] <= n))
+                late += int(lost.sum())
+                new = new[~lost]
+            parts.append(new)
+        rows = np.concatenate(parts)
+        rows = rows[np.lexsort((rows["n"], rows["t"]))]  # stable: of rows with one time and order the last to come counts
+        if len(rows):
+            rows = rows[np.append((rows["t"][1:] != rows["t"][:-1]) | (rows["n"][1:] != rows["n"][:-1]), True)]
+        ready = int(np.searchsorted(rows["t"], watermark, "right"))
+        states = rows["state"] if state is None else np.append(np.int32(state), rows["state"])
+        moved = np.cumsum(states[1:] != states[:-1])
+        if state is None:
+            moved = np.append(0, moved)[: len(rows)]
+        now = switches + int(moved[-1]) if len(rows) else switches
+        if ready:
+            last = rows[ready - 1]
+            t, n, state, switches = int(last["t"]), int(last["n"]), int(last["state"]), switches + int(moved[ready - 1])
+        rest = rows[ready:]
+        self.held.update((t, n, state, switches, late, rest.tobytes()))
+        if len(rest):
+            self.handle.registerTimer(int(rest["t"][0]) // 1000 + 1)
         return pd.DataFrame({"key": [key[0]], "switch_count": [now], "pending": [len(rest)], "late": [late]})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self.settled.get() if self.settled.exists() else None
-        late = 0
-        for batch in rows:
-            for t, n, state in zip(batch["micros"].tolist(), batch["n"].tolist(), batch["state"].tolist()):
-                if last is not None and (t, n) <= (last[0], last[1]):
-                    late += 1
-                else:
-                    self.waiting.updateValue((t, n), (state,))
-        if late:
-            self.settled.update((*last[:4], last[4] + late))
-        yield self._advance(key, timerValues)
+        yield self._advance(key, timerValues, rows)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield self._advance(key, timerValues)
