@@ -70,6 +70,29 @@ def test_sets_of_candidates_out_of_reach_do_not_travel(spark):
     assert sum(len(r[3]) for r in rows) * 30 < sum(len(r[2]) for r in rows if r[1] > 64) * 1.1
 
 
+@pytest.mark.parametrize("bits", [27, 11])
+def test_texts_that_stay_do_not_travel(spark, tmp_path, monkeypatch, bits):
+    """However many the filter of lost ids takes for lost ones by chance."""
+    monkeypatch.setattr(ngram_join, "FILTER_BITS", bits)
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 40)) + " " + rng.bytes(20_000).hex() for _ in range(300)]
+    rows = [(k, texts[k % 300], k) for k in range(600)] + [(7, texts[7], -7), (7, "another text of the seventh " * 3, -8), (None, texts[9], 9), (None, "no id and alone here too", 10)]
+    spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(4).write.parquet(str(tmp_path / "in"))
+    docs = spark.read.parquet(str(tmp_path / "in"))
+    before = _shuffled(spark)
+    kept = sorted(((r["doc_id"], r["n"]) for r in ngram_join.keep_first(docs).collect()), key=str)
+    assert kept == sorted([*((k, k) for k in range(300)), (7, -7), (7, -8), (None, 10)], key=str)
+    assert _shuffled(spark) - before < 2_000_000  # of 24 MB of texts
+
+
+def _shuffled(spark):
+    """Bytes that all stages so far have written for exchanges."""
+    context, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+    context.listenerBus().waitUntilEmpty()
+    stages = context.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
 @pytest.mark.parametrize("kernel", [community.consensus, community.louvain])
 def test_matrices_are_dealt_to_tasks_by_their_rows(spark, monkeypatch, kernel):
     """Not to as many as there are shuffle partitions, or fewer."""

@@ -49,7 +49,7 @@ LOOK, OFTEN = 2_000_000, 3
 BUCKET = 2000
 #: Rounds of looking for such tokens. What then is left is compared all the same.
 ROUNDS = 8
-#: Bits of the broadcast filter of classes in candidate pairs (16 MB), and at most of that of frequent tokens (128 MB, which 16 million fill to an eighth).
+#: Bits of the broadcast filter of classes in candidate pairs and, at most, of lost ids (16 MB), and at most of that of frequent tokens (128 MB, which 16 million fill to an eighth).
 FILTER_BITS, MOST_FILTER_BITS = 27, 30
 #: Pairs that a task holds before it sends them on.
 HELD_PAIRS = 4_000_000
@@ -430,19 +430,22 @@ def _row_filter(rows: DataFrame, width: int = FILTER_BITS) -> np.ndarray:
     return out
 
 
-def _wanted(sets: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame:
-    """(row, columns) of the sets that pairs (r1, r2) name, and a few others."""
-    shared = sets.sparkSession.sparkContext.broadcast(_row_filter(pairs.select(F.explode(F.array("r1", "r2")).alias("row")).distinct()))
+def _held(rows: DataFrame, n: int):
+    """A function of a column that tells which numbers may be among ``n`` rows (row), or fewer: all that are, and while a filter of bounded size has room, few others."""
+    bits = min(FILTER_BITS, max(16, int(64 * n).bit_length()))
+    shared = rows.sparkSession.sparkContext.broadcast(_row_filter(rows, bits))
 
-    def run(batches):
-        bits = shared.value
-        for batch in batches:
-            keep = _in_filter(batch.column("row").to_numpy().astype(np.uint64), bits)
-            if keep.any():
-                yield batch.filter(pa.array(keep))
+    @F.arrow_udf(T.BooleanType())
+    def held(numbers: pa.Array) -> pa.Array:
+        return pa.array(_in_filter(numbers.to_numpy(zero_copy_only=False).astype(np.uint64), shared.value))
 
-    rows = sets.select("row", *columns)
-    return rows.mapInArrow(run, rows.schema)
+    return held
+
+
+def _wanted(sets: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame:
+    """(row, columns) of the sets that pairs (r1, r2) name, and a few others; Python sees the rows' numbers alone."""
+    held = _held(pairs.select(F.explode(F.array("r1", "r2")).alias("row")), 2 * pairs.count())
+    return sets.select("row", *columns).where(held("row"))
 
 
 def _both(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -588,5 +591,11 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own, kept = fresh_name(docs, "_id"), fresh_name(docs, "_kept")
     docs = docs.withColumn(own, ident(id_col, text_col))
     found = _grouped(docs.select(F.col(own).alias("id"), F.col(text_col).alias("text")), **options)
-    found = found.where("id = component").select(F.col("id").alias(kept)).distinct()
-    return docs.join(found, F.col(own) == F.col(kept), "left_semi").drop(own)
+    found = cut_lineage(found.groupBy(F.col("id").alias("row")).agg(F.bool_or(F.col("id") == F.col("component")).alias("stays")))
+    # texts don't travel: what the filter of lost ids doesn't have stays, and of the rest the few that it has by chance are joined
+    gone = found.where("not stays").select("row")
+    lost = _held(gone, gone.count())
+    spared = cut_lineage(found.where("stays").select("row").where(lost("row")))
+    again = _held(spared, spared.count())
+    rest = docs.where(lost(own)).where(again(own)).join(spared.select(F.col("row").alias(kept)), F.col(own) == F.col(kept), "left_semi")
+    return docs.where(~lost(own)).union(rest).drop(own)
